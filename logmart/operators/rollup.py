@@ -159,7 +159,7 @@ def sibling_members(children: DataFrame, bridge: DataFrame, *, child_id: Keys =
     b = (bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
          .groupBy(*[f"_bk{i}" for i in range(len(bk))])
          .agg(F.array_sort(F.collect_set("_m")).alias("_own")))
-    c = children.select(*{*ids, child_fk, *ck}).select(
+    c = children.select(*dict.fromkeys([*ids, child_fk, *ck])).select(
         "*", *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)])
     withown = c.join(b, [f"_bk{i}" for i in range(len(ck))], "left").withColumn(
         "_own", F.coalesce("_own", F.array().cast(b.schema["_own"].dataType)))

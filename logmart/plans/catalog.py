@@ -74,3 +74,152 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 over every header: counts, member sets and coverage for all."""
     return _history(spark, sf_dir, None, 0)
+
+
+# ---------------------------------------------------------------- shared SQL
+_KEY_DESC = ", ".join(f"l.{c} DESC" for c in D.LINE_KEY)
+_KEY_ASC = ", ".join(f"{c}" for c in D.LINE_KEY)
+
+_CHILDREN_SQL = """SELECT l.*, l.l_orderkey AS workout_id, l.l_linenumber AS sort_order,
+  CAST(l.l_quantity AS DECIMAL(6,2)) AS max_weight, p.p_name AS name, p.p_brand AS machine
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey"""
+
+_LATEST_SQL = f"""SELECT name, max_weight, last_date, workout_id FROM (
+  SELECT p.p_name AS name, CAST(l.l_quantity AS DECIMAL(6,2)) AS max_weight,
+         o.o_orderdate AS last_date, l.l_orderkey AS workout_id,
+         row_number() OVER (PARTITION BY p.p_name ORDER BY o.o_orderdate DESC, {_KEY_DESC}) AS rn
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
+) t WHERE rn = 1"""
+
+_WORDS_SQL = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part"
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logmart.operators.latest import latest_values
+    return latest_values(D.children(spark, sf_dir, with_name=True), D.headers(spark, sf_dir),
+                         child_id=D.LINE_KEY)
+
+
+def _word_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.word_bridge(spark, sf_dir).select(F.col("word").alias("term")).distinct()
+
+
+# ------------------------------------------------------------- L1 .. L4
+@register("latest_per_key", _LATEST_SQL)
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: last value per child name from the most recent header."""
+    return _latest(spark, sf_dir)
+
+
+_SEARCH_SQL = f"""WITH latest AS ({_LATEST_SQL}),
+terms AS ({{terms}}),
+hits AS (
+  SELECT t.term, l.*, row_number() OVER (PARTITION BY t.term ORDER BY l.name) AS rn
+  FROM terms t JOIN latest l ON l.name ILIKE '%' || trim(t.term) || '%'
+  WHERE length(trim(t.term)) >= 2
+)"""
+
+
+@register("search_latest", _SEARCH_SQL.format(terms=_WORDS_SQL) + """
+SELECT term, CAST(rn AS BIGINT) AS rank, name, max_weight, last_date, workout_id FROM hits WHERE rn <= 10""")
+def search_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: every word of the part names as a search term, top 10 by name."""
+    from logmart.operators.latest import search_latest as op
+    return op(_latest(spark, sf_dir), _word_terms(spark, sf_dir))
+
+
+_EXACT_TERMS_SQL = f"SELECT DISTINCT upper(p_name) AS term FROM part UNION {_WORDS_SQL}"
+
+
+@register("last_value_for", _SEARCH_SQL.format(terms=_EXACT_TERMS_SQL) + """,
+exact AS (
+  SELECT *, row_number() OVER (PARTITION BY term ORDER BY rn) AS r1 FROM hits
+  WHERE rn <= 10 AND lower(name) = lower(trim(term))
+)
+SELECT term, CAST(rn AS BIGINT) AS rank, name, max_weight, last_date, workout_id
+FROM exact WHERE r1 = 1 AND max_weight IS NOT NULL""")
+def last_value_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: exact (case-insensitive) hit among the top 10 for upper-cased
+    names and single words."""
+    from logmart.operators.latest import last_value_for as op
+    p = D.table(spark, sf_dir, "part")
+    terms = p.select(F.upper("p_name").alias("term")).unionByName(_word_terms(spark, sf_dir)).distinct()
+    return op(_latest(spark, sf_dir), terms)
+
+
+@register("active_header", f"""WITH h AS ({D.HEADERS_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY gym_id ORDER BY started_at DESC, id DESC) AS rn FROM h)
+SELECT id, gym_id, started_at, finished_at, notes FROM r WHERE rn = 1 AND finished_at IS NULL""")
+def active_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 per customer: the newest order, only when it is still open."""
+    from logmart.operators.latest import active_header as op
+    return op(D.headers(spark, sf_dir), partition="gym_id")
+
+
+# ------------------------------------------------------------- N1, N2
+_REGION_MEMBER_SQL = """SELECT s.s_suppkey, n.n_regionkey AS mid, r.r_name AS mname
+  FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey"""
+
+
+def _nested_children(spark: SparkSession, sf_dir: str, with_name: bool = True) -> DataFrame:
+    from logmart.operators.nest import nest_members
+    return nest_members(D.children(spark, sf_dir, with_name=with_name), D.bridge(spark, sf_dir),
+                        D.members(spark, sf_dir), child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+
+
+@register("nest_members", f"""SELECT {_KEY_ASC}, coalesce(m.mid || ':' || m.mname, '') AS body_parts
+FROM lineitem l LEFT JOIN ({_REGION_MEMBER_SQL}) m ON m.s_suppkey = l.l_suppkey""")
+def nest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered member list of every child."""
+    from logmart.operators.nest import render_members
+    n = _nested_children(spark, sf_dir, with_name=False)
+    return n.select(*D.LINE_KEY, render_members("body_parts").alias("body_parts"))
+
+
+_DOC_ROWS_SQL = f"""WITH h AS ({D.HEADERS_SQL}),
+c AS ({_CHILDREN_SQL}),
+k AS (
+  SELECT c.*, coalesce(m.mid || ':' || m.mname, '') AS body_parts,
+         row_number() OVER (PARTITION BY c.workout_id ORDER BY c.sort_order NULLS LAST, {_KEY_ASC}) AS position
+  FROM c LEFT JOIN ({_REGION_MEMBER_SQL}) m ON m.s_suppkey = c.l_suppkey
+),
+rows AS (
+  SELECT h.id, h.started_at, h.finished_at, h.notes, cu.c_name AS gym_name, k.*
+  FROM h JOIN customer cu ON cu.c_custkey = h.gym_id LEFT JOIN k ON k.workout_id = h.id
+)"""
+
+
+def _doc_kwargs():
+    return dict(child_id=D.LINE_KEY, child_cols=("name", "machine", "max_weight"),
+                child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+
+
+@register("header_document_rows", _DOC_ROWS_SQL + f"""
+SELECT id, started_at, finished_at, notes, gym_name, {_KEY_ASC}, sort_order, name, machine, max_weight,
+       body_parts, CAST(position AS BIGINT) AS position
+FROM rows""")
+def header_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N2 as rows: every child in document position with its members."""
+    from logmart.operators.nest import header_document_rows as op
+    from logmart.operators.nest import render_members
+    r = op(D.headers(spark, sf_dir), D.dims(spark, sf_dir), D.children(spark, sf_dir, with_name=True),
+           D.bridge(spark, sf_dir), D.members(spark, sf_dir), **_doc_kwargs())
+    return r.withColumn("body_parts", render_members("body_parts"))
+
+
+@register("header_documents", _DOC_ROWS_SQL + """
+SELECT id, started_at, finished_at, notes, gym_name,
+  coalesce(string_agg(concat_ws('/', l_linenumber, name, machine, max_weight, body_parts), ';'
+                      ORDER BY position) FILTER (WHERE position IS NOT NULL), '') AS exercises
+FROM rows GROUP BY id, started_at, finished_at, notes, gym_name""")
+def header_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested document per order (exercises[] with body_parts[]),
+    rendered to text for the comparison."""
+    from logmart.operators.nest import header_documents as op
+    from logmart.operators.nest import render_members
+    d = op(D.headers(spark, sf_dir), D.dims(spark, sf_dir), D.children(spark, sf_dir, with_name=True),
+           D.bridge(spark, sf_dir), D.members(spark, sf_dir), **_doc_kwargs())
+    ex = F.array_join(F.transform("exercises", lambda e: F.concat_ws(
+        "/", e["l_linenumber"].cast("string"), e["name"], e["machine"], e["max_weight"].cast("string"),
+        render_members(e["body_parts"]))), ";")
+    return d.select("id", "started_at", "finished_at", "notes", "gym_name", ex.alias("exercises"))
