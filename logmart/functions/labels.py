@@ -40,7 +40,7 @@ def elapsed_label(seconds: Column | str) -> Column:
 
 
 def seconds_between(a: Column | str, b: Column | str) -> Column:
-    return F.timestampdiff("SECOND", _c(a), _c(b))
+    return F.timestamp_diff("SECOND", _c(a), _c(b))
 
 
 def minutes_between(a: Column | str, b: Column | str) -> Column:

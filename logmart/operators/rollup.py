@@ -205,3 +205,30 @@ def coverage_grid_for(dim: DataFrame, selected_ids: list[int], trained: DataFram
                     F.col(dim_id).isin(list(selected_ids)).alias("selected"),
                     F.col("_t").isNotNull().alias("trained"), F.col(dim_sort).alias("_s"))
             .orderBy(F.col("_s").asc_nulls_last(), "id").drop("_s"))
+
+
+def header_summary(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: DataFrame,
+                   member_dim: DataFrame, *, as_of, header_id: str = "id", header_fk: str = "gym_id",
+                   started: str = "started_at", finished: str = "finished_at", dim_id: str = "id",
+                   dim_name: str = "name", child_fk: str = "workout_id", child_bridge_key: Keys = "id",
+                   bridge_child: Keys = "exercise_id", bridge_member: str = "body_part_id",
+                   member_id: str = "id", member_name: str = "name", member_sort: str = "sort_order") -> DataFrame:
+    """Per header ``gym_name``, ``minutes`` (D1: to ``finished_at``,
+    else to ``as_of``), ``exercise_count`` (A1) and ``member_names``: the
+    distinct members covered, in member display order."""
+    from logmart.functions.labels import session_minutes
+    named = headers.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
+                         F.col(header_fk) == F.col("_gid")).drop("_gid")
+    counted = child_count(named, children, header_id=header_id, child_fk=child_fk)
+    pairs = _pairs(children, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
+    md = member_dim.select(F.col(member_id).alias("_m"), F.col(member_name).alias("_mn"),
+                           F.col(member_sort).alias("_ms"))
+    names = pairs.join(md, "_m").groupBy("_hk").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_ms").isNull().alias("a"), F.col("_ms").alias("b"), F.col("_m").alias("c"),
+        F.col("_mn").alias("n")))).alias("_arr"))
+    out = counted.join(names, F.col(header_id) == F.col("_hk"), "left")
+    as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    return out.select(
+        header_id, "gym_name", session_minutes(started, finished, as_of_col).alias("minutes"),
+        "exercise_count",
+        F.coalesce(F.array_join(F.transform("_arr", lambda x: x["n"]), ", "), F.lit("")).alias("member_names"))

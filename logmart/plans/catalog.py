@@ -223,3 +223,185 @@ def header_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "/", e["l_linenumber"].cast("string"), e["name"], e["machine"], e["max_weight"].cast("string"),
         render_members(e["body_parts"]))), ";")
     return d.select("id", "started_at", "finished_at", "notes", "gym_name", ex.alias("exercises"))
+
+
+# ------------------------------------------------------------- P1 .. P6
+_PRIO_INT_SQL = r"""coalesce(TRY_CAST(regexp_extract(o_orderpriority,
+  '^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS BIGINT), 0)"""
+
+
+@register("visible_listing", f"""SELECT CAST(row_number() OVER (ORDER BY sort_order ASC NULLS LAST,
+         created_at DESC NULLS FIRST, id ASC) AS BIGINT) AS rank, id, sort_order, created_at
+FROM (SELECT o_orderkey AS id, {_PRIO_INT_SQL} AS sort_order, o_orderdate AS created_at
+      FROM orders WHERE o_orderstatus = 'F') t""")
+def visible_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders as visible items, by priority number then
+    newest, with a distributed global rank."""
+    from logmart.functions.coerce import php_int
+    from logmart.operators.listing import visible_listing as op
+    o = D.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), php_int("o_orderpriority").alias("sort_order"),
+        F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") == "F").alias("visible"))
+    return op(o).select("rank", "id", "sort_order", "created_at")
+
+
+@register("dim_listing", """SELECT CAST(row_number() OVER (ORDER BY n_regionkey ASC NULLS LAST, n_nationkey)
+  AS BIGINT) AS rank, n_nationkey AS id, n_name AS name FROM nation""")
+def dim_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a dimension listing ordered by region, then id."""
+    from logmart.operators.listing import dim_listing as op
+    n = D.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("sort_order"))
+    return op(n).select("rank", "id", "name")
+
+
+@register("header_by_id", f"""WITH h AS ({D.HEADERS_SQL}),
+req AS (SELECT DISTINCT event_id AS requested_id FROM events WHERE event_type = 'purchase')
+SELECT req.requested_id, x.id IS NOT NULL AS found, x.started_at, x.finished_at, x.notes, x.gym_name
+FROM req LEFT JOIN (SELECT h.*, c.c_name AS gym_name FROM h JOIN customer c ON c.c_custkey = h.gym_id) x
+  ON x.id = req.requested_id""")
+def header_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch lookup of header ids named by purchase events."""
+    from logmart.operators.listing import header_by_id as op
+    ids = D.table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("id"))
+    return op(D.headers(spark, sf_dir), D.dims(spark, sf_dir), ids)
+
+
+@register("ordered_children", f"""SELECT {_KEY_ASC}, CAST(row_number() OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber NULLS LAST, {_KEY_ASC}) AS BIGINT) AS position FROM lineitem""")
+def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of every line in its order."""
+    from logmart.operators.listing import ordered_children as op
+    return op(D.children(spark, sf_dir), child_id=D.LINE_KEY).select(*D.LINE_KEY, "position")
+
+
+@register("bridge_members", f"""SELECT m.s_suppkey, CAST(m.mid AS INTEGER) AS body_part_id, m.mname AS member_name,
+  CAST(row_number() OVER (PARTITION BY m.s_suppkey ORDER BY m.mid) AS BIGINT) AS position
+FROM ({_REGION_MEMBER_SQL}) m
+WHERE m.s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def bridge_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the suppliers of returned lines (batch IN)."""
+    from logmart.operators.listing import bridge_members as op
+    ids = D.children(spark, sf_dir).where(F.col("l_returnflag") == "R").select(F.col("l_suppkey").alias("id"))
+    return op(D.bridge(spark, sf_dir), D.members(spark, sf_dir), ids, bridge_child="s_suppkey")
+
+
+# ------------------------------------------------------------- A1 .. A8
+@register("child_count", """SELECT o.o_orderkey AS id, CAST(count(l.l_orderkey) AS BIGINT) AS exercise_count
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey""")
+def child_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: lines per order, 0 for orders without lines."""
+    from logmart.operators.rollup import child_count as op
+    return op(D.headers(spark, sf_dir).select("id"), D.children(spark, sf_dir))
+
+
+_WORD_BRIDGE_SQL = "SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part"
+
+
+@register("member_set_words", f"""SELECT o.o_orderkey AS id, coalesce(w.words, '') AS words
+FROM orders o LEFT JOIN (
+  SELECT l.l_orderkey, array_to_string(list_sort(list(DISTINCT b.word)), ',') AS words
+  FROM lineitem l JOIN ({_WORD_BRIDGE_SQL}) b ON b.p_partkey = l.l_partkey GROUP BY l.l_orderkey
+) w ON w.l_orderkey = o.o_orderkey""")
+def member_set_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 through a many-to-many bridge: distinct part-name words per order."""
+    from logmart.operators.rollup import member_set
+    m = member_set(D.headers(spark, sf_dir).select("id"), D.children(spark, sf_dir), D.word_bridge(spark, sf_dir),
+                   child_bridge_key="l_partkey", bridge_child="p_partkey", bridge_member="word", out="words")
+    return m.withColumn("words", F.array_join("words", ","))
+
+
+@register("next_ordinal", """SELECT l_orderkey AS workout_id, coalesce(max(l_linenumber), 0) + 1 AS next_sort_order
+FROM lineitem GROUP BY l_orderkey""")
+def next_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: next line number per order."""
+    from logmart.operators.rollup import next_ordinal as op
+    return op(D.children(spark, sf_dir))
+
+
+@register("full_coverage", f"""SELECT o.o_orderkey AS id, coalesce(m.ids, '') AS body_part_ids,
+  coalesce(m.k, 0) >= 3 AS full_coverage
+FROM orders o LEFT JOIN (
+  SELECT l.l_orderkey, array_to_string(list_sort(list(DISTINCT n.n_regionkey)), ',') AS ids,
+         count(DISTINCT n.n_regionkey) AS k
+  FROM lineitem l {_REGION_OF_LINE} GROUP BY l.l_orderkey
+) m ON m.l_orderkey = o.o_orderkey""")
+def full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 with a fixed threshold (3 regions), as the source fixes 7."""
+    from logmart.operators.rollup import full_coverage as op
+    f = op(D.headers(spark, sf_dir).select("id"), D.children(spark, sf_dir), D.bridge(spark, sf_dir), k=3,
+           child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+    return f.withColumn("body_part_ids", F.array_join("body_part_ids", ","))
+
+
+_SIBLING_SQL = f"""WITH c AS (SELECT {_KEY_ASC} FROM lineitem),
+own AS (
+  SELECT DISTINCT {", ".join("c." + k for k in D.LINE_KEY)}, b.word
+  FROM c JOIN ({_WORD_BRIDGE_SQL}) b ON b.p_partkey = c.l_partkey
+),
+hw AS (SELECT l_orderkey, word, count(*) AS n FROM own GROUP BY l_orderkey, word),
+ownagg AS (SELECT {_KEY_ASC}, string_agg(word, ',' ORDER BY word) AS own_ids FROM own GROUP BY ALL),
+sib AS (
+  SELECT {", ".join("c." + k for k in D.LINE_KEY)}, string_agg(hw.word, ',' ORDER BY hw.word) AS sibling_ids
+  FROM c JOIN hw ON hw.l_orderkey = c.l_orderkey
+  LEFT JOIN own o ON {" AND ".join(f"o.{k} = c.{k}" for k in D.LINE_KEY)} AND o.word = hw.word
+  WHERE hw.n - (CASE WHEN o.word IS NULL THEN 0 ELSE 1 END) > 0
+  GROUP BY ALL
+)"""
+
+
+@register("sibling_members", _SIBLING_SQL + f"""
+SELECT {", ".join("c." + k for k in D.LINE_KEY)}, c.l_orderkey AS workout_id,
+  coalesce(ownagg.own_ids, '') AS own_ids, coalesce(sib.sibling_ids, '') AS sibling_ids
+FROM c
+LEFT JOIN ownagg ON {" AND ".join(f"ownagg.{k} = c.{k}" for k in D.LINE_KEY)}
+LEFT JOIN sib ON {" AND ".join(f"sib.{k} = c.{k}" for k in D.LINE_KEY)}""")
+def sibling_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line, its own part-name words and the words of the other
+    lines of the same order."""
+    from logmart.operators.rollup import sibling_members as op
+    s = op(D.children(spark, sf_dir), D.word_bridge(spark, sf_dir), child_id=D.LINE_KEY,
+           child_bridge_key="l_partkey", bridge_child="p_partkey", bridge_member="word")
+    return s.withColumn("own_ids", F.array_join("own_ids", ",")).withColumn(
+        "sibling_ids", F.array_join("sibling_ids", ","))
+
+
+@register("coverage_grid", f"""WITH c AS (SELECT {_KEY_ASC} FROM lineitem),
+own AS (SELECT {", ".join("c." + k for k in D.LINE_KEY)}, m.mid, m.mname
+        FROM c JOIN ({_REGION_MEMBER_SQL}) m ON m.s_suppkey = c.l_suppkey),
+hw AS (SELECT l_orderkey, mid, any_value(mname) AS mname, count(*) AS n FROM own GROUP BY l_orderkey, mid)
+SELECT {", ".join("c." + k for k in D.LINE_KEY)}, CAST(hw.mid AS INTEGER) AS member_id, hw.mname AS member_name,
+  CAST(hw.mid AS INTEGER) AS member_sort, o.mid IS NOT NULL AS selected,
+  hw.n - (CASE WHEN o.mid IS NULL THEN 0 ELSE 1 END) > 0 AS trained
+FROM c JOIN hw ON hw.l_orderkey = c.l_orderkey
+LEFT JOIN own o ON {" AND ".join(f"o.{k} = c.{k}" for k in D.LINE_KEY)} AND o.mid = hw.mid""")
+def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line, every region that is selected (its own) or trained
+    (covered by another line of the order)."""
+    from logmart.operators.rollup import coverage_grid as op
+    return op(D.members(spark, sf_dir), D.children(spark, sf_dir), D.bridge(spark, sf_dir),
+              child_id=D.LINE_KEY, child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+
+
+AS_OF = "2026-01-22 12:00:00"
+
+
+@register("header_summary", f"""WITH h AS ({D.HEADERS_SQL})
+SELECT h.id, c.c_name AS gym_name,
+  CAST(floor(date_diff('second', h.started_at, coalesce(h.finished_at, TIMESTAMP '{AS_OF}')) / 60) AS BIGINT) AS minutes,
+  CAST(coalesce(k0.n, 0) AS BIGINT) AS exercise_count, coalesce(k.names, '') AS member_names
+FROM h JOIN customer c ON c.c_custkey = h.gym_id
+LEFT JOIN (SELECT l.l_orderkey, count(*) AS n FROM lineitem l GROUP BY l.l_orderkey) k0 ON k0.l_orderkey = h.id
+LEFT JOIN (
+  SELECT l_orderkey, string_agg(r_name, ', ' ORDER BY r_regionkey) AS names FROM (
+    SELECT DISTINCT l.l_orderkey, r.r_regionkey, r.r_name
+    FROM lineitem l {_REGION_OF_LINE} JOIN region r ON r.r_regionkey = n.n_regionkey) d
+  GROUP BY l_orderkey
+) k ON k.l_orderkey = h.id""")
+def header_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order the customer, minutes (to finish, else to the as-of
+    time), line count and the names of the regions covered."""
+    from logmart.operators.rollup import header_summary as op
+    return op(D.headers(spark, sf_dir), D.dims(spark, sf_dir), D.children(spark, sf_dir), D.bridge(spark, sf_dir),
+              D.members(spark, sf_dir), as_of=AS_OF, child_bridge_key="l_suppkey", bridge_child="s_suppkey")
