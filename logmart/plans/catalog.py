@@ -405,3 +405,149 @@ def header_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logmart.operators.rollup import header_summary as op
     return op(D.headers(spark, sf_dir), D.dims(spark, sf_dir), D.children(spark, sf_dir), D.bridge(spark, sf_dir),
               D.members(spark, sf_dir), as_of=AS_OF, child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+
+
+# ------------------------------------------------------------- F*, D1, S2, S3
+@register("history_labels", f"""WITH h AS ({D.HEADERS_SQL})
+SELECT id, strftime(started_at, '%-d. %-m. %Y') AS date_label, strftime(started_at, '%H:%M') AS time_label,
+  CAST(floor(date_diff('second', started_at, coalesce(finished_at, TIMESTAMP '{AS_OF}')) / 60) AS BIGINT) AS minutes,
+  CASE WHEN finished_at IS NULL THEN NULL ELSE
+    CAST(floor(date_diff('second', started_at, finished_at) / 60) AS BIGINT) || ':' ||
+    lpad(CAST(date_diff('second', started_at, finished_at) % 60 AS VARCHAR), 2, '0') END AS elapsed_label
+FROM h""")
+def history_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date/time labels, minutes and m:ss of every order."""
+    from logmart.functions.labels import cz_date, cz_time, elapsed_label, seconds_between, session_minutes
+    h = D.headers(spark, sf_dir)
+    return h.select(
+        "id", cz_date("started_at").alias("date_label"), cz_time("started_at").alias("time_label"),
+        session_minutes("started_at", "finished_at", F.lit(AS_OF).cast("timestamp_ntz")).alias("minutes"),
+        F.when(F.col("finished_at").isNotNull(),
+               elapsed_label(seconds_between("started_at", "finished_at"))).alias("elapsed_label"))
+
+
+@register("last_value_labels", f"""SELECT name, CASE WHEN max_weight IS NULL THEN '' ELSE
+  CAST(max_weight AS VARCHAR) || ' kg' END AS weight_label,
+  CASE WHEN max_weight IS NULL THEN NULL ELSE 'Last time: ' || CAST(max_weight AS VARCHAR) || ' kg (' ||
+  strftime(last_date, '%-d. %-m. %Y') || ')' END AS last_label
+FROM ({_LATEST_SQL}) t""")
+def last_value_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weight label and last-value label of every L1 row."""
+    from logmart.functions.labels import last_value_label, weight_label
+    return _latest(spark, sf_dir).select(
+        "name", weight_label("max_weight").alias("weight_label"),
+        last_value_label("max_weight", "last_date").alias("last_label"))
+
+
+_NUM = r"'^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)'"
+
+
+def _php_int_sql(x: str) -> str:
+    p = f"regexp_extract({x}, {_NUM}, 1)"
+    return (f"coalesce(CASE WHEN regexp_matches({p}, '^[+-]?[0-9]{{1,18}}$') THEN TRY_CAST({p} AS BIGINT) END, "
+            f"TRY_CAST(trunc(TRY_CAST(nullif({p}, '') AS DOUBLE)) AS BIGINT), 0)")
+
+
+def _weight_sql(x: str) -> str:
+    p = f"regexp_extract({x}, {_NUM}, 1)"
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
+            f"ELSE TRY_CAST(CASE WHEN {p} = '' THEN '0' ELSE {p} END AS DECIMAL(6,2)) END")
+
+
+_PHP_TRIM_SQL = "trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11))"
+
+
+@register("coerce_requests", f"""WITH r AS (
+  SELECT event_id, json_extract_string(props, '$.k') AS k_text,
+         '  ' || CAST(user_id AS VARCHAR) || 'x' || chr(9) AS user_text,
+         CAST(CAST(value * 1000 AS DECIMAL(12,2)) AS VARCHAR) AS value_text, event_type
+  FROM events)
+SELECT event_id, {_php_int_sql('k_text')} AS k_int, {_weight_sql('k_text')} AS k_weight,
+  {_php_int_sql('user_text')} AS user_int, {_PHP_TRIM_SQL.format(x='user_text')} AS user_trim,
+  {_weight_sql('value_text')} AS value_weight,
+  value_text IS NOT NULL AND value_text <> '' AND {_weight_sql('value_text')} IS NULL AS value_rejected,
+  {_php_int_sql('event_type')} AS type_int,
+  CASE WHEN {_PHP_TRIM_SQL.format(x='event_type')} IN ('', '0') THEN NULL
+       ELSE {_PHP_TRIM_SQL.format(x='event_type')} END AS type_or_null
+FROM r""")
+def coerce_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PHP trim, ``?: null``, ``(int)`` and weight coercion over
+    request-like text derived from the events."""
+    from logmart.functions.coerce import empty_to_null, php_int, php_trim, weight_out_of_range, weight_value
+    e = D.table(spark, sf_dir, "events").select(
+        "event_id", F.get_json_object("props", "$.k").alias("k_text"),
+        F.concat(F.lit("  "), F.col("user_id").cast("string"), F.lit("x\t")).alias("user_text"),
+        (F.col("value") * 1000).cast("decimal(12,2)").cast("string").alias("value_text"), "event_type")
+    return e.select(
+        "event_id", php_int("k_text").alias("k_int"), weight_value("k_text").alias("k_weight"),
+        php_int("user_text").alias("user_int"), php_trim("user_text").alias("user_trim"),
+        weight_value("value_text").alias("value_weight"), weight_out_of_range("value_text").alias("value_rejected"),
+        php_int("event_type").alias("type_int"), empty_to_null("event_type").alias("type_or_null"))
+
+
+@register("pg_arrays", """SELECT p_partkey,
+  CASE WHEN t IS NULL OR t = '{}' THEN '' ELSE
+    array_to_string(list_transform(string_split(trim(t, '{}'), ','), lambda e: trim(e, '"')), '|') END AS text_items,
+  array_to_string(list_transform(string_split(trim(i, '{}'), ','), lambda e: CAST(e AS INTEGER)), '|') AS int_items,
+  CASE WHEN q IS NULL OR q = '{}' THEN '' ELSE
+    array_to_string(list_transform(string_split(trim(q, '{}'), ','), lambda e: trim(e, '"')), '|') END AS quoted_items
+FROM (SELECT p_partkey, '{' || replace(p_name, ' ', ',') || '}' AS t,
+             '{' || p_size || ',' || p_partkey || '}' AS i,
+             '{"' || p_brand || '",' || p_type || '}' AS q FROM part) x""")
+def pg_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PostgreSQL array text (built from part columns) parsed
+    back into arrays, rendered as text."""
+    from logmart.sources.io import pg_int_array, pg_text_array
+    p = D.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(F.lit("{"), F.regexp_replace("p_name", " ", ","), F.lit("}")).alias("t"),
+        F.concat(F.lit("{"), F.col("p_size").cast("string"), F.lit(","), F.col("p_partkey").cast("string"),
+                 F.lit("}")).alias("i"),
+        F.concat(F.lit('{"'), F.col("p_brand"), F.lit('",'), F.col("p_type"), F.lit("}")).alias("q"))
+    return p.select("p_partkey", F.array_join(pg_text_array("t"), "|").alias("text_items"),
+                    F.array_join(pg_int_array("i"), "|").alias("int_items"),
+                    F.array_join(pg_text_array("q"), "|").alias("quoted_items"))
+
+
+# ------------------------------------------------------------- I1
+def _driver_rules():
+    from logmart.operators.audit import fk, max_length, not_null, numeric, unique
+    return [
+        unique("orders", "o_orderkey"), not_null("orders", "o_custkey"),
+        fk("orders", "o_custkey", "customer", "c_custkey"),
+        unique("lineitem", "l_orderkey", "l_linenumber"),
+        fk("lineitem", "l_orderkey", "orders", "o_orderkey"), fk("lineitem", "l_partkey", "part", "p_partkey"),
+        fk("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+        numeric("lineitem", "l_quantity", 6, 2), numeric("lineitem", "l_extendedprice", 6, 2),
+        not_null("lineitem", "l_shipdate"),
+        max_length("customer", "c_name", 100), fk("customer", "c_nationkey", "nation", "n_nationkey"),
+        max_length("part", "p_name", 10), unique("part", "p_partkey"),
+        fk("supplier", "s_nationkey", "nation", "n_nationkey"), fk("nation", "n_regionkey", "region", "r_regionkey"),
+    ]
+
+
+def _rule_sql(r) -> str:
+    head = f"SELECT '{r.table}' AS tbl, '{r.kind}' AS rule, '{r.label}' AS cols, CAST(count(*) AS BIGINT) AS violations"
+    c = r.cols[0]
+    if r.kind == "not_null":
+        return f"{head} FROM {r.table} WHERE {c} IS NULL"
+    if r.kind == "max_length":
+        return f"{head} FROM {r.table} WHERE {c} IS NOT NULL AND length({c}) > {r.arg}"
+    if r.kind == "numeric":
+        p, s = r.arg
+        return f"{head} FROM {r.table} WHERE {c} IS NOT NULL AND abs(round({c}, {s})) >= {10 ** (p - s)}"
+    if r.kind == "unique":
+        return f"{head} FROM (SELECT {r.label} FROM {r.table} GROUP BY {r.label} HAVING count(*) > 1) d"
+    parent, pcols = r.arg
+    cond = " AND ".join(f"p.{pc} = t.{cc}" for pc, cc in zip(pcols, r.cols))
+    return (f"{head} FROM {r.table} t WHERE {' AND '.join(f't.{cc} IS NOT NULL' for cc in r.cols)} "
+            f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {cond})")
+
+
+@register("integrity_audit", "\nUNION ALL\n".join(_rule_sql(r) for r in _driver_rules()))
+def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared-constraint audit of the driver tables (keys, foreign
+    keys, lengths, numeric ranges)."""
+    from logmart.operators.audit import audit
+    names = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
+    return audit({n: D.table(spark, sf_dir, n) for n in names}, _driver_rules())
