@@ -551,3 +551,38 @@ def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logmart.operators.audit import audit
     names = ["orders", "lineitem", "customer", "part", "supplier", "nation", "region"]
     return audit({n: D.table(spark, sf_dir, n) for n in names}, _driver_rules())
+
+
+# ------------------------------------------------------------- K1
+LOCK_WINDOW, LOCK_MAX = 86400, 3  # sparse events: 24 h window, 3 failures
+
+_LOCKOUT_SQL = f"""WITH RECURSIVE a AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id AS attempt_id, ts,
+         CASE WHEN event_type = 'error' THEN 'fail' ELSE 'success' END AS kind,
+         CAST(floor(epoch(ts)) AS BIGINT) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('error', 'signup')
+),
+r AS (
+  SELECT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS attempt_id, CAST(NULL AS TIMESTAMP) AS ts,
+         CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS state
+  FROM (SELECT DISTINCT key FROM a) k
+  UNION ALL
+  SELECT a.key, a.rn, a.attempt_id, a.ts, a.kind,
+    CASE WHEN len(list_filter(r.state, lambda x: x > a.t - {LOCK_WINDOW})) >= {LOCK_MAX} THEN 'blocked'
+         WHEN a.kind = 'success' THEN 'ok' ELSE 'invalid' END,
+    CASE WHEN len(list_filter(r.state, lambda x: x > a.t - {LOCK_WINDOW})) >= {LOCK_MAX}
+           THEN list_filter(r.state, lambda x: x > a.t - {LOCK_WINDOW})
+         WHEN a.kind = 'success' THEN CAST([] AS BIGINT[])
+         ELSE list_append(list_filter(r.state, lambda x: x > a.t - {LOCK_WINDOW}), a.t) END
+  FROM r JOIN a ON a.key = r.key AND a.rn = r.rn + 1
+)
+SELECT key, attempt_id, ts, kind, outcome FROM r WHERE rn > 0"""
+
+
+@register("lockout", _LOCKOUT_SQL)
+def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 (batch): lockout outcome of every login-like event (error =
+    failure, signup = success) per user."""
+    from logmart.operators.lockout import lockout as op
+    return op(D.attempts(spark, sf_dir), max_attempts=LOCK_MAX, window=LOCK_WINDOW)
