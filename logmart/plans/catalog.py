@@ -586,3 +586,46 @@ def lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     failure, signup = success) per user."""
     from logmart.operators.lockout import lockout as op
     return op(D.attempts(spark, sf_dir), max_attempts=LOCK_MAX, window=LOCK_WINDOW)
+
+
+# ------------------------------------------------------------- C1 .. C8
+def _applied(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from logmart.operators.changes import apply_changes, empty_tables
+    from logmart.plans.driver_log import change_log
+    gyms = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    parts = D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
+    return apply_changes(empty_tables(spark, gyms, parts), change_log(spark, sf_dir))
+
+
+def _final_sql(select: str) -> str:
+    from logmart.plans.driver_log import FINAL_SQL
+    return FINAL_SQL + "\n" + select
+
+
+@register("apply_changes_outcomes", _final_sql("SELECT CAST(seq AS BIGINT) AS seq, op, outcome FROM outcomes"))
+def apply_changes_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 + C8: verdict of every request of the replayed log."""
+    return _applied(spark, sf_dir)["outcomes"].select("seq", "op", "outcome")
+
+
+@register("apply_changes_headers", _final_sql(
+    "SELECT CAST(id AS BIGINT) AS id, CAST(gym_id AS BIGINT) AS gym_id, started_at, finished_at FROM headers"))
+def apply_changes_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 + C7 + C6 inside C8: headers after the log."""
+    return _applied(spark, sf_dir)["workouts"].select("id", "gym_id", "started_at", "finished_at")
+
+
+@register("apply_changes_children", _final_sql(
+    "SELECT CAST(id AS BIGINT) AS id, CAST(workout_id AS BIGINT) AS workout_id, name, machine, max_weight, "
+    "sort_order FROM children"))
+def apply_changes_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 + C5 + C6 inside C8: children after the log."""
+    return _applied(spark, sf_dir)["exercises"].select("id", "workout_id", "name", "machine", "max_weight",
+                                                      "sort_order")
+
+
+@register("apply_changes_bridge", _final_sql(
+    "SELECT CAST(exercise_id AS BIGINT) AS exercise_id, body_part_id FROM bridge"))
+def apply_changes_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 + C5 + C6 inside C8: member rows after the log."""
+    return _applied(spark, sf_dir)["exercise_body_parts"].select("exercise_id", "body_part_id")

@@ -32,7 +32,7 @@ PROJECTS = T.StructType([
 ])
 
 GYMS = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
+    T.StructField("id", T.LongType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("sort_order", T.IntegerType(), True),
     T.StructField("created_at", T.TimestampNTZType(), True),
@@ -45,8 +45,8 @@ BODY_PARTS = T.StructType([
 ])
 
 WORKOUTS = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
-    T.StructField("gym_id", T.IntegerType(), False),
+    T.StructField("id", T.LongType(), False),
+    T.StructField("gym_id", T.LongType(), False),
     T.StructField("started_at", T.TimestampNTZType(), False),
     T.StructField("finished_at", T.TimestampNTZType(), True),
     T.StructField("notes", T.StringType(), True),
@@ -54,8 +54,8 @@ WORKOUTS = T.StructType([
 ])
 
 EXERCISES = T.StructType([
-    T.StructField("id", T.IntegerType(), False),
-    T.StructField("workout_id", T.IntegerType(), False),
+    T.StructField("id", T.LongType(), False),
+    T.StructField("workout_id", T.LongType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("machine", T.StringType(), True),
     T.StructField("max_weight", WEIGHT_TYPE, True),
@@ -64,7 +64,7 @@ EXERCISES = T.StructType([
 ])
 
 EXERCISE_BODY_PARTS = T.StructType([
-    T.StructField("exercise_id", T.IntegerType(), False),
+    T.StructField("exercise_id", T.LongType(), False),
     T.StructField("body_part_id", T.IntegerType(), False),
 ])
 
@@ -73,8 +73,8 @@ CHANGES = T.StructType([
     T.StructField("seq", T.LongType(), False),
     T.StructField("ts", T.TimestampNTZType(), False),
     T.StructField("op", T.StringType(), False),
-    T.StructField("header_id", T.IntegerType(), True),
-    T.StructField("child_id", T.IntegerType(), True),
+    T.StructField("header_id", T.LongType(), True),
+    T.StructField("child_id", T.LongType(), True),
     T.StructField("payload", T.StringType(), True),
 ])
 
