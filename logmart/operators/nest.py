@@ -71,12 +71,19 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
                         bridge_child=bridge_child, **member_cols)
     w = Window.partitionBy(child_fk).orderBy(asc_pg(child_sort), *[F.col(c).asc() for c in ids])
     kids = kids.withColumn("position", F.row_number().over(w).cast("long"))
-    kids = kids.select(F.col(child_fk).alias("_hk"), *dict.fromkeys([*ids, child_sort, *child_cols]),
-                       "body_parts", "position")
     h = _doc_headers(headers, dims, header_id, header_fk, dim_id, dim_name, list(header_cols))
+    names = child_names(h.columns, [*ids, child_sort, *child_cols])
+    kids = kids.select(F.col(child_fk).alias("_hk"), *[F.col(c).alias(a) for c, a in names.items()],
+                       "body_parts", "position")
     return h.join(kids, F.col(header_id) == F.col("_hk"), "left").drop("_hk")
 
 
+def child_names(header_cols: list[str], child_cols: list[str]) -> dict[str, str]:
+    """Child column -> name in document rows (``child_<c>`` on a clash
+    with a header column, e.g. both tables' ``id``)."""
+    return {c: (f"child_{c}" if c in header_cols else c) for c in dict.fromkeys(child_cols)}
+
+
 def header_documents(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: DataFrame,
                      member_dim: DataFrame, *, header_id: str = "id", child_id: Keys = "id",
                      child_fk: str = "workout_id", child_sort: str = "sort_order",
@@ -92,8 +99,10 @@ def header_documents(headers: DataFrame, dims: DataFrame, children: DataFrame, b
                                 child_id=ids, child_fk=child_fk, child_sort=child_sort,
                                 child_cols=child_cols, header_cols=header_cols, **kw)
     hcols = [header_id, *[c for c in header_cols if c != header_id], "gym_name"]
-    fields = [*dict.fromkeys([*ids, *child_cols]), "body_parts"]
-    item = F.struct(F.col("position").alias("_pos"), *[F.col(c) for c in fields])
+    names = child_names(hcols, [*ids, *child_cols])
+    item = F.struct(F.col("position").alias("_pos"), *[F.col(a).alias(c) for c, a in names.items()],
+                    F.col("body_parts"))
+    fields = [*names, "body_parts"]
     docs = rows.groupBy(*hcols).agg(
         F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), item))).alias("_ex"))
     ex = F.transform("_ex", lambda x: F.struct(*[x[c].alias(c) for c in fields]))
