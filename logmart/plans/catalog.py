@@ -629,3 +629,54 @@ def apply_changes_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_changes_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 + C5 + C6 inside C8: member rows after the log."""
     return _applied(spark, sf_dir)["exercise_body_parts"].select("exercise_id", "body_part_id")
+
+
+# ------------------------------------------------------------- K1 / K2 streams
+@register("lockout_stream", _LOCKOUT_SQL)
+def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 (stream): the events file as a stream through the stateful
+    lockout (applyInPandasWithState); same outcomes as the batch fold."""
+    from logmart.streaming.changes_stream import run_available_now
+    from logmart.streaming.lockout_stream import lockout_stream as op
+    schema = D.table(spark, sf_dir, "events").schema
+    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    att = ev.where(F.col("event_type").isin("error", "signup")).select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("attempt_id"), "ts",
+        F.when(F.col("event_type") == "error", "fail").otherwise("success").alias("kind"))
+    return run_available_now(op(att, max_attempts=LOCK_MAX, window=LOCK_WINDOW), "lockout_stream")
+
+
+def _streamed_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    import uuid
+
+    from logmart import schemas as S
+    from logmart.operators.changes import empty_tables
+    from logmart.plans.driver_log import PHASE, change_log
+    from logmart.session import scratch_path
+    from logmart.streaming.changes_stream import read_latest, stream_changes
+    run = scratch_path(spark, f"stream_changes-{uuid.uuid4().hex[:12]}")
+    gyms = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    parts = D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
+    base = empty_tables(spark, gyms, parts)
+    log = change_log(spark, sf_dir)
+    src = f"{run}/log"
+    for lo, hi in ((0, 2 * PHASE), (2 * PHASE, 5 * PHASE), (5 * PHASE, 7 * PHASE)):
+        # each arrival is one micro-batch of the continuous job
+        log.where((F.col("seq") >= lo) & (F.col("seq") < hi)).write.mode("append").json(src)
+        stream = spark.readStream.schema(S.CHANGES).json(src)
+        q = stream_changes(stream, base, f"{run}/tables", f"{run}/ckpt", available_now=True)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return {"tables": read_latest(spark, f"{run}/tables", base),
+            "outcomes": spark.read.parquet(f"{run}/tables/outcomes")}
+
+
+@register("stream_changes_children", _final_sql(
+    "SELECT CAST(id AS BIGINT) AS id, CAST(workout_id AS BIGINT) AS workout_id, name, machine, max_weight, "
+    "sort_order FROM children"))
+def stream_changes_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the replayed log arriving in three micro-batches through
+    foreachBatch snapshots ends in the same children as the batch C8."""
+    t = _streamed_changes(spark, sf_dir)["tables"]
+    return t.exercises.select("id", "workout_id", "name", "machine", "max_weight", "sort_order")
