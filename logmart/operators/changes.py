@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from logmart import schemas as S
 from logmart.functions.coerce import empty_to_null, is_blank, php_int, php_trim, weight_out_of_range, weight_value
+from logmart.operators.common import fits
 from logmart.session import ensure_checkpoint_dir
 from logmart.sources.io import parse_payload
 
@@ -91,7 +92,6 @@ def validated(changes: DataFrame, gyms: DataFrame, members: DataFrame, *, gym_id
     pl = lambda f: F.col(f"_p.{f}")
     is_create = F.col("op") == CREATE_HEADER
     is_add = F.col("op") == ADD_CHILD
-    is_upd = F.col("op") == UPDATE_CHILD
     members_arr = F.transform(F.coalesce(pl("body_part_ids"), F.array().cast("array<string>")),
                               lambda e: php_int(e).cast("int"))
     v = p.select(
@@ -101,27 +101,23 @@ def validated(changes: DataFrame, gyms: DataFrame, members: DataFrame, *, gym_id
          .when(F.col("op").isin(FINISH_HEADER, DELETE_HEADER), php_int(pl("id"))).alias("h"),
         F.when(is_add, F.col("child_id").cast("long"))
          .when(F.col("op").isin(*CHILD_OPS), php_int(pl("id"))).alias("cid"),
-        php_int(pl("gym_id")).alias("gym_id"),
+        F.when(is_create, php_int(pl("gym_id"))).alias("gym_id"),
         php_trim(F.coalesce(pl("name"), F.lit(""))).alias("name"),
         empty_to_null(pl("machine")).alias("machine"),
+        pl("max_weight").alias("_wraw"),
         weight_value(pl("max_weight")).alias("max_weight"),
-        weight_out_of_range(pl("max_weight")).alias("_wbad"),
-        is_blank(pl("name")).alias("_noname"),
         members_arr.alias("members"),
-    )
-    # unknown gym (FK) is stateless: the dimension does not change in the log
-    g = gyms.select(F.col(gym_id).cast("long").alias("_g")).distinct()
-    v = v.join(g, (F.col("op") == CREATE_HEADER) & (F.col("gym_id") == F.col("_g")), "left")
-    # first failing member, in request order: unknown id or repeated id
-    ex = v.where(F.col("op").isin(ADD_CHILD, UPDATE_CHILD)).select(
-        "seq", F.posexplode("members").alias("_pos", "_m"))
-    m = members.select(F.col(member_id).cast("int").alias("_m"), F.lit(True).alias("_known")).distinct()
-    w = Window.partitionBy("seq", "_m").orderBy("_pos")
-    ex = ex.join(m, "_m", "left").withColumn("_first", F.row_number().over(w) == 1)
-    bad = ex.where(F.col("_known").isNull() | ~F.col("_first")).groupBy("seq").agg(
-        F.min_by(F.when(F.col("_known").isNull(), F.lit("unknown_member")).otherwise(F.lit("duplicate_member")),
-                 F.col("_pos")).alias("member_reason"))
-    v = v.join(bad, "seq", "left")
+    ).withColumn("_wbad", F.col("_wraw").isNotNull() & (F.col("_wraw") != "") & F.col("max_weight").isNull()
+    ).withColumn("_noname", F.col("name").isin("", "0")).drop("_wraw")
+    # unknown gym (FK) is stateless: the dimension does not change in the log.
+    # Non-create rows join on (false, seq): they never match and spread
+    # evenly instead of piling up on one NULL/0 key in a shuffle.
+    g = gyms.select(F.lit(True).alias("_gc"), F.col(gym_id).cast("long").alias("_gk"),
+                    F.lit(True).alias("_g")).distinct()
+    v = v.withColumn("_gc", F.coalesce(is_create, F.lit(False))).withColumn(
+        "_gk", F.when(is_create, F.col("gym_id")).otherwise(F.col("seq")))
+    v = v.join(g, ["_gc", "_gk"], "left").drop("_gc", "_gk")
+    v = _member_reasons(v, members, member_id)
     needs = F.col("op").isin(ADD_CHILD, UPDATE_CHILD)
     missing = (F.when(is_add, F.col("h") == 0).otherwise(F.col("cid") == 0)
                | (F.size("members") == 0) | F.col("_noname"))
@@ -135,6 +131,33 @@ def validated(changes: DataFrame, gyms: DataFrame, members: DataFrame, *, gym_id
     return v.withColumn("_reason", reason).drop("_g", "_wbad", "_noname")
 
 
+# Member dimensions up to this many rows are checked inline against one
+# array (scalar subquery, computed once); larger ones through a join.
+INLINE_MEMBER_LIMIT = 1000
+
+
+def _member_reasons(v: DataFrame, members: DataFrame, member_id: str) -> DataFrame:
+    """``member_reason`` of each add/update: the first member, in request
+    order, that is unknown or repeats an earlier one (the first failing
+    insert of the source's loop)."""
+    ids = members.select(F.col(member_id).cast("int").alias("_m")).distinct()
+    needs = F.col("op").isin(ADD_CHILD, UPDATE_CHILD)
+    if fits(ids, INLINE_MEMBER_LIMIT):
+        # one-row scalar subquery, evaluated once; lambdas cannot hold it
+        v = v.withColumn("_known", ids.agg(F.collect_set("_m")).scalar())
+        per_pos = F.transform("members", lambda m, i: F.when(~F.array_contains("_known", m), F.lit("unknown_member"))
+                              .when(F.array_position("members", m) < i + 1, F.lit("duplicate_member")))
+        first = F.get(F.filter(per_pos, lambda x: x.isNotNull()), 0)
+        return v.withColumn("member_reason", F.when(needs, first)).drop("_known")
+    ex = v.where(needs).select("seq", "members", F.posexplode("members").alias("_pos", "_m"))
+    ex = ex.join(ids.withColumn("_known", F.lit(True)), "_m", "left")
+    bad = ex.where(F.col("_known").isNull() | (F.array_position("members", F.col("_m")) < F.col("_pos") + 1))
+    bad = bad.groupBy("seq").agg(F.min_by(
+        F.when(F.col("_known").isNull(), F.lit("unknown_member")).otherwise(F.lit("duplicate_member")),
+        F.col("_pos")).alias("member_reason"))
+    return v.join(bad, "seq", "left")
+
+
 # ------------------------------------------------------------------ C2..C7, C9..C11
 def append_headers(headers: DataFrame, creates: DataFrame) -> DataFrame:
     """New headers from valid creates; ``started_at`` is the change's
