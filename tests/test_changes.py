@@ -170,3 +170,33 @@ def test_set_based_pieces(spark, seed):
     h, c, b = C.cascade_delete(seed["workouts"], seed["exercises"], seed["exercise_body_parts"],
                                header_ids=spark.createDataFrame([(3,), (77,)], "id long"))
     assert (h.count(), c.count(), b.count()) == (4, 19, 21)
+
+
+def test_append_only_pieces(spark, seed):
+    adds = spark.createDataFrame(
+        [(10, T0, 2, 900, "Row A", None, Decimal("5.00"), [1]), (11, T0, 2, 901, "Row B", "M", None, [2, 3]),
+         (12, T0, 99, 902, "Row C", None, None, [4])],
+        "seq long, ts timestamp_ntz, h long, cid long, name string, machine string, max_weight decimal(6,2), "
+        "members array<int>")
+    kids = C.append_children(seed["exercises"], adds)
+    got = {r.id: r.sort_order for r in kids.where("id >= 900").collect()}
+    assert got == {900: 5, 901: 6, 902: 1}        # after max 4 of workout 2; a new header starts at 1
+    br = C.append_bridge(seed["exercise_body_parts"], adds)
+    assert br.count() == 26 + 4
+    fin = C.finish_headers(seed["workouts"], spark.createDataFrame(
+        [(1, T0, 1), (2, T0 + dt.timedelta(hours=1), 1), (3, T0, 77)], "seq long, ts timestamp_ntz, h long"))
+    assert {r.id: r.finished_at for r in fin.collect()}[1] == T0 + dt.timedelta(hours=1)
+    ex, b = C.upsert_children(seed["exercises"], seed["exercise_body_parts"], adds.withColumn("cid", F.lit(1)))
+    r1 = ex.where("id = 1").first()
+    assert (r1.name, r1.sort_order) == ("Row C", 1)       # last update wins, ordinal kept
+    assert sorted(x.body_part_id for x in b.where("exercise_id = 1").collect()) == [4]
+    hdr = C.append_headers(seed["workouts"], adds.withColumn("gym_id", F.lit(1)).where("seq = 12"))
+    assert hdr.where("id = 99").first().finished_at is None
+
+
+def test_resolve_keys(spark, seed):
+    from logmart.operators.listing import resolve_keys
+    names = spark.createDataFrame([("legs",), ("chest",), ("neck",)], "part string")
+    ok, missing = resolve_keys(names, seed["body_parts"], name_col="part")
+    assert {r.part: r.resolved_id for r in ok.collect()} == {"legs": 1, "chest": 7}
+    assert [r.part for r in missing.collect()] == ["neck"]

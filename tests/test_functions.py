@@ -167,3 +167,20 @@ def test_visible_listing_null_rules(spark):
     df = spark.createDataFrame(rows, "id int, sort_order int, visible boolean, created_at timestamp_ntz")
     got = [r.id for r in listing.visible_listing(df).orderBy("rank").collect()]
     assert got == [4, 6, 1, 2]   # NULL created first in DESC, NULL sort last in ASC, NULL visible dropped
+
+
+def test_page(spark):
+    df = spark.range(100).withColumn("g", F.col("id") % 7)
+    rows = listing.page(df, [F.col("g").desc(), F.col("id").asc()], limit=3, offset=2).collect()
+    assert [(r.rank, r.id) for r in rows] == [(3, 20), (4, 27), (5, 34)]
+    with pytest.raises(ValueError):
+        listing.page(df, [F.col("id")], limit=-1)
+
+
+def test_read_tables(spark, seed):
+    d = tempfile.mkdtemp(prefix="logmart-tables-")
+    seed["gyms"].write.parquet(f"{d}/gyms.parquet")
+    from logmart import schemas as S
+    t = io.read_tables(spark, d, {"gyms": S.GYMS})
+    got = [(f.name, f.dataType) for f in t["gyms"].schema]
+    assert t["gyms"].count() == 5 and got == [(f.name, f.dataType) for f in S.GYMS]
