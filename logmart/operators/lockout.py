@@ -17,9 +17,11 @@ keeps it exact and skew-safe:
 * A key's timeline is cut into **segments** where the state is provably
   empty: before the first attempt, after a gap of at least ``window``
   seconds (every recorded failure has expired) and after a ``reset``.
-  Segments are independent, so they are spread over tasks by
-  ``(key, segment)``: a key holding a third of all attempts is split
-  wherever it pauses.
+  The cut points are found per (key, time bucket of ``window`` seconds)
+  plus one summary row per bucket (``segments``), so no step sorts a key's
+  whole history in one task. Segments are independent and spread over
+  tasks by ``(key, segment)``: a key holding a third of all attempts is
+  split wherever it pauses.
 * A segment with fewer than ``max_attempts`` failures can never block;
   its outcomes come from column expressions in the JVM.
 * Only the remaining segments go through ``mapInPandas``: rows arrive
@@ -91,18 +93,54 @@ def _fold_partitions(max_attempts: int, window: int):
     return run
 
 
+def segments(a: DataFrame, window: int) -> DataFrame:
+    """Add ``_seg`` (the (t, id) of the segment's first attempt, packed as a
+    struct) to attempts ``_k, _rid, _ts, _t, _kind``.
+
+    A row starts a segment when its key's previous attempt is absent, at
+    least ``window`` seconds older, or a ``reset``. Time is cut into buckets
+    ``window`` seconds wide: a bucket's first row can only have its
+    predecessor in the previous bucket (anything older is a gap of at least
+    ``window``). So row-level work runs per (key, bucket), bounded by a key's
+    attempts per ``window`` seconds, never by all of a key's history; only
+    one summary row per (key, bucket) is scanned per key to carry the open
+    segment across buckets.
+    """
+    a = a.withColumn("_b", F.floor(F.col("_t") / window).cast("long"))
+    order = F.struct("_ts", "_rid")
+    wb = Window.partitionBy("_k", "_b").orderBy("_ts", "_rid")
+    prev_t, prev_kind = F.lag("_t").over(wb), F.lag("_kind").over(wb)
+    # last attempt of each (key, bucket), to be seen by the next bucket
+    last = a.groupBy("_k", "_b").agg(F.max_by(F.struct("_t", "_kind"), order).alias("_last"))
+    nxt = last.select("_k", (F.col("_b") + 1).alias("_b"), F.col("_last._t").alias("_pt"),
+                      F.col("_last._kind").alias("_pk"))
+    a = a.join(nxt, ["_k", "_b"], "left")
+    pt = F.coalesce(prev_t, F.col("_pt"))
+    pk = F.when(prev_t.isNotNull(), prev_kind).otherwise(F.col("_pk"))
+    a = a.withColumn("_brk", pt.isNull() | ((F.col("_t") - pt) >= window) | (pk == "reset"))
+    # within the bucket: the last break at or before the row
+    a = a.withColumn("_sb", F.last(F.when(F.col("_brk"), order), ignorenulls=True).over(
+        wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # across buckets: segment still open at the end of each bucket
+    summ = a.groupBy("_k", "_b").agg(F.max_by(F.when(F.col("_brk"), order), F.when(F.col("_brk"), order))
+                                     .alias("_lastbrk"))
+    wk = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    summ = summ.withColumn("_open", F.last("_lastbrk", ignorenulls=True).over(wk))
+    carry = summ.select("_k", (F.col("_b") + 1).alias("_b"), F.col("_open").alias("_carry"))
+    a = a.join(carry, ["_k", "_b"], "left")
+    return a.withColumn("_seg", F.coalesce("_sb", "_carry")).drop("_b", "_pt", "_pk", "_brk", "_sb", "_carry")
+
+
 def lockout(attempts: DataFrame, *, key: str = "key", ts: str = "ts", attempt_id: str = "attempt_id",
             kind: str = "kind", max_attempts: int = LOCKOUT_MAX_ATTEMPTS,
             window: int = LOCKOUT_WINDOW_SECONDS, partitions: int | None = None) -> DataFrame:
     """Every attempt with its ``outcome`` (ok / invalid / blocked / reset)."""
     a = attempts.select(F.col(key).alias("_k"), F.col(attempt_id).alias("_rid"), F.col(ts).alias("_ts"),
                         F.col(kind).alias("_kind"))
-    a = a.withColumn("_t", epoch_seconds("_ts"))
-    w = Window.partitionBy("_k").orderBy("_ts", "_rid")
-    prev_t = F.lag("_t").over(w)
-    brk = (prev_t.isNull() | ((F.col("_t") - prev_t) >= window) | (F.lag("_kind").over(w) == "reset"))
-    a = a.withColumn("_seg", F.sum(brk.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    a = a.withColumn("_segfails", F.sum((F.col("_kind") == FAIL).cast("int")).over(Window.partitionBy("_k", "_seg")))
+    a = segments(a.withColumn("_t", epoch_seconds("_ts")), window)
+    # failures per segment: a partially aggregated count, joined back
+    fails = a.groupBy("_k", "_seg").agg(F.sum((F.col("_kind") == FAIL).cast("int")).alias("_segfails"))
+    a = a.join(fails, ["_k", "_seg"])
     simple = a.where(F.col("_segfails") < max_attempts).withColumn(
         "outcome", F.when(F.col("_kind") == "reset", RESET).when(F.col("_kind") == SUCCESS, OK).otherwise(INVALID))
     hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind")
