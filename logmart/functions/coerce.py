@@ -79,7 +79,7 @@ def weight_out_of_range(c: Column | str) -> Column:
 def ilike_contains(name: Column | str, term: Column | str) -> Column:
     """``name ILIKE '%' || term || '%'`` with the term's wildcards
     active (see ``latest.search_latest`` for the escape handling)."""
-    t = F.regexp_replace(_c(term), r"\\([^%_\\])", "$1")
+    t = F.regexp_replace(_c(term), r"\\([^%_\\])|(\\[%_\\])", "$1$2")
     return F.ilike(_c(name), F.concat(F.lit("%"), t, F.lit("%")))
 
 

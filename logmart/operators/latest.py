@@ -10,10 +10,12 @@ Scale notes
   third of the rows costs no more shuffle than any other key. A NULL
   payload is kept (the struct wrapping it is not NULL).
 * L2 matches terms against the L1 result (one row per key), never raw
-  children. The term table is broadcast only after a bounded count shows
-  it fits; larger term tables go through an exact bigram equi-join
-  (every substring match of a term of length >= 2 contains the term's
-  first bigram), so no product of the two sides is formed.
+  children, through an exact n-gram equi-join: every name matching a
+  term contains each literal bigram of the term, so the term is joined
+  on its rarest bigram (or character) to the names holding it and then
+  checked with the real predicate. No product of the two sides is formed;
+  only terms made of wildcards alone are checked as broadcast predicates
+  after a bounded count.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from logmart.functions.coerce import php_trim
 from logmart.operators.common import desc_pg, fits, keys
 from logmart.schemas import SEARCH_LIMIT, SEARCH_MIN_LEN
 
-# Terms per search batch that may be broadcast for the nested-loop match.
+# Wildcard-only terms per search batch that may be broadcast as predicates.
 TERM_BROADCAST_LIMIT = 100_000
 
 
@@ -64,11 +66,19 @@ def clean_terms(terms: DataFrame, term: str = "term", min_len: int = SEARCH_MIN_
     return t.where((F.col("_q") != "") & (F.char_length("_q") >= F.lit(min_len)))
 
 
+def pg_escapes(q: Column) -> Column:
+    """PostgreSQL reads ``\\x`` as a literal x for any x; Spark accepts an
+    escape only before %, _ or itself. Escape pairs are consumed left to
+    right: ``\\`` + ordinary char loses its backslash, escaped %, _ and
+    backslash stay as they are."""
+    return F.regexp_replace(q, r"\\([^%_\\])|(\\[%_\\])", "$1$2")
+
+
 def _pattern(q: Column, mode: str) -> Column:
     if mode == "pattern":
         # PostgreSQL treats '\x' as a literal x; Spark only accepts an escape
         # before %, _ or itself, so drop the backslash before other chars.
-        return F.concat(F.lit("%"), F.regexp_replace(q, r"\\([^%_\\])", "$1"), F.lit("%"))
+        return F.concat(F.lit("%"), pg_escapes(q), F.lit("%"))
     return q
 
 
@@ -80,24 +90,50 @@ def _matches(name: Column, q: Column, mode: str) -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def _bigram_candidates(latest: DataFrame, terms: DataFrame, name: str, mode: str) -> DataFrame:
-    """Exact candidate pairs through a shared bigram: every name that
-    contains a term contains the term's first literal bigram."""
-    nb = latest.select(name, F.explode(F.sequence(F.lit(1), F.greatest(F.char_length(name) - 1, F.lit(1))))
-                       .alias("_i")).select(name, F.substring(F.lower(F.col(name)), F.col("_i"), 2).alias("_bg"))
-    nb = nb.distinct()
-    lq = F.lower(F.col("_q"))
-    if mode == "pattern":
-        bg = F.regexp_extract(F.regexp_replace(lq, r"\\(.)", "$1"), r"([^%_\\]{2})", 1)
-    else:
-        bg = F.substring(lq, 1, 2)
-    tb = terms.withColumn("_bg", bg)
-    indexed = tb.where(F.char_length("_bg") == 2)
-    loose = tb.where(F.char_length("_bg") < 2).drop("_bg")  # wildcard-only patterns
+def _grams(runs: Column, n: int) -> Column:
+    """All n-grams of every string in ``runs``."""
+    return F.flatten(F.transform(runs, lambda r: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(r) - (n - 1), F.lit(1))),
+                 lambda i: i <= F.char_length(r) - (n - 1)),
+        lambda i: F.substring(r, i, n))))
+
+
+def _literal_runs(q: Column, mode: str) -> Column:
+    """Pieces of the lower-cased term that every match must contain
+    literally. In pattern mode wildcards, escaped wildcards and stray
+    backslashes split the term (conservative: fewer grams, never wrong)."""
+    x = F.lower(q)
+    if mode == "literal":
+        return F.array(x)
+    x = F.regexp_replace(x, r"\\[%_\\]", "\u0000")
+    x = F.regexp_replace(x, r"\\([^%_\\])", "$1")
+    return F.split(x, "[%_\\\\\u0000]")
+
+
+def _indexed_candidates(latest: DataFrame, terms: DataFrame, name: str, mode: str) -> DataFrame:
+    """Exact term/name matches through an n-gram index instead of a
+    nested loop: each term is joined on its rarest literal bigram (or
+    character when it has no bigram) to the names holding that gram, then
+    the real predicate is applied. Terms without any literal character
+    (only wildcards and escapes) are few and are matched as predicates
+    with the term list broadcast after a bounded count."""
+    low = F.lower(F.col(name))
+    names = latest.select(name).distinct()
+    ngrams = names.select(name, F.explode(F.array_distinct(F.concat(
+        _grams(F.array(low), 2), _grams(F.array(low), 1)))).alias("_g"))
+    freq = ngrams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    runs = _literal_runs(F.col("_q"), mode)
+    bi, uni = _grams(runs, 2), _grams(runs, 1)
+    t = terms.withColumn("_cand", F.when(F.size(bi) > 0, bi).otherwise(uni))
+    indexed = t.where(F.size("_cand") > 0)
+    loose = t.where(F.size("_cand") == 0).drop("_cand")
+    tg = indexed.select("term", "_q", F.explode(F.array_distinct("_cand")).alias("_g"))
+    chosen = tg.join(freq, "_g", "left").groupBy("term", "_q").agg(
+        F.min_by("_g", F.coalesce(F.col("_n"), F.lit(0))).alias("_g"))
+    hits = (chosen.join(ngrams, "_g").drop("_g").join(latest, name)
+            .where(_matches(F.col(name), F.col("_q"), mode)))
     if not fits(loose, TERM_BROADCAST_LIMIT):
-        raise ValueError("too many terms without a literal bigram")
-    hits = indexed.join(nb, "_bg").drop("_bg")
-    hits = hits.join(latest, name).where(_matches(F.col(name), F.col("_q"), mode))
+        raise ValueError("too many search terms without any literal character")
     rest = latest.join(F.broadcast(loose), _matches(F.col(name), F.col("_q"), mode))
     return hits.unionByName(rest)
 
@@ -112,12 +148,11 @@ def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", na
     source application does; ``mode='literal'`` matches the text as is.
     ``min_len`` applies the client's rule (terms under 2 characters are
     not searched); pass 1 to search every non-blank term like the server.
+    Matching goes through an n-gram equi-join (``_indexed_candidates``), so
+    neither side is ever paired with all of the other.
     """
     t = clean_terms(terms, term, min_len)
-    if fits(t, TERM_BROADCAST_LIMIT):
-        pairs = latest.join(F.broadcast(t), _matches(F.col(name), F.col("_q"), mode))
-    else:
-        pairs = _bigram_candidates(latest, t, name, mode)
+    pairs = _indexed_candidates(latest, t, name, mode)
     w = Window.partitionBy("term").orderBy(F.col(name).asc())
     ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long"))
     if k is not None:

@@ -121,17 +121,39 @@ def test_search_wildcards_and_escapes(spark):
     assert sorted(h.name for h in literal if h.term == "%") == ["a%b"]
 
 
-def test_search_bigram_path_matches_broadcast(spark, monkeypatch):
-    names = ["Bench press", "Leg press", "Squat", "Overhead press", "Pull-ups", "a_b", "ab"]
+def _like(name: str, term: str) -> bool:
+    """Brute-force PostgreSQL ``name ILIKE '%' || term || '%'``: backslash
+    escapes the next character, % and _ are wildcards."""
+    import re
+    pat, out, i = ("%" + term + "%").lower(), [], 0
+    while i < len(pat):
+        c = pat[i]
+        if c == "\\" and i + 1 < len(pat):
+            out.append(re.escape(pat[i + 1]))
+            i += 2
+            continue
+        out.append(".*" if c == "%" else "." if c == "_" else re.escape(c))
+        i += 1
+    return re.fullmatch("".join(out), name.lower(), re.S) is not None
+
+
+def test_search_index_against_brute_force(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    alphabet = "abcAB %_\\"
+    names = sorted({"".join(rnd.choice("abcAB %_") for _ in range(rnd.randint(1, 7))) for _ in range(80)})
+    terms = sorted({"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 5))) for _ in range(200)})
+    terms = [t for t in terms if t.strip(" \t\n\r\x00\x0b") == t and t]
     l1 = spark.createDataFrame([(n, Decimal(i)) for i, n in enumerate(names)], "name string, max_weight decimal(6,2)")
-    terms = spark.createDataFrame([(t,) for t in ["press", "ss", "%ll%", "a_", "_b", "PRE", "a\\_b"]], "term string")
-    small = {(r.term, r.name, r.rank) for r in latest.search_latest(l1, terms, min_len=1).collect()}
+    tdf = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {(r.term, r.name) for r in latest.search_latest(l1, tdf, k=None, min_len=1).collect()}
+    want = {(t, n) for t in terms for n in names if _like(n, t)}
+    assert got == want
+    lit = {(r.term, r.name) for r in latest.search_latest(l1, tdf, k=None, min_len=1, mode="literal").collect()}
+    assert lit == {(t, n) for t in terms for n in names if t.lower() in n.lower()}
     monkeypatch.setattr(latest, "TERM_BROADCAST_LIMIT", 0)
     with pytest.raises(ValueError):
-        latest.search_latest(l1, terms, min_len=1)   # wildcard-only terms need the broadcast side
-    monkeypatch.setattr(latest, "TERM_BROADCAST_LIMIT", 3)
-    big = {(r.term, r.name, r.rank) for r in latest.search_latest(l1, terms, min_len=1).collect()}
-    assert small == big
+        latest.search_latest(l1, tdf, min_len=1)   # wildcard-only terms need the bounded broadcast
 
 
 def test_audit_seed_is_clean_and_finds_violations(spark, seed):
