@@ -80,3 +80,48 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
 def page_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Rank rows of an already bounded result (a page or top-k)."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+# A group with more rows than this is ranked across many tasks.
+HOT_GROUP_ROWS = 5_000_000
+# More hot groups than this and every group takes the distributed path.
+HOT_GROUP_LIMIT = 100_000
+
+
+def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str = "position",
+               hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """1-based position of each row inside its group (``row_number() OVER
+    (PARTITION BY group ORDER BY order)``) that stays parallel when one
+    group holds a large share of the table.
+
+    Group sizes come from a partially aggregated count. Groups up to
+    ``hot_rows`` rows use the window; larger ("hot") groups are
+    range-sorted over many partitions and ranked from per-(partition,
+    group) counts, a table bounded by hot groups x partitions, so no task
+    sorts a whole hot group. ``order`` must make the order total.
+    """
+    g = keys(group)
+    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
+    hot = sizes.where(F.col("_gn") > hot_rows).select(*g)
+    n_hot = hot.limit(HOT_GROUP_LIMIT + 1).count()
+    w = Window.partitionBy(*g).orderBy(*order)
+    if n_hot == 0:
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    if n_hot <= HOT_GROUP_LIMIT:
+        tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), g, "left")
+        cold = tagged.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, F.row_number().over(w).cast("long"))
+        hot_rows_df = tagged.where(F.col("_hot")).drop("_hot")
+    else:
+        cold, hot_rows_df = None, df
+    s = hot_rows_df.orderBy(*[F.col(c) for c in g], *order).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.checkpoint(eager=True)   # both uses below must see the same partitions
+    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
+        "_row", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    per = s.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bound = (n_hot * s.rdd.getNumPartitions()) if cold is not None else None
+    hot_out = s.join(bounded_broadcast(per.select("_pid", *g, "_off", "_first"), bound), ["_pid", *g]).withColumn(
+        name, (F.col("_off") + F.col("_row") - F.col("_first") + 1).cast("long")).drop(
+        "_mid", "_pid", "_row", "_off", "_first")
+    return hot_out if cold is None else cold.unionByName(hot_out)

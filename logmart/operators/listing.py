@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmart.operators.common import Keys, asc_pg, bounded_broadcast, desc_pg, global_rank, keys
+from logmart.operators.common import Keys, asc_pg, bounded_broadcast, desc_pg, global_rank, group_rank, keys
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0,
@@ -69,11 +69,10 @@ def header_by_id(headers: DataFrame, dims: DataFrame, ids: DataFrame, *, id_col:
 def ordered_children(children: DataFrame, *, child_fk: str = "workout_id", sort: str = "sort_order",
                      child_id: Keys = "id", out: str = "position") -> DataFrame:
     """Children with their position in the header (``sort ASC NULLS
-    LAST, id``). The window sorts each header's children in its task
-    (external sort, spills), it never holds them as one array."""
+    LAST, id``). ``group_rank`` keeps a header holding a large share of
+    all children spread over many tasks."""
     ids = keys(child_id)
-    w = Window.partitionBy(child_fk).orderBy(asc_pg(sort), *[F.col(c).asc() for c in ids])
-    return children.withColumn(out, F.row_number().over(w).cast("long"))
+    return group_rank(children, child_fk, [asc_pg(sort), *[F.col(c).asc() for c in ids]], out)
 
 
 def bridge_members(bridge: DataFrame, dim: DataFrame, child_ids: DataFrame | None = None, *,

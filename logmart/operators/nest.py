@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmart.operators.common import Keys, asc_pg, keys
+from logmart.operators.common import Keys, asc_pg, group_rank, keys
 
 MEMBER_T = "array<struct<id:int,name:string>>"
 
@@ -69,8 +69,7 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
     ids = keys(child_id)
     kids = nest_members(children, bridge, member_dim, child_bridge_key=child_bridge_key,
                         bridge_child=bridge_child, **member_cols)
-    w = Window.partitionBy(child_fk).orderBy(asc_pg(child_sort), *[F.col(c).asc() for c in ids])
-    kids = kids.withColumn("position", F.row_number().over(w).cast("long"))
+    kids = group_rank(kids, child_fk, [asc_pg(child_sort), *[F.col(c).asc() for c in ids]], "position")
     h = _doc_headers(headers, dims, header_id, header_fk, dim_id, dim_name, list(header_cols))
     names = child_names(h.columns, [*ids, child_sort, *child_cols])
     kids = kids.select(F.col(child_fk).alias("_hk"), *[F.col(c).alias(a) for c, a in names.items()],

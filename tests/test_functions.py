@@ -206,3 +206,18 @@ def test_read_tables(spark, seed):
     t = io.read_tables(spark, d, {"gyms": S.GYMS})
     got = [(f.name, f.dataType) for f in t["gyms"].schema]
     assert t["gyms"].count() == 5 and got == [(f.name, f.dataType) for f in S.GYMS]
+
+
+def test_group_rank_splits_hot_groups(spark):
+    from logmart.operators.common import group_rank
+    # group 0 holds most rows; with a low threshold it takes the distributed path
+    df = spark.range(0, 3000, numPartitions=6).select(
+        F.col("id"), F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 7 + 1).alias("g"),
+        (F.col("id") * 7919 % 101).alias("s"))
+    order = [F.col("s").asc(), F.col("id").desc()]
+    want = {r.id: r.p for r in df.withColumn(
+        "p", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("g").orderBy(*order)))
+        .collect()}
+    for hot_rows in (10_000, 100, 0):
+        got = {r.id: r.position for r in group_rank(df, "g", order, hot_rows=hot_rows).collect()}
+        assert got == want, hot_rows
