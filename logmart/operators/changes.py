@@ -338,10 +338,22 @@ class HeaderFold:
         raise ValueError(op)
 
 
+_FOLD_COLS = ("h", "phase", "seq", "op", "cid", "exists", "base_max", "sort_order", "member_reason")
+
+
+class _Row:
+    __slots__ = _FOLD_COLS
+
+    def __init__(self, values):
+        for k, v in zip(_FOLD_COLS, values):
+            setattr(self, k, v)
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     f = HeaderFold()
     for pdf in batches:
-        out = [x for x in (f.apply(r) for r in pdf.itertuples(index=False)) if x is not None]
+        cols = [pdf[c].tolist() for c in _FOLD_COLS]
+        out = [x for x in (f.apply(_Row(v)) for v in zip(*cols)) if x is not None]
         yield pd.DataFrame(out, columns=["seq", "h", "outcome", "sort_order"]).astype(
             {"seq": "int64", "h": "int64", "sort_order": "Int32"})
 

@@ -123,3 +123,33 @@ def test_header_summary_minutes(seed):
     got = {r.id: (r.minutes, r.exercise_count, r.member_names) for r in s}
     assert got[1] == (55, 4, "legs, core")
     assert got[2] == (50, 4, "shoulders, chest, triceps")
+
+
+def test_edge_rows(spark, seed):
+    """Header without children, child without members, same name twice in
+    one header (tie broken by child id), and case-sensitive keys."""
+    import datetime as dt
+
+    from fixtures import NOW
+    from logmart import schemas as S
+    w = seed["workouts"].unionByName(spark.createDataFrame(
+        [(6, 2, NOW - dt.timedelta(days=1), None, None, NOW), (7, 2, NOW, NOW, None, NOW)], S.WORKOUTS))
+    e = seed["exercises"].unionByName(spark.createDataFrame(
+        [(30, 7, "squat", None, Decimal("20.00"), 1, NOW), (31, 7, "Squat", None, Decimal("95.00"), 2, NOW),
+         (32, 7, "Squat", None, Decimal("96.00"), 2, NOW), (33, 7, "Band pull", None, None, None, NOW)],
+        S.EXERCISES))
+    h = {r.id: r for r in rollup.history(w, seed["gyms"], e, seed["exercise_body_parts"], limit=None).collect()}
+    assert (h[6].exercise_count, h[6].body_part_ids, h[6].full_coverage) == (0, [], False)
+    assert (h[7].exercise_count, h[7].body_part_ids) == (4, [])      # children without members
+    l1 = {r.name: (r.max_weight, r.workout_id) for r in latest.latest_values(e, w).collect()}
+    assert l1["Squat"] == (Decimal("96.00"), 7)                       # same header twice: higher child id
+    assert l1["squat"] == (Decimal("20.00"), 7)                       # a separate key
+    doc = nest.header_documents(w, seed["gyms"], e, seed["exercise_body_parts"], seed["body_parts"]).where(
+        "id = 7").first()
+    assert [x.id for x in doc.exercises] == [30, 31, 32, 33]          # NULL sort_order last
+    assert all(x.body_parts == [] for x in doc.exercises)
+    empty = nest.header_documents(w, seed["gyms"], e, seed["exercise_body_parts"], seed["body_parts"]).where(
+        "id = 6").first()
+    assert empty.exercises == []
+    # the newest header (7) is finished, so the older open one (6) is not active
+    assert latest.active_header(w).count() == 0
