@@ -200,3 +200,26 @@ def test_resolve_keys(spark, seed):
     ok, missing = resolve_keys(names, seed["body_parts"], name_col="part")
     assert {r.part: r.resolved_id for r in ok.collect()} == {"legs": 1, "chest": 7}
     assert [r.part for r in missing.collect()] == ["neck"]
+
+
+def test_stream_changes_equals_batch(spark, seed, tmp_path):
+    from logmart.streaming.changes_stream import complete_versions, read_latest, stream_changes
+    rows = [add(5, 7000), add(5, 7001), ("delete_child", None, None, {"id": 7001}),
+            ("finish_header", None, None, {"id": 4}), add(5, 7002), ("delete_child", None, None, {"id": 24}),
+            add(5, 7003), ("update_child", None, None, {"id": 7000, "name": "Renamed", "body_part_ids": [2, 3]})]
+    whole = C.apply_changes(base(spark, seed), log(spark, rows))
+    src, out = str(tmp_path / "log"), str(tmp_path / "tables")
+    full = log(spark, rows)
+    for lo, hi in ((1, 4), (4, 9)):
+        full.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").json(src)
+        q = stream_changes(spark.readStream.schema(S.CHANGES).json(src), base(spark, seed), out,
+                           str(tmp_path / "ckpt"), available_now=True)
+        q.awaitTermination()
+    assert complete_versions(spark, out) == [0, 1]
+    got = read_latest(spark, out, base(spark, seed))
+    key = lambda df: sorted((r.id, r.name, r.sort_order) for r in df.collect())
+    assert key(got.exercises) == key(whole["exercises"])
+    assert sorted(tuple(r) for r in got.exercise_body_parts.collect()) == sorted(
+        tuple(r) for r in whole["exercise_body_parts"].collect())
+    assert {r.id: r.finished_at for r in got.workouts.collect()} == {
+        r.id: r.finished_at for r in whole["workouts"].collect()}
