@@ -272,7 +272,10 @@ class Tables:
 
 FOLD_IN = ("h long, phase int, seq long, op string, cid long, exists boolean, base_max int, "
            "sort_order int, member_reason string")
-FOLD_OUT = "seq long, h long, outcome string, sort_order int"
+# request fields carried through the fold so its verdicts need no join back
+PASS = ("ts", "gym_id", "name", "machine", "max_weight", "members")
+FOLD_OUT = ("seq long, h long, op string, cid long, ts timestamp_ntz, gym_id long, name string, machine string, "
+            "max_weight decimal(6,2), members array<int>, outcome string, sort_order int")
 
 
 class HeaderFold:
@@ -353,9 +356,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     f = HeaderFold()
     for pdf in batches:
         cols = [pdf[c].tolist() for c in _FOLD_COLS]
-        out = [x for x in (f.apply(_Row(v)) for v in zip(*cols)) if x is not None]
-        yield pd.DataFrame(out, columns=["seq", "h", "outcome", "sort_order"]).astype(
-            {"seq": "int64", "h": "int64", "sort_order": "Int32"})
+        res = [f.apply(_Row(v)) for v in zip(*cols)]
+        keep = [r is not None for r in res]
+        done = [r for r in res if r is not None]
+        out = pdf.loc[keep, ["seq", "h", "op", "cid", *PASS]].reset_index(drop=True)
+        out["outcome"] = [r[2] for r in done]
+        out["sort_order"] = pd.array([r[3] for r in done], dtype="Int32")
+        yield out
 
 
 def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None) -> dict[str, DataFrame]:
@@ -384,26 +391,28 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
                      .groupBy("h").agg(F.max("sort_order").alias("base_max")))
     hdr = touched.join(t.workouts.select(F.col("id").cast("long").alias("h"), F.lit(True).alias("exists")),
                        "h", "left").join(base_kept_max, "h", "left")
+    nulls = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in PASS]
     fold_in = (
         hdr.select("h", F.lit(0).alias("phase"), F.lit(-1).cast("long").alias("seq"),
                    F.lit(None).cast("string").alias("op"), F.lit(None).cast("long").alias("cid"),
                    F.coalesce("exists", F.lit(False)).alias("exists"), F.col("base_max").cast("int"),
-                   F.lit(None).cast("int").alias("sort_order"), F.lit(None).cast("string").alias("member_reason"))
+                   F.lit(None).cast("int").alias("sort_order"), F.lit(None).cast("string").alias("member_reason"),
+                   *nulls)
         .unionByName(base_named.select("h", F.lit(1).alias("phase"), F.lit(-1).cast("long").alias("seq"),
                                        F.lit(None).cast("string").alias("op"), "cid",
                                        F.lit(None).cast("boolean").alias("exists"),
                                        F.lit(None).cast("int").alias("base_max"), F.col("sort_order").cast("int"),
-                                       F.lit(None).cast("string").alias("member_reason")))
+                                       F.lit(None).cast("string").alias("member_reason"), *nulls))
         .unionByName(routed.select("h", F.lit(2).alias("phase"), "seq", "op", "cid",
                                    F.lit(None).cast("boolean").alias("exists"),
                                    F.lit(None).cast("int").alias("base_max"),
-                                   F.lit(None).cast("int").alias("sort_order"), "member_reason")))
+                                   F.lit(None).cast("int").alias("sort_order"), "member_reason", *PASS)))
     n = int(partitions or changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    verdicts = (fold_in.repartition(n, "h").sortWithinPartitions("h", "phase", "seq", "cid")
-                .mapInPandas(_fold, FOLD_OUT))
-    # the verdict set is reused by every output: cut the lineage once
-    verdicts = verdicts.checkpoint(eager=True)
-    done = routed.drop("h").join(verdicts, "seq")
+    done = (fold_in.repartition(n, "h").sortWithinPartitions("h", "phase", "seq", "cid")
+            .mapInPandas(_fold, FOLD_OUT))
+    # the verdicts (with their request fields) feed every output: cut the
+    # lineage once
+    done = done.checkpoint(eager=True)
     ok = done.where(F.col("outcome") == OK)
     outcomes = (done.select("seq", "ts", "op", "outcome").unionByName(unowned).unionByName(rejects))
 

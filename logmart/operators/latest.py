@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from logmart.functions.coerce import php_trim
 from logmart.operators.common import desc_pg, fits, keys
 from logmart.schemas import SEARCH_LIMIT, SEARCH_MIN_LEN
+from logmart.session import ensure_checkpoint_dir
 
 # Wildcard-only terms per search batch that may be broadcast as predicates.
 TERM_BROADCAST_LIMIT = 100_000
@@ -132,6 +133,8 @@ def _indexed_candidates(latest: DataFrame, terms: DataFrame, name: str, mode: st
         F.min_by("_g", F.coalesce(F.col("_n"), F.lit(0))).alias("_g"))
     hits = (chosen.join(ngrams, "_g").drop("_g").join(latest, name)
             .where(_matches(F.col(name), F.col("_q"), mode)))
+    if loose.limit(1).count() == 0:
+        return hits
     if not fits(loose, TERM_BROADCAST_LIMIT):
         raise ValueError("too many search terms without any literal character")
     rest = latest.join(F.broadcast(loose), _matches(F.col(name), F.col("_q"), mode))
@@ -152,6 +155,10 @@ def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", na
     neither side is ever paired with all of the other.
     """
     t = clean_terms(terms, term, min_len)
+    # L1 feeds the index, the candidates and the wildcard branch: compute
+    # it once (one row per key) and cut the lineage there
+    ensure_checkpoint_dir(latest.sparkSession)
+    latest = latest.checkpoint(eager=True)
     pairs = _indexed_candidates(latest, t, name, mode)
     w = Window.partitionBy("term").orderBy(F.col(name).asc())
     ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long"))
