@@ -12,9 +12,9 @@ Scale notes
 * Member arrays are bounded by the member dimension, never by the number
   of children: ``(header, member)`` pairs are made distinct first.
 * ``history`` pages first: the ``offset + limit`` newest headers come from
-  a per-partition top-k (``TakeOrderedAndProject``), and only the page's
-  children are aggregated. The page is the only thing broadcast, and its
-  size is bounded by the ``limit`` argument.
+  a per-partition top-k (``TakeOrderedAndProject``), orphans are removed
+  from those candidates only, and only the page's children are
+  aggregated. Broadcast sides are bounded by ``offset + limit``.
 """
 
 from __future__ import annotations
@@ -90,6 +90,32 @@ def full_coverage(headers: DataFrame, children: DataFrame, bridge: DataFrame, *,
     return df.withColumn(out, coverage_flag(F.col(ids_col), k))
 
 
+def _verified_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: int, offset: int,
+                   header_fk: str, dim_id: str, check_fk: bool) -> DataFrame:
+    """The page of headers that have a dimension row, without joining every
+    header to the dimension: take the top ``offset + limit`` candidates,
+    drop orphans (candidates are few and are broadcast), and widen the
+    candidate set only when orphans left the page short. Exact, because any
+    header outside the candidates ranks below all of them; with intact
+    foreign keys it is one pass."""
+    want = offset + limit
+    take = want
+    spark = h.sparkSession
+    ensure_checkpoint_dir(spark)
+    while True:
+        cand = h.orderBy(*order).limit(take).checkpoint(eager=True)
+        if not check_fk:
+            return cand.orderBy(*order).offset(offset).limit(limit)
+        keys_ = cand.select(F.col(header_fk).alias("_gid")).distinct()
+        found = (dims.select(F.col(dim_id).alias("_gid")).join(bounded_broadcast(keys_, take), "_gid")
+                 .distinct().withColumn("_ok", F.lit(True)))
+        flagged = cand.join(bounded_broadcast(found, take), F.col(header_fk) == F.col("_gid"), "left").drop("_gid")
+        n_cand, n_ok = flagged.agg(F.count(F.lit(1)), F.count("_ok")).first()
+        if n_ok >= want or n_cand < take:
+            return flagged.where(F.col("_ok")).drop("_ok").orderBy(*order).offset(offset).limit(limit)
+        take = max(2 * take, take + (want - n_ok))
+
+
 def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: DataFrame, *,
             limit: int | None = DEFAULT_PAGE_SIZE, offset: int = 0,
             k: int | Column | None = TOTAL_MEMBERS, member_dim: DataFrame | None = None,
@@ -104,8 +130,11 @@ def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: Da
     ``limit``/``offset``; ``limit=None`` returns every header.
 
     Headers whose dimension row is missing are dropped before paging, as
-    the inner join does in SQL. ``assume_fk_integrity=True`` (e.g. after
-    ``audit`` found no orphan) skips that semi-join.
+    the inner join does in SQL (checked on the page's candidates only, see
+    ``_verified_page``; ``assume_fk_integrity=True`` skips the check, e.g.
+    after ``audit`` found no orphan). Children are scanned once: a partial
+    aggregate per (header, bridge key) feeds both the count and the
+    member set.
     """
     if limit is not None and (limit < 0 or offset < 0):
         raise ValueError("limit and offset must be >= 0")
@@ -114,25 +143,28 @@ def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: Da
             raise ValueError("k=None needs member_dim")
         k = member_count(member_dim)
     h = headers.select(header_id, header_fk, started, finished)
-    if not assume_fk_integrity:
-        h = h.join(dims.select(F.col(dim_id).alias(header_fk)), header_fk, "left_semi")
     order = [desc_pg(started), desc_pg(header_id)]
     if limit is not None:
-        # Materialise the page once (reliable checkpoint, <= limit rows) so
-        # the three branches below do not each re-run the top-k scan.
-        ensure_checkpoint_dir(h.sparkSession)
-        h = h.orderBy(*order).offset(offset).limit(limit).checkpoint(eager=True)
-        h = bounded_broadcast(h, limit)
+        h = bounded_broadcast(_verified_page(h, dims, order, limit, offset, header_fk, dim_id,
+                                             not assume_fk_integrity), limit)
         kids = children.join(
             bounded_broadcast(h.select(F.col(header_id).alias(child_fk)), limit), child_fk, "left_semi")
     else:
         kids = children
     named = h.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                    F.col(header_fk) == F.col("_gid"), "inner")
-    counted = child_count(named, kids, header_id=header_id, child_fk=child_fk)
-    out = member_set(counted, kids, bridge, header_id=header_id, child_fk=child_fk,
-                     child_bridge_key=child_bridge_key, bridge_child=bridge_child,
-                     bridge_member=bridge_member)
+    ck, bk = keys(child_bridge_key), keys(bridge_child)
+    per_key = kids.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)]) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = per_key.groupBy("_hk").agg(F.sum("_n").alias("exercise_count"))
+    b = bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
+    pairs = per_key.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
+    sets = pairs.groupBy(F.col("_hk").alias("_hk2")).agg(F.array_sort(F.collect_list("_m")).alias("body_part_ids"))
+    elem = bridge.schema[bridge_member].dataType.simpleString()
+    out = (named.join(counts, F.col(header_id) == F.col("_hk"), "left")
+           .join(sets, F.col(header_id) == F.col("_hk2"), "left")
+           .withColumn("exercise_count", F.coalesce(F.col("exercise_count"), F.lit(0)).cast("long"))
+           .withColumn("body_part_ids", F.coalesce(F.col("body_part_ids"), F.array().cast(f"array<{elem}>"))))
     out = out.withColumn("full_coverage", coverage_flag(F.col("body_part_ids"), k))
     cols = [header_id, started, finished, "gym_name", "exercise_count", "body_part_ids", "full_coverage"]
     if limit is not None:

@@ -153,3 +153,20 @@ def test_edge_rows(spark, seed):
     assert empty.exercises == []
     # the newest header (7) is finished, so the older open one (6) is not active
     assert latest.active_header(w).count() == 0
+
+
+def test_history_page_skips_orphans(spark, seed):
+    """Headers without a dimension row drop out before paging, also when
+    they crowd the first candidates (the page widens until it is full)."""
+    import datetime as dt
+
+    from fixtures import NOW
+    from logmart import schemas as S
+    orphans = [(100 + i, 77, NOW + dt.timedelta(hours=i), None, None, NOW) for i in range(6)]
+    w = seed["workouts"].unionByName(spark.createDataFrame(orphans, S.WORKOUTS))
+    args = (w, seed["gyms"], seed["exercises"], seed["exercise_body_parts"])
+    page = rollup.history(*args, limit=2, offset=1).collect()
+    assert [(r.rank, r.id) for r in page] == [(2, 4), (3, 3)]
+    assert [r.id for r in rollup.history(*args, limit=20).collect()] == [5, 4, 3, 2, 1]
+    clean = (seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"])
+    assert [r.id for r in rollup.history(*clean, limit=3, assume_fk_integrity=True).collect()] == [5, 4, 3]
