@@ -182,29 +182,38 @@ def sibling_members(children: DataFrame, bridge: DataFrame, *, child_id: Keys =
     """For every child, its own members and the members covered by the
     header's *other* children.
 
-    Counts children per (header, member); a member is a sibling member of
-    a child when that count minus the child's own contribution is > 0.
-    The per-header list holds one entry per distinct member (bounded by
-    the member dimension), so no child-by-child pairs are formed.
+    A member is a sibling member of a child when the header's count of
+    children holding it, minus the child's own contribution, is > 0. That
+    depends only on (header, the child's member set), and the member set
+    only on the bridge key, so the work runs per (header, bridge key) from
+    a partially aggregated count; per-header lists hold one entry per
+    distinct member (bounded by the member dimension). No child-by-child
+    pairs are formed, and children join back on (header, bridge key), not
+    on the header alone.
     """
     ck, bk, ids = keys(child_bridge_key), keys(bridge_child), keys(child_id)
+    kcols = [f"_bk{i}" for i in range(len(ck))]
     b = (bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
-         .groupBy(*[f"_bk{i}" for i in range(len(bk))])
-         .agg(F.array_sort(F.collect_set("_m")).alias("_own")))
-    c = children.select(*dict.fromkeys([*ids, child_fk, *ck])).select(
-        "*", *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)])
-    withown = c.join(b, [f"_bk{i}" for i in range(len(ck))], "left").withColumn(
-        "_own", F.coalesce("_own", F.array().cast(b.schema["_own"].dataType)))
-    per_header = (withown.select(F.col(child_fk).alias("_hk"), F.explode("_own").alias("_m"))
-                  .groupBy("_hk", "_m").agg(F.count(F.lit(1)).alias("_n"))
-                  .groupBy("_hk").agg(F.collect_list(F.struct("_m", "_n")).alias("_hm")))
-    joined = withown.join(per_header, F.col(child_fk) == F.col("_hk"), "left")
+         .groupBy(*kcols).agg(F.array_sort(F.collect_set("_m")).alias("_own")))
+    own_t = b.schema["_own"].dataType
+    per_key = children.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    pk = per_key.join(b, kcols, "left").withColumn("_own", F.coalesce("_own", F.array().cast(own_t)))
+    hm = (pk.select("_hk", "_c", F.explode("_own").alias("_m")).groupBy("_hk", "_m").agg(F.sum("_c").alias("_n"))
+          .groupBy("_hk").agg(F.collect_list(F.struct("_m", "_n")).alias("_hm")))
+    pk = pk.join(hm, "_hk", "left")
     sib = F.array_sort(F.transform(
-        F.filter(F.coalesce("_hm", F.array().cast(per_header.schema["_hm"].dataType)),
+        F.filter(F.coalesce("_hm", F.array().cast(hm.schema["_hm"].dataType)),
                  lambda s: (s["_n"] - F.when(F.array_contains("_own", s["_m"]), 1).otherwise(0)) > 0),
         lambda s: s["_m"]))
-    return joined.select(*ids, *([child_fk] if child_fk not in ids else []),
-                         F.col("_own").alias(own), sib.alias(out))
+    pk = pk.select(F.col("_hk").alias("_phk"), *[F.col(k).alias(f"_p{k}") for k in kcols],
+                   F.col("_own").alias(own), sib.alias(out))
+    c = children.select(*dict.fromkeys([*ids, child_fk, *ck]))
+    # NULL-safe: a child without a bridge key still appears, with no members
+    cond = [F.col(child_fk).eqNullSafe(F.col("_phk"))] + [F.col(a).eqNullSafe(F.col(f"_p{k}"))
+                                                          for a, k in zip(ck, kcols)]
+    j = c.join(pk, cond)
+    return j.select(*ids, *([child_fk] if child_fk not in ids else []), own, out)
 
 
 def coverage_grid(dim: DataFrame, children: DataFrame, bridge: DataFrame, *, dim_id: str = "id",

@@ -170,3 +170,11 @@ def test_history_page_skips_orphans(spark, seed):
     assert [r.id for r in rollup.history(*args, limit=20).collect()] == [5, 4, 3, 2, 1]
     clean = (seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"])
     assert [r.id for r in rollup.history(*clean, limit=3, assume_fk_integrity=True).collect()] == [5, 4, 3]
+
+
+def test_sibling_members_child_without_bridge_key(spark):
+    kids = spark.createDataFrame([(1, 10, None), (2, 10, 5), (3, 10, 6)], "id long, workout_id long, part long")
+    bridge = spark.createDataFrame([(5, "a"), (5, "b"), (6, "b")], "part long, word string")
+    got = {r.id: (r.own_ids, r.sibling_ids) for r in rollup.sibling_members(
+        kids, bridge, child_bridge_key="part", bridge_child="part", bridge_member="word").collect()}
+    assert got == {1: ([], ["a", "b"]), 2: (["a", "b"], ["b"]), 3: (["b"], ["a", "b"])}
