@@ -51,11 +51,15 @@ def numeric_prefix(c: Column | str) -> Column:
 def php_int(c: Column | str) -> Column:
     """``(int)$x`` for text: numeric prefix truncated toward zero,
     0 when there is none (``'12abc'`` -> 12, ``'abc'`` -> 0, ``'1e3'`` ->
-    1000). NULL (absent) -> 0, as ``?? 0`` gives."""
+    1000), saturating at the 64-bit range, 0 for an infinite value.
+    NULL (absent) -> 0, as ``?? 0`` gives."""
     p = numeric_prefix(c)
     exact = F.when(p.rlike(_INT_ONLY), p.try_cast("long"))
     d = F.when(p != "", p.try_cast("double"))
-    trunc = F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d))
+    # finite values truncate and saturate at the 64-bit range (floor/ceil
+    # return bigint, saturating); an infinite one becomes 0
+    trunc = (F.when(F.abs(d) == F.lit(float("inf")), F.lit(0))
+             .when(d >= 0, F.floor(d)).otherwise(F.ceil(d)))
     return F.coalesce(exact, trunc.try_cast("long"), F.lit(0).cast("long"))
 
 
@@ -66,7 +70,10 @@ def weight_value(c: Column | str) -> Column:
     which the validation step reports as a reject."""
     x = _c(c)
     p = numeric_prefix(x)
-    val = F.when(p == "", F.lit("0")).otherwise(p).try_cast(WEIGHT_TYPE)
+    # PHP reads the prefix as a float; the float's shortest decimal form is
+    # then rounded half up to numeric(6,2), NULL when it does not fit
+    f = F.when(p == "", F.lit(0.0)).otherwise(p.try_cast("double"))
+    val = f.try_cast(WEIGHT_TYPE)
     return F.when(x.isNull() | (x == ""), F.lit(None).cast(WEIGHT_TYPE)).otherwise(val)
 
 

@@ -434,7 +434,3 @@ def empty_tables(spark, gyms: DataFrame, body_parts: DataFrame) -> Tables:
     e = lambda s: spark.createDataFrame([], s)
     return Tables(gyms, body_parts, e(S.WORKOUTS), e(S.EXERCISES), e(S.EXERCISE_BODY_PARTS))
 
-
-def to_change_rows(df: DataFrame, payload: dict[str, Column]) -> Column:
-    """Helper for building change logs: payload JSON from named columns."""
-    return F.to_json(F.struct(*[c.alias(k) for k, c in payload.items()]))

@@ -77,11 +77,6 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return out.drop("_mid", "_pid", "_row", "_off")
 
 
-def page_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """Rank rows of an already bounded result (a page or top-k)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-
-
 # A group with more rows than this is ranked across many tasks.
 HOT_GROUP_ROWS = 5_000_000
 # More hot groups than this and every group takes the distributed path.

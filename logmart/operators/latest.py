@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmart.functions.coerce import php_trim
-from logmart.operators.common import desc_pg, fits, keys
+from logmart.operators.common import fits, keys
 from logmart.schemas import SEARCH_LIMIT, SEARCH_MIN_LEN
 from logmart.session import ensure_checkpoint_dir
 
@@ -196,6 +196,3 @@ def active_header(headers: DataFrame, *, partition: str | Sequence[str] | None =
         out = headers.groupBy(*[F.col(c).alias(f"_p_{c}") for c in p]).agg(best.alias("_b")).select("_b.*")
     return out.where(F.col(finished).isNull())
 
-
-def newest_first(cols: Sequence[str]) -> list[Column]:
-    return [desc_pg(c) for c in cols]

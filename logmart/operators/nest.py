@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmart.operators.common import Keys, asc_pg, group_rank, keys
+from logmart.operators.common import Keys, asc_pg, bounded_broadcast, group_rank, keys
 
 MEMBER_T = "array<struct<id:int,name:string>>"
 
@@ -61,11 +61,21 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
                          child_cols: tuple[str, ...] = ("name", "machine", "max_weight"),
                          child_bridge_key: Keys = "id", bridge_child: Keys = "exercise_id",
                          header_cols: tuple[str, ...] = ("id", "started_at", "finished_at", "notes"),
+                         header_ids: DataFrame | None = None, max_ids: int | None = None,
                          **member_cols) -> DataFrame:
     """N2 as rows: one row per child of each (dim-joined) header with the
     header fields, ``position`` in the document (sort_order NULLS LAST,
     then child id) and the child's ordered members. Headers without
-    children appear once with NULL child fields and ``position`` NULL."""
+    children appear once with NULL child fields and ``position`` NULL.
+
+    ``header_ids`` (column ``id``) restricts the documents to requested
+    headers, as the single-document endpoint does; headers and children are
+    semi-joined to it before any nesting (broadcast when ``max_ids`` bounds
+    the request)."""
+    if header_ids is not None:
+        req = bounded_broadcast(header_ids.select(F.col("id").alias("_rid")).distinct(), max_ids)
+        headers = headers.join(req, F.col(header_id) == F.col("_rid"), "left_semi")
+        children = children.join(req, F.col(child_fk) == F.col("_rid"), "left_semi")
     ids = keys(child_id)
     kids = nest_members(children, bridge, member_dim, child_bridge_key=child_bridge_key,
                         bridge_child=bridge_child, **member_cols)

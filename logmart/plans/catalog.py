@@ -451,7 +451,7 @@ def _php_int_sql(x: str) -> str:
 def _weight_sql(x: str) -> str:
     p = f"regexp_extract({x}, {_NUM}, 1)"
     return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
-            f"ELSE TRY_CAST(CASE WHEN {p} = '' THEN '0' ELSE {p} END AS DECIMAL(6,2)) END")
+            f"ELSE TRY_CAST(TRY_CAST(CASE WHEN {p} = '' THEN '0' ELSE {p} END AS DOUBLE) AS DECIMAL(6,2)) END")
 
 
 _PHP_TRIM_SQL = "trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11))"

@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import re
 import tempfile
 from decimal import Decimal
 
@@ -221,3 +222,35 @@ def test_group_rank_splits_hot_groups(spark):
     for hot_rows in (10_000, 100, 0):
         got = {r.id: r.position for r in group_rank(df, "g", order, hot_rows=hot_rows).collect()}
         assert got == want, hot_rows
+
+
+def _php_number_prefix(s):
+    """Plain-Python model of PHP's leading-number rule for strings."""
+    import re
+    m = re.match(r"[ \t\n\r\x0b\f]*([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?)", s)
+    return m.group(1) if m else ""
+
+
+def test_php_coercions_against_model(spark):
+    import math
+    import random
+    rnd = random.Random(13)
+    alphabet = "0123456789.eE+- \tab"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    rows = df.select("i", coerce.php_int("x").alias("n"), coerce.weight_value("x").alias("w")).collect()
+    got = {r.i: (r.n, r.w) for r in rows}
+    for i, t in enumerate(texts):
+        p = _php_number_prefix(t)
+        f = float(p) if p else 0.0
+        want_int = 0 if not p or not math.isfinite(f) else max(-2 ** 63, min(2 ** 63 - 1, int(f)))
+        if p and re.fullmatch(r"[+-]?\d{1,18}", p):
+            want_int = int(p)
+        assert got[i][0] == want_int, (t, p)
+        if t == "":
+            assert got[i][1] is None
+        else:
+            d = (Decimal(repr(f)).quantize(Decimal("0.01"), rounding="ROUND_HALF_UP")
+                 if math.isfinite(f) and abs(f) < 1e6 else None)
+            want_w = d if d is not None and abs(d) < 10000 else None
+            assert got[i][1] == want_w, (t, p)

@@ -178,3 +178,12 @@ def test_sibling_members_child_without_bridge_key(spark):
     got = {r.id: (r.own_ids, r.sibling_ids) for r in rollup.sibling_members(
         kids, bridge, child_bridge_key="part", bridge_child="part", bridge_member="word").collect()}
     assert got == {1: ([], ["a", "b"]), 2: (["a", "b"], ["b"]), 3: (["b"], ["a", "b"])}
+
+
+def test_document_for_requested_ids(spark, seed):
+    ids = spark.createDataFrame([(3,), (42,)], "id long")
+    docs = nest.header_documents(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
+                                 seed["body_parts"], header_ids=ids, max_ids=2).collect()
+    assert [d.id for d in docs] == [3]
+    assert [e.name for e in docs[0].exercises] == ["Pull-ups", "Barbell row", "Lat pulldown", "Bicep curl",
+                                                    "Hammer curl"]
