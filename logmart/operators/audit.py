@@ -8,8 +8,9 @@ violations``; ``audit_rows`` returns the offending rows of one rule.
 Plan shape: all column rules of a table are evaluated in **one**
 aggregation pass over that table (conditional counts, then ``unpivot``
 into rows); each key rule is one partially aggregated ``groupBy``; each
-foreign key is one ``left_anti`` join against the parent's distinct key
-(AQE broadcasts it when it is small, else both sides shuffle on the key).
+foreign key counts child rows per key value first (partial aggregation)
+and anti-joins only those distinct values to the parent's keys (AQE
+broadcasts the smaller side when it can measure it).
 """
 
 from __future__ import annotations
@@ -94,7 +95,14 @@ def _orphans(df: DataFrame, parent: DataFrame, r: Rule) -> DataFrame:
 
 
 def _fk(df: DataFrame, parent: DataFrame, r: Rule) -> DataFrame:
-    return _orphans(df, parent, r).agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
+    """Orphan rows, counted per key value first (partial aggregation) so a
+    key held by a third of the rows is one row before the anti join."""
+    _, pcols = r.arg
+    p = parent.select(*[F.col(pc).alias(c) for pc, c in zip(pcols, r.cols)]).distinct()
+    per_key = (df.select(*r.cols).where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.cols]))
+               .groupBy(*r.cols).agg(F.count(F.lit(1)).alias("_n")))
+    orphan = per_key.join(p, list(r.cols), "left_anti")
+    return orphan.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")).select(
         F.lit(r.table).alias("tbl"), F.lit("fk").alias("rule"), F.lit(r.label).alias("cols"), "violations")
 
 
