@@ -122,7 +122,7 @@ def audit(tables: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
         else:
             raise ValueError(r.kind)
     for t, rs in col_rules.items():
-        parts.append(_column_rules(tables[t].select(*{c for r in rs for c in r.cols}), rs))
+        parts.append(_column_rules(tables[t].select(*dict.fromkeys(c for r in rs for c in r.cols)), rs))
     return reduce(DataFrame.unionByName, parts)
 
 
