@@ -172,8 +172,9 @@ def append_children(children: DataFrame, adds: DataFrame) -> DataFrame:
     """C3 for append-only logs: next ordinal per header =
     ``COALESCE(MAX(sort_order), 0)`` of the existing children plus the
     add's rank in ``seq`` order. (Interleaved deletes need C8.)"""
-    base_max = children.groupBy(F.col("workout_id").alias("h")).agg(
-        F.coalesce(F.max("sort_order"), F.lit(0)).alias("_mx"))
+    hs = adds.select("h").distinct()
+    base_max = (children.select(F.col("workout_id").alias("h"), "sort_order").join(hs, "h", "left_semi")
+                .groupBy("h").agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_mx")))
     w = Window.partitionBy("h").orderBy("seq")
     a = adds.join(base_max, "h", "left").withColumn(
         "sort_order", (F.coalesce(F.col("_mx"), F.lit(0)) + F.row_number().over(w)).cast("int"))
@@ -213,16 +214,25 @@ def cascade_delete(headers: DataFrame, children: DataFrame, bridge: DataFrame,
                    header_ids: DataFrame | None = None, child_ids: DataFrame | None = None
                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Delete headers and children (column ``id``) with ``ON
-    DELETE CASCADE``: header -> children -> bridge, as left anti joins.
-    Missing ids are silently fine."""
+    DELETE CASCADE``: header -> children -> bridge. Missing ids are
+    silently fine. Every step is an anti join against the (small) set of
+    removed ids, so the big tables are filtered, not joined to each
+    other."""
+    removed = []
     if header_ids is not None:
         hid = header_ids.select(F.col("id").cast(headers.schema["id"].dataType).alias("id")).distinct()
         headers = headers.join(hid, "id", "left_anti")
-        children = children.join(hid.select(F.col("id").alias("workout_id")), "workout_id", "left_anti")
+        removed.append(children.join(hid.select(F.col("id").alias("workout_id")), "workout_id", "left_semi")
+                       .select("id"))
     if child_ids is not None:
-        cid = child_ids.select(F.col("id").cast(children.schema["id"].dataType).alias("id")).distinct()
-        children = children.join(cid, "id", "left_anti")
-    bridge = bridge.join(children.select(F.col("id").alias("exercise_id")), "exercise_id", "left_semi")
+        removed.append(child_ids.select(F.col("id").cast(children.schema["id"].dataType).alias("id")))
+    if removed:
+        gone = removed[0]
+        for r in removed[1:]:
+            gone = gone.unionByName(r)
+        gone = gone.distinct()
+        children = children.join(gone, "id", "left_anti")
+        bridge = bridge.join(gone.select(F.col("id").alias("exercise_id")), "exercise_id", "left_anti")
     return headers, children, bridge
 
 
@@ -373,7 +383,12 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
     # validation reads the log once; every later branch reads this copy
     good, rejects = split_validated(validated(changes, t.gyms, t.body_parts).checkpoint(eager=True))
     # child ops: find the header through base children and logged adds
-    owners = (t.exercises.select(F.col("id").cast("long").alias("cid"), F.col("workout_id").cast("long").alias("_o"))
+    # only base children named by the log matter: semi-join them first so
+    # the base table is filtered, never shuffled as a whole
+    child_cids = good.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
+    base_children = t.exercises.select(F.col("id").cast("long").alias("cid"),
+                                       F.col("workout_id").cast("long").alias("h"), "sort_order")
+    owners = (base_children.join(child_cids, "cid", "left_semi").select("cid", F.col("h").alias("_o"))
               .unionByName(good.where(F.col("op") == ADD_CHILD).select("cid", F.col("h").alias("_o"))))
     owners = owners.groupBy("cid").agg(F.min("_o").alias("_o"))
     child_ops = good.where(F.col("op").isin(*CHILD_OPS)).join(owners, "cid", "left").withColumn("h", F.col("_o"))
@@ -384,10 +399,11 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
         child_ops.where(F.col("h").isNotNull()).drop("_o"))
     touched = routed.select("h").distinct()
     named = routed.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
-    base_children = t.exercises.select(F.col("id").cast("long").alias("cid"), F.col("workout_id").cast("long")
-                                       .alias("h"), "sort_order")
-    base_named = base_children.join(named, "cid", "left_semi")
-    base_kept_max = (base_children.join(named, "cid", "left_anti").join(touched, "h", "left_semi")
+    # children of the headers the log touches: the only base rows the fold
+    # needs (named ones, and the max ordinal of the rest)
+    base_touched = base_children.join(touched, "h", "left_semi")
+    base_named = base_touched.join(named, "cid", "left_semi")
+    base_kept_max = (base_touched.join(named, "cid", "left_anti")
                      .groupBy("h").agg(F.max("sort_order").alias("base_max")))
     hdr = touched.join(t.workouts.select(F.col("id").cast("long").alias("h"), F.lit(True).alias("exists")),
                        "h", "left").join(base_kept_max, "h", "left")

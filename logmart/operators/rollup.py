@@ -29,9 +29,12 @@ from logmart.session import ensure_checkpoint_dir
 
 def _pairs(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys,
            bridge_child: Keys, bridge_member: str) -> DataFrame:
-    """Distinct (header, member) pairs; partial aggregation runs map-side."""
+    """Distinct (header, member) pairs. Children are first made distinct per
+    (header, bridge key) with a map-side partial aggregate, so the bridge
+    join sees that reduced set, then the pairs are made distinct again."""
     ck, bk = keys(child_bridge_key), keys(bridge_child)
-    c = children.select(F.col(child_fk).alias("_hk"), *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)])
+    c = children.select(F.col(child_fk).alias("_hk"),
+                        *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)]).distinct()
     b = bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
     return c.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
 
