@@ -66,7 +66,9 @@ def lockout_stream(attempts: DataFrame, *, key: str = "key", ts: str = "ts", att
                         F.col(ts).alias("_ts"), F.col(kind).alias("_kind"))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     a = a.withColumn("_t", epoch_seconds("_ts")).withColumn("_t_exact", F.timestamp_diff("MICROSECOND", epoch, "_ts"))
-    a = a.withColumn("_wm", F.col("_ts").cast("timestamp")).withColumn("_wm_us", F.unix_micros("_wm"))
+    # event time as an instant built from the zone-free microseconds, so the
+    # watermark does not depend on the session time zone (or DST)
+    a = a.withColumn("_wm", F.timestamp_micros("_t_exact")).withColumn("_wm_us", F.col("_t_exact"))
     a = a.withWatermark("_wm", watermark or f"{window} seconds")
     out_schema = (f"_k string, _rid {a.schema['_rid'].dataType.simpleString()}, _ts timestamp_ntz, "
                   "_kind string, outcome string")
