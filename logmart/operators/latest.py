@@ -13,9 +13,8 @@ Scale notes
   children, through an exact n-gram equi-join: every name matching a
   term contains each literal bigram of the term, so the term is joined
   on its rarest bigram (or character) to the names holding it and then
-  checked with the real predicate. No product of the two sides is formed;
-  only terms made of wildcards alone are checked as broadcast predicates
-  after a bounded count.
+  checked with the real predicate. Terms made only of wildcards join on
+  their underscore count; no product of the two sides is formed.
 """
 
 from __future__ import annotations
@@ -99,46 +98,77 @@ def _grams(runs: Column, n: int) -> Column:
         lambda i: F.substring(r, i, n))))
 
 
+# Private-use characters standing in for escaped %, _ and backslash while a
+# pattern is split at its wildcards (terms containing them are matched
+# without the index).
+_ESC = {"%": "\ue000", "_": "\ue001", "\\": "\ue002"}
+
+
 def _literal_runs(q: Column, mode: str) -> Column:
     """Pieces of the lower-cased term that every match must contain
-    literally. In pattern mode wildcards, escaped wildcards and stray
-    backslashes split the term (conservative: fewer grams, never wrong)."""
+    literally. In pattern mode the whole pattern ``'%' || term || '%'`` is
+    split at its wildcards; escaped wildcards and backslashes stay in the
+    pieces as literal characters (a trailing backslash escapes the final
+    ``%``)."""
     x = F.lower(q)
     if mode == "literal":
         return F.array(x)
-    x = F.regexp_replace(x, r"\\[%_\\]", "\u0000")
-    x = F.regexp_replace(x, r"\\([^%_\\])", "$1")
-    return F.split(x, "[%_\\\\\u0000]")
+    pat = F.concat(F.lit("%"), pg_escapes(x), F.lit("%"))
+    # after pg_escapes every backslash starts a pair with %, _ or itself
+    pat = F.regexp_replace(pat, r"\\\\", _ESC["\\"])
+    pat = F.regexp_replace(pat, r"\\%", _ESC["%"])
+    pat = F.regexp_replace(pat, r"\\_", _ESC["_"])
+    runs = F.split(pat, "[%_]")
+    return F.transform(runs, lambda r: F.translate(r, "".join(_ESC.values()), "".join(_ESC.keys())))
 
 
 def _indexed_candidates(latest: DataFrame, terms: DataFrame, name: str, mode: str) -> DataFrame:
-    """Exact term/name matches through an n-gram index instead of a
-    nested loop: each term is joined on its rarest literal bigram (or
-    character when it has no bigram) to the names holding that gram, then
-    the real predicate is applied. Terms without any literal character
-    (only wildcards and escapes) are few and are matched as predicates
-    with the term list broadcast after a bounded count."""
+    """Exact term/name matches through equi-joins, never a product of the
+    two sides:
+
+    * a term with a literal bigram (or character) joins on its rarest one
+      to the names holding that gram; the real predicate then checks the
+      candidate pairs;
+    * a term made only of ``%`` and ``_`` matches exactly the names with at
+      least as many characters as it has ``_``: names are expanded once per
+      length threshold up to the largest such count (measured first) and
+      joined on it.
+
+    Only a term containing the private-use stand-in characters themselves
+    is checked as a predicate, with those few terms broadcast after a
+    bounded count."""
     low = F.lower(F.col(name))
     names = latest.select(name).distinct()
     ngrams = names.select(name, F.explode(F.array_distinct(F.concat(
         _grams(F.array(low), 2), _grams(F.array(low), 1)))).alias("_g"))
     freq = ngrams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    odd = F.col("_q").rlike("[" + "".join(_ESC.values()) + "]")
     runs = _literal_runs(F.col("_q"), mode)
     bi, uni = _grams(runs, 2), _grams(runs, 1)
-    t = terms.withColumn("_cand", F.when(F.size(bi) > 0, bi).otherwise(uni))
+    t = terms.withColumn("_cand", F.when(odd, F.array().cast("array<string>"))
+                         .when(F.size(bi) > 0, bi).otherwise(uni))
     indexed = t.where(F.size("_cand") > 0)
-    loose = t.where(F.size("_cand") == 0).drop("_cand")
     tg = indexed.select("term", "_q", F.explode(F.array_distinct("_cand")).alias("_g"))
     chosen = tg.join(freq, "_g", "left").groupBy("term", "_q").agg(
         F.min_by("_g", F.coalesce(F.col("_n"), F.lit(0))).alias("_g"))
     hits = (chosen.join(ngrams, "_g").drop("_g").join(latest, name)
             .where(_matches(F.col(name), F.col("_q"), mode)))
-    if loose.limit(1).count() == 0:
+    rest = t.where(F.size("_cand") == 0).drop("_cand")
+    if rest.limit(1).count() == 0:
+        return hits
+    wild = rest.where(~odd).withColumn("_nu", F.char_length(F.regexp_replace("_q", "%", "")))
+    max_nu = wild.agg(F.max("_nu")).first()[0]
+    if max_nu is not None:
+        by_len = latest.withColumn("_nu", F.explode(F.sequence(
+            F.lit(0), F.least(F.char_length(name), F.lit(int(max_nu))))))
+        hits = hits.unionByName(by_len.join(wild, "_nu").drop("_nu")
+                                .where(_matches(F.col(name), F.col("_q"), mode)))
+    other = rest.where(odd)
+    if other.limit(1).count() == 0:
         return hits
-    if not fits(loose, TERM_BROADCAST_LIMIT):
-        raise ValueError("too many search terms without any literal character")
-    rest = latest.join(F.broadcast(loose), _matches(F.col(name), F.col("_q"), mode))
-    return hits.unionByName(rest)
+    if not fits(other, TERM_BROADCAST_LIMIT):
+        raise ValueError("too many search terms containing private-use characters")
+    return hits.unionByName(latest.join(F.broadcast(other), _matches(F.col(name), F.col("_q"), mode)))
 
 
 def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", name: str = "name",

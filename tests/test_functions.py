@@ -152,9 +152,14 @@ def test_search_index_against_brute_force(spark, monkeypatch):
     assert got == want
     lit = {(r.term, r.name) for r in latest.search_latest(l1, tdf, k=None, min_len=1, mode="literal").collect()}
     assert lit == {(t, n) for t in terms for n in names if t.lower() in n.lower()}
+    assert any(set(t) <= {"%", "_"} for t in terms)
+    # wildcard-only terms join on their underscore count: no broadcast needed
     monkeypatch.setattr(latest, "TERM_BROADCAST_LIMIT", 0)
+    again = {(r.term, r.name) for r in latest.search_latest(l1, tdf, k=None, min_len=1).collect()}
+    assert again == want
+    odd = spark.createDataFrame([("a\ue000",)], "term string")
     with pytest.raises(ValueError):
-        latest.search_latest(l1, tdf, min_len=1)   # wildcard-only terms need the bounded broadcast
+        latest.search_latest(l1, odd, min_len=1)   # only stand-in characters need the bounded broadcast
 
 
 def test_audit_seed_is_clean_and_finds_violations(spark, seed):
