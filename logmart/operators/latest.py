@@ -173,7 +173,7 @@ def _indexed_candidates(latest: DataFrame, terms: DataFrame, name: str, mode: st
 
 def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", name: str = "name",
                   k: int | None = SEARCH_LIMIT, min_len: int = SEARCH_MIN_LEN,
-                  mode: str = "pattern") -> DataFrame:
+                  mode: str = "pattern", collation: str | None = None) -> DataFrame:
     """L2: for each search term, up to ``k`` L1 rows whose name matches
     ``ILIKE '%term%'`` in name order, with ``rank`` 1..k.
 
@@ -181,6 +181,8 @@ def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", na
     source application does; ``mode='literal'`` matches the text as is.
     ``min_len`` applies the client's rule (terms under 2 characters are
     not searched); pass 1 to search every non-blank term like the server.
+    Names are ranked in binary order unless ``collation`` names a Spark
+    collation (e.g. ``"cs"`` puts ``č`` after ``c``).
     Matching goes through an n-gram equi-join (``_indexed_candidates``), so
     neither side is ever paired with all of the other.
     """
@@ -190,7 +192,8 @@ def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", na
     ensure_checkpoint_dir(latest.sparkSession)
     latest = latest.checkpoint(eager=True)
     pairs = _indexed_candidates(latest, t, name, mode)
-    w = Window.partitionBy("term").orderBy(F.col(name).asc())
+    by = F.col(name) if collation is None else F.collate(F.col(name), collation)
+    w = Window.partitionBy("term").orderBy(by.asc(), F.col(name).asc())
     ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long"))
     if k is not None:
         ranked = ranked.where(F.col("rank") <= k)
@@ -199,11 +202,12 @@ def search_latest(latest: DataFrame, terms: DataFrame, *, term: str = "term", na
 
 def last_value_for(latest: DataFrame, terms: DataFrame, *, term: str = "term", name: str = "name",
                    value: str = "max_weight", k: int = SEARCH_LIMIT, min_len: int = SEARCH_MIN_LEN,
-                   mode: str = "pattern") -> DataFrame:
+                   mode: str = "pattern", collation: str | None = None) -> DataFrame:
     """L3: per term, the first of its (at most ``k``) search hits whose name
     equals the term case-insensitively; nothing when that hit's value is
     NULL (the client hides an empty last value)."""
-    hits = search_latest(latest, terms, term=term, name=name, k=k, min_len=min_len, mode=mode)
+    hits = search_latest(latest, terms, term=term, name=name, k=k, min_len=min_len, mode=mode,
+                         collation=collation)
     exact = hits.where(F.lower(F.col(name)) == F.lower(php_trim(F.col("term"))))
     w = Window.partitionBy("term").orderBy("rank")
     first = exact.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")

@@ -259,3 +259,13 @@ def test_php_coercions_against_model(spark):
                  if math.isfinite(f) and abs(f) < 1e6 else None)
             want_w = d if d is not None and abs(d) < 10000 else None
             assert got[i][1] == want_w, (t, p)
+
+
+def test_search_collation(spark):
+    l1 = spark.createDataFrame([(n, Decimal(1)) for n in ["dx", "čx", "cx", "bx", "Ax"]],
+                               "name string, max_weight decimal(6,2)")
+    terms = spark.createDataFrame([("x",)], "term string")
+    binary = [r.name for r in latest.search_latest(l1, terms, min_len=1).orderBy("rank").collect()]
+    czech = [r.name for r in latest.search_latest(l1, terms, min_len=1, collation="cs").orderBy("rank").collect()]
+    assert binary == ["Ax", "bx", "cx", "dx", "čx"]
+    assert czech == ["Ax", "bx", "cx", "čx", "dx"]
