@@ -122,6 +122,8 @@ def validated(changes: DataFrame, gyms: DataFrame, members: DataFrame, *, gym_id
     missing = (F.when(is_add, F.col("h") == 0).otherwise(F.col("cid") == 0)
                | (F.size("members") == 0) | F.col("_noname"))
     reason = (F.when(~F.col("op").isin(*OPS) | F.col("op").isNull(), F.lit("unknown_op"))
+              # creates must carry the id the source assigned
+              .when((is_create & F.col("h").isNull()) | (is_add & F.col("cid").isNull()), F.lit("missing_id"))
               .when(is_create & (F.col("gym_id") == 0), F.lit("missing_gym"))
               .when(is_create & F.col("_g").isNull(), F.lit("unknown_gym"))
               .when(F.col("op").isin(FINISH_HEADER, DELETE_HEADER) & (F.col("h") == 0), F.lit("missing_id"))

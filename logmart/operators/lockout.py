@@ -8,7 +8,8 @@ whole seconds:
    neither checked nor recorded;
 3. else a success clears the list (``ok``), a failure is appended
    (``invalid``);
-4. a ``reset`` (logout) always clears the list (``reset``).
+4. a ``reset`` (logout) always clears the list (``reset``);
+5. any other kind is a failed attempt.
 
 Each outcome depends on earlier outcomes (a blocked attempt is not
 recorded), so this is a sequential fold, not a window count. The plan
@@ -89,7 +90,7 @@ def _fold_partitions(max_attempts: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = SegmentFold(max_attempts, window)
         for pdf in batches:
-            yield pdf[["_k", "_rid", "_ts", "_kind"]].assign(outcome=fold.outcomes(pdf))
+            yield pdf[["_k", "_rid", "_ts", "_kind_in"]].assign(outcome=fold.outcomes(pdf))
     return run
 
 
@@ -135,20 +136,24 @@ def lockout(attempts: DataFrame, *, key: str = "key", ts: str = "ts", attempt_id
             kind: str = "kind", max_attempts: int = LOCKOUT_MAX_ATTEMPTS,
             window: int = LOCKOUT_WINDOW_SECONDS, partitions: int | None = None) -> DataFrame:
     """Every attempt with its ``outcome`` (ok / invalid / blocked / reset)."""
+    # any kind other than success / reset counts as a failed attempt, in the
+    # fold and in the per-segment failure count alike; the input kind is kept
     a = attempts.select(F.col(key).alias("_k"), F.col(attempt_id).alias("_rid"), F.col(ts).alias("_ts"),
-                        F.col(kind).alias("_kind"))
+                        F.col(kind).alias("_kind_in"),
+                        F.when(F.col(kind).isin(SUCCESS, RESET), F.col(kind)).otherwise(F.lit(FAIL)).alias("_kind"))
     a = segments(a.withColumn("_t", epoch_seconds("_ts")), window)
     # failures per segment: a partially aggregated count, joined back
     fails = a.groupBy("_k", "_seg").agg(F.sum((F.col("_kind") == FAIL).cast("int")).alias("_segfails"))
     a = a.join(fails, ["_k", "_seg"])
     simple = a.where(F.col("_segfails") < max_attempts).withColumn(
         "outcome", F.when(F.col("_kind") == "reset", RESET).when(F.col("_kind") == SUCCESS, OK).otherwise(INVALID))
-    hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind")
+    hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind",
+                                                              "_kind_in")
     n = partitions or attempts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     hard_sorted = hard.repartition(int(n), "_k", "_seg").sortWithinPartitions("_k", "_seg", "_ts", "_rid")
     out_schema = (f"_k {a.schema['_k'].dataType.simpleString()}, _rid {a.schema['_rid'].dataType.simpleString()}, "
-                  "_ts timestamp_ntz, _kind string, outcome string")
+                  f"_ts timestamp_ntz, _kind_in {a.schema['_kind_in'].dataType.simpleString()}, outcome string")
     hard_out = hard_sorted.mapInPandas(_fold_partitions(max_attempts, window), out_schema)
     cols = [F.col("_k").alias(key), F.col("_rid").alias(attempt_id), F.col("_ts").alias(ts),
-            F.col("_kind").alias(kind), "outcome"]
+            F.col("_kind_in").alias(kind), "outcome"]
     return simple.select(*cols).unionByName(hard_out.select(*cols))

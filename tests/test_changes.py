@@ -223,3 +223,10 @@ def test_stream_changes_equals_batch(spark, seed, tmp_path):
         tuple(r) for r in whole["exercise_body_parts"].collect())
     assert {r.id: r.finished_at for r in got.workouts.collect()} == {
         r.id: r.finished_at for r in whole["workouts"].collect()}
+
+
+def test_create_without_assigned_id(spark, seed):
+    rows = [("create_header", None, None, {"gym_id": 1}), ("add_child", None, None, {"workout_id": 1, "name": "x",
+                                                                                       "body_part_ids": [1]})]
+    out = C.apply_changes(base(spark, seed), log(spark, rows))
+    assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == ["rejected:missing_id"] * 2

@@ -90,3 +90,10 @@ def test_stream_equals_batch_over_micro_batches(spark):
     out = run_available_now(lockout_stream(stream, max_attempts=3), "test_lockout_stream")
     streamed = {r.attempt_id: r.outcome for r in out.collect()}
     assert streamed == batch
+
+
+def test_unknown_kind_counts_as_failure(spark):
+    rows = [("e", s, "typo") for s in range(5)] + [("e", 10, "success")]
+    out = lockout(attempts(spark, rows)).orderBy("attempt_id").collect()
+    assert [r.outcome for r in out] == ["invalid"] * 5 + ["blocked"]
+    assert out[0].kind == "typo"
