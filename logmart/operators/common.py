@@ -84,18 +84,19 @@ HOT_GROUP_LIMIT = 100_000
 
 
 def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str = "position",
-               hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+               hot_rows: int | None = None) -> DataFrame:
     """1-based position of each row inside its group (``row_number() OVER
     (PARTITION BY group ORDER BY order)``) that stays parallel when one
     group holds a large share of the table.
 
     Group sizes come from a partially aggregated count. Groups up to
-    ``hot_rows`` rows use the window; larger ("hot") groups are
+    ``hot_rows`` rows (default ``HOT_GROUP_ROWS``) use the window; larger ("hot") groups are
     range-sorted over many partitions and ranked from per-(partition,
     group) counts, a table bounded by hot groups x partitions, so no task
     sorts a whole hot group. ``order`` must make the order total.
     """
     g = keys(group)
+    hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
     hot = sizes.where(F.col("_gn") > hot_rows).select(*g)
     n_hot = hot.limit(HOT_GROUP_LIMIT + 1).count()

@@ -187,3 +187,25 @@ def test_document_for_requested_ids(spark, seed):
     assert [d.id for d in docs] == [3]
     assert [e.name for e in docs[0].exercises] == ["Pull-ups", "Barbell row", "Lat pulldown", "Bicep curl",
                                                     "Hammer curl"]
+
+
+def test_hot_header_positions(spark, seed, monkeypatch):
+    """One header holds most children: with a low hot-group threshold the
+    positions come from the distributed path and equal row_number()."""
+    import datetime as dt
+
+    from pyspark.sql import Window
+
+    from fixtures import NOW
+    from logmart import schemas as S
+    from logmart.operators import common
+    hot = [(1000 + i, 5, f"Set {i % 17}", None, Decimal(i % 90), (i * 7) % 50 or None, NOW) for i in range(400)]
+    e = seed["exercises"].unionByName(spark.createDataFrame(hot, S.EXERCISES))
+    w = Window.partitionBy("workout_id").orderBy(F.col("sort_order").asc_nulls_last(), F.col("id"))
+    want = {r.id: r.p for r in e.withColumn("p", F.row_number().over(w)).collect()}
+    monkeypatch.setattr(common, "HOT_GROUP_ROWS", 50)
+    got = {r.id: r.position for r in listing.ordered_children(e.repartition(5)).collect()}
+    assert got == want
+    rows = nest.header_document_rows(seed["workouts"], seed["gyms"], e, seed["exercise_body_parts"],
+                                     seed["body_parts"]).collect()
+    assert {r.child_id: r.position for r in rows if r.child_id is not None} == want
