@@ -279,11 +279,11 @@ def ordered_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bridge_members", f"""SELECT m.s_suppkey, CAST(m.mid AS INTEGER) AS body_part_id, m.mname AS member_name,
   CAST(row_number() OVER (PARTITION BY m.s_suppkey ORDER BY m.mid) AS BIGINT) AS position
 FROM ({_REGION_MEMBER_SQL}) m
-WHERE m.s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+WHERE m.s_suppkey IN (SELECT l_suppkey FROM lineitem)""")
 def bridge_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the suppliers of returned lines (batch IN)."""
+    """Members of the suppliers named by the lines (batch IN)."""
     from logmart.operators.listing import bridge_members as op
-    ids = D.children(spark, sf_dir).where(F.col("l_returnflag") == "R").select(F.col("l_suppkey").alias("id"))
+    ids = D.children(spark, sf_dir).select(F.col("l_suppkey").alias("id"))
     return op(D.bridge(spark, sf_dir), D.members(spark, sf_dir), ids, bridge_child="s_suppkey")
 
 
