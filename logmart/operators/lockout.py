@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmart.schemas import LOCKOUT_MAX_ATTEMPTS, LOCKOUT_WINDOW_SECONDS
+from logmart.session import ensure_checkpoint_dir
 
 # Outcome labels (HTTP 200 / 401 / 429 of the source, and
 # the logout).
@@ -122,6 +123,9 @@ def segments(a: DataFrame, window: int) -> DataFrame:
     # within the bucket: the last break at or before the row
     a = a.withColumn("_sb", F.last(F.when(F.col("_brk"), order), ignorenulls=True).over(
         wb.rowsBetween(Window.unboundedPreceding, 0)))
+    # read twice below (bucket summary and the row join): compute it once
+    ensure_checkpoint_dir(a.sparkSession)
+    a = a.checkpoint(eager=True)
     # across buckets: segment still open at the end of each bucket
     summ = a.groupBy("_k", "_b").agg(F.max_by(F.when(F.col("_brk"), order), F.when(F.col("_brk"), order))
                                      .alias("_lastbrk"))
@@ -144,7 +148,8 @@ def lockout(attempts: DataFrame, *, key: str = "key", ts: str = "ts", attempt_id
     a = segments(a.withColumn("_t", epoch_seconds("_ts")), window)
     # failures per segment: a partially aggregated count, joined back
     fails = a.groupBy("_k", "_seg").agg(F.sum((F.col("_kind") == FAIL).cast("int")).alias("_segfails"))
-    a = a.join(fails, ["_k", "_seg"])
+    # both outcome paths read the segmented attempts: materialise them once
+    a = a.join(fails, ["_k", "_seg"]).checkpoint(eager=True)
     simple = a.where(F.col("_segfails") < max_attempts).withColumn(
         "outcome", F.when(F.col("_kind") == "reset", RESET).when(F.col("_kind") == SUCCESS, OK).otherwise(INVALID))
     hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind",
