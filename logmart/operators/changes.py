@@ -397,8 +397,10 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
     unowned = child_ops.where(F.col("h").isNull()).select(
         "seq", "ts", "op", F.when(F.col("op") == UPDATE_CHILD, F.lit(rejected("not_found")))
         .otherwise(F.lit(NOOP)).alias("outcome"))
+    # routed ops feed the touched set, the named set and the fold: resolve
+    # the owners once
     routed = good.where(F.col("op").isin(*HEADER_OPS)).unionByName(
-        child_ops.where(F.col("h").isNotNull()).drop("_o"))
+        child_ops.where(F.col("h").isNotNull()).drop("_o")).checkpoint(eager=True)
     touched = routed.select("h").distinct()
     named = routed.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
     # children of the headers the log touches: the only base rows the fold
