@@ -56,7 +56,7 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
         "exercises": spark.createDataFrame(exercises, S.EXERCISES),
         "exercise_body_parts": spark.createDataFrame(bridge, S.EXERCISE_BODY_PARTS),
         "projects": spark.createDataFrame([
-            (1, "LiftLog", "Mobile-first fitness tracker for logging workouts, exercises, and progress.", None,
+            (1, "Workout tracker", "Mobile-first tracker for logging workouts, exercises, and progress.", None,
              ["HTML", "CSS", "JavaScript", "PHP", "PostgreSQL"], 1, True, NOW),
             (2, "Wedding Guest Page", "Minimal webpage for wedding guests with RSVP.", None,
              ["HTML", "CSS"], 2, True, NOW)], S.PROJECTS),
