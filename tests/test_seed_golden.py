@@ -209,3 +209,22 @@ def test_hot_header_positions(spark, seed, monkeypatch):
     rows = nest.header_document_rows(seed["workouts"], seed["gyms"], e, seed["exercise_body_parts"],
                                      seed["body_parts"]).collect()
     assert {r.child_id: r.position for r in rows if r.child_id is not None} == want
+
+
+def test_document_json_shape(spark, seed, tmp_path):
+    """The nested document written as JSON has the source API's shape,
+    NULL values kept."""
+    import json
+
+    from logmart.sources import io
+    docs = nest.header_documents(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
+                                 seed["body_parts"]).where("id = 1")
+    io.write_json(docs, str(tmp_path / "doc"))
+    line = json.loads(spark.read.text(str(tmp_path / "doc")).first().value)
+    assert list(line) == ["id", "started_at", "finished_at", "notes", "gym_name", "exercises"]
+    assert line["notes"] is None and line["gym_name"] == "Chlumec - Bonasus"
+    first = line["exercises"][0]
+    assert list(first) == ["id", "name", "machine", "max_weight", "body_parts"]
+    assert (first["name"], first["machine"], first["max_weight"]) == ("Squat", "Smith machine", 80.0)
+    assert line["exercises"][3]["max_weight"] is None
+    assert first["body_parts"] == [{"id": 1, "name": "legs"}]
