@@ -97,3 +97,21 @@ def test_unknown_kind_counts_as_failure(spark):
     out = lockout(attempts(spark, rows)).orderBy("attempt_id").collect()
     assert [r.outcome for r in out] == ["invalid"] * 5 + ["blocked"]
     assert out[0].kind == "typo"
+
+
+def test_stream_marks_late_rows(spark):
+    """A row older than the last attempt already seen for its key (but
+    inside the watermark) is emitted as 'late' and leaves the state alone."""
+    first = [("k", 100, "fail"), ("k", 200, "fail")]
+    second = [("k", 150, "fail"), ("k", 210, "fail"), ("j", 5, "success")]
+    src = tempfile.mkdtemp(prefix="logmart-late-")
+    a1 = attempts(spark, first)
+    a2 = spark.createDataFrame([(k, 10 + i, T0 + dt.timedelta(seconds=s), kind) for i, (k, s, kind) in
+                                enumerate(second)], S.ATTEMPTS)
+    a1.coalesce(1).write.parquet(os.path.join(src, "b0"))
+    a2.coalesce(1).write.parquet(os.path.join(src, "b1"))
+    stream = (spark.readStream.schema(S.ATTEMPTS).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    out = run_available_now(lockout_stream(stream, max_attempts=3), "test_lockout_late")
+    got = {r.attempt_id: r.outcome for r in out.collect()}
+    assert got == {1: "invalid", 2: "invalid", 10: "late", 11: "invalid", 12: "ok"}
