@@ -393,14 +393,15 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
     owners = (base_children.join(child_cids, "cid", "left_semi").select("cid", F.col("h").alias("_o"))
               .unionByName(good.where(F.col("op") == ADD_CHILD).select("cid", F.col("h").alias("_o"))))
     owners = owners.groupBy("cid").agg(F.min("_o").alias("_o"))
-    child_ops = good.where(F.col("op").isin(*CHILD_OPS)).join(owners, "cid", "left").withColumn("h", F.col("_o"))
-    unowned = child_ops.where(F.col("h").isNull()).select(
+    child_ops = (good.where(F.col("op").isin(*CHILD_OPS)).join(owners, "cid", "left")
+                 .withColumn("h", F.col("_o")).drop("_o"))
+    # all ops with their header feed the touched set, the named set, the fold
+    # and the verdicts of unowned child ops: resolve the owners once
+    resolved = good.where(F.col("op").isin(*HEADER_OPS)).unionByName(child_ops).checkpoint(eager=True)
+    unowned = resolved.where(F.col("h").isNull() & F.col("op").isin(*CHILD_OPS)).select(
         "seq", "ts", "op", F.when(F.col("op") == UPDATE_CHILD, F.lit(rejected("not_found")))
         .otherwise(F.lit(NOOP)).alias("outcome"))
-    # routed ops feed the touched set, the named set and the fold: resolve
-    # the owners once
-    routed = good.where(F.col("op").isin(*HEADER_OPS)).unionByName(
-        child_ops.where(F.col("h").isNotNull()).drop("_o")).checkpoint(eager=True)
+    routed = resolved.where(F.col("h").isNotNull() | ~F.col("op").isin(*CHILD_OPS))
     touched = routed.select("h").distinct()
     named = routed.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
     # children of the headers the log touches: the only base rows the fold
