@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from logmart import schemas as S
 from logmart.functions.coerce import empty_to_null, is_blank, php_int, php_trim, weight_out_of_range, weight_value
 from logmart.operators.common import fits
-from logmart.session import ensure_checkpoint_dir
+from logmart.session import ensure_checkpoint_dir, shuffle_partitions
 from logmart.sources.io import parse_payload
 
 # Operation names and outcome texts.
@@ -428,7 +428,7 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
                                    F.lit(None).cast("boolean").alias("exists"),
                                    F.lit(None).cast("int").alias("base_max"),
                                    F.lit(None).cast("int").alias("sort_order"), "member_reason", *PASS)))
-    n = int(partitions or changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shuffle_partitions(changes.sparkSession)
     done = (fold_in.repartition(n, "h").sortWithinPartitions("h", "phase", "seq", "cid")
             .mapInPandas(_fold, FOLD_OUT))
     # the verdicts (with their request fields) feed every output: cut the

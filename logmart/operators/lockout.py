@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmart.schemas import LOCKOUT_MAX_ATTEMPTS, LOCKOUT_WINDOW_SECONDS
-from logmart.session import ensure_checkpoint_dir
+from logmart.session import ensure_checkpoint_dir, shuffle_partitions
 
 # Outcome labels (HTTP 200 / 401 / 429 of the source, and
 # the logout).
@@ -154,7 +154,7 @@ def lockout(attempts: DataFrame, *, key: str = "key", ts: str = "ts", attempt_id
         "outcome", F.when(F.col("_kind") == "reset", RESET).when(F.col("_kind") == SUCCESS, OK).otherwise(INVALID))
     hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind",
                                                               "_kind_in")
-    n = partitions or attempts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n = partitions or shuffle_partitions(attempts.sparkSession)
     hard_sorted = hard.repartition(int(n), "_k", "_seg").sortWithinPartitions("_k", "_seg", "_ts", "_rid")
     out_schema = (f"_k {a.schema['_k'].dataType.simpleString()}, _rid {a.schema['_rid'].dataType.simpleString()}, "
                   f"_ts timestamp_ntz, _kind_in {a.schema['_kind_in'].dataType.simpleString()}, outcome string")

@@ -77,3 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (snapshots, stream sinks) that must survive executor loss."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "logmart", name)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partition count for an explicit repartition: the session's shuffle
+    partitions, or the default parallelism when that is not a number
+    (some platforms set it to ``auto``)."""
+    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    try:
+        return max(1, int(value))
+    except ValueError:
+        return max(1, spark.sparkContext.defaultParallelism)
