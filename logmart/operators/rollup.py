@@ -26,6 +26,10 @@ from logmart.operators.common import Keys, bounded_broadcast, desc_pg, keys
 from logmart.schemas import DEFAULT_PAGE_SIZE, TOTAL_MEMBERS
 from logmart.session import ensure_checkpoint_dir
 
+# Pages up to this many headers filter children with a literal IN list
+# (pushed to the scan); larger ones use a broadcast semi join.
+PUSHDOWN_IN_LIMIT = 10_000
+
 
 def _pairs(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys,
            bridge_child: Keys, bridge_member: str) -> DataFrame:
@@ -148,10 +152,17 @@ def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: Da
     h = headers.select(header_id, header_fk, started, finished)
     order = [desc_pg(started), desc_pg(header_id)]
     if limit is not None:
-        h = bounded_broadcast(_verified_page(h, dims, order, limit, offset, header_fk, dim_id,
-                                             not assume_fk_integrity), limit)
-        kids = children.join(
-            bounded_broadcast(h.select(F.col(header_id).alias(child_fk)), limit), child_fk, "left_semi")
+        h = _verified_page(h, dims, order, limit, offset, header_fk, dim_id, not assume_fk_integrity)
+        if limit <= PUSHDOWN_IN_LIMIT:
+            # the page (<= limit ids) becomes a literal IN filter that reaches
+            # the Parquet scan: row groups whose key range misses the page are
+            # skipped, like the source's index on the child's header key
+            ids = [r[0] for r in h.select(header_id).collect()]
+            kids = children.where(F.col(child_fk).isin(ids))
+        else:
+            kids = children.join(
+                bounded_broadcast(h.select(F.col(header_id).alias(child_fk)), limit), child_fk, "left_semi")
+        h = bounded_broadcast(h, limit)
     else:
         kids = children
     named = h.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
