@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmart.operators.common import Keys, asc_pg, bounded_broadcast, group_rank, keys
+from logmart.operators.rollup import PUSHDOWN_IN_LIMIT
 
 MEMBER_T = "array<struct<id:int,name:string>>"
 
@@ -69,10 +70,18 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
     children appear once with NULL child fields and ``position`` NULL.
 
     ``header_ids`` (column ``id``) restricts the documents to requested
-    headers, as the single-document endpoint does; headers and children are
-    semi-joined to it before any nesting (broadcast when ``max_ids`` bounds
-    the request)."""
-    if header_ids is not None:
+    headers, as the single-document endpoint does. With ``max_ids`` (a
+    bound on the request) the ids become IN filters pushed to the header
+    and child scans; without it, headers and children are semi-joined to
+    the request."""
+    if header_ids is not None and max_ids is not None and max_ids <= PUSHDOWN_IN_LIMIT:
+        # a bounded request becomes literal IN filters pushed to both scans
+        wanted = [r[0] for r in header_ids.select("id").distinct().limit(max_ids + 1).collect()]
+        if len(wanted) > max_ids:
+            raise ValueError(f"more than max_ids={max_ids} header ids requested")
+        headers = headers.where(F.col(header_id).isin(wanted))
+        children = children.where(F.col(child_fk).isin(wanted))
+    elif header_ids is not None:
         req = bounded_broadcast(header_ids.select(F.col("id").alias("_rid")).distinct(), max_ids)
         headers = headers.join(req, F.col(header_id) == F.col("_rid"), "left_semi")
         children = children.join(req, F.col(child_fk) == F.col("_rid"), "left_semi")
