@@ -57,11 +57,19 @@ def header_by_id(headers: DataFrame, dims: DataFrame, ids: DataFrame, *, id_col:
                  max_ids: int | None = None) -> DataFrame:
     """Look up requested header ids; ``found`` is false when the header
     (or its dimension row, the inner join) is missing. ``max_ids`` bounds
-    the request table so it may be broadcast."""
+    the request: it is then pushed to the header scan as an IN filter and
+    broadcast."""
+    req = ids.select(F.col(id_col).alias("requested_id")).distinct()
+    if max_ids is not None and max_ids <= 10_000:
+        # a bounded request is pushed to the header scan as an IN filter
+        wanted = [r[0] for r in req.limit(max_ids + 1).collect()]
+        if len(wanted) > max_ids:
+            raise ValueError(f"more than max_ids={max_ids} ids requested")
+        headers = headers.where(F.col(header_id).isin(wanted))
     named = headers.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                          F.col(header_fk) == F.col("_gid")).select(
         F.col(header_id).alias("_hid"), *header_cols, "gym_name")
-    req = bounded_broadcast(ids.select(F.col(id_col).alias("requested_id")).distinct(), max_ids)
+    req = bounded_broadcast(req, max_ids)
     return req.join(named, F.col("requested_id") == F.col("_hid"), "left").select(
         "requested_id", F.col("_hid").isNotNull().alias("found"), *header_cols, "gym_name")
 

@@ -228,3 +228,11 @@ def test_document_json_shape(spark, seed, tmp_path):
     assert (first["name"], first["machine"], first["max_weight"]) == ("Squat", "Smith machine", 80.0)
     assert line["exercises"][3]["max_weight"] is None
     assert first["body_parts"] == [{"id": 1, "name": "legs"}]
+
+
+def test_header_by_id_found_flag(spark, seed):
+    ids = spark.createDataFrame([(2,), (9,)], "id long")
+    for max_ids in (None, 2):
+        got = {r.requested_id: (r.found, r.gym_name) for r in listing.header_by_id(
+            seed["workouts"], seed["gyms"], ids, max_ids=max_ids).collect()}
+        assert got == {2: (True, "Poděbrady - 24"), 9: (False, None)}
