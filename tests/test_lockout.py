@@ -115,3 +115,17 @@ def test_stream_marks_late_rows(spark):
     out = run_available_now(lockout_stream(stream, max_attempts=3), "test_lockout_late")
     got = {r.attempt_id: r.outcome for r in out.collect()}
     assert got == {1: "invalid", 2: "invalid", 10: "late", 11: "invalid", 12: "ok"}
+
+
+def test_hot_key_with_pauses_against_replay(spark):
+    """One key holds most attempts; bursts and pauses cross many time
+    buckets, so segments and the carry between buckets are exercised."""
+    rnd = random.Random(29)
+    rows, t = [], 0
+    for _ in range(2000):
+        t += rnd.choice([0, 1, 2, 3, 7, 20, 49, 50, 51, 120])
+        key = "hot" if rnd.random() < 0.8 else rnd.choice("uvw")
+        rows.append((key, t, rnd.choice(["fail"] * 7 + ["success", "reset"])))
+    got = outcomes(lockout(attempts(spark, rows), max_attempts=4, window=50))
+    assert got == replay(rows, 4, 50)
+    assert got.count("blocked") > 50
