@@ -230,3 +230,45 @@ def test_create_without_assigned_id(spark, seed):
                                                                                        "body_part_ids": [1]})]
     out = C.apply_changes(base(spark, seed), log(spark, rows))
     assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == ["rejected:missing_id"] * 2
+
+
+def test_large_random_log_several_headers(spark, seed):
+    """200 interleaved adds and deletes over three headers (one of them
+    deleted midway) against the brute-force replay."""
+    rnd = random.Random(41)
+    rows, next_id, ids = [], 9000, []
+    for i in range(200):
+        r = rnd.random()
+        if r < 0.55 or not ids:
+            rows.append(add(rnd.choice([100, 100, 100, 101, 102]), next_id))
+            ids.append(next_id)
+            next_id += 1
+        elif r < 0.98:
+            rows.append(("delete_child", None, None, {"id": rnd.choice(ids)}))
+        else:
+            rows.append(("delete_header", None, None, {"id": 101}))
+    t = base(spark, seed, empty=True)
+    t.workouts = spark.createDataFrame([(h, 1, T0, None, None, T0) for h in (100, 101)], S.WORKOUTS)
+    out = C.apply_changes(t, log(spark, rows))
+
+    headers = {100: True, 101: True}
+    kids, expected = {}, []
+    for op, h, c, p in rows:
+        if op == "add_child":
+            hh = int(p["workout_id"])
+            if not headers.get(hh):
+                expected.append("rejected:unknown_header")
+                continue
+            kids[c] = (hh, max([s for (x, s) in kids.values() if x == hh] or [0]) + 1)
+            expected.append("ok")
+        elif op == "delete_child":
+            expected.append("ok" if kids.pop(int(p["id"]), None) else "noop")
+        else:
+            if headers.get(101):
+                headers[101] = False
+                kids = {k: v for k, v in kids.items() if v[0] != 101}
+                expected.append("ok")
+            else:
+                expected.append("noop")
+    assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == expected
+    assert {r.id: (r.workout_id, r.sort_order) for r in out["exercises"].collect()} == kids
