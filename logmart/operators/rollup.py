@@ -43,6 +43,22 @@ def _pairs(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_k
     return c.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
 
 
+def _counts_and_sets(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys,
+                     bridge_child: Keys, bridge_member: str) -> tuple[DataFrame, DataFrame]:
+    """One scan of the children for both rollups: a partial aggregate per
+    (header, bridge key) gives the child count per header (``_hk,
+    exercise_count``) and, through the bridge, the distinct (header,
+    member) pairs (``_hk, _m``)."""
+    ck, bk = keys(child_bridge_key), keys(bridge_child)
+    kcols = [f"_bk{i}" for i in range(len(ck))]
+    per_key = children.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = per_key.groupBy("_hk").agg(F.sum("_n").alias("exercise_count"))
+    b = bridge.select(*[F.col(a).alias(k) for a, k in zip(bk, kcols)], F.col(bridge_member).alias("_m"))
+    pairs = per_key.join(b, kcols).select("_hk", "_m").distinct()
+    return counts, pairs
+
+
 def child_count(headers: DataFrame, children: DataFrame, *, header_id: str = "id",
                 child_fk: str = "workout_id", out: str = "exercise_count") -> DataFrame:
     """A1: number of children per header, 0 when it has none."""
@@ -167,12 +183,7 @@ def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: Da
         kids = children
     named = h.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                    F.col(header_fk) == F.col("_gid"), "inner")
-    ck, bk = keys(child_bridge_key), keys(bridge_child)
-    per_key = kids.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)]) \
-        .agg(F.count(F.lit(1)).alias("_n"))
-    counts = per_key.groupBy("_hk").agg(F.sum("_n").alias("exercise_count"))
-    b = bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
-    pairs = per_key.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
+    counts, pairs = _counts_and_sets(kids, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
     sets = pairs.groupBy(F.col("_hk").alias("_hk2")).agg(F.array_sort(F.collect_list("_m")).alias("body_part_ids"))
     elem = bridge.schema[bridge_member].dataType.simpleString()
     out = (named.join(counts, F.col(header_id) == F.col("_hk"), "left")
@@ -274,8 +285,9 @@ def header_summary(headers: DataFrame, dims: DataFrame, children: DataFrame, bri
     from logmart.functions.labels import session_minutes
     named = headers.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                          F.col(header_fk) == F.col("_gid")).drop("_gid")
-    counted = child_count(named, children, header_id=header_id, child_fk=child_fk)
-    pairs = _pairs(children, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
+    counts, pairs = _counts_and_sets(children, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
+    counted = (named.join(counts, F.col(header_id) == F.col("_hk"), "left").drop("_hk")
+               .withColumn("exercise_count", F.coalesce(F.col("exercise_count"), F.lit(0)).cast("long")))
     md = member_dim.select(F.col(member_id).alias("_m"), F.col(member_name).alias("_mn"),
                            F.col(member_sort).alias("_ms"))
     names = pairs.join(md, "_m").groupBy("_hk").agg(F.array_sort(F.collect_list(F.struct(
