@@ -272,3 +272,16 @@ def test_large_random_log_several_headers(spark, seed):
                 expected.append("noop")
     assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == expected
     assert {r.id: (r.workout_id, r.sort_order) for r in out["exercises"].collect()} == kids
+
+
+def test_empty_inputs(spark, seed):
+    from logmart.operators import latest, lockout as L
+    from logmart.operators.common import global_rank, group_rank
+    out = C.apply_changes(base(spark, seed), spark.createDataFrame([], S.CHANGES))
+    assert out["outcomes"].count() == 0 and out["exercises"].count() == 24
+    assert L.lockout(spark.createDataFrame([], S.ATTEMPTS)).count() == 0
+    l1 = latest.latest_values(seed["exercises"], seed["workouts"])
+    assert latest.search_latest(l1, spark.createDataFrame([], "term string")).count() == 0
+    empty = spark.createDataFrame([], "id long, g long")
+    assert global_rank(empty, [F.col("id")]).count() == 0
+    assert group_rank(empty, "g", [F.col("id")], hot_rows=0).count() == 0
