@@ -124,6 +124,8 @@ def _verified_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: in
     want = offset + limit
     take = want
     spark = h.sparkSession
+    if want <= PUSHDOWN_IN_LIMIT:
+        return _small_page(h, dims, order, limit, offset, header_fk, dim_id, check_fk)
     ensure_checkpoint_dir(spark)
     while True:
         cand = h.orderBy(*order).limit(take).checkpoint(eager=True)
@@ -139,6 +141,27 @@ def _verified_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: in
         take = max(2 * take, take + (want - n_ok))
 
 
+def _small_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: int, offset: int,
+                header_fk: str, dim_id: str, check_fk: bool) -> DataFrame:
+    """``_verified_page`` for pages of at most ``PUSHDOWN_IN_LIMIT``
+    candidates: the top candidates are fetched (a bounded top-k, as a page
+    is), their dimension keys are looked up with an IN filter pushed to the
+    dimension scan, and the page is returned as a small local DataFrame.
+    Two short jobs instead of a checkpoint and several counts."""
+    want, take = offset + limit, offset + limit
+    while True:
+        cand = h.orderBy(*order).limit(take).collect()
+        ok = cand
+        if check_fk and cand:
+            wanted = list({r[header_fk] for r in cand if r[header_fk] is not None})
+            found = {r[0] for r in dims.where(F.col(dim_id).isin(wanted)).select(dim_id).distinct().collect()}
+            ok = [r for r in cand if r[header_fk] in found]
+        if not check_fk or len(ok) >= want or len(cand) < take:
+            break
+        take = max(2 * take, take + (want - len(ok)))
+    return h.sparkSession.createDataFrame(ok[offset:offset + limit], h.schema)
+
+
 def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: DataFrame, *,
             limit: int | None = DEFAULT_PAGE_SIZE, offset: int = 0,
             k: int | Column | None = TOTAL_MEMBERS, member_dim: DataFrame | None = None,
