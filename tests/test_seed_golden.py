@@ -236,3 +236,19 @@ def test_header_by_id_found_flag(spark, seed):
         got = {r.requested_id: (r.found, r.gym_name) for r in listing.header_by_id(
             seed["workouts"], seed["gyms"], ids, max_ids=max_ids).collect()}
         assert got == {2: (True, "Poděbrady - 24"), 9: (False, None)}
+
+
+def test_history_distributed_page_path(spark, seed, monkeypatch):
+    """The path for pages above the IN-list limit (checkpointed candidates,
+    broadcast keys, semi-joined children) gives the same pages."""
+    import datetime as dt
+
+    from fixtures import NOW
+    from logmart import schemas as S
+    monkeypatch.setattr(rollup, "PUSHDOWN_IN_LIMIT", 0)
+    orphans = [(100 + i, 77, NOW + dt.timedelta(hours=i), None, None, NOW) for i in range(6)]
+    w = seed["workouts"].unionByName(spark.createDataFrame(orphans, S.WORKOUTS))
+    args = (w, seed["gyms"], seed["exercises"], seed["exercise_body_parts"])
+    page = rollup.history(*args, limit=2, offset=1).collect()
+    assert [(r.rank, r.id, r.exercise_count) for r in page] == [(2, 4, 4), (3, 3, 5)]
+    assert [r.id for r in rollup.history(*args, limit=20).collect()] == [5, 4, 3, 2, 1]
