@@ -41,11 +41,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmart import schemas as S
-from logmart.functions.coerce import empty_to_null, is_blank, php_int, php_trim, weight_out_of_range, weight_value
+from logmart.functions.coerce import empty_to_null, php_int, php_trim, weight_value
 from logmart.operators.common import fits
 from logmart.session import ensure_checkpoint_dir, shuffle_partitions
 from logmart.sources.io import parse_payload
