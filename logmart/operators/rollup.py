@@ -13,8 +13,12 @@ Scale notes
   of children: ``(header, member)`` pairs are made distinct first.
 * ``history`` pages first: the ``offset + limit`` newest headers come from
   a per-partition top-k (``TakeOrderedAndProject``), orphans are removed
-  from those candidates only, and only the page's children are
-  aggregated. Broadcast sides are bounded by ``offset + limit``.
+  from those candidates only (an IN lookup pushed to the dimension scan
+  for ordinary pages), and the page's ids reach the children scan as an IN
+  filter. Children are scanned once for counts and member sets
+  (``_counts_and_sets``). Broadcast sides are bounded by ``offset + limit``.
+* A6/A7 work per (header, bridge key) and join back on both keys, so a
+  hot header is not funnelled into one join partition.
 """
 
 from __future__ import annotations
