@@ -86,9 +86,10 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
         headers = headers.join(req, F.col(header_id) == F.col("_rid"), "left_semi")
         children = children.join(req, F.col(child_fk) == F.col("_rid"), "left_semi")
     ids = keys(child_id)
-    kids = nest_members(children, bridge, member_dim, child_bridge_key=child_bridge_key,
+    # rank the plain children (a narrow scan for the group sizes), then nest
+    ranked = group_rank(children, child_fk, [asc_pg(child_sort), *[F.col(c).asc() for c in ids]], "position")
+    kids = nest_members(ranked, bridge, member_dim, child_bridge_key=child_bridge_key,
                         bridge_child=bridge_child, **member_cols)
-    kids = group_rank(kids, child_fk, [asc_pg(child_sort), *[F.col(c).asc() for c in ids]], "position")
     h = _doc_headers(headers, dims, header_id, header_fk, dim_id, dim_name, list(header_cols))
     names = child_names(h.columns, [*ids, child_sort, *child_cols])
     kids = kids.select(F.col(child_fk).alias("_hk"), *[F.col(c).alias(a) for c, a in names.items()],
