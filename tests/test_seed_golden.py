@@ -252,3 +252,28 @@ def test_history_distributed_page_path(spark, seed, monkeypatch):
     page = rollup.history(*args, limit=2, offset=1).collect()
     assert [(r.rank, r.id, r.exercise_count) for r in page] == [(2, 4, 4), (3, 3, 5)]
     assert [r.id for r in rollup.history(*args, limit=20).collect()] == [5, 4, 3, 2, 1]
+
+
+def test_readme_usage(spark, seed, tmp_path):
+    """The README's usage example, on the seed written as Parquet."""
+    import json
+
+    from logmart.operators import changes
+    from logmart.sources.io import read_changes, read_tables, write_json
+    for name in ("projects", "gyms", "body_parts", "workouts", "exercises", "exercise_body_parts"):
+        seed[name].write.parquet(str(tmp_path / f"{name}.parquet"))
+    t = read_tables(spark, str(tmp_path))
+    page = rollup.history(t["workouts"], t["gyms"], t["exercises"], t["exercise_body_parts"], limit=50, offset=0)
+    assert [r.id for r in page.collect()] == [5, 4, 3, 2, 1]
+    l1 = latest.latest_values(t["exercises"], t["workouts"])
+    assert latest.search_latest(l1, spark.createDataFrame([("press",)], "term string")).count() == 4
+    doc = nest.header_documents(t["workouts"], t["gyms"], t["exercises"], t["exercise_body_parts"],
+                                t["body_parts"], header_ids=spark.createDataFrame([(5,)], "id long"), max_ids=1)
+    write_json(doc, str(tmp_path / "out"))
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first().value)["id"] == 5
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text(json.dumps(
+        {"seq": 1, "ts": "2026-01-22T12:00:00", "op": "delete_child", "payload": json.dumps({"id": 24})}) + "\n")
+    tables = changes.Tables(t["gyms"], t["body_parts"], t["workouts"], t["exercises"], t["exercise_body_parts"])
+    result = changes.apply_changes(tables, read_changes(spark, str(tmp_path / "log")))
+    assert result["exercises"].count() == 23 and result["outcomes"].first().outcome == "ok"
