@@ -75,12 +75,12 @@ def header_by_id(headers: DataFrame, dims: DataFrame, ids: DataFrame, *, id_col:
 
 
 def ordered_children(children: DataFrame, *, child_fk: str = "workout_id", sort: str = "sort_order",
-                     child_id: Keys = "id", out: str = "position") -> DataFrame:
+                     child_id: Keys = "id", out: str = "position", hot_rows: int | None = None) -> DataFrame:
     """Children with their position in the header (``sort ASC NULLS
     LAST, id``). ``group_rank`` keeps a header holding a large share of
     all children spread over many tasks."""
     ids = keys(child_id)
-    return group_rank(children, child_fk, [asc_pg(sort), *[F.col(c).asc() for c in ids]], out)
+    return group_rank(children, child_fk, [asc_pg(sort), *[F.col(c).asc() for c in ids]], out, hot_rows=hot_rows)
 
 
 def bridge_members(bridge: DataFrame, dim: DataFrame, child_ids: DataFrame | None = None, *,

@@ -63,7 +63,7 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
                          child_bridge_key: Keys = "id", bridge_child: Keys = "exercise_id",
                          header_cols: tuple[str, ...] = ("id", "started_at", "finished_at", "notes"),
                          header_ids: DataFrame | None = None, max_ids: int | None = None,
-                         **member_cols) -> DataFrame:
+                         hot_rows: int | None = None, **member_cols) -> DataFrame:
     """N2 as rows: one row per child of each (dim-joined) header with the
     header fields, ``position`` in the document (sort_order NULLS LAST,
     then child id) and the child's ordered members. Headers without
@@ -87,7 +87,8 @@ def header_document_rows(headers: DataFrame, dims: DataFrame, children: DataFram
         children = children.join(req, F.col(child_fk) == F.col("_rid"), "left_semi")
     ids = keys(child_id)
     # rank the plain children (a narrow scan for the group sizes), then nest
-    ranked = group_rank(children, child_fk, [asc_pg(child_sort), *[F.col(c).asc() for c in ids]], "position")
+    ranked = group_rank(children, child_fk, [asc_pg(child_sort), *[F.col(c).asc() for c in ids]], "position",
+                        hot_rows=hot_rows)
     kids = nest_members(ranked, bridge, member_dim, child_bridge_key=child_bridge_key,
                         bridge_child=bridge_child, **member_cols)
     h = _doc_headers(headers, dims, header_id, header_fk, dim_id, dim_name, list(header_cols))

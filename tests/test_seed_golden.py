@@ -277,3 +277,13 @@ def test_readme_usage(spark, seed, tmp_path):
     tables = changes.Tables(t["gyms"], t["body_parts"], t["workouts"], t["exercises"], t["exercise_body_parts"])
     result = changes.apply_changes(tables, read_changes(spark, str(tmp_path / "log")))
     assert result["exercises"].count() == 23 and result["outcomes"].first().outcome == "ok"
+
+
+def test_hot_rows_argument(spark, seed):
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("workout_id").orderBy("sort_order", "id")
+    want = {r.id: r.p for r in seed["exercises"].withColumn("p", F.row_number().over(w)).collect()}
+    got = {r.id: r.position for r in listing.ordered_children(seed["exercises"], hot_rows=3).collect()}
+    assert got == want
+    rows = nest.header_document_rows(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
+                                     seed["body_parts"], hot_rows=3).collect()
+    assert {r.child_id: r.position for r in rows} == want
