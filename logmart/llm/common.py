@@ -105,22 +105,39 @@ class Hasher:
         return self.mix(out + U64(k))
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Position of the smallest value in each ``w`` values in a row (the
-    rightmost of equal ones)."""
-    n = len(x) - w + 1
+def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
+    """Place of the smallest hash in each ``w`` hashes in a row (of equal
+    ones the rightmost). Hashes are cut to make room for the place."""
+    n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    at = np.arange(len(x), dtype=np.int64)
+    low = U64((1 << len(h).bit_length()) - 1)
+    m = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     width = 1
     while width * 2 <= w:
-        a, b = at[: len(at) - width], at[width:]
-        at = np.where(x[b] <= x[a], b, a)
+        m = np.minimum(m[: len(m) - width], m[width:])
         width *= 2
     if width < w:
-        a, b = at[:n], at[w - width : w - width + n]
-        at = np.where(x[b] <= x[a], b, a)
-    return at[:n]
+        m = np.minimum(m[:n], m[w - width : w - width + n])
+    return (low - (m & low)).astype(np.int64)
+
+
+def window_anchors(h: np.ndarray, first: np.ndarray, k: int, window: int):
+    """Anchors of all texts in a row; ``h`` has the hash of the k-gram at
+    every place, ``first`` each text's first place (one entry more).
+
+    A window's anchor is its k-gram with the smallest hash; an anchor owns
+    the windows that start in [lo, hi). Gives (text, place, lo, hi), places
+    counted over all texts."""
+    best = sliding_min(h, window - k + 1)
+    sizes = np.diff(first) - window + 1
+    starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + n) for a, n in zip(first[:-1], sizes) if n > 0)])
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 4
+    at = best[starts]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 0) | (np.diff(starts) != 1))))
+    lo, n = starts[new], np.diff(np.append(new, len(starts)))
+    return np.searchsorted(first, lo, side="right") - 1, at[new], lo, lo + n
 
 
 def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

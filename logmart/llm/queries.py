@@ -7,7 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmart.llm import chat_format, jaccard_join, packing, quality_llr, secrets, warc
+from logmart.llm import (
+    chat_format,
+    jaccard_join,
+    packing,
+    quality_llr,
+    secret_scan,
+    substring_dedup,
+    suffix_dedup,
+    warc,
+)
 from logmart.llm.common import table
 from logmart.session import scratch_path
 
@@ -30,6 +39,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -41,7 +56,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.span_digests(secrets.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.span_digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +67,20 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.examples(turns))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {}
