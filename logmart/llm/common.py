@@ -35,7 +35,7 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), *cols)
 
 
-def sub_batches(batch: pa.RecordBatch, text: str, limit: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def sub_batches(batch: pa.RecordBatch, text: str, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """(row offset, UTF-8 texts) slices of a batch of about ``limit`` bytes;
     a longer text is a slice of its own. Null texts are empty."""
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
@@ -68,7 +68,7 @@ class Hasher:
 
     def powers(self, n: int) -> None:
         if n > self.n:
-            self.n = max(n, 1 << 21)
+            self.n = max(n, 1 << 20)
             inv = pow(self.R, -1, 2**64)
             self.pow = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.n, self.R, np.uint64))), dtype=np.uint64)
             self.inv = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.n, inv, np.uint64))), dtype=np.uint64)

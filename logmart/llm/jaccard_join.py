@@ -189,10 +189,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boundary = max(n for n in range(1, 400) if (p := n - -(-n * num // den) + 1) * (p + 1) / 2 <= p * (1 + length))
 
     index = text.mapInArrow(_prefix_rows(shingle, num, den, boundary, often), "key long, sid long, n int")
-    index = index.withColumn("o", F.xxhash64("sid", F.pmod("key", F.lit(STARS))))
-    first = Window.partitionBy("key").orderBy("o", "sid")
-    stars = saved(index.withColumn("p", F.first(F.struct("sid", "n")).over(first)).where(F.col("sid") != F.col("p.sid"))
-                  .select("key", "sid", "n", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn")).distinct())
+    first = Window.partitionBy("key").orderBy(F.xxhash64("sid", F.pmod("key", F.lit(STARS))), "sid")
+    stars = saved(index.withColumns({"pivot": F.first("sid").over(first), "pn": F.first("n").over(first)})
+                  .where("sid <> pivot").select("key", "sid", "n", "pivot", "pn").distinct())
     sized = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
 
     members = stars.select("sid").union(stars.select("pivot")).distinct()

@@ -114,9 +114,10 @@ def repeats(text: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt by doc_id, without null ids. Spans may overlap."""
     anchors = text.mapInArrow(
         _anchors(window), "h long, doc_id long, at int, lo int, hi int")
-    first = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("h").orderBy("doc_id", "at"))
-    met = anchors.withColumn("p", first).where((F.col("doc_id") != F.col("p.doc_id")) | (F.col("at") != F.col("p.at")))
-    chains = met.groupBy("doc_id", F.col("p.doc_id").alias("pivot"), (F.col("at") - F.col("p.at")).alias("diag")).agg(
+    order = Window.partitionBy("h").orderBy("doc_id", "at")
+    met = anchors.withColumns({"pivot": F.first("doc_id").over(order), "p_at": F.first("at").over(order)}).where(
+        "doc_id <> pivot or at <> p_at")
+    chains = met.groupBy("doc_id", "pivot", (F.col("at") - F.col("p_at")).alias("diag")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
         F.min("lo").alias("a0"), (F.max("hi") + window - 1).alias("a1"))
     # a text travels once for up to CHAINS chains
@@ -156,5 +157,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     spans = repeats(text, window).groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     none = F.lit(None).cast(spans.schema["s"].dataType)
     whole = rows.where("doc_id is null").withColumns({"s": none, "e": none})
-    return text.join(spans, "doc_id", "left").unionByName(whole).mapInArrow(
-        _remove, "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
+    schema = "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string"
+    return text.join(spans, "doc_id", "left").mapInArrow(_remove, schema).unionByName(whole.mapInArrow(_remove, schema))

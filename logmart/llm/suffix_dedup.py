@@ -15,9 +15,13 @@ those that can't repeat:
   the strings it is the smallest of. Buckets of one suffix end here.
 * refinement: a bucket's suffixes are sorted by the identifiers of the first
   and last string they own, then by place. Where one equals its predecessor,
-  all its strings start earlier. In buckets that split, the first of each
-  part sends each of its strings into buckets by whole identifiers (two
-  hashes of all bytes), sorted by place; all but the first start earlier.
+  all its strings start earlier. In buckets that split, the first of each part
+  is compared with the bucket's first suffix, byte by byte both ways. Strings
+  inside the equal bytes start earlier. The others go into buckets by side,
+  distance and byte at which they leave the first suffix (equal strings leave
+  it alike); buckets of one suffix end here. What is left is sorted into
+  buckets by whole identifiers (two hashes of all bytes), then by place; all
+  but the first of each start earlier.
 
 Texts are shuffled once, and both joins read that exchange. Null and empty
 texts have no bytes. A row with a null id is kept whole and never compared;
@@ -97,29 +101,106 @@ def _anchors(length: int):
     return run
 
 
+def _contexts(length: int):
+    """Of each document with its anchors: the spans that surely repeat
+    (without q), and the bytes of all strings that the first
+    suffixes of parts own."""
+    schema = pa.schema([("q", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("before", pa.int32()),
+                        ("owned", pa.int32()), ("around", pa.binary())])
+
+    def run(it):
+        one = _Buckets(length, 1)
+        for batch in it:
+            get = lambda n: batch.column(batch.schema.get_field_index(n))
+            for text, doc, sure, rest in zip(get("text"), *(get(c).to_pylist() for c in ("doc_id", "sure", "rest"))):
+                data = (text.as_py() or "").encode()
+                spot = np.array(sure, np.int64)
+                lo, n = spot >> 2 * BITS, spot & (1 << BITS) - 1
+                rows = [(None, doc, a, b, 0, 0, b"") for a, b in zip(*map(np.ndarray.tolist, runs(
+                    covered(len(data), lo, lo + n + length - 1))))]
+                if rest:
+                    spot = np.array(rest, np.int64)
+                    lo, n = spot >> 2 * BITS, spot & (1 << BITS) - 1
+                    at = lo + (spot >> BITS & (1 << BITS) - 1)
+                    grams = np.frombuffer(data, np.uint8)[(at[:, None] + np.arange(one.q)).ravel()]
+                    q = one.grams(grams)[:: one.q].view(np.int64)
+                    rows += [(k, doc, x, y, x - y, m, data[y : y + m - 1 + length]) for k, x, y, m in zip(
+                        q.tolist(), at.tolist(), lo.tolist(), n.tolist())]
+                if rows:
+                    yield arrays(schema, *zip(*rows))
+
+    return run
+
+
+def _equal(a: bytes, b: bytes) -> int:
+    """How many bytes two strings have in common at the start."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+def _leaving(length: int):
+    """Of the first suffix of each part and of its bucket: the span that
+    repeats (no key), and by side the strings that leave the bucket's."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("from", pa.int32()),
+                        ("around", pa.binary())])
+    q, reach = length // 4, length - length // 4
+
+    def run(it):
+        odd = Hasher(1).odd
+        for batch in it:
+            rows = []
+            for k, doc, at, lo, before, owned, around, p_before, p_around in zip(*(c.to_pylist() for c in batch.columns)):
+                if k is None:
+                    rows.append((None, doc, at, lo, 0, b""))
+                    continue
+                left = _equal(around[:before][::-1], p_around[:p_before][::-1])
+                right = _equal(around[before + q :], p_around[p_before + q :])
+                far = at - lo                            # owned strings begin far, far - 1 ... before the anchor
+                near = far - owned + 1
+                a, b = max(near, reach - right), min(far, left)
+                if a <= b:
+                    rows.append((None, doc, at - b, at - a + length, 0, b""))
+                for side, x, y, d in ((1, near, min(far, reach - right - 1), right), (2, max(near, reach - right, left + 1), far, left)):
+                    if x <= y:
+                        byte = around[before + q + d] if side == 1 else around[before - 1 - d]
+                        with np.errstate(over="ignore"):
+                            key = Hasher.mix(U64(k & 0xFFFFFFFFFFFFFFFF) + odd[6] * U64(d << 9 | byte << 1 | side - 1))
+                        rows.append((int(np.uint64(key).view(np.int64)), doc, at - y, at - x + length, before - y, around))
+            if rows:
+                yield arrays(schema, *zip(*rows))
+
+    return run
+
+
 def _strings(length: int):
-    """Of each document with its anchors: the spans that surely repeat, and
-    the strings of parts' first suffixes with their identifiers."""
+    """Identifiers of all strings in [s, e); ``from`` is the place of s in
+    the bytes around."""
     schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()),
                         ("sure", pa.bool_())])
 
     def run(it):
         one, two = _Buckets(length, 1), _Buckets(length, 2)
         for batch in it:
-            get = lambda n: batch.column(batch.schema.get_field_index(n))
-            for text, doc, sure, rest in zip(get("text"), *(get(c).to_pylist() for c in ("doc_id", "sure", "rest"))):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                owned = lambda xs: (np.array(xs, np.int64) >> 2 * BITS, np.array(xs, np.int64) & (1 << BITS) - 1)
-                lo, n = owned(sure)
-                s, e = runs(covered(len(data), lo, lo + n + length - 1))
-                key = Hasher.mix(s.astype(np.uint64) + U64(doc & 0xFFFFFFFF) * one.hasher.odd[0]).view(np.int64)
-                yield arrays(schema, key, key, np.full(len(s), doc), s, e, np.ones(len(s), bool))
-                lo, n = owned(rest)
-                starts = np.flatnonzero(covered(len(data), lo, lo + n))
-                if len(starts):
-                    h, h2 = one.levels(data)[1][starts], two.levels(data)[1][starts]
-                    yield arrays(schema, h.view(np.int64), h2.view(np.int64), np.full(len(starts), doc), starts,
-                                 starts + length, np.zeros(len(starts), bool))
+            for at in range(0, batch.num_rows, 2000):
+                parts, docs, starts, found = [], [], [], []
+                for doc, s, e, a, around, sure in zip(*(c.slice(at, 2000).to_pylist() for c in batch.columns)):
+                    if sure:
+                        key = Hasher.mix(np.array([s + (doc << 24) & 0xFFFFFFFFFFFFFFFF], np.uint64))  # spreads them
+                        found.append((int(key.view(np.int64)[0]), -1, doc, s, e, True))
+                        continue
+                    parts.append(around[a : a + e - s])
+                    docs.append(np.full(e - s - length + 1, doc))
+                    starts.append(np.arange(s, e - length + 1))
+                if found:
+                    yield arrays(schema, *zip(*found))
+                if not parts:
+                    continue
+                buf, first = _joined(parts)
+                inside = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(first, first[1:])])
+                s = np.concatenate(starts)
+                yield arrays(schema, one.levels(buf)[1][inside].view(np.int64), two.levels(buf)[1][inside].view(np.int64),
+                             np.concatenate(docs), s, s + length, np.zeros(len(s), bool))
 
     return run
 
@@ -128,20 +209,30 @@ def repeats(text: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of bytes (doc_id, s, e) to remove, from ``text(doc_id, text)``
     dealt by doc_id, without null ids. Spans may overlap."""
     anchors = text.mapInArrow(_anchors(length), "q long, r long, doc_id long, spot long")
-    bucket = Window.partitionBy("q").orderBy("r", "doc_id", "spot")
-    parts = Window.partitionBy("q").orderBy("r", "doc_id", "spot").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.lag(F.struct("r")).over(bucket)
-    sorted_ = anchors.withColumn("sure", F.coalesce(before["r"] == F.col("r"), F.lit(False))).withColumn(
-        "split", F.first("r").over(parts) != F.last("r").over(parts)).where("sure or split")
-    by_doc = sorted_.groupBy("doc_id").agg(
+    order = Window.partitionBy("q").orderBy("r", "doc_id", "spot")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = anchors.withColumn("sure", F.coalesce(F.lag("r").over(order) == F.col("r"), F.lit(False))).withColumn(
+        "split", F.first("r").over(whole) != F.last("r").over(whole)).where("sure or split")
+    by_doc = parts.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("sure"), F.col("spot"))).alias("sure"),
         F.collect_list(F.when(~F.col("sure"), F.col("spot"))).alias("rest"))
-    strings = by_doc.join(text, "doc_id").mapInArrow(
+    around = by_doc.join(text, "doc_id").mapInArrow(
+        _contexts(length), "q long, doc_id long, s long, e long, before int, owned int, around binary")
+
+    # rows without a bucket are spans already found; they pass by, spread over all tasks
+    order = Window.partitionBy(F.coalesce("q", F.xxhash64("doc_id", "s"))).orderBy(F.col("q").asc_nulls_first(), "doc_id", "s")
+    firsts = around.withColumns({"p_doc": F.first("doc_id").over(order), "p_at": F.first("s").over(order),
+                                 "p_before": F.first("before").over(order), "p_around": F.first("around").over(order)})
+    leaving = firsts.where("q is null or doc_id <> p_doc or s <> p_at").select(
+        "q", "doc_id", "s", "e", "before", "owned", "around", "p_before", "p_around").mapInArrow(
+        _leaving(length), "key long, doc_id long, s long, e long, from int, around binary")
+    shared = F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("key", F.xxhash64("doc_id", "s")), F.col("key").isNull()))
+    kept = leaving.withColumn("n", shared).where("key is null or n > 1")
+    strings = kept.select("doc_id", "s", "e", "from", "around", F.col("key").isNull().alias("sure")).mapInArrow(
         _strings(length), "h long, h2 long, doc_id long, s long, e long, sure boolean")
-    place = F.first(F.struct("doc_id", "s")).over(Window.partitionBy("h", "h2").orderBy("doc_id", "s"))
-    return strings.withColumn("least", place).where(
-        "sure or doc_id <> least.doc_id or s <> least.s").select("doc_id", "s", "e")
+    order = Window.partitionBy("h", "h2").orderBy("doc_id", "s")
+    return strings.withColumns({"d0": F.first("doc_id").over(order), "s0": F.first("s").over(order)}).where(
+        "sure or doc_id <> d0 or s <> s0").select("doc_id", "s", "e")
 
 
 def _remove(it):
@@ -168,5 +259,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     spans = repeats(text, length).groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     none = F.lit(None).cast(spans.schema["s"].dataType)
     whole = rows.where("doc_id is null").withColumns({"s": none, "e": none})
-    return text.join(spans, "doc_id", "left").unionByName(whole).mapInArrow(
-        _remove, "doc_id long, n_bytes long, spans array<array<bigint>>, n_removed long, kept binary")
+    schema = "doc_id long, n_bytes long, spans array<array<bigint>>, n_removed long, kept binary"
+    return text.join(spans, "doc_id", "left").mapInArrow(_remove, schema).unionByName(whole.mapInArrow(_remove, schema))
