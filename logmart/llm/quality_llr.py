@@ -37,49 +37,56 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _repeat_words() -> Column:
-    """Words covered by 3-word windows that occur twice or more; needs the
-    columns ``_w`` and ``_h`` (hash of the window at each place)."""
-    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    again = F.transform(F.array(placed), lambda s: F.transform(F.filter(
-        s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))),
-        lambda x: x["i"]))[0]
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once. A column named by
+    withColumn may be copied into a filter or a lambda by the optimizer, and
+    then be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeat_words(h: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more; ``h`` has
+    the hash of the window at each place."""
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    again = _let(placed, lambda s: F.transform(F.filter(
+        s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))
+        | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
     cover = F.aggregate(
         F.array_sort(again), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + (p + 3 - F.greatest(p, a["end"]))).alias("n")),
         lambda a: a["n"])
-    return F.when(F.size(F.array_distinct("_h")) < F.size("_h"), cover).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), cover).otherwise(F.lit(0).cast("long"))
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``n_words``, ``word_chars``,
-    ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``
-    (and the helper ``_w``, the words)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_w", word_array(text))
-    df = df.withColumn("_h", F.when(F.size("_w") > 2, F.transform(
-        F.slice("_w", F.lit(1), F.size("_w") - 2),
-        lambda x, i: F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_l", lines)
-    df = df.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": _repeat_words(),
-    }).drop("_h", "_l")
-    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                         | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PCT))
-
-
-def _ngrams(words: str, buckets: int) -> Column:
+def _windows(w: Column) -> Column:
+    return F.when(F.size(w) > 2, F.transform(
+        F.slice(w, F.lit(1), F.size(w) - 2),
+        lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _ngrams(w: Column, buckets: int) -> Column:
     """Bucket of every unigram and bigram (letters in lower case)."""
-    one = F.transform(F.col(words), lambda x: F.xxhash64(F.lower(x)))
-    return F.transform(F.array(one), lambda h: F.concat(
+    return _let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(
         F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-        F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h), F.lit(0))),
-                    lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i)), F.lit(buckets)).cast("int"))))[0]
+        F.transform(F.slice(h, F.lit(2), F.size(h)), lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i)), F.lit(buckets)).cast("int"))))
+
+
+def _rules(text: Column, constant: Column, buckets: int) -> Column:
+    """All counts and the score of a text as one struct."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of(w: Column) -> Column:
+        total = lambda g: F.when(F.size(g) > 0, F.round(F.aggregate(
+            g, F.lit(0).cast("long"), lambda a, b: a + F.get(constant, b)) / F.size(g)).cast("long")).otherwise(
+            F.lit(0).cast("long"))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            _let(_windows(w), _repeat_words).alias("n_repeat_words"),
+            _let(_ngrams(w, buckets), total).alias("score"))
+
+    return _let(word_array(text), of)
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
@@ -94,8 +101,8 @@ def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col:
     """Fixed-point log ratio of every bucket."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     grams = docs.join(F.broadcast(trusted), F.col(id_col).cast("long") == F.col("_trusted"), "left").select(
-        F.col("_trusted").isNotNull().cast("long").alias("t"), word_array(text).alias("_w"))
-    grams = grams.select("t", F.explode(_ngrams("_w", buckets)).alias("b"))
+        F.col("_trusted").isNotNull().cast("long").alias("t"),
+        F.explode(_let(word_array(text), lambda w: _ngrams(w, buckets))).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("t").alias("t")).collect()  # one row a bucket
     raw, good = sum(x["r"] for x in counts), sum(x["t"] for x in counts)
     out = [0] * buckets
@@ -114,8 +121,9 @@ def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     and ``kept``."""
     table = weights(docs, trusted_ids(labels, limit), text_col, id_col, buckets)
     constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    df = base_rules(docs, text_col).withColumn("_g", _ngrams("_w", buckets))
-    total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(constant, b))
-    df = df.withColumn("score", F.when(F.size("_g") > 0, F.round(total / F.size("_g")).cast("long"))
-                       .otherwise(F.lit(0).cast("long")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_w", "_g")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.withColumn("_r", _rules(text, constant, buckets))
+    df = df.withColumns({n: F.col("_r")[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")})
+    df = df.drop("_r").withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
+                                  | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PCT))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
