@@ -20,6 +20,8 @@ Documents with a null id are scored like others, but never trusted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 TRUSTED = 20_000       # labelled documents of the target at most
 SCALE = 1_000_000
-SMOOTH = 1.0
+PRIOR = 4096          # n-grams that the raw corpus counts for in the target
 #: Fixed-point mean log-likelihood ratio below which a document goes.
 THRESHOLD = -100_000
 MIN_WORDS, REPEAT_PCT = 50, 50
@@ -107,11 +109,9 @@ def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col:
     raw, good = sum(x["r"] for x in counts), sum(x["t"] for x in counts)
     out = [0] * buckets
     if good:
-        import math
-        shift = math.log(raw + SMOOTH * buckets) - math.log(good + SMOOTH * buckets)
-        out = [round(SCALE * shift)] * buckets
-        for x in counts:
-            out[x["b"]] = round(SCALE * (math.log(x["t"] + SMOOTH) - math.log(x["r"] + SMOOTH) + shift))
+        for x in counts:          # the target's share, with the raw corpus as prior of PRIOR n-grams
+            share = x["r"] / raw
+            out[x["b"]] = round(SCALE * math.log((x["t"] + PRIOR * share) / (good + PRIOR) / share))
     return out
 
 
