@@ -40,6 +40,14 @@ def bounded_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
     return df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name where NULL equals NULL (still an
+    equi-join); the key columns are the left side's."""
+    named = right.withColumnsRenamed({c: f"_ns_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_ns_{c}")) for c in on]
+    return left.join(named, cond, how).drop(*[f"_ns_{c}" for c in on])
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Bounded size check: reads at most ``max_rows + 1`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -104,7 +112,7 @@ def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str =
     if n_hot == 0:
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     if n_hot <= HOT_GROUP_LIMIT:
-        tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), g, "left")
+        tagged = null_safe_join(df, F.broadcast(hot.withColumn("_hot", F.lit(True))), g, "left")
         cold = tagged.where(F.col("_hot").isNull()).drop("_hot").withColumn(name, F.row_number().over(w).cast("long"))
         hot_rows_df = tagged.where(F.col("_hot")).drop("_hot")
     else:
@@ -117,7 +125,8 @@ def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str =
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bound = (n_hot * s.rdd.getNumPartitions()) if cold is not None else None
-    hot_out = s.join(bounded_broadcast(per.select("_pid", *g, "_off", "_first"), bound), ["_pid", *g]).withColumn(
+    firsts = bounded_broadcast(per.select("_pid", *g, "_off", "_first"), bound)
+    hot_out = null_safe_join(s, firsts, ["_pid", *g]).withColumn(
         name, (F.col("_off") + F.col("_row") - F.col("_first") + 1).cast("long")).drop(
         "_mid", "_pid", "_row", "_off", "_first")
     return hot_out if cold is None else cold.unionByName(hot_out)

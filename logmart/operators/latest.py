@@ -61,9 +61,9 @@ def latest_values(children: DataFrame, headers: DataFrame, *, name: str = "name"
 
 def clean_terms(terms: DataFrame, term: str = "term", min_len: int = SEARCH_MIN_LEN) -> DataFrame:
     """Client rules: trim (PHP set), drop blank and terms shorter than
-    ``min_len`` characters."""
+    ``min_len`` characters. A repeated term is one term."""
     t = terms.select(F.col(term).alias("term"), php_trim(F.col(term)).alias("_q"))
-    return t.where((F.col("_q") != "") & (F.char_length("_q") >= F.lit(min_len)))
+    return t.where((F.col("_q") != "") & (F.char_length("_q") >= F.lit(min_len))).distinct()
 
 
 def pg_escapes(q: Column) -> Column:

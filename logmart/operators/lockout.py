@@ -39,6 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logmart.operators.common import null_safe_join
 from logmart.schemas import LOCKOUT_MAX_ATTEMPTS, LOCKOUT_WINDOW_SECONDS
 from logmart.session import ensure_checkpoint_dir, shuffle_partitions
 
@@ -68,6 +69,7 @@ class SegmentFold:
     def outcomes(self, pdf: pd.DataFrame) -> list[str]:
         out = []
         for k, seg, t, kind in zip(pdf["_k"], pdf["_seg"], pdf["_t"], pdf["_kind"]):
+            k = None if pd.isna(k) else k          # NaN never equals itself
             if (k, seg) != self.prev:
                 self.state, self.prev = [], (k, seg)
             self.state, o = step(self.state, int(t), kind, self.max_attempts, self.window)
@@ -116,7 +118,7 @@ def segments(a: DataFrame, window: int) -> DataFrame:
     last = a.groupBy("_k", "_b").agg(F.max_by(F.struct("_t", "_kind"), order).alias("_last"))
     nxt = last.select("_k", (F.col("_b") + 1).alias("_b"), F.col("_last._t").alias("_pt"),
                       F.col("_last._kind").alias("_pk"))
-    a = a.join(nxt, ["_k", "_b"], "left")
+    a = null_safe_join(a, nxt, ["_k", "_b"], "left")
     pt = F.coalesce(prev_t, F.col("_pt"))
     pk = F.when(prev_t.isNotNull(), prev_kind).otherwise(F.col("_pk"))
     a = a.withColumn("_brk", pt.isNull() | ((F.col("_t") - pt) >= window) | (pk == "reset"))
@@ -132,7 +134,7 @@ def segments(a: DataFrame, window: int) -> DataFrame:
     wk = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     summ = summ.withColumn("_open", F.last("_lastbrk", ignorenulls=True).over(wk))
     carry = summ.select("_k", (F.col("_b") + 1).alias("_b"), F.col("_open").alias("_carry"))
-    a = a.join(carry, ["_k", "_b"], "left")
+    a = null_safe_join(a, carry, ["_k", "_b"], "left")
     return a.withColumn("_seg", F.coalesce("_sb", "_carry")).drop("_b", "_pt", "_pk", "_brk", "_sb", "_carry")
 
 
@@ -149,7 +151,7 @@ def lockout(attempts: DataFrame, *, key: str = "key", ts: str = "ts", attempt_id
     # failures per segment: a partially aggregated count, joined back
     fails = a.groupBy("_k", "_seg").agg(F.sum((F.col("_kind") == FAIL).cast("int")).alias("_segfails"))
     # both outcome paths read the segmented attempts: materialise them once
-    a = a.join(fails, ["_k", "_seg"]).checkpoint(eager=True)
+    a = null_safe_join(a, fails, ["_k", "_seg"]).checkpoint(eager=True)
     simple = a.where(F.col("_segfails") < max_attempts).withColumn(
         "outcome", F.when(F.col("_kind") == "reset", RESET).when(F.col("_kind") == SUCCESS, OK).otherwise(INVALID))
     hard = a.where(F.col("_segfails") >= max_attempts).select("_k", "_seg", "_rid", "_ts", "_t", "_kind",

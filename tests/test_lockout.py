@@ -129,3 +129,30 @@ def test_hot_key_with_pauses_against_replay(spark):
     got = outcomes(lockout(attempts(spark, rows), max_attempts=4, window=50))
     assert got == replay(rows, 4, 50)
     assert got.count("blocked") > 50
+
+
+def test_null_keys_are_one_key_and_lose_nothing(spark):
+    rows = [(None, s, "fail") for s in range(6)] + [("a", 3, "fail"), (None, 900, "success")]
+    data = [(k, i + 1, T0 + dt.timedelta(seconds=s), kind) for i, (k, s, kind) in enumerate(rows)]
+    got = lockout(spark.createDataFrame(data, "key string, attempt_id long, ts timestamp_ntz, kind string"))
+    assert got.count() == len(rows)
+    assert outcomes(got) == ["invalid"] * 5 + ["blocked", "invalid", "ok"]
+
+
+def test_group_rank_keeps_null_groups_on_every_path(spark, monkeypatch):
+    from logmart.operators import common
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3), ("a", 1)], "g string, v int")
+    want = {(None, 1, 1), (None, 2, 2), ("a", 1, 1), ("a", 3, 2)}
+    for limit in (100, 0):                       # few hot groups, and more than the limit
+        monkeypatch.setattr(common, "HOT_GROUP_LIMIT", limit)
+        got = common.group_rank(df, "g", [F.col("v")], hot_rows=1)
+        assert {(r.g, r.v, r.position) for r in got.collect()} == want
+
+
+def test_repeated_wildcard_terms_are_one_term(spark):
+    from logmart.operators.latest import search_latest
+    names = spark.createDataFrame([("aa", 1), ("bb", 2)], "name string, max_weight int")
+    terms = spark.createDataFrame([("%%",), ("%%",)], "term string")
+    got = search_latest(names, terms).collect()
+    assert sorted((r["name"], r["rank"]) for r in got) == [("aa", 1), ("bb", 2)]
