@@ -93,7 +93,7 @@ def validated(changes: DataFrame, gyms: DataFrame, members: DataFrame, *, gym_id
     is_create = F.col("op") == CREATE_HEADER
     is_add = F.col("op") == ADD_CHILD
     members_arr = F.transform(F.coalesce(pl("body_part_ids"), F.array().cast("array<string>")),
-                              lambda e: php_int(e).cast("int"))
+                              lambda e: php_int(e).try_cast("int"))  # out of range: NULL, in no dimension
     v = p.select(
         "seq", "ts", "op",
         F.when(is_create, F.col("header_id").cast("long"))
@@ -147,7 +147,8 @@ def _member_reasons(v: DataFrame, members: DataFrame, member_id: str) -> DataFra
     if fits(ids, INLINE_MEMBER_LIMIT):
         # one-row scalar subquery, evaluated once; lambdas cannot hold it
         v = v.withColumn("_known", ids.agg(F.collect_set("_m")).scalar())
-        per_pos = F.transform("members", lambda m, i: F.when(~F.array_contains("_known", m), F.lit("unknown_member"))
+        per_pos = F.transform("members", lambda m, i: F.when(
+            ~F.coalesce(F.array_contains("_known", m), F.lit(False)), F.lit("unknown_member"))
                               .when(F.array_position("members", m) < i + 1, F.lit("duplicate_member")))
         first = F.get(F.filter(per_pos, lambda x: x.isNotNull()), 0)
         return v.withColumn("member_reason", F.when(needs, first)).drop("_known")

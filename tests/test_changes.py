@@ -285,3 +285,11 @@ def test_empty_inputs(spark, seed):
     empty = spark.createDataFrame([], "id long, g long")
     assert global_rank(empty, [F.col("id")]).count() == 0
     assert group_rank(empty, "g", [F.col("id")], hot_rows=0).count() == 0
+
+
+def test_oversized_member_id_is_unknown(spark, seed, monkeypatch):
+    rows = [("create_header", 100, None, {"gym_id": 1}), add(100, 1, parts=(99999999999,)), add(100, 2)]
+    for limit in (1000, 0):                      # the members inline, and through a join
+        monkeypatch.setattr(C, "INLINE_MEMBER_LIMIT", limit)
+        out = C.apply_changes(base(spark, seed, empty=True), log(spark, rows))
+        assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == ["ok", "rejected:unknown_member", "ok"]
