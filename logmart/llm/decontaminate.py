@@ -12,7 +12,8 @@ weights divided by the item's own total, so a score is the share of the item
   under half the threshold for every item) never open a block; a block's
   bound is what they may add at most, plus its block maxima of the other
   terms of the passage. Blocks bounded below the threshold are skipped.
-* items of the blocks left are scored in full, and all at or above the
+* items of the blocks left are scored in full (exactly; blocks are small, as
+  a bound grows with the items it covers), and all at or above the
   threshold are retrieved.
 * of those, passages must hold ``overlap`` of the word n-grams of the
   question and of the answer.
@@ -30,18 +31,18 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from itertools import repeat
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logmart.llm.common import saved
+from logmart.llm.common import Hasher, saved, sub_batches
 
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 2
+CELLS = 4_000_000      # passages times blocks whose bounds a task sums at once
 PART = 4_000_000
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -49,6 +50,7 @@ NGRAM = 3
 STRIDE = 64
 
 WORD = re.compile(r"\w+")
+OTHER = re.compile(r"[^\w\x00-\x7f]+")      # non-ASCII that parts words
 HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word int"
 
 
@@ -68,93 +70,156 @@ def question_answer(text: str | None) -> tuple[list[str], list[str]]:
     return q, a
 
 
-def _grams(w: list[str]) -> set[tuple[str, ...]]:
-    n = max(1, min(NGRAM, len(w)))
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+class Words:
+    """Word hashes of texts: the words of ``words()``, found in the bytes."""
 
+    def __init__(self):
+        self.hasher = Hasher()
+        self.hasher.space = np.array([c < 128 and not (chr(c).isalnum() or c == 95) for c in range(256)])
 
-def _held(part: set, n: int, passage: list[str]) -> float:
-    """Share of a part's n-grams that the passage has."""
-    if not part:
-        return 1.0
-    have = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
-    return len(part & have) / len(part)
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in a row, and each text's first word (one
+        entry more)."""
+        lower = (t.lower() for t in texts)
+        return self.hasher.words([(t if t.isascii() else OTHER.sub(" ", t)).encode("utf-8", "replace") for t in lower])
+
+    def grams(self, h: np.ndarray, n: int) -> np.ndarray:
+        return np.unique(self.hasher.shingles(h, n))
+
+
+def _expand(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places first[i] .. first[i] + n[i] - 1 of every list, and its i."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(of)), of
 
 
 class Index:
-    """Impacts of some items, with statistics of all."""
+    """Impacts of some items, with statistics of all. Lists of a term are
+    runs in arrays: of items (``item``, ``impact``) and of blocks (``block``,
+    ``most``; empty for terms that never open one)."""
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]], df: dict[str, int], n: int, mean: float, threshold: float):
         items = sorted(items, key=lambda x: (len(x[1]) + len(x[2]), x[0]))
-        self.ids = [i for i, _, _ in items]
-        self.parts = [(_grams(q), _grams(a) if a else set()) for _, q, a in items]
+        self.ids, self.threshold = [i for i, _, _ in items], threshold
         self.impacts: list[dict[str, float]] = []
-        for _, q, a in items:
+        holders = defaultdict(list)
+        for i, (_, q, a) in enumerate(items):
             w = q + a
-            tf: dict[str, int] = defaultdict(int)
-            for x in w:
-                tf[x] += 1
-            one = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean))
-                   for t, c in tf.items()}
+            norm = K1 * (1 - B + B * len(w) / mean)
+            one = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in Counter(w).items()}
             total = sum(one.values())
             self.impacts.append({t: x / total for t, x in one.items()})
-        self.threshold = threshold
+            for t, x in self.impacts[-1].items():
+                holders[t].append((i, x))
         # terms that never open a block: the most frequent, while they stay under half the threshold in every item
         spent, common = [0.0] * len(items), set()
-        holders = defaultdict(list)
-        for i, one in enumerate(self.impacts):
-            for t, x in one.items():
-                holders[t].append((i, x))
         for t in sorted(holders, key=lambda t: (-df[t], t)):
             if any(spent[i] + x >= threshold / 2 for i, x in holders[t]):
                 break
             common.add(t)
             for i, x in holders[t]:
                 spent[i] += x
-        blocks = -(-len(items) // BLOCK)
-        self.may_add = np.array([max(spent[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)])
-        self.terms = {t: k for k, t in enumerate(t for t in holders if t not in common)}
-        first, block, most = [0], [], []
-        for t in self.terms:
+        self.blocks = -(-len(items) // BLOCK)
+        self.may_add = np.array([max(spent[b * BLOCK : (b + 1) * BLOCK]) for b in range(self.blocks)])
+
+        # terms by hash; per term the runs of its items and blocks
+        self.words = Words()
+        names = list(holders)
+        h, _ = self.words([" ".join(names)])
+        order = np.argsort(h)
+        self.hashes, names = h[order], [names[k] for k in order]
+        of_item, of_block, n_item, n_block = [], [], [], []
+        for t in names:
             best: dict[int, float] = {}
-            for i, x in holders[t]:
+            for i, x in holders[t] if t not in common else ():
                 best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), x)
-            block += best
-            most += best.values()
-            first.append(len(block))
-        self.first, self.block, self.most = np.array(first), np.array(block, np.int64), np.array(most)
+            of_item += holders[t]
+            of_block += best.items()
+            n_item.append(len(holders[t]))
+            n_block.append(len(best))
+        self.item, self.impact = np.array([i for i, _ in of_item], np.int64), np.array([x for _, x in of_item])
+        self.block, self.most = np.array([i for i, _ in of_block], np.int64), np.array([x for _, x in of_block])
+        self.n_block = np.array(n_block, np.int64)
+        self.first_block = np.cumsum(self.n_block) - self.n_block
+        # the items of a term and block are a run too: found by term * blocks + block
+        key = np.repeat(np.arange(len(names)), n_item) * self.blocks + self.item // BLOCK
+        self.runs, self.first_item, self.n_item = np.unique(key, return_index=True, return_counts=True)
 
-    def open_blocks(self, doc: list[str], stride: int) -> list[tuple[int, int]]:
-        """(passage, block) whose bound reaches the threshold."""
-        t = np.fromiter(map(self.terms.get, doc, repeat(-1)), np.int64, len(doc))
-        at = np.flatnonzero(t >= 0)
-        if not len(at):
-            return []
+        # n-grams of question and answer
+        self.parts = []
+        for _, q, a in items:
+            h, _ = self.words([" ".join(q + a)])
+            self.parts.append([(k, self.words.grams(x, k)) for x in (h[: len(q)], h[len(q) :]) for k in [min(NGRAM, len(x))] if k])
+
+    def _terms(self, h: np.ndarray, at: np.ndarray, stride: int):
+        """Passages of each text, and the distinct (passage, term) pairs."""
+        passages = np.maximum(1, -(-np.diff(at) // stride))
+        base = np.cumsum(passages) - passages
+        t = np.searchsorted(self.hashes, h)
+        t[t == len(self.hashes)] = 0
+        place = np.flatnonzero(self.hashes[t] == h)
+        t = t[place]
+        text = np.searchsorted(at, place, side="right") - 1
+        p = (place - at[text]) // stride
         # each place lies in two passages (the first stride words in one)
-        p = at // stride
-        p, t = np.concatenate((p, p[p > 0] - 1)), np.concatenate((t[at], t[at][p > 0]))
-        pair = np.unique(p * len(self.terms) + t)
-        p, t = pair // len(self.terms), pair % len(self.terms)
-        n = self.first[t + 1] - self.first[t]
-        post = np.repeat(self.first[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        key, where = np.unique(np.repeat(p, n) * len(self.may_add) + self.block[post], return_inverse=True)
-        bound = np.bincount(where, self.most[post]) + self.may_add[key % len(self.may_add)]
-        return [(int(k // len(self.may_add)), int(k % len(self.may_add))) for k in key[bound >= self.threshold - 1e-9]]
-
-    def hits(self, doc: list[str], stride: int, overlap: float):
-        """The best passage of each item found: (item, score, question,
-        answer, first word)."""
-        best: dict[int, tuple] = {}
-        for p, b in self.open_blocks(doc, stride):
-            passage = doc[p * stride : (p + 2) * stride]
-            have = set(passage)
-            for i in range(b * BLOCK, min(len(self.ids), (b + 1) * BLOCK)):
-                score = sum(x for t, x in self.impacts[i].items() if t in have)
-                if score >= self.threshold and score > best.get(i, (0.0,))[0]:
-                    q, a = (_held(g, len(next(iter(g), ())), passage) for g in self.parts[i])
-                    if q >= overlap and a >= overlap:
-                        best[i] = (score, q, a, p * stride)
-        return [(self.ids[i], *x) for i, x in best.items()]
+        g, again = base[text] + p, p > 0
+        pair = np.unique(np.concatenate((g, g[again] - 1)) * len(self.hashes) + np.concatenate((t, t[again])))
+        return passages, pair // len(self.hashes), pair % len(self.hashes)
+
+    def _open(self, p: np.ndarray, t: np.ndarray):
+        """(passage, block) whose bound reaches the threshold. The sums are
+        taken for ``CELLS`` passages times blocks at a time."""
+        step = max(1, CELLS // self.blocks)
+        for lo in range(0, int(p[-1]) + 1 if len(p) else 0, step):
+            a, b = np.searchsorted(p, (lo, lo + step))
+            post, of = _expand(self.first_block[t[a:b]], self.n_block[t[a:b]])
+            if len(post):
+                cell = (p[a:b][of] - lo) * self.blocks + self.block[post]
+                bound = np.bincount(cell, self.most[post])
+                met = np.flatnonzero(bound)
+                met = met[bound[met] + self.may_add[met % self.blocks] >= self.threshold - 1e-9]
+                yield met // self.blocks + lo, met % self.blocks
+
+    def open_blocks(self, doc: list[str], stride: int) -> list[tuple[int, int]]:
+        h, at = self.words([" ".join(doc)])
+        _, p, t = self._terms(h, at, stride)
+        return [(int(x), int(y)) for got in self._open(p, t) for x, y in zip(*got)]
+
+    def hits(self, texts: list[str], stride: int, overlap: float):
+        """The best passage of each item found in each text: (text, item,
+        score, question, answer, first word)."""
+        h, at = self.words(texts)
+        passages, p, t = self._terms(h, at, stride)
+        base = np.cumsum(passages) - passages
+        best: dict[tuple[int, int], tuple] = {}
+        for op, ob in self._open(p, t):
+            # full scores of the open blocks' items, some passages at a time
+            for lo in range(0, len(op), 20_000):
+                q, b = op[lo : lo + 20_000], ob[lo : lo + 20_000]
+                a = np.searchsorted(p, q)
+                place, of = _expand(a, np.searchsorted(p, q, side="right") - a)
+                key = t[place] * self.blocks + b[of]
+                run = np.searchsorted(self.runs, key)
+                run[run == len(self.runs)] = 0
+                have = self.runs[run] == key
+                run, of = run[have], of[have]
+                post, which = _expand(self.first_item[run], self.n_item[run])
+                cell = of[which] * BLOCK + self.item[post] % BLOCK
+                score = np.bincount(cell, self.impact[post], minlength=1)
+                for c in np.flatnonzero(score >= self.threshold).tolist():
+                    self._verify(h, at, base, int(q[c // BLOCK]), int(b[c // BLOCK]) * BLOCK + c % BLOCK, float(score[c]),
+                                 stride, overlap, best)
+        return [(x, self.ids[i], *got) for (x, i), got in sorted(best.items())]
+
+    def _verify(self, h, at, base, passage, i, score, stride, overlap, best) -> None:
+        text = int(np.searchsorted(base, passage, side="right")) - 1
+        if score <= best.get((text, i), (0.0,))[0]:
+            return
+        first = (passage - int(base[text])) * stride
+        inside = h[at[text] + first : min(at[text] + first + 2 * stride, at[text + 1])]
+        held = [float(np.isin(g, self.words.grams(inside, k)).mean()) for k, g in self.parts[i]]
+        if min(held) >= overlap:
+            best[text, i] = (score, held[0], held[1] if len(held) > 1 else 1.0, first)
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -196,8 +261,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 "question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int32())])
             for batch in it:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[i], *hit) for i, t in enumerate(batch.column(1))
-                         for hit in index.value.hits(words(t.as_py()), stride, overlap)]
+                found = [(ids[at + i], *hit) for at, texts in sub_batches(batch, "text")
+                         for i, *hit in index.value.hits([t.decode() for t in texts], stride, overlap)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), found_schema)],
                                                      schema=found_schema)
