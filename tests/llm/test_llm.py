@@ -159,6 +159,31 @@ def test_lines(spark, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_simhash(spark):
+    rng = random.Random(1)
+    rows = [(i, 0, " ".join(f"w{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate([5, 6, 50, 255, 256, 3000])]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, norm string")
+    hashes = {r.w: r.x for r in df.selectExpr("explode(split(norm, ' ')) w").distinct().selectExpr("w", "xxhash64(w) x").collect()}
+    for r in line_dedup.simhashes(df.unionAll(df)).collect():
+        w = rows[r.doc_id][2].split(" ")
+        assert r.sh == sum(1 << b for b in range(63) if 2 * sum(hashes[x] >> b & 1 for x in w) > len(w))
+
+
+def test_line_families(spark):
+    """Families of near lines beside each other leave one line each."""
+    rng = random.Random(5)
+    rows, family = [], {}
+    for f in range(4):
+        base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        for k in range(12):
+            w = list(base)
+            w[rng.randrange(150)] += "x" if k else ""
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(w)))
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 0").collect()
+    assert {family[r.doc_id] for r in out} == set(range(4)) and len(out) <= 12
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffixes(spark, none, seed):
     rows = [*corpus(seed), (None, "x " * 200, 0, 0, "")]
