@@ -37,6 +37,7 @@ validation is folded per header in ``seq`` order:
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -283,78 +284,99 @@ class Tables:
     exercise_body_parts: DataFrame
 
 
-FOLD_IN = ("h long, phase int, seq long, op string, cid long, exists boolean, base_max int, "
-           "sort_order int, member_reason string")
 # request fields carried through the fold so its verdicts need no join back
 PASS = ("ts", "gym_id", "name", "machine", "max_weight", "members")
 FOLD_OUT = ("seq long, h long, op string, cid long, ts timestamp_ntz, gym_id long, name string, machine string, "
             "max_weight decimal(6,2), members array<int>, outcome string, sort_order int")
 
 
-class HeaderFold:
-    """Ordered rule for one header; carried across Arrow batches."""
+class _Header:
+    """State of one header: its largest ordinal is the largest of the base
+    children that the log doesn't name (``base_max``) and of a heap from
+    which dead children are dropped when they come up."""
 
-    def __init__(self):
-        self.h = None
+    __slots__ = ("exists", "base_max", "heap", "cids")
 
-    def reset(self, h):
-        self.h, self.exists, self.base_max = h, False, None
-        self.alive: dict[int, int | None] = {}
+    def __init__(self, exists: bool = False, base_max: int | None = None):
+        self.exists, self.base_max, self.heap, self.cids = exists, base_max, [], set()
 
-    def next_ordinal(self) -> int:
-        vals = [v for v in self.alive.values() if v is not None]
-        if self.base_max is not None:
-            vals.append(self.base_max)
-        return (max(vals) if vals else 0) + 1
+
+class HeaderFold:
+    """Ordered rule for one header, or for headers that share child ids;
+    carried across Arrow batches."""
+
+    def __init__(self):
+        self.g = None
+
+    def reset(self, g):
+        self.g = g
+        self.headers: dict[int, _Header] = {}
+        self.alive: dict[int, tuple[int, int | None]] = {}       # child -> its header and ordinal
+
+    def put(self, cid: int, h: int, ordinal: int | None) -> None:
+        self.alive[cid] = h, ordinal
+        self.headers[h].cids.add(cid)
+        if ordinal is not None:
+            heapq.heappush(self.headers[h].heap, (-ordinal, cid))
+
+    def next_ordinal(self, h: int) -> int:
+        x = self.headers[h]
+        while x.heap and self.alive.get(x.heap[0][1]) != (h, -x.heap[0][0]):
+            heapq.heappop(x.heap)
+        known = [v for v in (x.base_max, -x.heap[0][0] if x.heap else None) if v is not None]
+        return max(known, default=0) + 1
 
     def apply(self, r) -> tuple | None:
-        if r.h != self.h:
-            self.reset(r.h)
+        if r.g != self.g:
+            self.reset(r.g)
         if r.phase == 0:            # header state before the log
-            self.exists = bool(r.exists)
-            self.base_max = None if pd.isna(r.base_max) else int(r.base_max)
+            self.headers[r.h] = _Header(bool(r.exists), None if pd.isna(r.base_max) else int(r.base_max))
             return None
         if r.phase == 1:            # a base child named by the log
-            self.alive[int(r.cid)] = None if pd.isna(r.sort_order) else int(r.sort_order)
+            self.put(int(r.cid), r.h, None if pd.isna(r.sort_order) else int(r.sort_order))
             return None
         op, seq = r.op, int(r.seq)
+        head = self.headers[r.h]
         if op == CREATE_HEADER:
-            if self.exists:
+            if head.exists:
                 return seq, r.h, rejected("duplicate_id"), None
-            self.exists, self.base_max, self.alive = True, None, {}
+            self.headers[r.h] = _Header(True)
             return seq, r.h, OK, None
         if op in (FINISH_HEADER, DELETE_HEADER):
-            if not self.exists:
+            if not head.exists:
                 return seq, r.h, NOOP, None
             if op == DELETE_HEADER:
-                self.exists, self.base_max, self.alive = False, None, {}
+                for cid in head.cids:
+                    del self.alive[cid]
+                self.headers[r.h] = _Header()
             return seq, r.h, OK, None
         cid = int(r.cid)
         if op == ADD_CHILD:
-            if not self.exists:
+            if not head.exists:
                 return seq, r.h, rejected("unknown_header"), None
             if isinstance(r.member_reason, str):
                 return seq, r.h, rejected(r.member_reason), None
             if cid in self.alive:
                 return seq, r.h, rejected("duplicate_id"), None
-            s = self.next_ordinal()
-            self.alive[cid] = s
+            s = self.next_ordinal(r.h)
+            self.put(cid, r.h, s)
             return seq, r.h, OK, s
         if op == UPDATE_CHILD:
-            if not self.exists or cid not in self.alive:
+            if cid not in self.alive:
                 return seq, r.h, rejected("not_found"), None
             if isinstance(r.member_reason, str):
                 return seq, r.h, rejected(r.member_reason), None
-            return seq, r.h, OK, self.alive[cid]
+            return seq, self.alive[cid][0], OK, self.alive[cid][1]
         if op == DELETE_CHILD:
-            if not self.exists or cid not in self.alive:
+            if cid not in self.alive:
                 return seq, r.h, NOOP, None
-            del self.alive[cid]
-            return seq, r.h, OK, None
+            h, _ = self.alive.pop(cid)
+            self.headers[h].cids.discard(cid)
+            return seq, h, OK, None
         raise ValueError(op)
 
 
-_FOLD_COLS = ("h", "phase", "seq", "op", "cid", "exists", "base_max", "sort_order", "member_reason")
+_FOLD_COLS = ("g", "h", "phase", "seq", "op", "cid", "exists", "base_max", "sort_order", "member_reason")
 
 
 class _Row:
@@ -373,85 +395,128 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = [r is not None for r in res]
         done = [r for r in res if r is not None]
         out = pdf.loc[keep, ["seq", "h", "op", "cid", *PASS]].reset_index(drop=True)
+        out["h"] = pd.array([r[1] for r in done], dtype="int64")
         out["outcome"] = [r[2] for r in done]
         out["sort_order"] = pd.array([r[3] for r in done], dtype="Int32")
         yield out
 
 
+def _shared_groups(owners: DataFrame) -> DataFrame | None:
+    """(h, g) of the headers under which the log puts one child id more than
+    once over: headers linked by such ids get one group, their smallest
+    id. None without such ids (the usual case: ids are never reused). Labels
+    travel along the links, a step a round, over those ids' rows only."""
+    many = owners.groupBy("cid").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("cid")
+    links = owners.join(many, "cid").distinct().checkpoint(eager=True)
+    if links.isEmpty():
+        return None
+    label = links.select("h", F.col("h").alias("g")).distinct()
+    while True:
+        per_id = links.join(label, "h").groupBy("cid").agg(F.min("g").alias("m"))
+        new = links.join(per_id, "cid").groupBy("h").agg(F.min("m").alias("m"))
+        new = new.join(label, "h").select("h", "m", F.col("g").alias("was")).checkpoint(eager=True)
+        label = new.select("h", F.col("m").alias("g"))
+        if new.where("m <> was").isEmpty():
+            return label
+
+
 def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None) -> dict[str, DataFrame]:
     """Apply a mixed, ordered change log. Returns the new
     ``workouts``, ``exercises``, ``exercise_body_parts`` and ``outcomes``
-    (seq, ts, op, outcome: ok / noop / rejected:<reason>)."""
+    (seq, ts, op, outcome: ok / noop / rejected:<reason>).
+
+    An id may come back after its row is deleted, also under another header:
+    the tables hold what the last accepted requests left, in ``seq`` order.
+    """
     ensure_checkpoint_dir(changes.sparkSession)
     # validation reads the log once; every later branch reads this copy
     good, rejects = split_validated(validated(changes, t.gyms, t.body_parts).checkpoint(eager=True))
     # child ops: find the header through base children and logged adds
     # only base children named by the log matter: semi-join them first so
     # the base table is filtered, never shuffled as a whole
-    child_cids = good.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
+    named = good.where(F.col("op").isin(ADD_CHILD, *CHILD_OPS)).select("cid").distinct()
     base_children = t.exercises.select(F.col("id").cast("long").alias("cid"),
                                        F.col("workout_id").cast("long").alias("h"), "sort_order")
-    owners = (base_children.join(child_cids, "cid", "left_semi").select("cid", F.col("h").alias("_o"))
-              .unionByName(good.where(F.col("op") == ADD_CHILD).select("cid", F.col("h").alias("_o"))))
-    owners = owners.groupBy("cid").agg(F.min("_o").alias("_o"))
-    child_ops = (good.where(F.col("op").isin(*CHILD_OPS)).join(owners, "cid", "left")
-                 .withColumn("h", F.col("_o")).drop("_o"))
-    # all ops with their header feed the touched set, the named set, the fold
-    # and the verdicts of unowned child ops: resolve the owners once
+    base_named = base_children.join(named, "cid", "left_semi").checkpoint(eager=True)
+    owners = base_named.select("cid", "h").unionByName(good.where(F.col("op") == ADD_CHILD).select("cid", "h"))
+    groups = _shared_groups(owners)
+    child_ops = (good.where(F.col("op").isin(*CHILD_OPS)).drop("h")
+                 .join(owners.groupBy("cid").agg(F.min("h").alias("h")), "cid", "left"))
+    # all ops with their header feed the touched set, the fold and the
+    # verdicts of unowned child ops: resolve the owners once
     resolved = good.where(F.col("op").isin(*HEADER_OPS)).unionByName(child_ops).checkpoint(eager=True)
     unowned = resolved.where(F.col("h").isNull() & F.col("op").isin(*CHILD_OPS)).select(
         "seq", "ts", "op", F.when(F.col("op") == UPDATE_CHILD, F.lit(rejected("not_found")))
         .otherwise(F.lit(NOOP)).alias("outcome"))
     routed = resolved.where(F.col("h").isNotNull() | ~F.col("op").isin(*CHILD_OPS))
-    touched = routed.select("h").distinct()
-    named = routed.where(F.col("op").isin(*CHILD_OPS)).select("cid").distinct()
-    # children of the headers the log touches: the only base rows the fold
-    # needs (named ones, and the max ordinal of the rest)
-    base_touched = base_children.join(touched, "h", "left_semi")
-    base_named = base_touched.join(named, "cid", "left_semi")
-    base_kept_max = (base_touched.join(named, "cid", "left_anti")
+    touched = routed.select("h").unionByName(base_named.select("h")).distinct()
+    # of the other children of the headers that the log touches, the fold
+    # needs the largest ordinal only
+    base_kept_max = (base_children.join(touched, "h", "left_semi").join(named, "cid", "left_anti")
                      .groupBy("h").agg(F.max("sort_order").alias("base_max")))
     hdr = touched.join(t.workouts.select(F.col("id").cast("long").alias("h"), F.lit(True).alias("exists")),
                        "h", "left").join(base_kept_max, "h", "left")
-    nulls = [F.lit(None).cast(good.schema[c].dataType).alias(c) for c in PASS]
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    nulls = [null(c, good.schema[c].dataType) for c in PASS]
+    before = F.lit(-1).cast("long").alias("seq")
     fold_in = (
-        hdr.select("h", F.lit(0).alias("phase"), F.lit(-1).cast("long").alias("seq"),
-                   F.lit(None).cast("string").alias("op"), F.lit(None).cast("long").alias("cid"),
+        hdr.select("h", F.lit(0).alias("phase"), before, null("op", "string"), null("cid", "long"),
                    F.coalesce("exists", F.lit(False)).alias("exists"), F.col("base_max").cast("int"),
-                   F.lit(None).cast("int").alias("sort_order"), F.lit(None).cast("string").alias("member_reason"),
-                   *nulls)
-        .unionByName(base_named.select("h", F.lit(1).alias("phase"), F.lit(-1).cast("long").alias("seq"),
-                                       F.lit(None).cast("string").alias("op"), "cid",
-                                       F.lit(None).cast("boolean").alias("exists"),
-                                       F.lit(None).cast("int").alias("base_max"), F.col("sort_order").cast("int"),
-                                       F.lit(None).cast("string").alias("member_reason"), *nulls))
-        .unionByName(routed.select("h", F.lit(2).alias("phase"), "seq", "op", "cid",
-                                   F.lit(None).cast("boolean").alias("exists"),
-                                   F.lit(None).cast("int").alias("base_max"),
-                                   F.lit(None).cast("int").alias("sort_order"), "member_reason", *PASS)))
+                   null("sort_order", "int"), null("member_reason", "string"), *nulls)
+        .unionByName(base_named.select("h", F.lit(1).alias("phase"), before, null("op", "string"), "cid",
+                                       null("exists", "boolean"), null("base_max", "int"),
+                                       F.col("sort_order").cast("int"), null("member_reason", "string"), *nulls))
+        .unionByName(routed.select("h", F.lit(2).alias("phase"), "seq", "op", "cid", null("exists", "boolean"),
+                                   null("base_max", "int"), null("sort_order", "int"), "member_reason", *PASS)))
+    if groups is None:
+        fold_in = fold_in.withColumn("g", F.col("h"))
+    else:
+        fold_in = fold_in.join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
     n = partitions or shuffle_partitions(changes.sparkSession)
-    done = (fold_in.repartition(n, "h").sortWithinPartitions("h", "phase", "seq", "cid")
+    done = (fold_in.repartition(n, "g").sortWithinPartitions("g", "phase", "seq", "cid")
             .mapInPandas(_fold, FOLD_OUT))
     # the verdicts (with their request fields) feed every output: cut the
     # lineage once
     done = done.checkpoint(eager=True)
-    ok = done.where(F.col("outcome") == OK)
     outcomes = (done.select("seq", "ts", "op", "outcome").unionByName(unowned).unionByName(rejects))
-
-    created = ok.where(F.col("op") == CREATE_HEADER)
-    deleted_h = ok.where(F.col("op") == DELETE_HEADER).select(F.col("h").alias("id"))
-    workouts = append_headers(t.workouts, created)
-    workouts = finish_headers(workouts, ok.where(F.col("op") == FINISH_HEADER))
-    adds = ok.where(F.col("op") == ADD_CHILD)
-    exercises = t.exercises.unionByName(_child_rows(adds))
-    bridge = t.exercise_body_parts.unionByName(
-        adds.select(F.col("cid").cast("long").alias("exercise_id"), F.explode("members").alias("body_part_id")))
-    exercises, bridge = upsert_children(exercises, bridge, ok.where(F.col("op") == UPDATE_CHILD))
-    deleted_c = ok.where(F.col("op") == DELETE_CHILD).select(F.col("cid").alias("id"))
-    workouts, exercises, bridge = cascade_delete(workouts, exercises, bridge, deleted_h, deleted_c)
+    workouts, exercises, bridge = _assemble(t, done.where(F.col("outcome") == OK))
     return {"workouts": workouts, "exercises": exercises, "exercise_body_parts": bridge, "outcomes": outcomes}
 
 
+def _assemble(t: Tables, ok: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after the accepted requests. A row of the log is there if
+    its last add came after the last delete of it and of its header; an
+    update or finish counts if it came after that add. Base rows are there if
+    the log never deleted them (an id that was added again had been)."""
+    of = lambda op: ok.where(F.col("op") == op)
+    gone_h = of(DELETE_HEADER).groupBy("h").agg(F.max("seq").alias("_hd"))
+    gone_c = of(DELETE_CHILD).groupBy("cid").agg(F.max("seq").alias("_cd"))
+    never = F.lit(-(1 << 63)).cast("long")
+
+    made = of(CREATE_HEADER).groupBy("h").agg(F.max_by(F.struct("gym_id", "ts"), "seq").alias("_r"), F.max("seq").alias("_made"))
+    there = made.join(gone_h, "h", "left").where(F.col("_hd").isNull() | (F.col("_made") > F.col("_hd")))
+    finishes = of(FINISH_HEADER).join(made.select("h", "_made"), "h", "left").where(
+        F.col("seq") > F.coalesce("_made", never))
+    added = of(ADD_CHILD).groupBy("cid").agg(
+        F.max_by(F.struct("h", "ts", "name", "machine", "max_weight", "members", "sort_order"), "seq").alias("_r"),
+        F.max("seq").alias("_added"))
+    live = added.select("cid", "_added", "_r.*").join(gone_c, "cid", "left").join(gone_h, "h", "left").where(
+        (F.col("_added") > F.coalesce("_cd", never)) & (F.col("_added") > F.coalesce("_hd", never)))
+    updates = of(UPDATE_CHILD).join(added.select("cid", "_added"), "cid", "left").where(
+        F.col("seq") > F.coalesce("_added", never))
+    removed = gone_c.select(F.col("cid").alias("id")).unionByName(added.select(F.col("cid").alias("id")))
+
+    workouts, exercises, bridge = cascade_delete(t.workouts, t.exercises, t.exercise_body_parts,
+                                                 gone_h.select(F.col("h").alias("id")), removed)
+    workouts = finish_headers(append_headers(workouts, there.select("h", "_r.*")), finishes)
+    exercises, bridge = upsert_children(exercises.unionByName(_child_rows(live)), append_bridge(bridge, live), updates)
+    # an update of a child that is gone by now left members behind
+    gone_now = gone_c.select("cid").unionByName(added.select("cid")).unionByName(
+        updates.join(gone_h, "h").select("cid")).distinct().join(live.select("cid"), "cid", "left_anti")
+    bridge = bridge.join(gone_now.select(F.col("cid").alias("exercise_id")), "exercise_id", "left_anti")
+    return workouts, exercises, bridge
+
+
 def empty_tables(spark, gyms: DataFrame, body_parts: DataFrame) -> Tables:
     e = lambda s: spark.createDataFrame([], s)
     return Tables(gyms, body_parts, e(S.WORKOUTS), e(S.EXERCISES), e(S.EXERCISE_BODY_PARTS))

@@ -293,3 +293,100 @@ def test_oversized_member_id_is_unknown(spark, seed, monkeypatch):
         monkeypatch.setattr(C, "INLINE_MEMBER_LIMIT", limit)
         out = C.apply_changes(base(spark, seed, empty=True), log(spark, rows))
         assert [r.outcome for r in out["outcomes"].orderBy("seq").collect()] == ["ok", "rejected:unknown_member", "ok"]
+
+
+def replay_all(headers, kids, rows, t0=0):
+    """Brute force over all ops; kids: id -> [header, sort, name, members],
+    headers: id -> [gym, finished_at]."""
+    out = []
+    for i, (op, h, c, p) in enumerate(rows):
+        ts = T0 + dt.timedelta(minutes=t0 + i)
+        i = int(p.get("id", 0))
+        if op == "create_header":
+            out.append("rejected:duplicate_id" if h in headers else "ok")
+            headers.setdefault(h, [p["gym_id"], None])
+        elif op in ("finish_header", "delete_header"):
+            out.append("ok" if i in headers else "noop")
+            if i in headers and op == "finish_header":
+                headers[i][1] = ts
+            elif i in headers:
+                del headers[i]
+                for k in [k for k, v in kids.items() if v[0] == i]:
+                    del kids[k]
+        elif op == "add_child":
+            hh = int(p["workout_id"])
+            if hh not in headers:
+                out.append("rejected:unknown_header")
+            elif c in kids:
+                out.append("rejected:duplicate_id")
+            else:
+                mx = max([v[1] for v in kids.values() if v[0] == hh], default=0)
+                kids[c] = [hh, mx + 1, p["name"], set(p["body_part_ids"])]
+                out.append("ok")
+        elif op == "update_child":
+            out.append("ok" if i in kids else "rejected:not_found")
+            if i in kids:
+                kids[i][2:] = [p["name"], set(p["body_part_ids"])]
+        else:
+            out.append("ok" if kids.pop(i, None) else "noop")
+    return out
+
+
+def state(spark, t):
+    members = {}
+    for r in t["exercise_body_parts"].collect():
+        members.setdefault(r.exercise_id, []).append(r.body_part_id)
+    assert all(len(m) == len(set(m)) for m in members.values())
+    kids = [(r.id, r.workout_id, r.sort_order, r.name, sorted(members.pop(r.id, []))) for r in t["exercises"].collect()]
+    assert not members, "members of no child"
+    return sorted(kids), sorted((r.id, r.gym_id, r.finished_at) for r in t["workouts"].collect())
+
+
+def test_reused_ids_against_brute_force(spark, seed):
+    """Adds after deletes, re-created headers, ids that move between
+    headers, base children; whole and split in two."""
+    rnd = random.Random(11)
+    b = base(spark, seed)
+    start = {"workouts": b.workouts, "exercises": b.exercises, "exercise_body_parts": b.exercise_body_parts}
+    for trial in range(2):
+        rows = []
+        for _ in range(150):
+            r, i = rnd.random(), rnd.choice([1, 2, 5, 6, 24, 900, 901, 902, 903])
+            h = rnd.choice([1, 2, 5, 100])
+            parts = rnd.sample(range(1, 8), rnd.randint(1, 3))
+            rows.append(add(h, i, name=f"n{rnd.randrange(99)}", parts=parts) if r < 0.4 else
+                        ("delete_child", None, None, {"id": i}) if r < 0.6 else
+                        ("update_child", None, None, {"id": i, "name": f"u{rnd.randrange(99)}", "body_part_ids": parts})
+                        if r < 0.75 else ("finish_header", None, None, {"id": h}) if r < 0.8 else
+                        ("delete_header", None, None, {"id": h}) if r < 0.87 else ("create_header", h, None, {"gym_id": 1}))
+        headers = {r.id: [r.gym_id, r.finished_at] for r in b.workouts.collect()}
+        kids = {k: [h, s, n, set(m)] for k, h, s, n, m in state(spark, start)[0]}
+        expected = replay_all(headers, kids, rows)
+        want = (sorted((k, v[0], v[1], v[2], sorted(v[3])) for k, v in kids.items()),
+                sorted((k, *v) for k, v in headers.items()))
+        full = log(spark, rows)
+        whole = C.apply_changes(b, full)
+        assert [r.outcome for r in whole["outcomes"].orderBy("seq").collect()] == expected
+        assert state(spark, whole) == want
+        cut = rnd.randrange(20, 130)
+        first = C.apply_changes(b, full.where(F.col("seq") <= cut))
+        second = C.apply_changes(C.Tables(b.gyms, b.body_parts, first["workouts"], first["exercises"],
+                                          first["exercise_body_parts"]), full.where(F.col("seq") > cut))
+        assert [r.outcome for x in (first, second) for r in x["outcomes"].orderBy("seq").collect()] == expected
+        assert state(spark, second) == want
+
+
+def test_many_adds_to_one_header():
+    """Ordinals cost no pass over the header's children."""
+    import time
+    from types import SimpleNamespace as Row
+    fold, t = C.HeaderFold(), time.time()
+    blank = {"g": 1, "h": 1, "base_max": None, "member_reason": None}
+    fold.apply(Row(**blank, phase=0, exists=True))
+    for i in range(200_000):
+        assert fold.apply(Row(**blank, phase=2, seq=2 * i, op="add_child", cid=i))[3] == i // 2 + 1 + (i % 2)
+        if i % 2:
+            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="delete_child", cid=i - 1))
+            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="delete_child", cid=i))
+            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="add_child", cid=-i))
+    assert time.time() - t < 20
