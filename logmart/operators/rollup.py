@@ -119,30 +119,33 @@ def full_coverage(headers: DataFrame, children: DataFrame, bridge: DataFrame, *,
 
 def _verified_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: int, offset: int,
                    header_fk: str, dim_id: str, check_fk: bool) -> DataFrame:
-    """The page of headers that have a dimension row, without joining every
-    header to the dimension: take the top ``offset + limit`` candidates,
-    drop orphans (candidates are few and are broadcast), and widen the
-    candidate set only when orphans left the page short. Exact, because any
-    header outside the candidates ranks below all of them; with intact
-    foreign keys it is one pass."""
+    """The page of headers that have a dimension row: take the top
+    ``offset + limit`` candidates and drop orphans. Any header outside the
+    candidates ranks below all of them, so with intact foreign keys that is
+    the page, and no step joins all headers to the dimension. Where orphans
+    leave it short, one join of all headers to the dimension and one top-k
+    give the page."""
     want = offset + limit
-    take = want
-    spark = h.sparkSession
+    page = lambda df: df.orderBy(*order).offset(offset).limit(limit)
     if want <= PUSHDOWN_IN_LIMIT:
         return _small_page(h, dims, order, limit, offset, header_fk, dim_id, check_fk)
-    ensure_checkpoint_dir(spark)
-    while True:
-        cand = h.orderBy(*order).limit(take).checkpoint(eager=True)
-        if not check_fk:
-            return cand.orderBy(*order).offset(offset).limit(limit)
-        keys_ = cand.select(F.col(header_fk).alias("_gid")).distinct()
-        found = (dims.select(F.col(dim_id).alias("_gid")).join(bounded_broadcast(keys_, take), "_gid")
-                 .distinct().withColumn("_ok", F.lit(True)))
-        flagged = cand.join(bounded_broadcast(found, take), F.col(header_fk) == F.col("_gid"), "left").drop("_gid")
-        n_cand, n_ok = flagged.agg(F.count(F.lit(1)), F.count("_ok")).first()
-        if n_ok >= want or n_cand < take:
-            return flagged.where(F.col("_ok")).drop("_ok").orderBy(*order).offset(offset).limit(limit)
-        take = max(2 * take, take + (want - n_ok))
+    ensure_checkpoint_dir(h.sparkSession)
+    cand = h.orderBy(*order).limit(want).checkpoint(eager=True)
+    if not check_fk:
+        return page(cand)
+    keys_ = cand.select(F.col(header_fk).alias("_gid")).distinct()
+    found = (dims.select(F.col(dim_id).alias("_gid")).join(bounded_broadcast(keys_, want), "_gid")
+             .distinct().withColumn("_ok", F.lit(True)))
+    flagged = cand.join(bounded_broadcast(found, want), F.col(header_fk) == F.col("_gid"), "left").drop("_gid")
+    n_cand, n_ok = flagged.agg(F.count(F.lit(1)), F.count("_ok")).first()
+    if n_ok == want or n_cand < want:
+        return page(flagged.where(F.col("_ok")).drop("_ok"))
+    return page(_with_dimension(h, dims, header_fk, dim_id))
+
+
+def _with_dimension(h: DataFrame, dims: DataFrame, header_fk: str, dim_id: str) -> DataFrame:
+    keys_ = dims.select(F.col(dim_id).alias("_gid")).distinct()
+    return h.join(keys_, F.col(header_fk) == F.col("_gid"), "left_semi")
 
 
 def _small_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: int, offset: int,
@@ -151,19 +154,17 @@ def _small_page(h: DataFrame, dims: DataFrame, order: list[Column], limit: int,
     candidates: the top candidates are fetched (a bounded top-k, as a page
     is), their dimension keys are looked up with an IN filter pushed to the
     dimension scan, and the page is returned as a small local DataFrame.
-    Two short jobs instead of a checkpoint and several counts."""
-    want, take = offset + limit, offset + limit
-    while True:
-        cand = h.orderBy(*order).limit(take).collect()
-        ok = cand
-        if check_fk and cand:
-            wanted = list({r[header_fk] for r in cand if r[header_fk] is not None})
-            found = {r[0] for r in dims.where(F.col(dim_id).isin(wanted)).select(dim_id).distinct().collect()}
-            ok = [r for r in cand if r[header_fk] in found]
-        if not check_fk or len(ok) >= want or len(cand) < take:
-            break
-        take = max(2 * take, take + (want - len(ok)))
-    return h.sparkSession.createDataFrame(ok[offset:offset + limit], h.schema)
+    The driver never gets more than ``offset + limit`` rows at once."""
+    want = offset + limit
+    cand = h.orderBy(*order).limit(want).collect()
+    ok = cand
+    if check_fk and cand:
+        wanted = list({r[header_fk] for r in cand if r[header_fk] is not None})
+        found = {r[0] for r in dims.where(F.col(dim_id).isin(wanted)).select(dim_id).distinct().collect()}
+        ok = [r for r in cand if r[header_fk] in found]
+        if len(ok) < want == len(cand):
+            ok = _with_dimension(h, dims, header_fk, dim_id).orderBy(*order).limit(want).collect()
+    return h.sparkSession.createDataFrame(ok[offset:want], h.schema)
 
 
 def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: DataFrame, *,

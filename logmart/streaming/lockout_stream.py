@@ -8,10 +8,13 @@ most ``max_attempts`` longs) plus the (time, id) of the last attempt seen.
 * A row older than the last attempt already seen for its key is emitted
   with outcome ``late`` and leaves the state alone (the source sees
   arrival order, so it has no late data; this is the streaming policy).
-* Idle keys expire on an **event-time** timeout at ``last + window``
-  behind the watermark: by then every recorded failure has expired, so
-  dropping the state cannot change an outcome. (A processing-time
-  timeout could drop live state while a backlog is replayed.)
+* Every row comes out, however late: by default there is no watermark (with
+  one, Spark drops rows behind it before this code sees them) and a key's
+  state stays, at most ``max_attempts`` + 2 longs.
+* With ``watermark`` idle keys expire on an event-time timeout at ``last +
+  window`` behind it: by then every recorded failure has expired, so dropping
+  the state cannot change an outcome. Rows behind the watermark are then
+  dropped by Spark, so the option fits sources that have none.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ LATE = "late"
 STATE_SCHEMA = "fails array<long>, last_t long, last_id long, last_wm long"
 
 
-def _make_fn(max_attempts: int, window: int):
+def _make_fn(max_attempts: int, window: int, expire: bool):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -52,7 +55,8 @@ def _make_fn(max_attempts: int, window: int):
         state.update((fails, last_t, last_id, last_wm))
         # expire once every recorded failure is older than the window, in
         # the watermark's own (event-time, milliseconds) timeline
-        state.setTimeoutTimestamp(last_wm // 1000 + window * 1000 + 1)
+        if expire:
+            state.setTimeoutTimestamp(last_wm // 1000 + window * 1000 + 1)
         yield pd.DataFrame({"_k": pdf["_k"], "_rid": pdf["_rid"], "_ts": pdf["_ts"], "_kind": pdf["_kind"],
                             "outcome": outcomes})
     return fn
@@ -69,10 +73,12 @@ def lockout_stream(attempts: DataFrame, *, key: str = "key", ts: str = "ts", att
     # event time as an instant built from the zone-free microseconds, so the
     # watermark does not depend on the session time zone (or DST)
     a = a.withColumn("_wm", F.timestamp_micros("_t_exact")).withColumn("_wm_us", F.col("_t_exact"))
-    a = a.withWatermark("_wm", watermark or f"{window} seconds")
+    if watermark:
+        a = a.withWatermark("_wm", watermark)
     out_schema = (f"_k string, _rid {a.schema['_rid'].dataType.simpleString()}, _ts timestamp_ntz, "
                   "_kind string, outcome string")
     res = a.groupBy("_k").applyInPandasWithState(
-        _make_fn(max_attempts, window), out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        _make_fn(max_attempts, window, bool(watermark)), out_schema, STATE_SCHEMA, "append",
+        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout)
     return res.select(F.col("_k").alias(key), F.col("_rid").alias(attempt_id), F.col("_ts").alias(ts),
                       F.col("_kind").alias(kind), "outcome")

@@ -117,6 +117,22 @@ def test_stream_marks_late_rows(spark):
     assert got == {1: "invalid", 2: "invalid", 10: "late", 11: "invalid", 12: "ok"}
 
 
+def test_stream_keeps_rows_far_behind(spark):
+    """Rows days behind the newest one come out too: late for a key that is
+    past them, judged for a new key."""
+    day = 86400
+    batches = [[("k", 30 * day, "fail")], [("j", 30 * day + 1, "fail")], [("k", 5, "fail"), ("n", 6, "success"), ("n", 7, "fail")]]
+    src, n = tempfile.mkdtemp(prefix="logmart-far-"), 0
+    for b, rows in enumerate(batches):
+        data = [(k, n + i, T0 + dt.timedelta(seconds=s), kind) for i, (k, s, kind) in enumerate(rows)]
+        n += len(rows)
+        spark.createDataFrame(data, S.ATTEMPTS).coalesce(1).write.parquet(os.path.join(src, f"b{b}"))
+    stream = (spark.readStream.schema(S.ATTEMPTS).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    out = run_available_now(lockout_stream(stream, window=60), "test_lockout_far")
+    assert {r.attempt_id: r.outcome for r in out.collect()} == {0: "invalid", 1: "invalid", 2: "late", 3: "ok", 4: "invalid"}
+
+
 def test_hot_key_with_pauses_against_replay(spark):
     """One key holds most attempts; bursts and pauses cross many time
     buckets, so segments and the carry between buckets are exercised."""

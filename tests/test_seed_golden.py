@@ -287,3 +287,15 @@ def test_hot_rows_argument(spark, seed):
     rows = nest.header_document_rows(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
                                      seed["body_parts"], hot_rows=3).collect()
     assert {r.child_id: r.position for r in rows} == want
+
+
+def test_page_of_orphans_stays_bounded(spark, monkeypatch):
+    """Orphans on top of the page: both page forms find the rows below them."""
+    from logmart.operators import rollup
+    h = spark.range(500).selectExpr("id", "if(id < 490, id % 3, -1) gym_id")
+    dims = spark.createDataFrame([(1,), (2,)], "gid long")
+    want = [r for r in range(499, -1, -1) if r < 490 and r % 3][2:7]
+    for limit in (10_000, 0):
+        monkeypatch.setattr(rollup, "PUSHDOWN_IN_LIMIT", limit)
+        got = rollup._verified_page(h, dims, [F.col("id").desc()], 5, 2, "gym_id", "gid", True)
+        assert [r.id for r in got.orderBy(F.col("id").desc()).collect()] == want
