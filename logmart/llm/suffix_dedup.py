@@ -211,8 +211,11 @@ def repeats(text: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = text.mapInArrow(_anchors(length), "q long, r long, doc_id long, spot long")
     order = Window.partitionBy("q").orderBy("r", "doc_id", "spot")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = anchors.withColumn("sure", F.coalesce(F.lag("r").over(order) == F.col("r"), F.lit(False))).withColumn(
-        "split", F.first("r").over(whole) != F.last("r").over(whole)).where("sure or split")
+    same = lambda c: F.coalesce(F.lag(c).over(order) == F.col(c), F.lit(False))
+    # a repeated row gives its anchors again, each beside itself: one of them counts
+    parts = anchors.withColumns({"sure": same("r"), "again": same("r") & same("doc_id") & same("spot"),
+                                 "split": F.first("r").over(whole) != F.last("r").over(whole)}).where(
+        "not again and (sure or split)")
     by_doc = parts.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("sure"), F.col("spot"))).alias("sure"),
         F.collect_list(F.when(~F.col("sure"), F.col("spot"))).alias("rest"))

@@ -329,3 +329,18 @@ def test_wand_bound_is_exact():
             for i, one in enumerate(index.impacts):
                 if sum(x for t, x in one.items() if t in have) >= 0.5:
                     assert (p, i // decontaminate.BLOCK) in open_
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffixes_repeated_rows(spark, seed):
+    """Rows read twice or three times: their bytes start at the same place."""
+    rows = corpus(seed)
+    again = spark.createDataFrame(rows + rows[:7] + rows[3:9] + rows[-3:], DOCS)
+    got = defaultdict(list)
+    for r in suffix_dedup.dedup(again).collect():
+        got[r.doc_id].append((bytes(r.kept), r.n_removed))
+    once = {r.doc_id: (bytes(r.kept), r.n_removed) for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(set(x) == {once[i]} for i, x in got.items())
+    assert sum(map(len, got.values())) == again.count()
+    alone = spark.createDataFrame([(1, "abcdefghi " * 9 + "z" * 99, 0, 0, "")] * 2, DOCS)
+    assert all(r.n_removed == 0 for r in suffix_dedup.dedup(alone).collect())
