@@ -344,3 +344,44 @@ def test_suffixes_repeated_rows(spark, seed):
     assert sum(map(len, got.values())) == again.count()
     alone = spark.createDataFrame([(1, "abcdefghi " * 9 + "z" * 99, 0, 0, "")] * 2, DOCS)
     assert all(r.n_removed == 0 for r in suffix_dedup.dedup(alone).collect())
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_recall(spark):
+    """Nearly all pairs of edit similarity 0.9 are found at 5-40 words, also
+    in scripts without spaces; no pair below it is."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows, near = [], {}
+    for n in (5, 6, 8, 10, 15, 20, 40, "han"):
+        for k in range(30):
+            if n == "han":
+                a = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30))
+            else:
+                a = " ".join(rng.choice(vocabulary) for _ in range(n))
+            c, edits = list(a), max(1, len(a) // 10 // (k % 3 + 1))
+            if k % 2 and n != "han":            # one word
+                w = a.split(" ")
+                w[rng.randrange(n)] = rng.choice(vocabulary)
+                b = " ".join(w)
+            else:
+                for at in rng.sample([i for i in range(len(c)) if c[i] != " "], edits):
+                    c[at] = "q"
+                b = "".join(c)
+            near[len(rows) + 1] = n, 10 * distance(a, b) <= max(len(a), len(b))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in got if i % 2 == 0 or not near[i][1])
+    for n in {n for n, _ in near.values()}:
+        found = [got[i] for i, (m, x) in near.items() if m == n and x]
+        assert len(found) >= 8 and sum(found) >= 0.93 * len(found), n
+
+
