@@ -46,7 +46,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -385,3 +385,15 @@ def test_line_recall(spark):
         assert len(found) >= 8 and sum(found) >= 0.93 * len(found), n
 
 
+def test_short_lines(spark, tmp_path):
+    """Equal lines of any length go in the query and in the pipeline's stage; blank lines stay."""
+    import corpus_pipeline
+    from logmart.llm.queries import op5_line_dedup
+
+    rows = [(1, "Home\n\n----\n你好世界\nRead more"), (2, "home!\n\n---- \nnew\n你好世界"), (3, "Read more\n你好世界"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, sha(rows[0][1])), 2: (3, sha("\nnew")), 3: (2, sha("")), 4: (0, None), 5: (0, sha(""))}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_duplicates(spark, df, "").collect()} == {
+        1: rows[0][1], 2: "\nnew", 4: None, 5: ""}
