@@ -397,3 +397,13 @@ def test_short_lines(spark, tmp_path):
     assert got == {1: (0, sha(rows[0][1])), 2: (3, sha("\nnew")), 3: (2, sha("")), 4: (0, None), 5: (0, sha(""))}
     assert {r.doc_id: r.text for r in corpus_pipeline.line_duplicates(spark, df, "").collect()} == {
         1: rows[0][1], 2: "\nnew", 4: None, 5: ""}
+
+
+def test_near_duplicates_stage(spark):
+    """Rows without an id stay, of repeated rows one."""
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine"
+    rows = [(1, text), (1, text), (2, text), (3, "something else is written in this one"), (None, text), (None, text), (4, None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, out)) == Counter([rows[0], rows[3], rows[4], rows[5], rows[6]])
