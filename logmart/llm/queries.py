@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmart.llm import (
     chat_format,
     decontaminate,
+    embedding_dedup,
+    importance_resample,
     jaccard_join,
     line_dedup,
     packing,
+    periodic_runs,
     quality_llr,
     secret_scan,
     substring_dedup,
@@ -83,6 +88,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words that the contract of op11 reads a text as: one in
+    ten ends in repeats of a stretch of its words. Null ids: as it is."""
+    h = crc32(b"%d" % doc_id) if doc_id is not None else 1
+    g = h // 10
+    if h % 10 or not n:
+        return None
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.collapse(table(spark, sf_dir, "documents"), rewrite=planted))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -94,6 +125,55 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_importance_resample": op13_importance_resample,
 }
 
-ORACLES = {}
+#: CRC-32 of the UTF-8 bytes of word ``w``, bit by bit over its hex digits.
+CRC32_SQL = """xor(4294967295, list_reduce(list_transform(range(1, strlen(w) + 1), lambda i:
+    16 * (strpos('0123456789ABCDEF', substr(hex(encode(w)), 2 * i - 1, 1)) - 1)
+    + strpos('0123456789ABCDEF', substr(hex(encode(w)), 2 * i, 1)) - 1),
+  lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT))"""
+
+ORACLES = {
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links,
+  least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id,
+  vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS kept
+FROM embeddings""",
+    "op13_importance_resample": f"""
+WITH word AS (
+  SELECT src, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+  FROM (SELECT 0 AS src, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+coded AS (SELECT w, {CRC32_SQL} % 10000 AS bucket FROM (SELECT DISTINCT w FROM word)),
+feature AS (SELECT src, doc_id, bucket FROM word JOIN coded USING (w)),
+gain AS (
+  SELECT bucket, count(*) FILTER (src = 0) AS s, count(*) FILTER (src = 1) AS t,
+    floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g
+  FROM feature GROUP BY bucket),
+scored AS (
+  SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_features, coalesce(f.weight, 0)::BIGINT AS weight,
+    coalesce(f.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                               / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) AS n, sum(g) AS weight FROM feature JOIN gain USING (bucket) WHERE src = 0 GROUP BY doc_id) f
+    USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM placed""",
+}
