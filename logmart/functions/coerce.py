@@ -20,7 +20,8 @@ PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
 # carriage return, vertical tab, form feed): sign, digits with optional
 # fraction (or a bare fraction), optional exponent.
 _NUM_PREFIX = r"^[ \t\n\r\x0b\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?)"
-_INT_ONLY = r"^[+-]?[0-9]{1,18}$"
+_INT_ONLY = r"^[+-]?[0-9]{1,18}\z"
+_PLAIN_DECIMAL = r"^[0-9]{1,12}(\.[0-9]{1,12})?\z"
 
 
 def _c(c: Column | str) -> Column:
@@ -53,14 +54,15 @@ def php_int(c: Column | str) -> Column:
     0 when there is none (``'12abc'`` -> 12, ``'abc'`` -> 0, ``'1e3'`` ->
     1000), saturating at the 64-bit range, 0 for an infinite value.
     NULL (absent) -> 0, as ``?? 0`` gives."""
-    p = numeric_prefix(c)
+    x, p = _c(c), numeric_prefix(c)
+    plain = F.when(x.rlike(_INT_ONLY), x.try_cast("long"))       # the usual case, one match
     exact = F.when(p.rlike(_INT_ONLY), p.try_cast("long"))
     d = F.when(p != "", p.try_cast("double"))
     # finite values truncate and saturate at the 64-bit range (floor/ceil
     # return bigint, saturating); an infinite one becomes 0
     trunc = (F.when(F.abs(d) == F.lit(float("inf")), F.lit(0))
              .when(d >= 0, F.floor(d)).otherwise(F.ceil(d)))
-    return F.coalesce(exact, trunc.try_cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(plain, exact, trunc.try_cast("long"), F.lit(0).cast("long"))
 
 
 def weight_value(c: Column | str) -> Column:
@@ -72,7 +74,8 @@ def weight_value(c: Column | str) -> Column:
     p = numeric_prefix(x)
     # PHP reads the prefix as a float; the float's shortest decimal form is
     # then rounded half up to numeric(6,2), NULL when it does not fit
-    f = F.when(p == "", F.lit(0.0)).otherwise(p.try_cast("double"))
+    f = (F.when(x.rlike(_PLAIN_DECIMAL), x.try_cast("double")).when(p == "", F.lit(0.0))
+         .otherwise(p.try_cast("double")))
     val = f.try_cast(WEIGHT_TYPE)
     return F.when(x.isNull() | (x == ""), F.lit(None).cast(WEIGHT_TYPE)).otherwise(val)
 

@@ -18,20 +18,22 @@ C9 fk_to_bridge, C10 keyed_update, C11 append_rows.
 
 C8 apply_changes handles a mixed, ordered log. Ordinals depend on history
 (children 1,2,3; delete 3; add -> 3; delete 2; add -> 4) and the outcome
-of an op depends on earlier ops of the same header, so everything after
-validation is folded per header in ``seq`` order:
+of an op depends on earlier ops of the same header, yet nearly all of it
+is set-based:
 
 * validation and every stateless reject (missing fields, weight out of
   range, duplicate or unknown members, unknown gym) are column
   expressions and joins;
-* child ops find their header through base children plus the adds in the
-  log (a join), so the fold is keyed by header only;
-* the fold sees only the ops of each header plus the base children those
-  ops name; untouched base children enter as one number (their max
-  ordinal). It streams over a partition sorted by (header, seq) in
-  ``mapInPandas``; state is the header's existence and its log-touched
-  children;
-* final tables are assembled from the fold's verdicts with anti joins and
+* whether a header or child is there before a request follows from the
+  last request of few kinds before it: running values over one timeline
+  per header and one per child id (``group_scan``), on narrow rows;
+* ordinals count up from a carried maximum in every part of a header's
+  log in which no child delete comes before an add;
+* Python folds get only the rest, as ids and operations: headers with a
+  delete before an add (``_Ordinals``), and child ids that the log puts
+  under several headers (``_Ownership``). A log without them has a plan
+  without Python;
+* final tables are assembled from the verdicts with anti joins and
   unions (C6, C7, C5 logic).
 """
 
@@ -47,8 +49,8 @@ from pyspark.sql import functions as F
 
 from logmart import schemas as S
 from logmart.functions.coerce import empty_to_null, php_int, php_trim, weight_value
-from logmart.operators.common import fits
-from logmart.session import ensure_checkpoint_dir, shuffle_partitions
+from logmart.operators.common import fits, group_rank, group_scan, hot_groups, null_safe_join
+from logmart.session import ensure_checkpoint_dir, shuffle_partitions, stored
 from logmart.sources.io import parse_payload
 
 # Operation names and outcome texts.
@@ -153,13 +155,14 @@ def _member_reasons(v: DataFrame, members: DataFrame, member_id: str) -> DataFra
                               .when(F.array_position("members", m) < i + 1, F.lit("duplicate_member")))
         first = F.get(F.filter(per_pos, lambda x: x.isNotNull()), 0)
         return v.withColumn("member_reason", F.when(needs, first)).drop("_known")
-    ex = v.where(needs).select("seq", "members", F.posexplode("members").alias("_pos", "_m"))
+    # equal lists have equal reasons: each distinct list is checked once
+    ex = v.where(needs).select("members").distinct().select("members", F.posexplode("members").alias("_pos", "_m"))
     ex = ex.join(ids.withColumn("_known", F.lit(True)), "_m", "left")
     bad = ex.where(F.col("_known").isNull() | (F.array_position("members", F.col("_m")) < F.col("_pos") + 1))
-    bad = bad.groupBy("seq").agg(F.min_by(
+    bad = bad.groupBy("members").agg(F.min_by(
         F.when(F.col("_known").isNull(), F.lit("unknown_member")).otherwise(F.lit("duplicate_member")),
-        F.col("_pos")).alias("member_reason"))
-    return v.join(bad, "seq", "left")
+        F.col("_pos")).alias("_bad"))
+    return v.join(bad, "members", "left").withColumn("member_reason", F.when(needs, F.col("_bad"))).drop("_bad")
 
 
 # ------------------------------------------------------------------ C2..C7, C9..C11
@@ -284,232 +287,256 @@ class Tables:
     exercise_body_parts: DataFrame
 
 
-# request fields carried through the fold so its verdicts need no join back
-PASS = ("ts", "gym_id", "name", "machine", "max_weight", "members")
-FOLD_OUT = ("seq long, h long, op string, cid long, ts timestamp_ntz, gym_id long, name string, machine string, "
-            "max_weight decimal(6,2), members array<int>, outcome string, sort_order int")
+# rows of the tables before the log, in the timelines of headers and children
+BEFORE = "before"
+EVENT = ("rid", "seq", "ts", "op", "h", "cid", "member_reason")
+AT = ("seq", "rid")                # the order of requests
 
 
-class _Header:
-    """State of one header: its largest ordinal is the largest of the base
-    children that the log doesn't name (``base_max``) and of a heap from
-    which dead children are dropped when they come up."""
+def _order(descending: bool = False) -> list:
+    return [F.desc_nulls_last(c) if descending else F.asc_nulls_first(c) for c in AT]
 
-    __slots__ = ("exists", "base_max", "heap", "cids")
 
-    def __init__(self, exists: bool = False, base_max: int | None = None):
-        self.exists, self.base_max, self.heap, self.cids = exists, base_max, [], set()
+def _blank(df: DataFrame, like: DataFrame, **given) -> DataFrame:
+    """Rows of ``df`` with the columns of ``like``: those given, those that
+    ``df`` has, else NULL."""
+    kinds = {f.name: f.dataType for f in like.schema}
+    return df.select(*[(given[c] if c in given else F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c)
+                       for c, k in kinds.items()])
 
 
-class HeaderFold:
-    """Ordered rule for one header, or for headers that share child ids;
-    carried across Arrow batches."""
+class _Ownership:
+    """Who holds one child id that the log puts under several headers: the
+    header of the last accepted add, until the child's or that header's next
+    delete. Fed in order, carried across batches."""
 
     def __init__(self):
-        self.g = None
-
-    def reset(self, g):
-        self.g = g
-        self.headers: dict[int, _Header] = {}
-        self.alive: dict[int, tuple[int, int | None]] = {}       # child -> its header and ordinal
-
-    def put(self, cid: int, h: int, ordinal: int | None) -> None:
-        self.alive[cid] = h, ordinal
-        self.headers[h].cids.add(cid)
-        if ordinal is not None:
-            heapq.heappush(self.headers[h].heap, (-ordinal, cid))
-
-    def next_ordinal(self, h: int) -> int:
-        x = self.headers[h]
-        while x.heap and self.alive.get(x.heap[0][1]) != (h, -x.heap[0][0]):
-            heapq.heappop(x.heap)
-        known = [v for v in (x.base_max, -x.heap[0][0] if x.heap else None) if v is not None]
-        return max(known, default=0) + 1
-
-    def apply(self, r) -> tuple | None:
-        if r.g != self.g:
-            self.reset(r.g)
-        if r.phase == 0:            # header state before the log
-            self.headers[r.h] = _Header(bool(r.exists), None if pd.isna(r.base_max) else int(r.base_max))
-            return None
-        if r.phase == 1:            # a base child named by the log
-            self.put(int(r.cid), r.h, None if pd.isna(r.sort_order) else int(r.sort_order))
-            return None
-        op, seq = r.op, int(r.seq)
-        head = self.headers[r.h]
-        if op == CREATE_HEADER:
-            if head.exists:
-                return seq, r.h, rejected("duplicate_id"), None
-            self.headers[r.h] = _Header(True)
-            return seq, r.h, OK, None
-        if op in (FINISH_HEADER, DELETE_HEADER):
-            if not head.exists:
-                return seq, r.h, NOOP, None
-            if op == DELETE_HEADER:
-                for cid in head.cids:
-                    del self.alive[cid]
-                self.headers[r.h] = _Header()
-            return seq, r.h, OK, None
-        cid = int(r.cid)
-        if op == ADD_CHILD:
-            if not head.exists:
-                return seq, r.h, rejected("unknown_header"), None
-            if isinstance(r.member_reason, str):
-                return seq, r.h, rejected(r.member_reason), None
-            if cid in self.alive:
-                return seq, r.h, rejected("duplicate_id"), None
-            s = self.next_ordinal(r.h)
-            self.put(cid, r.h, s)
-            return seq, r.h, OK, s
-        if op == UPDATE_CHILD:
-            if cid not in self.alive:
-                return seq, r.h, rejected("not_found"), None
-            if isinstance(r.member_reason, str):
-                return seq, r.h, rejected(r.member_reason), None
-            return seq, self.alive[cid][0], OK, self.alive[cid][1]
-        if op == DELETE_CHILD:
-            if cid not in self.alive:
-                return seq, r.h, NOOP, None
-            h, _ = self.alive.pop(cid)
-            self.headers[h].cids.discard(cid)
-            return seq, h, OK, None
-        raise ValueError(op)
-
-
-_FOLD_COLS = ("g", "h", "phase", "seq", "op", "cid", "exists", "base_max", "sort_order", "member_reason")
+        self.cid = self.owner = None
 
+    def apply(self, cid, op, able, h, ep, at, until):
+        if cid != self.cid:
+            self.cid, self.owner = cid, None
+        alive = self.owner is not None and at < self.owner[2]
+        holder = self.owner if alive and op != ADD_CHILD else (h, ep)
+        if op == DELETE_CHILD:
+            self.owner = None
+        elif not alive and (op == BEFORE or (op == ADD_CHILD and able)):
+            self.owner = h, ep, until
+        return alive, holder[0], holder[1]
 
-class _Row:
-    __slots__ = _FOLD_COLS
-
-    def __init__(self, values):
-        for k, v in zip(_FOLD_COLS, values):
-            setattr(self, k, v)
 
+def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    state, first, last = _Ownership(), (-(1 << 63), -1), ((1 << 63) - 1, 1 << 62)
+    long = lambda x: None if pd.isna(x) else int(x)
+    at = lambda seq, rid: (first[0] if pd.isna(seq) else int(seq), int(rid))
+    for pdf in batches:
+        rows = [state.apply(cid, op, able, long(h), long(ep), first if op == BEFORE else at(seq, rid),
+                            last if pd.isna(n_rid) else at(n_seq, n_rid))
+                for cid, op, able, h, ep, seq, rid, n_seq, n_rid in zip(*(pdf[c].tolist() for c in (
+                    "cid", "op", "able", "h", "ep", "seq", "rid", "next_seq", "next_rid")))]
+        out = pdf[[c for c in pdf.columns if c not in ("able", "next_seq", "next_rid")]].copy()
+        out["alive"] = [r[0] for r in rows]
+        out["h"], out["ep"] = (pd.array([r[i] for r in rows], dtype="Int64") for i in (1, 2))
+        yield out[(out["op"] != BEFORE).to_numpy()]
+
+
+class _Ordinals:
+    """Ordinals of one header in which deletes come before adds: the largest
+    of the children that the log doesn't name (``rest``) and of a heap from
+    which dead children are dropped when they come up."""
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    f = HeaderFold()
+    def __init__(self):
+        self.key = None
+
+    def apply(self, key, op, cid, ordinal):
+        if key != self.key:
+            self.key, self.rest, self.heap, self.alive = key, 0, [], {}
+        if op == BEFORE and cid is None:
+            self.rest = ordinal or 0
+        elif op == DELETE_CHILD:
+            self.alive.pop(cid, None)
+        else:
+            while self.heap and self.alive.get(self.heap[0][1]) != -self.heap[0][0]:
+                heapq.heappop(self.heap)
+            if op == ADD_CHILD:
+                ordinal = max(self.rest, -self.heap[0][0] if self.heap else 0) + 1
+            if ordinal is not None:
+                self.alive[cid] = ordinal
+                heapq.heappush(self.heap, (-ordinal, cid))
+        return ordinal
+
+
+def _count_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    state = _Ordinals()
+    long = lambda x: None if pd.isna(x) else int(x)
     for pdf in batches:
-        cols = [pdf[c].tolist() for c in _FOLD_COLS]
-        res = [f.apply(_Row(v)) for v in zip(*cols)]
-        keep = [r is not None for r in res]
-        done = [r for r in res if r is not None]
-        out = pdf.loc[keep, ["seq", "h", "op", "cid", *PASS]].reset_index(drop=True)
-        out["h"] = pd.array([r[1] for r in done], dtype="int64")
-        out["outcome"] = [r[2] for r in done]
-        out["sort_order"] = pd.array([r[3] for r in done], dtype="Int32")
-        yield out
-
-
-def _shared_groups(owners: DataFrame) -> DataFrame | None:
-    """(h, g) of the headers under which the log puts one child id more than
-    once over: headers linked by such ids get one group, their smallest
-    id. None without such ids (the usual case: ids are never reused). Labels
-    travel along the links, a step a round, over those ids' rows only."""
-    many = owners.groupBy("cid").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("cid")
-    links = owners.join(many, "cid").distinct().checkpoint(eager=True)
-    if links.isEmpty():
-        return None
-    label = links.select("h", F.col("h").alias("g")).distinct()
-    while True:
-        per_id = links.join(label, "h").groupBy("cid").agg(F.min("g").alias("m"))
-        new = links.join(per_id, "cid").groupBy("h").agg(F.min("m").alias("m"))
-        new = new.join(label, "h").select("h", "m", F.col("g").alias("was")).checkpoint(eager=True)
-        label = new.select("h", F.col("m").alias("g"))
-        if new.where("m <> was").isEmpty():
-            return label
+        got = [state.apply((h, long(ep)), op, long(cid), long(n)) for h, ep, op, cid, n in
+               zip(*(pdf[c].tolist() for c in ("h", "ep", "op", "cid", "sort_order")))]
+        out = pdf[["rid"]].assign(sort_order=pd.array(got, dtype="Int32"))
+        yield out[(pdf["op"] == ADD_CHILD).to_numpy()]
 
 
 def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None) -> dict[str, DataFrame]:
     """Apply a mixed, ordered change log. Returns the new
-    ``workouts``, ``exercises``, ``exercise_body_parts`` and ``outcomes``
-    (seq, ts, op, outcome: ok / noop / rejected:<reason>).
+    ``workouts``, ``exercises``, ``exercise_body_parts``, ``outcomes``
+    (seq, ts, op, outcome: ok / noop / rejected:<reason>) and the ids of the
+    rows that may have changed (``touched_workouts``, ``touched_exercises``).
 
     An id may come back after its row is deleted, also under another header:
-    the tables hold what the last accepted requests left, in ``seq`` order.
+    the tables hold what the last accepted requests left, in ``seq`` order;
+    requests of one ``seq`` follow each other in the order of the log's rows.
     """
     ensure_checkpoint_dir(changes.sparkSession)
-    # validation reads the log once; every later branch reads this copy
-    good, rejects = split_validated(validated(changes, t.gyms, t.body_parts).checkpoint(eager=True))
-    # child ops: find the header through base children and logged adds
-    # only base children named by the log matter: semi-join them first so
-    # the base table is filtered, never shuffled as a whole
-    named = good.where(F.col("op").isin(ADD_CHILD, *CHILD_OPS)).select("cid").distinct()
+    n = partitions or shuffle_partitions(changes.sparkSession)
+    # validation reads the log once; every later branch reads columns of this copy
+    v = stored(validated(changes, t.gyms, t.body_parts).withColumn("rid", F.monotonically_increasing_id()), "changes")
+    good, rejects = split_validated(v)
+    events = good.select(*EVENT)
+    # of the base children only those that the log names matter: semi-join
+    # them first so the base table is filtered, never shuffled as a whole
+    named = events.where(F.col("op").isin(ADD_CHILD, *CHILD_OPS)).select("cid").distinct()
     base_children = t.exercises.select(F.col("id").cast("long").alias("cid"),
-                                       F.col("workout_id").cast("long").alias("h"), "sort_order")
+                                       F.col("workout_id").cast("long").alias("h"), F.col("sort_order").cast("int"))
     base_named = base_children.join(named, "cid", "left_semi").checkpoint(eager=True)
-    owners = base_named.select("cid", "h").unionByName(good.where(F.col("op") == ADD_CHILD).select("cid", "h"))
-    groups = _shared_groups(owners)
-    child_ops = (good.where(F.col("op").isin(*CHILD_OPS)).drop("h")
-                 .join(owners.groupBy("cid").agg(F.min("h").alias("h")), "cid", "left"))
-    # all ops with their header feed the touched set, the fold and the
-    # verdicts of unowned child ops: resolve the owners once
-    resolved = good.where(F.col("op").isin(*HEADER_OPS)).unionByName(child_ops).checkpoint(eager=True)
-    unowned = resolved.where(F.col("h").isNull() & F.col("op").isin(*CHILD_OPS)).select(
-        "seq", "ts", "op", F.when(F.col("op") == UPDATE_CHILD, F.lit(rejected("not_found")))
-        .otherwise(F.lit(NOOP)).alias("outcome"))
-    routed = resolved.where(F.col("h").isNotNull() | ~F.col("op").isin(*CHILD_OPS))
-    touched = routed.select("h").unionByName(base_named.select("h")).distinct()
-    # of the other children of the headers that the log touches, the fold
-    # needs the largest ordinal only
-    base_kept_max = (base_children.join(touched, "h", "left_semi").join(named, "cid", "left_anti")
-                     .groupBy("h").agg(F.max("sort_order").alias("base_max")))
-    hdr = touched.join(t.workouts.select(F.col("id").cast("long").alias("h"), F.lit(True).alias("exists")),
-                       "h", "left").join(base_kept_max, "h", "left")
-    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    nulls = [null(c, good.schema[c].dataType) for c in PASS]
-    before = F.lit(-1).cast("long").alias("seq")
-    fold_in = (
-        hdr.select("h", F.lit(0).alias("phase"), before, null("op", "string"), null("cid", "long"),
-                   F.coalesce("exists", F.lit(False)).alias("exists"), F.col("base_max").cast("int"),
-                   null("sort_order", "int"), null("member_reason", "string"), *nulls)
-        .unionByName(base_named.select("h", F.lit(1).alias("phase"), before, null("op", "string"), "cid",
-                                       null("exists", "boolean"), null("base_max", "int"),
-                                       F.col("sort_order").cast("int"), null("member_reason", "string"), *nulls))
-        .unionByName(routed.select("h", F.lit(2).alias("phase"), "seq", "op", "cid", null("exists", "boolean"),
-                                   null("base_max", "int"), null("sort_order", "int"), "member_reason", *PASS)))
-    if groups is None:
-        fold_in = fold_in.withColumn("g", F.col("h"))
-    else:
-        fold_in = fold_in.join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
-    n = partitions or shuffle_partitions(changes.sparkSession)
-    done = (fold_in.repartition(n, "g").sortWithinPartitions("g", "phase", "seq", "cid")
-            .mapInPandas(_fold, FOLD_OUT))
-    # the verdicts (with their request fields) feed every output: cut the
-    # lineage once
-    done = done.checkpoint(eager=True)
-    outcomes = (done.select("seq", "ts", "op", "outcome").unionByName(unowned).unionByName(rejects))
-    workouts, exercises, bridge = _assemble(t, done.where(F.col("outcome") == OK))
-    return {"workouts": workouts, "exercises": exercises, "exercise_body_parts": bridge, "outcomes": outcomes}
-
 
-def _assemble(t: Tables, ok: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    judged = stored(_judge(t, events, base_named, n), "verdicts")
+    outcomes = judged.select("seq", "ts", "op", "outcome").unionByName(rejects)
+    ok = judged.where(F.col("outcome") == OK)
+    ordinals = _next_ordinals(ok, base_children, base_named, n)
+    fields = good.drop("seq", "ts", "op", "h", "cid", "member_reason").join(ok.drop("outcome"), "rid")
+    workouts, exercises, bridge = _assemble(t, fields, ordinals)
+    of = lambda *ops: ok.where(F.col("op").isin(*ops))
+    under = t.exercises.join(of(DELETE_HEADER).select(F.col("h").alias("workout_id")), "workout_id", "left_semi")
+    return {"workouts": workouts, "exercises": exercises, "exercise_body_parts": bridge, "outcomes": outcomes,
+            "touched_workouts": of(CREATE_HEADER, FINISH_HEADER, DELETE_HEADER).select(F.col("h").alias("id")).distinct(),
+            "touched_exercises": of(ADD_CHILD, *CHILD_OPS).select(F.col("cid").alias("id")).unionByName(
+                under.select(F.col("id").cast("long").alias("id"))).distinct()}
+
+
+def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int) -> DataFrame:
+    """Verdict of every valid request, as running values over two timelines
+    (no request waits for another one's verdict):
+
+    * a header is there if the last create or delete request before, or the
+      table, says so, whatever became of that request. An add also gets the
+      header's last delete request before (``ep``) and its next one (``next``);
+    * a child is there if the last add that its header and members admit came
+      after the child's last delete, and that add's ``next`` is yet to come.
+
+    Ids that the log puts under several headers are followed one by one.
+    Columns: rid, seq, ts, op, h, cid, ep, outcome; a child request has its
+    child's header.
+    """
+    is_ = lambda *ops: F.col("op").isin(*ops)
+    child_ops = events.where(is_(*CHILD_OPS))
+    on_header = events.where(~is_(*CHILD_OPS))
+    placed = on_header.where(is_(ADD_CHILD)).select("cid", "h").unionByName(base_named.select("cid", "h"))
+    shared = placed.groupBy("cid").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("cid")
+    moving = not shared.isEmpty()
+
+    touched = on_header.select("h").unionByName(base_named.select("h")).distinct()
+    headers = t.workouts.select(F.col("id").cast("long").alias("h")).join(touched, "h", "left_semi")
+    rows = (on_header.unionByName(_blank(headers, events, op=F.lit(BEFORE)))
+            .unionByName(_blank(base_named, events, op=F.lit(BEFORE))))
+    hot = hot_groups(on_header, "h")
+    gone = is_(DELETE_HEADER)
+    rows = group_scan(rows, "h", _order(), {
+        "state": F.when(is_(CREATE_HEADER, DELETE_HEADER) | (is_(BEFORE) & F.col("cid").isNull()), F.col("op")),
+        "ep": F.when(gone, F.col("rid"))}, hot)
+    rows = group_scan(rows, "h", _order(descending=True), {"next": F.when(gone, F.struct(*AT))}, hot)
+    rows = rows.where(~is_(BEFORE) | F.col("cid").isNotNull()).withColumns({
+        "exists": is_(BEFORE) | F.coalesce(F.col("state") != DELETE_HEADER, F.lit(False)),
+        # header requests pass through the children's timeline, each as a group of its own
+        "alone": F.when(is_(CREATE_HEADER, FINISH_HEADER, DELETE_HEADER), F.col("rid"))}).drop("state")
+    rows = rows.unionByName(_blank(child_ops, rows))
+    able = F.col("exists") & F.col("member_reason").isNull()
+    if moving:
+        rows, apart = rows.join(shared, "cid", "left_anti"), rows.join(shared, "cid", "left_semi")
+    cid_sizes = events.where("cid is not null").select("cid", F.lit(None).cast("long").alias("alone"))
+    judged = group_scan(rows, ["cid", "alone"], _order(), {
+        "was": F.when(is_(BEFORE, DELETE_CHILD) | (is_(ADD_CHILD) & able),
+                      F.struct((~is_(DELETE_CHILD)).alias("there"), "h", "ep", "next"))}, hot_groups(cid_sizes, ["cid", "alone"]))
+    alive = F.coalesce(F.col("was.there") & (F.col("was.next").isNull() | (F.struct(*AT) < F.col("was.next"))), F.lit(False))
+    judged = judged.where(~is_(BEFORE)).withColumn("alive", alive).withColumns({
+        c: F.when(is_(*CHILD_OPS), F.col(f"was.{c}")).otherwise(F.col(c)) for c in ("h", "ep")}).drop("was", "alone", "next")
+    if moving:
+        apart = apart.withColumns({"able": able, "next_seq": F.col("next.seq"), "next_rid": F.col("next.rid")}).drop("next", "alone")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema)
+        apart = apart.select(*[c for c in judged.columns if c != "alive"], "able", "next_seq", "next_rid")
+        judged = judged.unionByName(apart.repartition(n, "cid").sortWithinPartitions("cid", *_order()).mapInPandas(_own, schema))
+    no = lambda reason: F.lit(rejected(reason))
+    member = F.when(F.col("member_reason").isNotNull(), F.concat(F.lit("rejected:"), F.col("member_reason")))
+    verdict = (F.when(is_(CREATE_HEADER), F.when(F.col("exists"), no("duplicate_id")))
+               .when(is_(FINISH_HEADER, DELETE_HEADER), F.when(~F.col("exists"), F.lit(NOOP)))
+               .when(is_(ADD_CHILD), F.coalesce(F.when(~F.col("exists"), no("unknown_header")), member,
+                                                F.when(F.col("alive"), no("duplicate_id"))))
+               .when(is_(UPDATE_CHILD), F.coalesce(F.when(~F.col("alive"), no("not_found")), member))
+               .when(is_(DELETE_CHILD), F.when(~F.col("alive"), F.lit(NOOP))))
+    return judged.select("rid", "seq", "ts", "op", "h", "cid", "ep", F.coalesce(verdict, F.lit(OK)).alias("outcome"))
+
+
+def _next_ordinals(ok: DataFrame, base_children: DataFrame, base_named: DataFrame, n: int) -> DataFrame:
+    """(rid, sort_order) of the accepted adds. A header's log is cut at its
+    deletes (``ep``). Where no child delete comes before an add, ordinals
+    count up from the carried maximum: the largest of the table's children
+    before the first cut, else 0. Only the other parts, in which the maximum
+    falls when the last child goes, are folded, by ids and operations."""
+    of = lambda op: F.when(F.col("op") == op, F.struct(*AT))
+    moves = ok.where(F.col("op").isin(ADD_CHILD, DELETE_CHILD)).select(*AT, "op", "h", "cid", "ep")
+    mixed = moves.groupBy("h", "ep").agg(F.min(of(DELETE_CHILD)).alias("d"), F.max(of(ADD_CHILD)).alias("a")).where(
+        F.col("d") < F.col("a")).select("h", "ep").checkpoint(eager=True)
+    adds = moves.where(F.col("op") == ADD_CHILD)
+    folds = not mixed.isEmpty()
+    if folds:
+        adds = null_safe_join(adds, mixed, ["h", "ep"], "left_anti")
+    first = adds.where(F.col("ep").isNull()).select("h").distinct()
+    top = base_children.join(first, "h", "left_semi").groupBy("h").agg(F.max("sort_order").alias("top"))
+    ranked = group_rank(adds, ["h", "ep"], _order(), "n").join(top, "h", "left")
+    carried = F.when(F.col("ep").isNull(), F.coalesce("top", F.lit(0))).otherwise(0)
+    out = ranked.select("rid", (carried + F.col("n")).cast("int").alias("sort_order"))
+    if not folds:
+        return out
+    like = moves.withColumn("sort_order", F.lit(None).cast("int"))
+    early = mixed.where(F.col("ep").isNull()).select("h")
+    rest = (base_children.join(early, "h", "left_semi").join(base_named.select("cid"), "cid", "left_anti")
+            .groupBy("h").agg(F.max("sort_order").alias("sort_order")))
+    rows = (null_safe_join(like, mixed, ["h", "ep"], "left_semi")
+            .unionByName(_blank(rest, like, op=F.lit(BEFORE)))
+            .unionByName(_blank(base_named.join(early, "h", "left_semi"), like, op=F.lit(BEFORE))))
+    return out.unionByName(
+        rows.repartition(n, "h", "ep").sortWithinPartitions("h", "ep", *_order(), F.asc_nulls_first("cid"))
+        .mapInPandas(_count_up, "rid long, sort_order int"))
+
+
+def _assemble(t: Tables, ok: DataFrame, ordinals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables after the accepted requests. A row of the log is there if
     its last add came after the last delete of it and of its header; an
     update or finish counts if it came after that add. Base rows are there if
     the log never deleted them (an id that was added again had been)."""
+    at = F.struct(*AT)
     of = lambda op: ok.where(F.col("op") == op)
-    gone_h = of(DELETE_HEADER).groupBy("h").agg(F.max("seq").alias("_hd"))
-    gone_c = of(DELETE_CHILD).groupBy("cid").agg(F.max("seq").alias("_cd"))
-    never = F.lit(-(1 << 63)).cast("long")
-
-    made = of(CREATE_HEADER).groupBy("h").agg(F.max_by(F.struct("gym_id", "ts"), "seq").alias("_r"), F.max("seq").alias("_made"))
-    there = made.join(gone_h, "h", "left").where(F.col("_hd").isNull() | (F.col("_made") > F.col("_hd")))
-    finishes = of(FINISH_HEADER).join(made.select("h", "_made"), "h", "left").where(
-        F.col("seq") > F.coalesce("_made", never))
+    after = lambda a, b: F.col(b).isNull() | (F.col(a) > F.col(b))
+    gone_h = of(DELETE_HEADER).groupBy("h").agg(F.max(at).alias("_hd"))
+    gone_c = of(DELETE_CHILD).groupBy("cid").agg(F.max(at).alias("_cd"))
+
+    made = of(CREATE_HEADER).groupBy("h").agg(F.max_by(F.struct("gym_id", "ts"), at).alias("_r"), F.max(at).alias("_made"))
+    there = made.join(gone_h, "h", "left").where(after("_made", "_hd"))
+    finishes = of(FINISH_HEADER).withColumn("seq", at).join(made.select("h", "_made"), "h", "left").where(
+        after("seq", "_made"))
     added = of(ADD_CHILD).groupBy("cid").agg(
-        F.max_by(F.struct("h", "ts", "name", "machine", "max_weight", "members", "sort_order"), "seq").alias("_r"),
-        F.max("seq").alias("_added"))
+        F.max_by(F.struct("rid", "h", "ts", "name", "machine", "max_weight", "members"), at).alias("_r"),
+        F.max(at).alias("_added"))
     live = added.select("cid", "_added", "_r.*").join(gone_c, "cid", "left").join(gone_h, "h", "left").where(
-        (F.col("_added") > F.coalesce("_cd", never)) & (F.col("_added") > F.coalesce("_hd", never)))
-    updates = of(UPDATE_CHILD).join(added.select("cid", "_added"), "cid", "left").where(
-        F.col("seq") > F.coalesce("_added", never))
+        after("_added", "_cd") & after("_added", "_hd"))
+    updates = of(UPDATE_CHILD).withColumn("seq", at).join(added.select("cid", "_added"), "cid", "left").where(
+        after("seq", "_added"))
     removed = gone_c.select(F.col("cid").alias("id")).unionByName(added.select(F.col("cid").alias("id")))
 
     workouts, exercises, bridge = cascade_delete(t.workouts, t.exercises, t.exercise_body_parts,
                                                  gone_h.select(F.col("h").alias("id")), removed)
     workouts = finish_headers(append_headers(workouts, there.select("h", "_r.*")), finishes)
-    exercises, bridge = upsert_children(exercises.unionByName(_child_rows(live)), append_bridge(bridge, live), updates)
+    exercises, bridge = upsert_children(exercises.unionByName(_child_rows(live.join(ordinals, "rid"))),
+                                        append_bridge(bridge, live), updates)
     # an update of a child that is gone by now left members behind
     gone_now = gone_c.select("cid").unionByName(added.select("cid")).unionByName(
         updates.join(gone_h, "h").select("cid")).distinct().join(live.select("cid"), "cid", "left_anti")

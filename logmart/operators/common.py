@@ -130,3 +130,53 @@ def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str =
         name, (F.col("_off") + F.col("_row") - F.col("_first") + 1).cast("long")).drop(
         "_mid", "_pid", "_row", "_off", "_first")
     return hot_out if cold is None else cold.unionByName(hot_out)
+
+
+def hot_groups(sized: DataFrame, group: Keys, hot_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Keys of the groups above ``hot_rows`` rows (default
+    ``HOT_GROUP_ROWS``) and how many there are (counted up to one more than
+    ``HOT_GROUP_LIMIT``)."""
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    hot = sized.groupBy(*keys(group)).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > limit).drop("_gn")
+    return hot, hot.limit(HOT_GROUP_LIMIT + 1).count()
+
+
+def group_scan(df: DataFrame, group: Keys, order: Sequence[Column], last: dict[str, Column],
+               hot: tuple[DataFrame, int]) -> DataFrame:
+    """Adds, per name in ``last``, the last non-null value of that column
+    among the rows before each row in its group (``last(v, ignorenulls) OVER
+    (PARTITION BY group ORDER BY order ROWS .. 1 PRECEDING)``), in parallel
+    also when one group holds a large share of the table.
+
+    ``hot`` (see ``hot_groups``) names the large groups. They are range-sorted
+    over many tasks. Each piece of a group is scanned alone and takes what it
+    lacks from the last values of the pieces before it, of which there is one
+    row per piece. ``order`` must make the order total.
+    """
+    g = keys(group)
+    df = df.withColumns({f"_v_{k}": c for k, c in last.items()})
+    drop = [f"_v_{k}" for k in last]
+
+    def scanned(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by, *g).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({k: F.last(f"_v_{k}", ignorenulls=True).over(w) for k in last})
+
+    groups, n_hot = hot
+    if n_hot == 0:
+        return scanned(df).drop(*drop)
+    if n_hot <= HOT_GROUP_LIMIT:
+        tagged = null_safe_join(df, F.broadcast(groups.withColumn("_hot", F.lit(True))), g, "left")
+        cold, rows = tagged.where(F.col("_hot").isNull()).drop("_hot"), tagged.where(F.col("_hot")).drop("_hot")
+    else:
+        cold, rows = None, df
+    rows = rows.orderBy(*[F.col(c) for c in g], *order).withColumn("_mid", F.monotonically_increasing_id())
+    rows = rows.checkpoint(eager=True).withColumn("_pid", F.shiftright("_mid", 33))
+    ends = rows.groupBy("_pid", *g).agg(*[
+        F.max_by(F.struct(f"_v_{k}"), F.when(F.col(f"_v_{k}").isNotNull(), F.col("_mid"))).alias(f"_e_{k}") for k in last])
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_pid", *g, *[F.last(f"_e_{k}", ignorenulls=True).over(before)[f"_v_{k}"].alias(f"_b_{k}") for k in last])
+    bound = n_hot * rows.rdd.getNumPartitions() if cold is not None else None
+    found = null_safe_join(scanned(rows, "_pid"), bounded_broadcast(ends, bound), ["_pid", *g])
+    found = found.withColumns({k: F.coalesce(k, f"_b_{k}") for k in last}).drop(
+        "_mid", "_pid", *drop, *[f"_b_{k}" for k in last])
+    return found if cold is None else scanned(cold).drop(*drop).unionByName(found)

@@ -631,6 +631,39 @@ def apply_changes_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _applied(spark, sf_dir)["exercise_body_parts"].select("exercise_id", "body_part_id")
 
 
+def _with_members(children: DataFrame, bridge: DataFrame) -> DataFrame:
+    ids = bridge.groupBy(F.col("exercise_id").alias("id")).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list("body_part_id")), lambda x: x.cast("string")), ",").alias("members"))
+    return children.join(ids, "id", "left").select("id", "workout_id", "name", "max_weight", "sort_order",
+                                                   F.coalesce("members", F.lit("")).alias("members"))
+
+
+def _interleaved(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from logmart.operators.changes import apply_changes
+    from logmart.plans.driver_log import interleaved_base, interleaved_log
+    return apply_changes(interleaved_base(spark, sf_dir), interleaved_log(spark, sf_dir))
+
+
+def _driver_log_sql(name: str) -> str:
+    from logmart.plans import driver_log
+    return getattr(driver_log, name)
+
+
+@register("apply_interleaved_children", _driver_log_sql("INTERLEAVED_CHILDREN"))
+def apply_interleaved_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 on tables that hold all orders and lines: adds after deletes,
+    headers deleted and created again, an id used again; children with their
+    members."""
+    t = _interleaved(spark, sf_dir)
+    return _with_members(t["exercises"], t["exercise_body_parts"])
+
+
+@register("apply_interleaved_outcomes", _driver_log_sql("INTERLEAVED_OUTCOMES"))
+def apply_interleaved_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the interleaved log."""
+    return _interleaved(spark, sf_dir)["outcomes"].select("seq", "outcome")
+
+
 # ------------------------------------------------------------- K1 / K2 streams
 @register("lockout_stream", _LOCKOUT_SQL)
 def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -646,30 +679,23 @@ def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available_now(op(att, max_attempts=LOCK_MAX, window=LOCK_WINDOW), "lockout_stream")
 
 
-def _streamed_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _streamed(spark: SparkSession, base, log: DataFrame, cuts: list[int]) -> str:
+    """The log arriving in pieces, each applied as one micro-batch of the
+    continuous job; the folder of its change set."""
     import uuid
 
     from logmart import schemas as S
-    from logmart.operators.changes import empty_tables
-    from logmart.plans.driver_log import PHASE, change_log
     from logmart.session import scratch_path
-    from logmart.streaming.changes_stream import read_latest, stream_changes
+    from logmart.streaming.changes_stream import stream_changes
     run = scratch_path(spark, f"stream_changes-{uuid.uuid4().hex[:12]}")
-    gyms = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    parts = D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
-    base = empty_tables(spark, gyms, parts)
-    log = change_log(spark, sf_dir)
-    src = f"{run}/log"
-    for lo, hi in ((0, 2 * PHASE), (2 * PHASE, 5 * PHASE), (5 * PHASE, 7 * PHASE)):
-        # each arrival is one micro-batch of the continuous job
-        log.where((F.col("seq") >= lo) & (F.col("seq") < hi)).write.mode("append").json(src)
-        stream = spark.readStream.schema(S.CHANGES).json(src)
+    for lo, hi in zip(cuts, cuts[1:]):
+        log.where((F.col("seq") >= lo) & (F.col("seq") < hi)).write.mode("append").json(f"{run}/log")
+        stream = spark.readStream.schema(S.CHANGES).json(f"{run}/log")
         q = stream_changes(stream, base, f"{run}/tables", f"{run}/ckpt", available_now=True)
         q.awaitTermination()
         if q.exception():
             raise q.exception()
-    return {"tables": read_latest(spark, f"{run}/tables", base),
-            "outcomes": spark.read.parquet(f"{run}/tables/outcomes")}
+    return f"{run}/tables"
 
 
 @register("stream_changes_children", _final_sql(
@@ -677,6 +703,24 @@ def _streamed_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     "sort_order FROM children"))
 def stream_changes_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: the replayed log arriving in three micro-batches through
-    foreachBatch snapshots ends in the same children as the batch C8."""
-    t = _streamed_changes(spark, sf_dir)["tables"]
-    return t.exercises.select("id", "workout_id", "name", "machine", "max_weight", "sort_order")
+    foreachBatch change sets ends in the same children as the batch C8."""
+    from logmart.operators.changes import empty_tables
+    from logmart.plans.driver_log import PHASE, change_log
+    from logmart.streaming.changes_stream import read_latest
+    gyms = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    parts = D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
+    base = empty_tables(spark, gyms, parts)
+    out = _streamed(spark, base, change_log(spark, sf_dir), [0, 2 * PHASE, 5 * PHASE, 7 * PHASE])
+    return read_latest(spark, out, base).exercises.select("id", "workout_id", "name", "machine", "max_weight", "sort_order")
+
+
+@register("stream_interleaved_children", _driver_log_sql("INTERLEAVED_CHILDREN"))
+def stream_interleaved_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 from tables that aren't empty: the interleaved log in three
+    micro-batches; children with their members."""
+    from logmart.plans.driver_log import PHASE, interleaved_base, interleaved_log
+    from logmart.streaming.changes_stream import read_latest
+    base = interleaved_base(spark, sf_dir)
+    out = _streamed(spark, base, interleaved_log(spark, sf_dir), [0, 3 * PHASE, 5 * PHASE, 8 * PHASE])
+    t = read_latest(spark, out, base)
+    return _with_members(t.exercises, t.exercise_body_parts)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every run of the library relies on. Timestamps are
 # ``timestamp_ntz`` end to end, but pin the zone anyway so that any
@@ -79,6 +80,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "logmart", name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and
+    read back: like a checkpoint it cuts the lineage and survives executor
+    loss, and each later step reads the columns it needs only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partition count for an explicit repartition: the session's shuffle
     partitions, or the default parallelism when that is not a number

@@ -203,7 +203,7 @@ def test_resolve_keys(spark, seed):
 
 
 def test_stream_changes_equals_batch(spark, seed, tmp_path):
-    from logmart.streaming.changes_stream import complete_versions, read_latest, stream_changes
+    from logmart.streaming.changes_stream import read_latest, read_outcomes, stream_changes, write_batch
     rows = [add(5, 7000), add(5, 7001), ("delete_child", None, None, {"id": 7001}),
             ("finish_header", None, None, {"id": 4}), add(5, 7002), ("delete_child", None, None, {"id": 24}),
             add(5, 7003), ("update_child", None, None, {"id": 7000, "name": "Renamed", "body_part_ids": [2, 3]})]
@@ -215,7 +215,14 @@ def test_stream_changes_equals_batch(spark, seed, tmp_path):
         q = stream_changes(spark.readStream.schema(S.CHANGES).json(src), base(spark, seed), out,
                            str(tmp_path / "ckpt"), available_now=True)
         q.awaitTermination()
-    assert complete_versions(spark, out) == [0, 1]
+    verdicts = sorted((r.batch, r.seq, r.outcome) for r in read_outcomes(spark, out).collect())
+    assert [(b, s) for b, s, _ in verdicts] == [(0, 1), (0, 2), (0, 3), *[(1, i) for i in range(4, 9)]]
+    # only what a batch changed is written, and running it again changes nothing
+    changed = lambda: sorted((r.batch, r.id, r.deleted) for r in spark.read.parquet(f"{out}/exercises").collect())
+    assert changed() == [(0, 7000, False), (0, 7001, True), (1, 24, True), (1, 7000, False), (1, 7002, False), (1, 7003, False)]
+    before = changed()
+    write_batch(spark, out, base(spark, seed), full.where("seq >= 4"), 1)
+    assert changed() == before
     got = read_latest(spark, out, base(spark, seed))
     key = lambda df: sorted((r.id, r.name, r.sort_order) for r in df.collect())
     assert key(got.exercises) == key(whole["exercises"])
@@ -379,14 +386,50 @@ def test_reused_ids_against_brute_force(spark, seed):
 def test_many_adds_to_one_header():
     """Ordinals cost no pass over the header's children."""
     import time
-    from types import SimpleNamespace as Row
-    fold, t = C.HeaderFold(), time.time()
-    blank = {"g": 1, "h": 1, "base_max": None, "member_reason": None}
-    fold.apply(Row(**blank, phase=0, exists=True))
+    fold, t = C._Ordinals(), time.time()
     for i in range(200_000):
-        assert fold.apply(Row(**blank, phase=2, seq=2 * i, op="add_child", cid=i))[3] == i // 2 + 1 + (i % 2)
+        assert fold.apply((1, None), "add_child", i, None) == i // 2 + 1 + (i % 2)
         if i % 2:
-            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="delete_child", cid=i - 1))
-            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="delete_child", cid=i))
-            fold.apply(Row(**blank, phase=2, seq=2 * i + 1, op="add_child", cid=-i))
+            fold.apply((1, None), "delete_child", i - 1, None)
+            fold.apply((1, None), "delete_child", i, None)
+            fold.apply((1, None), "add_child", -i, None)
     assert time.time() - t < 20
+
+
+def test_repeated_seq_both_member_checks(spark, seed, monkeypatch):
+    """Requests of one seq are judged apart, whatever the size of the member
+    dimension."""
+    rows = [add(5, 9100, parts=(1, 42)), add(5, 9101, parts=(2, 2)), add(5, 9102, parts=(3,))]
+    same = log(spark, rows).withColumn("seq", F.lit(1).cast("long")).coalesce(1)
+    for limit in (1000, 0):
+        monkeypatch.setattr(C, "INLINE_MEMBER_LIMIT", limit)
+        out = C.apply_changes(base(spark, seed), same)
+        assert sorted(r.outcome for r in out["outcomes"].collect()) == [
+            "ok", "rejected:duplicate_member", "rejected:unknown_member"]
+
+
+def test_plan_without_python(spark, seed):
+    """A log without a delete before an add, and without moving ids, is
+    applied by built-in operators only; its hot header in many tasks."""
+    rows = [("create_header", 100, None, {"gym_id": 1})] + [add(100, 8000 + i) for i in range(9)]
+    rows += [("delete_child", None, None, {"id": 8003}), ("finish_header", None, None, {"id": 100})]
+    out = C.apply_changes(base(spark, seed), log(spark, rows))
+    for df in out.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and "Python" not in plan
+    assert sorted(r.sort_order for r in out["exercises"].where("workout_id = 100").collect()) == [1, 2, 3, 5, 6, 7, 8, 9]
+
+
+def test_hot_groups_scan(spark):
+    """Running values are the same when every group is split over tasks."""
+    from logmart.operators.common import group_scan, hot_groups
+    rnd = random.Random(5)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), i, rnd.choice([None, None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, i long, x long").repartition(5)
+    want, last = {}, {}
+    for g, i, x in rows:
+        want[i] = last.get(g)
+        last[g] = x if x is not None else last.get(g)
+    for limit in (10**6, 60, 0):
+        got = group_scan(df, "g", [F.asc("i")], {"was": F.col("x")}, hot_groups(df, "g", limit)).collect()
+        assert {r.i: r.was for r in got} == want
