@@ -390,6 +390,7 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
     n = partitions or shuffle_partitions(changes.sparkSession)
     # validation reads the log once; every later branch reads columns of this copy
     v = stored(validated(changes, t.gyms, t.body_parts).withColumn("rid", F.monotonically_increasing_id()), "changes")
+    total = v.count()                                   # from the files' footers
     good, rejects = split_validated(v)
     events = good.select(*EVENT)
     # of the base children only those that the log names matter: semi-join
@@ -399,10 +400,10 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
                                        F.col("workout_id").cast("long").alias("h"), F.col("sort_order").cast("int"))
     base_named = base_children.join(named, "cid", "left_semi").checkpoint(eager=True)
 
-    judged = stored(_judge(t, events, base_named, n), "verdicts")
+    judged = stored(_judge(t, events, base_named, n, total), "verdicts")
     outcomes = judged.select("seq", "ts", "op", "outcome").unionByName(rejects)
     ok = judged.where(F.col("outcome") == OK)
-    ordinals = _next_ordinals(ok, base_children, base_named, n)
+    ordinals = _next_ordinals(ok, base_children, base_named, n, total)
     fields = good.drop("seq", "ts", "op", "h", "cid", "member_reason").join(ok.drop("outcome"), "rid")
     workouts, exercises, bridge = _assemble(t, fields, ordinals)
     of = lambda *ops: ok.where(F.col("op").isin(*ops))
@@ -413,7 +414,8 @@ def apply_changes(t: Tables, changes: DataFrame, partitions: int | None = None)
                 under.select(F.col("id").cast("long").alias("id"))).distinct()}
 
 
-def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int) -> DataFrame:
+def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int, total: int
+           ) -> DataFrame:
     """Verdict of every valid request, as running values over two timelines
     (no request waits for another one's verdict):
 
@@ -438,7 +440,7 @@ def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int) -> DataF
     headers = t.workouts.select(F.col("id").cast("long").alias("h")).join(touched, "h", "left_semi")
     rows = (on_header.unionByName(_blank(headers, events, op=F.lit(BEFORE)))
             .unionByName(_blank(base_named, events, op=F.lit(BEFORE))))
-    hot = hot_groups(on_header, "h")
+    hot = hot_groups(on_header, "h", total=total)
     gone = is_(DELETE_HEADER)
     rows = group_scan(rows, "h", _order(), {
         "state": F.when(is_(CREATE_HEADER, DELETE_HEADER) | (is_(BEFORE) & F.col("cid").isNull()), F.col("op")),
@@ -455,7 +457,7 @@ def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int) -> DataF
     cid_sizes = events.where("cid is not null").select("cid", F.lit(None).cast("long").alias("alone"))
     judged = group_scan(rows, ["cid", "alone"], _order(), {
         "was": F.when(is_(BEFORE, DELETE_CHILD) | (is_(ADD_CHILD) & able),
-                      F.struct((~is_(DELETE_CHILD)).alias("there"), "h", "ep", "next"))}, hot_groups(cid_sizes, ["cid", "alone"]))
+                      F.struct((~is_(DELETE_CHILD)).alias("there"), "h", "ep", "next"))}, hot_groups(cid_sizes, ["cid", "alone"], total=total))
     alive = F.coalesce(F.col("was.there") & (F.col("was.next").isNull() | (F.struct(*AT) < F.col("was.next"))), F.lit(False))
     judged = judged.where(~is_(BEFORE)).withColumn("alive", alive).withColumns({
         c: F.when(is_(*CHILD_OPS), F.col(f"was.{c}")).otherwise(F.col(c)) for c in ("h", "ep")}).drop("was", "alone", "next")
@@ -475,7 +477,7 @@ def _judge(t: Tables, events: DataFrame, base_named: DataFrame, n: int) -> DataF
     return judged.select("rid", "seq", "ts", "op", "h", "cid", "ep", F.coalesce(verdict, F.lit(OK)).alias("outcome"))
 
 
-def _next_ordinals(ok: DataFrame, base_children: DataFrame, base_named: DataFrame, n: int) -> DataFrame:
+def _next_ordinals(ok: DataFrame, base_children: DataFrame, base_named: DataFrame, n: int, total: int) -> DataFrame:
     """(rid, sort_order) of the accepted adds. A header's log is cut at its
     deletes (``ep``). Where no child delete comes before an add, ordinals
     count up from the carried maximum: the largest of the table's children
@@ -484,14 +486,15 @@ def _next_ordinals(ok: DataFrame, base_children: DataFrame, base_named: DataFram
     of = lambda op: F.when(F.col("op") == op, F.struct(*AT))
     moves = ok.where(F.col("op").isin(ADD_CHILD, DELETE_CHILD)).select(*AT, "op", "h", "cid", "ep")
     mixed = moves.groupBy("h", "ep").agg(F.min(of(DELETE_CHILD)).alias("d"), F.max(of(ADD_CHILD)).alias("a")).where(
-        F.col("d") < F.col("a")).select("h", "ep").checkpoint(eager=True)
+        F.col("d") < F.col("a")).select("h", "ep")
     adds = moves.where(F.col("op") == ADD_CHILD)
     folds = not mixed.isEmpty()
     if folds:
+        mixed = mixed.checkpoint(eager=True)
         adds = null_safe_join(adds, mixed, ["h", "ep"], "left_anti")
     first = adds.where(F.col("ep").isNull()).select("h").distinct()
     top = base_children.join(first, "h", "left_semi").groupBy("h").agg(F.max("sort_order").alias("top"))
-    ranked = group_rank(adds, ["h", "ep"], _order(), "n").join(top, "h", "left")
+    ranked = group_rank(adds, ["h", "ep"], _order(), "n", total=total).join(top, "h", "left")
     carried = F.when(F.col("ep").isNull(), F.coalesce("top", F.lit(0))).otherwise(0)
     out = ranked.select("rid", (carried + F.col("n")).cast("int").alias("sort_order"))
     if not folds:

@@ -92,7 +92,7 @@ HOT_GROUP_LIMIT = 100_000
 
 
 def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str = "position",
-               hot_rows: int | None = None) -> DataFrame:
+               hot_rows: int | None = None, total: int | None = None) -> DataFrame:
     """1-based position of each row inside its group (``row_number() OVER
     (PARTITION BY group ORDER BY order)``) that stays parallel when one
     group holds a large share of the table.
@@ -101,13 +101,12 @@ def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str =
     ``hot_rows`` rows (default ``HOT_GROUP_ROWS``) use the window; larger ("hot") groups are
     range-sorted over many partitions and ranked from per-(partition,
     group) counts, a table bounded by hot groups x partitions, so no task
-    sorts a whole hot group. ``order`` must make the order total.
+    sorts a whole hot group. ``order`` must make the order total. A known
+    ``total`` of rows saves the count when no group can be hot.
     """
     g = keys(group)
     hot_rows = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.where(F.col("_gn") > hot_rows).select(*g)
-    n_hot = hot.limit(HOT_GROUP_LIMIT + 1).count()
+    hot, n_hot = hot_groups(df, g, hot_rows, total)
     w = Window.partitionBy(*g).orderBy(*order)
     if n_hot == 0:
         return df.withColumn(name, F.row_number().over(w).cast("long"))
@@ -132,11 +131,14 @@ def group_rank(df: DataFrame, group: Keys, order: Sequence[Column], name: str =
     return hot_out if cold is None else cold.unionByName(hot_out)
 
 
-def hot_groups(sized: DataFrame, group: Keys, hot_rows: int | None = None) -> tuple[DataFrame, int]:
+def hot_groups(sized: DataFrame, group: Keys, hot_rows: int | None = None, total: int | None = None
+               ) -> tuple[DataFrame | None, int]:
     """Keys of the groups above ``hot_rows`` rows (default
     ``HOT_GROUP_ROWS``) and how many there are (counted up to one more than
-    ``HOT_GROUP_LIMIT``)."""
+    ``HOT_GROUP_LIMIT``). A known ``total`` of rows up to that needs no job."""
     limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    if total is not None and total <= limit:
+        return None, 0
     hot = sized.groupBy(*keys(group)).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > limit).drop("_gn")
     return hot, hot.limit(HOT_GROUP_LIMIT + 1).count()
 
