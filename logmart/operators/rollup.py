@@ -287,6 +287,56 @@ def coverage_grid(dim: DataFrame, children: DataFrame, bridge: DataFrame, *, dim
         F.array_contains("sibling_ids", F.col("_m")).alias("trained"))
 
 
+def member_grid(dim: DataFrame, children: DataFrame, bridge: DataFrame, *, dim_id: str = "id",
+                dim_name: str = "name", dim_sort: str = "sort_order", child_id: Keys = "id",
+                child_fk: str = "workout_id", child_bridge_key: Keys = "id", bridge_child: Keys = "exercise_id",
+                bridge_member: str = "body_part_id", out: str = "grid") -> DataFrame:
+    """A6 / A7, the whole grid: for every child one array with *every* member
+    of the dimension in display order, as (member_id, member_name,
+    ``selected``, ``trained``), members with neither flag included.
+
+    Member sets are bitmaps over the members' display positions (64 a word).
+    Counts per (header, member) give two planes per header, the members that
+    any child holds (``once``) and those that two hold (``twice``). A child's
+    siblings hold ``twice | (once & ~own)``, so every cell is one bit test
+    and no list is searched. Members that aren't in the dimension don't show;
+    a child without a header has no siblings.
+    """
+    ck, bk, ids = keys(child_bridge_key), keys(bridge_child), keys(child_id)
+    kcols = [f"_bk{i}" for i in range(len(ck))]
+    shown = dim.agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.col(dim_sort).isNull().alias("a"), F.col(dim_sort).alias("b"), F.col(dim_id).alias("c"),
+        F.col(dim_name).alias("d")))), lambda m: F.struct(m["c"].alias("id"), m["d"].alias("name"))).alias("_dim"))
+    place = shown.select(F.posexplode("_dim").alias("_pos", "_d")).select(F.col("_d.id").alias("_m"), "_pos")
+    bit = F.expr("shiftleft(1L, cast(_pos % 64 as int))")
+    word = F.floor(F.col("_pos") / 64).cast("int").alias("_w")
+    words = lambda c: F.map_from_entries(F.collect_list(F.struct("_w", c)))
+
+    held = bridge.select(*[F.col(a).alias(k) for a, k in zip(bk, kcols)], F.col(bridge_member).alias("_m")).join(
+        place, "_m").select(*kcols, "_pos").distinct()
+    own = held.groupBy(*kcols, word).agg(F.bit_or(bit).alias("_b")).groupBy(*kcols).agg(words("_b").alias("_own"))
+    per_key = children.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]).agg(
+        F.count(F.lit(1)).alias("_c"))
+    counts = per_key.join(held, kcols).groupBy("_hk", "_pos").agg(F.sum("_c").alias("_n"))
+    planes = (counts.groupBy("_hk", word).agg(F.bit_or(bit).alias("_o"), F.bit_or(F.when(F.col("_n") > 1, bit)).alias("_t"))
+              .groupBy("_hk").agg(words("_o").alias("_once"), words("_t").alias("_twice")))
+    pk = per_key.join(own, kcols, "left").join(planes, "_hk", "left").withColumn("_dim", shown.scalar())
+    zero = F.lit(0).cast("long")
+    at = lambda m, w: F.coalesce(F.try_element_at(m, w), zero)
+    pk = pk.withColumn("_sib", F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_dim") - 1) / 64).cast("int")),
+        lambda w: at(F.col("_twice"), w).bitwiseOR(at(F.col("_once"), w).bitwiseAND(F.bitwise_not(at(F.col("_own"), w))))))
+    cell = lambda m, i: F.struct(
+        m["id"].alias("member_id"), m["name"].alias("member_name"),
+        (F.getbit(at(F.col("_own"), F.floor(i / 64).cast("int")), i % 64) == 1).alias("selected"),
+        (F.getbit(F.get("_sib", F.floor(i / 64).cast("int")), i % 64) == 1).alias("trained"))
+    grids = pk.select(F.col("_hk").alias("_phk"), *[F.col(k).alias(f"_p{k}") for k in kcols],
+                      F.transform("_dim", cell).alias(out))
+    c = children.select(*dict.fromkeys([*ids, child_fk, *ck]))
+    cond = [F.col(child_fk).eqNullSafe(F.col("_phk"))] + [F.col(a).eqNullSafe(F.col(f"_p{k}")) for a, k in zip(ck, kcols)]
+    return c.join(grids, cond).select(*dict.fromkeys([*ids, child_fk]), out)
+
+
 def coverage_grid_for(dim: DataFrame, selected_ids: list[int], trained: DataFrame, *,
                       dim_id: str = "id", dim_name: str = "name", dim_sort: str = "sort_order",
                       member_col: str = "body_part_id") -> DataFrame:

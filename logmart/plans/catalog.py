@@ -384,6 +384,26 @@ def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
               child_id=D.LINE_KEY, child_bridge_key="l_suppkey", bridge_child="s_suppkey")
 
 
+@register("member_grid", f"""WITH c AS (SELECT {_KEY_ASC} FROM lineitem),
+own AS (SELECT {", ".join("c." + k for k in D.LINE_KEY)}, m.mid
+        FROM c JOIN ({_REGION_MEMBER_SQL}) m ON m.s_suppkey = c.l_suppkey),
+hw AS (SELECT l_orderkey, mid, count(*) AS n FROM own GROUP BY l_orderkey, mid)
+SELECT {", ".join("c." + k for k in D.LINE_KEY)},
+  string_agg(r.r_name || ':' || CAST(o.mid IS NOT NULL AS INTEGER) || ':'
+    || CAST(coalesce(hw.n, 0) - CASE WHEN o.mid IS NULL THEN 0 ELSE 1 END > 0 AS INTEGER), ',' ORDER BY r.r_regionkey) AS grid
+FROM c CROSS JOIN region r
+LEFT JOIN hw ON hw.l_orderkey = c.l_orderkey AND hw.mid = r.r_regionkey
+LEFT JOIN own o ON {" AND ".join(f"o.{k} = c.{k}" for k in D.LINE_KEY)} AND o.mid = r.r_regionkey
+GROUP BY {", ".join("c." + k for k in D.LINE_KEY)}""")
+def member_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per line the whole grid, every region with both flags."""
+    from logmart.operators.rollup import member_grid as op
+    out = op(D.members(spark, sf_dir), D.children(spark, sf_dir), D.bridge(spark, sf_dir),
+             child_id=D.LINE_KEY, child_bridge_key="l_suppkey", bridge_child="s_suppkey")
+    cell = lambda g: F.concat_ws(":", g["member_name"], g["selected"].cast("int"), g["trained"].cast("int"))
+    return out.select(*D.LINE_KEY, F.array_join(F.transform("grid", cell), ",").alias("grid"))
+
+
 AS_OF = "2026-01-22 12:00:00"
 
 

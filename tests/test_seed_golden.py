@@ -117,6 +117,34 @@ def test_coverage_grid_for_single_child(spark, seed):
         ("core", False, False), ("biceps", False, False), ("triceps", False, True)]
 
 
+def test_member_grid_shows_every_member(seed):
+    grid = rollup.member_grid(seed["body_parts"], seed["exercises"], seed["exercise_body_parts"]).where("id = 6").collect()
+    assert [(g.member_name, g.selected, g.trained) for g in grid[0].grid] == [
+        ("legs", False, False), ("back", False, False), ("shoulders", True, False), ("chest", True, True),
+        ("core", False, False), ("biceps", False, False), ("triceps", False, True)]
+
+
+def test_member_grid_of_many_members(spark):
+    """More than 64 members, NULL order, unknown members, repeated bridge
+    rows, a child without a key and one without members."""
+    import random
+    rnd = random.Random(9)
+    order = {m: rnd.choice([None, 1, 2, 3]) for m in range(150)}
+    dim = spark.createDataFrame([(m, f"m{m}", o) for m, o in order.items()], "id int, name string, sort_order int")
+    own = {i: {rnd.randrange(160) for _ in range(rnd.choice([0, 1, 5, 60]))} for i in range(60)}
+    header = {i: rnd.choice([1, 1, 2, None]) for i in own}
+    kids = spark.createDataFrame([(i, header[i]) for i in own] + [(None, 1)], "id long, workout_id long")
+    bridge = spark.createDataFrame([(i, m) for i in own for m in own[i]] + [(i, m) for i in own for m in list(own[i])[:1]],
+                                   "exercise_id long, body_part_id int")
+    shown = sorted(order, key=lambda m: (order[m] is None, order[m] or 0, m))
+    own[None], header[None] = set(), 1
+    got = rollup.member_grid(dim, kids, bridge).collect()
+    assert len(got) == len(own)
+    for r in got:
+        rest = set().union(*(own[i] for i in own if i != r.id and header[i] == header[r.id] is not None))
+        assert [(g.member_id, g.selected, g.trained) for g in r.grid] == [(m, m in own[r.id], m in rest) for m in shown]
+
+
 def test_header_summary_minutes(seed):
     s = rollup.header_summary(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
                               seed["body_parts"], as_of="2026-01-22 12:00:00").collect()
