@@ -16,7 +16,7 @@ Scale notes
   from those candidates only (an IN lookup pushed to the dimension scan
   for ordinary pages), and the page's ids reach the children scan as an IN
   filter. Children are scanned once for counts and member sets
-  (``_counts_and_sets``). Broadcast sides are bounded by ``offset + limit``.
+  (``_rolled``). Broadcast sides are bounded by ``offset + limit``.
 * A6/A7 work per (header, bridge key) and join back on both keys, so a
   hot header is not funnelled into one join partition.
 """
@@ -47,20 +47,25 @@ def _pairs(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_k
     return c.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
 
 
-def _counts_and_sets(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys,
-                     bridge_child: Keys, bridge_member: str) -> tuple[DataFrame, DataFrame]:
-    """One scan of the children for both rollups: a partial aggregate per
-    (header, bridge key) gives the child count per header (``_hk,
-    exercise_count``) and, through the bridge, the distinct (header,
-    member) pairs (``_hk, _m``)."""
+def _rolled(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys, bridge_child: Keys,
+            member: Column) -> DataFrame:
+    """Per header (``_hk``) the ``exercise_count`` and the sorted distinct
+    ``members`` (values of ``member`` in the bridge), from one scan of the
+    children and two mergeable aggregates.
+
+    Children are counted per (header, bridge key); each such row meets the
+    one member array of its key and becomes a row per member, of which the
+    first carries the count. These are summed per (header, member), so a hot
+    header is at most one row per member and task, then per header."""
     ck, bk = keys(child_bridge_key), keys(bridge_child)
     kcols = [f"_bk{i}" for i in range(len(ck))]
     per_key = children.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]) \
         .agg(F.count(F.lit(1)).alias("_n"))
-    counts = per_key.groupBy("_hk").agg(F.sum("_n").alias("exercise_count"))
-    b = bridge.select(*[F.col(a).alias(k) for a, k in zip(bk, kcols)], F.col(bridge_member).alias("_m"))
-    pairs = per_key.join(b, kcols).select("_hk", "_m").distinct()
-    return counts, pairs
+    held = bridge.groupBy(*[F.col(a).alias(k) for a, k in zip(bk, kcols)]).agg(F.collect_set(member).alias("_ms"))
+    rows = per_key.join(held, kcols, "left").select("_hk", "_n", F.posexplode_outer("_ms").alias("_p", "_m"))
+    rows = rows.select("_hk", "_m", F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_n")).otherwise(0).alias("_n"))
+    return rows.groupBy("_hk", "_m").agg(F.sum("_n").alias("_n")).groupBy("_hk").agg(
+        F.sum("_n").alias("exercise_count"), F.array_sort(F.collect_list("_m")).alias("members"))
 
 
 def child_count(headers: DataFrame, children: DataFrame, *, header_id: str = "id",
@@ -211,13 +216,11 @@ def history(headers: DataFrame, dims: DataFrame, children: DataFrame, bridge: Da
         kids = children
     named = h.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                    F.col(header_fk) == F.col("_gid"), "inner")
-    counts, pairs = _counts_and_sets(kids, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
-    sets = pairs.groupBy(F.col("_hk").alias("_hk2")).agg(F.array_sort(F.collect_list("_m")).alias("body_part_ids"))
+    rolled = _rolled(kids, bridge, child_fk, child_bridge_key, bridge_child, F.col(bridge_member))
     elem = bridge.schema[bridge_member].dataType.simpleString()
-    out = (named.join(counts, F.col(header_id) == F.col("_hk"), "left")
-           .join(sets, F.col(header_id) == F.col("_hk2"), "left")
+    out = (named.join(rolled, F.col(header_id) == F.col("_hk"), "left")
            .withColumn("exercise_count", F.coalesce(F.col("exercise_count"), F.lit(0)).cast("long"))
-           .withColumn("body_part_ids", F.coalesce(F.col("body_part_ids"), F.array().cast(f"array<{elem}>"))))
+           .withColumn("body_part_ids", F.coalesce(F.col("members"), F.array().cast(f"array<{elem}>"))))
     out = out.withColumn("full_coverage", coverage_flag(F.col("body_part_ids"), k))
     cols = [header_id, started, finished, "gym_name", "exercise_count", "body_part_ids", "full_coverage"]
     if limit is not None:
@@ -363,17 +366,15 @@ def header_summary(headers: DataFrame, dims: DataFrame, children: DataFrame, bri
     from logmart.functions.labels import session_minutes
     named = headers.join(dims.select(F.col(dim_id).alias("_gid"), F.col(dim_name).alias("gym_name")),
                          F.col(header_fk) == F.col("_gid")).drop("_gid")
-    counts, pairs = _counts_and_sets(children, bridge, child_fk, child_bridge_key, bridge_child, bridge_member)
-    counted = (named.join(counts, F.col(header_id) == F.col("_hk"), "left").drop("_hk")
-               .withColumn("exercise_count", F.coalesce(F.col("exercise_count"), F.lit(0)).cast("long")))
-    md = member_dim.select(F.col(member_id).alias("_m"), F.col(member_name).alias("_mn"),
-                           F.col(member_sort).alias("_ms"))
-    names = pairs.join(md, "_m").groupBy("_hk").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_ms").isNull().alias("a"), F.col("_ms").alias("b"), F.col("_m").alias("c"),
-        F.col("_mn").alias("n")))).alias("_arr"))
-    out = counted.join(names, F.col(header_id) == F.col("_hk"), "left")
+    md = member_dim.select(F.col(member_id).alias("_m"), F.struct(
+        F.col(member_sort).isNull().alias("a"), F.col(member_sort).alias("b"), F.col(member_id).alias("c"),
+        F.col(member_name).alias("n")).alias("_shown"))
+    shown = bridge.join(md, F.col(bridge_member) == F.col("_m")).select(*keys(bridge_child), "_shown")
+    rolled = _rolled(children, shown, child_fk, child_bridge_key, bridge_child, F.col("_shown"))
+    out = (named.join(rolled, F.col(header_id) == F.col("_hk"), "left")
+           .withColumn("exercise_count", F.coalesce(F.col("exercise_count"), F.lit(0)).cast("long")))
     as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
     return out.select(
         header_id, "gym_name", session_minutes(started, finished, as_of_col).alias("minutes"),
         "exercise_count",
-        F.coalesce(F.array_join(F.transform("_arr", lambda x: x["n"]), ", "), F.lit("")).alias("member_names"))
+        F.coalesce(F.array_join(F.transform("members", lambda x: x["n"]), ", "), F.lit("")).alias("member_names"))
