@@ -1,6 +1,6 @@
 """Sorted listings, paging and keyed lookups.
 
-T1 page, P1 visible_listing, P2 dim_listing, P3 header_by_id,
+T1 page / deep_page, P1 visible_listing, P2 dim_listing, P3 header_by_id,
 P4 ordered_children, P5/P6 bridge_members, J6 lookup_or_empty,
 J7 resolve_keys.
 
@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logmart.operators.common import Keys, asc_pg, bounded_broadcast, desc_pg, global_rank, group_rank, keys
 
@@ -33,6 +34,44 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0,
     return out
 
 
+def deep_page(df: DataFrame, key: str, tie: str, limit: int, offset: int, *, descending: bool = True,
+              buckets: int = 64, few: int = 100_000, rank: str | None = "rank") -> DataFrame:
+    """T1 for any offset: ``ORDER BY key DESC, tie DESC`` (or both ASC; NULLs
+    as PostgreSQL places them) ``LIMIT limit OFFSET offset`` by distributed
+    selection.
+
+    Each round cuts the keys that are left at approximate quantiles, counts
+    the rows of every bucket and keeps the buckets that hold the page, until
+    they hold at most ``few`` rows or one key only. Only those are sorted.
+    The driver sees ``buckets`` numbers a round. ``key`` is a number, date
+    or timestamp; ``tie`` makes the order total.
+    """
+    if limit < 0 or offset < 0:
+        raise ValueError("LIMIT/OFFSET must not be negative")
+    k, before, rows = F.col(key), 0, df
+    order = [desc_pg(key), desc_pg(tie)] if descending else [asc_pg(key), asc_pg(tie)]
+    while limit:
+        cuts = rows.agg(F.percentile_approx(k, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+        cuts = sorted(set(cuts or []))
+        kind = df.schema[key].dataType
+        marks = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(T.ArrayType(kind))
+        bucket = F.when(k.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(marks, lambda c: c < k)))
+        counts = sorted(((r[0], r[1]) for r in rows.groupBy(bucket).count().collect()), reverse=descending)
+        held, start = [], before                 # NULLs last, or first if descending
+        for b, n in counts:
+            if start < offset + limit and start + n > offset:
+                if not held:
+                    before = start
+                held.append(b)
+            start += n
+        n_held = sum(n for b, n in counts if b in held)
+        rows = rows.where(bucket.between(min(held), max(held))) if held else rows.where(F.lit(False))
+        if n_held <= few or len(held) == len(counts):
+            break
+    return page(rows, order, limit, offset - before, None if rank is None else "_r").withColumnsRenamed(
+        {} if rank is None else {"_r": rank}).withColumns({} if rank is None else {rank: (F.col(rank) + before).cast("long")})
+
+
 def visible_listing(df: DataFrame, *, flag: str = "visible", sort: str = "sort_order",
                     created: str = "created_at", id_col: str = "id", rank: str | None = "rank") -> DataFrame:
     """Rows whose ``flag`` is true (NULL is not true) ordered

@@ -684,6 +684,154 @@ def apply_interleaved_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interleaved(spark, sf_dir)["outcomes"].select("seq", "outcome")
 
 
+# ------------------------------------------------------- S1, S4, S5, T1, J7, C3, C9, C10, C11
+@register("read_declared", """SELECT r_name AS region, count(*) AS nations, string_agg(n_name, ',' ORDER BY n_nationkey) AS names
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def read_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables read with declared schemas."""
+    from pyspark.sql import types as T
+
+    from logmart.sources.io import read_tables
+    of = lambda ddl: T.StructType.fromDDL(ddl)
+    t = read_tables(spark, sf_dir, {"region": of("r_regionkey int, r_name string"),
+                                    "nation": of("n_nationkey int, n_name string, n_regionkey int")})
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    return t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).groupBy(
+        F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("nations"), F.array_join(names, ",").alias("names"))
+
+
+@register("json_round_trip", f"""WITH h AS ({D.HEADERS_SQL})
+SELECT id, gym_id, started_at, finished_at, notes, finished_at IS NULL AS open FROM h""")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers written as JSON lines and read back; the key of a NULL is
+    in the text."""
+    import uuid
+
+    from logmart.session import scratch_path
+    from logmart.sources.io import write_json
+    h = D.headers(spark, sf_dir)
+    path = scratch_path(spark, f"json-{uuid.uuid4().hex}")
+    write_json(h, path)
+    back = F.from_json("value", h.schema.simpleString())
+    return spark.read.text(path).select(
+        back.alias("h"), F.col("value").contains('"finished_at":null').alias("open")).select("h.*", "open")
+
+
+@register("read_change_log", _final_sql("SELECT op, count(*) AS n, CAST(min(seq) AS BIGINT) AS first, "
+                                        "CAST(max(seq) AS BIGINT) AS last FROM outcomes GROUP BY op"))
+def read_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replayed log written as JSON lines, read with the declared
+    schema, its requests decoded."""
+    import uuid
+
+    from logmart.plans.driver_log import change_log
+    from logmart.session import scratch_path
+    from logmart.sources.io import parse_payload, read_changes, write_json
+    path = scratch_path(spark, f"log-{uuid.uuid4().hex}")
+    write_json(change_log(spark, sf_dir), path)
+    log = read_changes(spark, path).withColumn("p", parse_payload("payload"))
+    return log.where("p is not null").groupBy("op").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@register("quarantined_lines", _final_sql(f"""SELECT 'change' AS kind, op AS line, count(*) AS n FROM outcomes GROUP BY op
+UNION ALL SELECT 'quarantined', props, count(*) FROM events GROUP BY props"""))
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's lines among lines of another kind (the events' text);
+    the latter are set aside as they are."""
+    import uuid
+
+    from logmart.plans.driver_log import change_log
+    from logmart.session import scratch_path
+    from logmart.sources.io import read_requests, write_json
+    path = scratch_path(spark, f"requests-{uuid.uuid4().hex}")
+    write_json(change_log(spark, sf_dir), path)
+    D.table(spark, sf_dir, "events").select("props").write.mode("append").text(path)
+    good, bad = read_requests(spark, path)
+    return good.groupBy(F.lit("change").alias("kind"), F.col("op").alias("line")).count().unionByName(
+        bad.groupBy(F.lit("quarantined").alias("kind"), "line").count()).withColumnRenamed("count", "n")
+
+
+@register("deep_page", """SELECT row_number() OVER w AS rank, o_orderkey AS id, o_orderdate AS started_at
+FROM orders WINDOW w AS (ORDER BY o_orderdate DESC, o_orderkey DESC)
+QUALIFY row_number() OVER w BETWEEN 1001 AND 1050""")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 headers at offset 1000, newest first, by distributed selection."""
+    from logmart.operators.listing import deep_page as op
+    h = D.headers(spark, sf_dir).select("id", "started_at")
+    return op(h, "started_at", "id", 50, 1000, few=200).select("rank", "id", "started_at")
+
+
+@register("page_of_dimension", """SELECT row_number() OVER w AS rank, c_custkey AS id, c_name AS name
+FROM customer WINDOW w AS (ORDER BY c_nationkey, c_custkey) QUALIFY row_number() OVER w BETWEEN 31 AND 50""")
+def page_of_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a listing."""
+    from logmart.operators.listing import page
+    return page(D.dims(spark, sf_dir), [F.asc_nulls_last("sort_order"), F.asc("id")], 20, 30).select("rank", "id", "name")
+
+
+@register("resolve_names", f"""WITH k AS (SELECT min(p_partkey) AS id, p_name FROM part GROUP BY p_name)
+SELECT {_KEY_ASC}, k.id AS resolved_id FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN k USING (p_name)""")
+def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's part name resolved to a key."""
+    from logmart.operators.listing import resolve_keys
+    parts = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    ok, _ = resolve_keys(D.children(spark, sf_dir, with_name=True), parts, name_col="name")
+    return ok.select(*D.LINE_KEY, "resolved_id")
+
+
+@register("append_children", f"""WITH b AS (SELECT o_orderkey AS h, coalesce(max(l_linenumber), 0) AS top
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT {10 ** 12} + event_id AS id, h AS workout_id,
+  CAST(top + row_number() OVER (PARTITION BY h ORDER BY ts, event_id) AS INTEGER) AS sort_order
+FROM events JOIN b ON h = user_id""")
+def append_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event appended, in order of time, to the header that has its
+    user's number; next ordinals after the lines that are there."""
+    from logmart.operators.changes import append_children as op
+    base = D.table(spark, sf_dir, "lineitem").select(
+        F.lit(-1).cast("long").alias("id"), F.col("l_orderkey").alias("workout_id"), F.lit("line").alias("name"),
+        F.lit(None).cast("string").alias("machine"), F.lit(None).cast("decimal(6,2)").alias("max_weight"),
+        F.col("l_linenumber").alias("sort_order"), F.col("l_shipdate").alias("created_at"))
+    e = D.table(spark, sf_dir, "events").join(
+        D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("user_id")), "user_id", "left_semi")
+    adds = e.select(F.struct("ts", "event_id").alias("seq"), F.col("user_id").cast("long").alias("h"),
+                    (F.col("event_id") + 10 ** 12).alias("cid"), "ts", F.col("event_type").alias("name"),
+                    F.lit(None).cast("string").alias("machine"), F.lit(None).cast("decimal(6,2)").alias("max_weight"))
+    return op(base, adds).where("id >= 0").select("id", "workout_id", "sort_order")
+
+
+@register("fk_to_bridge", """SELECT s_suppkey AS exercise_id, s_nationkey AS body_part_id FROM supplier
+WHERE s_nationkey IS NOT NULL""")
+def fk_to_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' nation column moved into a bridge table."""
+    from logmart.operators.changes import fk_to_bridge as op
+    return op(D.table(spark, sf_dir, "supplier"), key="s_suppkey", fk="s_nationkey")[1]
+
+
+@register("keyed_update", """SELECT c.c_custkey, c.c_name,
+  CASE WHEN o.k IS NULL THEN c.c_mktsegment WHEN o.n > 15 THEN NULL ELSE 'active' END AS c_mktsegment
+FROM customer c LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.k = c.c_custkey""")
+def keyed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of every customer with orders set to 'active', to
+    NULL beyond 15 orders."""
+    from logmart.operators.changes import keyed_update as op
+    new = D.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.when(F.count(F.lit(1)) > 15, F.lit(None).cast("string")).otherwise("active").alias("c_mktsegment"))
+    return op(D.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", new)
+
+
+@register("append_rows", """SELECT r_regionkey AS id, r_name AS name, CAST(NULL AS INTEGER) AS sort_order FROM region
+UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation""")
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: reference rows appended; a missing column is NULL."""
+    from logmart.operators.changes import append_rows as op
+    nations = D.table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 100).alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("sort_order"))
+    regions = D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    return op(nations, regions).select("id", "name", "sort_order")
+
+
 # ------------------------------------------------------------- K1 / K2 streams
 @register("lockout_stream", _LOCKOUT_SQL)
 def lockout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,3 +269,35 @@ def test_search_collation(spark):
     czech = [r.name for r in latest.search_latest(l1, terms, min_len=1, collation="cs").orderBy("rank").collect()]
     assert binary == ["Ax", "bx", "cx", "dx", "čx"]
     assert czech == ["Ax", "bx", "cx", "čx", "dx"]
+
+
+def test_read_requests_keeps_every_line(spark, tmp_path):
+    """Lines that aren't change rows come back as they are."""
+    from logmart.sources.io import read_requests
+    good = ['{"seq": 1, "ts": "2026-01-22T12:00:00", "op": "create_header", "header_id": 5, "payload": "{\\"gym_id\\": 1}"}',
+            '{"seq": 2, "ts": "2026-01-22T12:00:00", "op": "bogus", "payload": "not json", "more": 1}']
+    bad = ["", "   ", "not json \u00e9", '{"seq": "x", "ts": "2026-01-22T12:00:00", "op": "y"}', "[1, 2]", '{"seq": 3', "null", "{}", '{"seq": 4, "op": "y"}']
+    (tmp_path / "log.json").write_text("\n".join([good[0], *bad, good[1]]) + "\n", encoding="utf-8")
+    changes, aside = read_requests(spark, str(tmp_path))
+    assert sorted((r.seq, r.op, r.payload) for r in changes.collect()) == [
+        (1, "create_header", '{"gym_id": 1}'), (2, "bogus", "not json")]
+    rows = aside.collect()
+    assert sorted(r.line for r in rows) == sorted(bad) and all(r.file.endswith("log.json") for r in rows)
+
+
+def test_deep_page_equals_order_by_offset(spark):
+    """Ties, NULL keys, both directions, offsets up to and beyond the end."""
+    import random
+
+    from logmart.operators.listing import deep_page
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([None, 1.5, rnd.random() * 50, float(rnd.randrange(5))])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, k double").repartition(5)
+    up = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    down = up[::-1]
+    for want, descending in ((down, True), (up, False)):
+        for offset, limit in ((0, 5), (333, 20), (590, 50), (700, 3), (10, 0)):
+            got = deep_page(df, "k", "id", limit, offset, descending=descending, buckets=8, few=10).orderBy("rank").collect()
+            assert [(r.rank, r.id, r.k) for r in got] == [
+                (offset + i + 1, *r) for i, r in enumerate(want[offset:offset + limit])]
+    assert deep_page(df.limit(0), "k", "id", 5, 0).collect() == []
