@@ -30,11 +30,13 @@ id are reported with a null id. Repeated items are hits of their own.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,15 +256,18 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         if not rows:
             continue
         terms = mine.select(F.explode("w").alias("t")).distinct().join(df, "t").collect()
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1], r[2]) for r in rows], {r[0]: r[1] for r in terms}, n, mean, threshold))
+        # by value: workers need no installed package
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(
+            Index([(r[0], r[1], r[2]) for r in rows], {r[0]: r[1] for r in terms}, n, mean, threshold)))
 
         def scan(it, index=index):
+            items = pickle.loads(index.value)
             found_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), (
                 "question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int32())])
             for batch in it:
                 ids = batch.column(0).to_pylist()
                 found = [(ids[at + i], *hit) for at, texts in sub_batches(batch, "text")
-                         for i, *hit in index.value.hits([t.decode() for t in texts], stride, overlap)]
+                         for i, *hit in items.hits([t.decode() for t in texts], stride, overlap)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), found_schema)],
                                                      schema=found_schema)

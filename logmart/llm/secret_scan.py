@@ -33,7 +33,7 @@ FOUND = "array<struct<kind:int,s:int,e:int,secret:binary>>"
 
 
 def _scanner():
-    assign = re.compile(ASSIGN.replace("(password", "((?i:password", 1).replace("key)", "key))", 1))
+    assign = re.compile(ASSIGN.replace("(password", "((?ai:password", 1).replace("key)", "key))", 1))
     access, hexes = re.compile("AKIA[A-Z0-9]{12,}"), re.compile("[0-9a-f]{32,}")
     generic = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
     digest = lambda x: hashlib.blake2b(x.encode(), digest_size=16).digest()
