@@ -136,16 +136,43 @@ def test_warc(spark, tmp_path):
             (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n" * 9)]
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path))
     got = {r.id: r for r in warc.read(spark, str(tmp_path)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5, 6]
-    for i, _, html in rows:
+    assert set(got) == {1, 2, 3, 4, 5, 6, None}
+    for i, url, html in rows:
+        assert got[i].url == (url or "")
         if i:
             assert bytes(got[i].payload) == (html or "").encode() and got[i].payload_digest == sha(html or "")
     assert (got[3].record_type, got[3].refers_to) == ("revisit", 1)
-    assert all(got[i].record_type == "response" and got[i].refers_to is None for i in (1, 2, 4, 5, 6))
+    assert all(got[i].record_type == "response" and got[i].refers_to is None for i in (1, 2, 4, 5, 6, None))
     assert bytes(got[1].record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
     assert spark.read.parquet(f"{tmp_path}/payloads").count() == 4
 
 
+def test_warc_query_and_odd_urls(spark, tmp_path):
+    """Urls come back as they were, none is read as a header field; the
+    query against brute force, with repeated rows and an extra column."""
+    from logmart.llm.queries import op4_warc
+    html = ["x" * 100, "x" * 99, "y" * 300, None, "", "é" * 50, "é" * 49]
+    urls = [f"a{c}WARC-Refers-To: <urn:page:77>{c}WARC-Payload-Digest: sha256:0" for c in "\u0085\u2028\u2029\r\n\x0b"]
+    urls += ["a\r\nWARC-Type: revisit\r\n", "%0D%0A", "%250A\r", "", None, "http://x/?q=: a"]
+    rows = [(i, urls[i % len(urls)], html[i % 7], "z") for i in range(70)] + [(70, "u", html[2], "z")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    warc.write(df, f"{tmp_path}/w")
+    back = warc.read(spark, f"{tmp_path}/w").collect()
+    assert Counter((r.id, r.url) for r in back) == Counter((i, u or "") for i, u, *_ in rows)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    first = {}
+    for i, _, t, _ in rows:
+        first[t or ""] = min(i, first.get(t or "", i))
+    want = []
+    for i, _, t, _ in rows:
+        b = (t or "").encode()
+        other = first[t or ""] if len(b) >= 100 and first[t or ""] != i else None
+        want.append((i, len(b), sha(b), "response" if other is None else "revisit", other))
+    assert Counter(map(tuple, op4_warc(spark, str(tmp_path)).collect())) == Counter(want)
+    warc.write(df.limit(0), f"{tmp_path}/none")
+    assert warc.read(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_lines(spark, none):
     a = "the quick brown fox jumps over the lazy dog near the old river bank today " * 3
     b = a.replace("lazy", "lazi", 1)
