@@ -37,7 +37,9 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 NODES = 20_000
-CACHE = 800_000        # words whose ids a Python worker keeps
+BATCH = 12_000_000     # bytes of text whose words are encoded once
+CACHE, LONGEST = 600_000, 32   # words whose ids a Python worker keeps, their characters at most
+ROW = 4096              # words encoded in a row
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -181,51 +183,92 @@ def places(patterns: list[Pattern]) -> np.ndarray:
 # -- tokens -------------------------------------------------------------
 
 def _encoder(path: str):
-    """texts -> bytes of their little-endian ids.
+    """texts (UTF-8) -> arrays of their ids.
 
     A single space between two other characters always begins a new piece
-    of the tokenizer's split pattern. So texts are encoded word by word, and
-    the ids of words seen before come from a cache that a Python worker keeps
-    from task to task. Texts with wider space anywhere are encoded whole."""
+    of the tokenizer's split pattern. So a batch's texts are cut at spaces,
+    its distinct words are encoded once, many in a row, and each text is put
+    together from their ids. In a row of words the ids of each are told by
+    their lengths in bytes; a Python worker keeps those of up to ``CACHE``
+    words from task to task. Texts with wider space anywhere, or with a literal
+    special token, are encoded whole."""
+    import json
     import os
     import sys
-    from array import array
     from types import ModuleType
 
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    held = sys.modules.setdefault("logmart_worker_words", ModuleType("logmart_worker_words"))
+    held = sys.modules.setdefault("logmart_worker_tokenizer", ModuleType("logmart_worker_tokenizer"))
     if getattr(held, "path", None) != path:
-        held.tok, held.path, held.words = Tokenizer.from_file(path), path, {}
-        held.tok.encode_special_tokens = True
-    words = held.words
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = [array("I", e.ids) for e in held.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in out:
-                x.byteswap()
-        return [x.tobytes() for x in out]
-
-    def ids(texts: list[str]) -> list[bytes]:
-        if len(words) > CACHE:
-            words.clear()
-        # a word's key has its space, so a text's first word is another key
-        split = [t.split(" ") for t in texts]
-        whole, new = set(), set()
-        for i, ws in enumerate(split):
-            ws[1:] = map(" ".__add__, ws[1:])
-            missing = [w for w in ws if w not in words]
-            if any(len(w) < 2 or w[1].isspace() or w[-1].isspace() for w in missing if w[:1] == " ") or (
-                    ws[0][-1:].isspace() or not ws[0]):
-                whole.add(i)
-            else:
-                new.update(missing)
-        new = list(new)
-        words.update(zip(new, encode(new)))
-        rest = sorted(whole)
-        got = dict(zip(rest, encode([texts[i] for i in rest])))
-        return [got[i] if i in whole else b"".join(map(words.__getitem__, ws)) for i, ws in enumerate(split)]
+        tok = Tokenizer.from_file(path)
+        vocab = tok.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)      # a byte is a character of the vocabulary
+        width[list(vocab.values())] = list(map(len, vocab))
+        special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        steps = json.loads(tok.to_str())
+        by_word = not steps["normalizer"] and "ByteLevel" in str(steps["pre_tokenizer"]) and not any(" " in x for x in special)
+        held.words: dict[str, bytes] = {}
+        held.tok, held.path, held.width, held.special, held.by_word = tok, path, width, special, by_word
+    spaces = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in held.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def after_space(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words with a space before each, and how many each has."""
+        found = list(map(held.words.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        rows = [new[i : i + ROW] for i in range(0, len(new), ROW)]
+        got = np.concatenate([np.zeros(0, "<u4"), *encode([" " + " ".join(r) for r in rows])])
+        ends = np.cumsum(np.fromiter((1 + len(w.encode()) for w in new), np.int64, len(new)))
+        last = (4 * np.searchsorted(np.cumsum(held.width[got]), ends) + 4).tolist()
+        raw = got.tobytes()
+        parts = [raw[a:b] for a, b in zip([0, *last], last)]
+        fresh = iter(parts)
+        found = [next(fresh) if x is None else x for x in found]
+        if len(held.words) + len(new) > CACHE:
+            held.words = {}
+        held.words.update((w, x) for w, x in zip(new[:CACHE], parts) if len(w) <= LONGEST)
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def ids(texts: list[bytes]) -> list[np.ndarray]:
+        if not held.by_word:
+            return encode([t.decode() for t in texts])
+        split = pc.split_pattern(pa.array(texts, pa.large_binary()).cast(pa.large_string()), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary
+        code = coded.indices.to_numpy()
+        trimmed = pc.utf8_trim(words, characters=spaces)
+        odd = pc.or_(pc.equal(words, ""), pc.not_equal(words, trimmed))     # not alone between single spaces
+        for x in held.special:
+            odd = pc.or_(odd, pc.match_substring(words, x))
+        odd = odd.to_numpy(zero_copy_only=False)
+        # code 2 * c + 1: word c after a space, 2 * c: at its text's start
+        code = code.astype(np.int64) * 2 + 1
+        code[first[:-1]] -= 1
+        used = np.zeros(2 * len(words), bool)
+        used[code] = True
+        used &= ~np.repeat(odd, 2)
+        later, start = np.flatnonzero(used[1::2]), np.flatnonzero(used[::2])
+        pool, n_later = after_space(words.take(pa.array(later)).to_pylist())
+        at_start = encode(words.take(pa.array(start)).to_pylist())
+        size, place = np.zeros((2, 2 * len(words)), np.int64)
+        size[2 * later + 1] = n_later
+        place[2 * later + 1] = np.cumsum(n_later) - n_later
+        size[2 * start] = n_start = np.fromiter(map(len, at_start), np.int64, len(at_start))
+        place[2 * start] = len(pool) + np.cumsum(n_start) - n_start
+        pool = np.concatenate([pool, *at_start])
+        n = size[code]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        joined = pool[np.arange(ends[-1]) + np.repeat(place[code] - ends[:-1], n)]
+        out = [joined[a:b] for a, b in zip(ends[first[:-1]], ends[first[1:]])]
+        whole = np.flatnonzero(np.logical_or.reduceat(odd[code // 2], first[:-1])).tolist()
+        for i, x in zip(whole, encode([texts[i].decode() for i in whole])):
+            out[i] = x
+        return out
 
     return ids
 
@@ -247,10 +290,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def run(it):
         encode, end = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in it:
-            for at, texts in sub_batches(batch, "text", 1_000_000):
+            for at, texts in sub_batches(batch, "text", BATCH):
                 rows = []
-                for doc, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encode([t.decode() for t in texts])):
-                    rows += cut(doc, ids + end)
+                for doc, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encode(texts)):
+                    rows += cut(doc, ids.tobytes() + end)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -291,6 +291,19 @@ def test_packing(spark, none):
     assert packing.pack(packing.tokenized_pieces(none, path)).count() == 0
 
 
+def test_word_by_word_ids():
+    """Texts put together from their words' ids equal the plain call."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+    tok, encode, rng = Tokenizer.from_file(path), packing._encoder(path), random.Random(7)
+    parts = ["a", "b c", " ", "  ", "\n", " \n", "é", "\u3000", "\x1c", "<|endoftext|>", " <|endoftext|> ", "中文", "'s", "12", "_",
+             "\t", "hello", "World", ".", "\r\n", "\U0001f600", "x" * 40, ""]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(100)]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encode([t.encode() for t in texts])] == want
+
+
 def test_secrets(spark, none):
     key, odd = "AKIA" + "Z7" * 8, "q1w2e3r4t5y6u7i8o9p0a"
     rows = [(1, f"x {key} api_key = \"abcdefgh1\" {'0f' * 16}", 0, 0, "o1"), (2, f"pässword {odd} end", 0, 0, "o1"),
