@@ -16,6 +16,7 @@ from logmart.llm import (
     importance_resample,
     jaccard_join,
     line_dedup,
+    oracles,
     packing,
     periodic_runs,
     quality_llr,
@@ -136,7 +137,7 @@ CRC32_SQL = """xor(4294967295, list_reduce(list_transform(range(1, strlen(w) + 1
     + strpos('0123456789ABCDEF', substr(hex(encode(w)), 2 * i, 1)) - 1),
   lambda c, b: list_reduce(range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)), xor(c, b)), 4294967295::BIGINT))"""
 
-ORACLES = {
+ORACLES = oracles.ORACLES | {
     "op12_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
