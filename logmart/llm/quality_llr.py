@@ -101,10 +101,10 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             buckets: int = BUCKETS) -> list[int]:
     """Fixed-point log ratio of every bucket."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    grams = docs.join(F.broadcast(trusted), F.col(id_col).cast("long") == F.col("_trusted"), "left").select(
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    grams = plain.join(F.broadcast(trusted), F.col("id") == F.col("_trusted"), "left").select(
         F.col("_trusted").isNotNull().cast("long").alias("t"),
-        F.explode(_let(word_array(text), lambda w: _ngrams(w, buckets))).alias("b"))
+        F.explode(_let(word_array(F.col("text")), lambda w: _ngrams(w, buckets))).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("t").alias("t")).collect()  # one row a bucket
     raw, good = sum(x["r"] for x in counts), sum(x["t"] for x in counts)
     out = [0] * buckets
@@ -116,14 +116,18 @@ def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col:
 
 
 def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-            buckets: int = BUCKETS, threshold: int = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
+            buckets: int = BUCKETS, threshold: int = THRESHOLD, limit: int = TRUSTED, prefix: str = "") -> DataFrame:
     """The columns of ``docs`` with the base counts, ``score`` (fixed point)
-    and ``kept``."""
+    and ``kept``, their names after ``prefix``. They take the place of columns
+    of the same name; with a prefix that no column has, none is lost. Names
+    that begin with ``__`` are kept for work inside."""
     table = weights(docs, trusted_ids(labels, limit), text_col, id_col, buckets)
     constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.withColumn("_r", _rules(text, constant, buckets))
-    df = df.withColumns({n: F.col("_r")[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")})
-    df = df.drop("_r").withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                                  | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PCT))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    name = lambda n: prefix + n
+    df = docs.withColumn("__r", _rules(text, constant, buckets))
+    df = df.withColumns({name(n): F.col("__r")[n] for n in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")}).drop("__r")
+    df = df.withColumn(name("base_failed"), (F.col(name("n_words")) < MIN_WORDS)
+                       | (F.col(name("n_repeat_words")) * 100 > F.col(name("n_words")) * REPEAT_PCT))
+    return df.withColumn(name("kept"), ~F.col(name("base_failed")) & (F.col(name("score")) >= threshold))

@@ -447,3 +447,44 @@ def test_near_duplicates_stage(spark):
     rows = [(1, text), (1, text), (2, text), (3, "something else is written in this one"), (None, text), (None, text), (4, None)]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter(map(tuple, out)) == Counter([rows[0], rows[3], rows[4], rows[5], rows[6]])
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Quality rules, decontamination, packing and the whole run: columns with
+    the operators' own names come back unchanged, and rows without an id or
+    with a repeated one are judged by their own text."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = "Which stone lies under the oldest bridge of the northern harbour town of Veld? Answer: the grey basalt slab of Orrin"
+    clean = [(i, text(80), i, 7, i % 2 == 0, i, "x") for i in range(8)]
+    leak = [(None, f"{text(60)} {item} {text(60)}", 1, 7, False, 2, "y"), (3, f"{text(50)} {item} {text(50)}", 1, 7, False, 2, "y")]
+    odd = [(20, None, 1, 7, True, 1, None), (None, "", 1, 7, None, 1, "z")]
+    names = "doc_id long, text string, n_words int, score int, kept boolean, n_removed int, __x string"
+    df = spark.createDataFrame(clean + leak + odd, names)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = lambda d: Counter(map(tuple, d.collect()))
+    path = str(tmp_path)
+
+    out = corpus_pipeline.quality_rules(spark, df, path)
+    assert out.columns == df.columns and not rows(out) - rows(df)
+    assert all(r.text and len(r.text.split()) >= 50 for r in out.collect())
+    lines = corpus_pipeline.line_duplicates(spark, df, path)
+    assert lines.columns == df.columns and rows(lines) == rows(df)
+    assert rows(corpus_pipeline.leaks(spark, df, path)) == Counter(clean + odd)
+
+    pieces = corpus_pipeline.run(spark, path).collect()
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, df, path).collect() if item not in r.text}
+    # of the two rows with id 3 the Jaccard stage keeps one
+    assert {r.doc_id for r in pieces} - {3} == kept - {3} and len(kept) > 2
+    at = defaultdict(list)
+    for r in pieces:
+        at[r.sequence_id].append((r.offset, r.length))
+    for got in at.values():
+        ends = [a + n for a, n in sorted(got)]
+        assert [a for a, _ in sorted(got)] == [0, *ends[:-1]] and ends[-1] <= 2048
