@@ -26,6 +26,8 @@ and keeps all its words; a repeated row gives a repeated result row.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from logmart.llm.common import Hasher, arrays, covered, runs, spread, sub_batches, window_anchors
 
 WINDOW = 50
-CHAINS = 1000          # chains that share one copy of their pivot's text
+CHAINS = 1000          # documents, about, whose chains share one copy of their pivot's text
+HELD = 500_000         # words, or spans, in a batch that tasks give back
 
 
 def _anchors(window: int):
@@ -53,21 +56,38 @@ def _anchors(window: int):
     return run
 
 
+def _fields(chains: pa.ListScalar) -> dict[str, pa.Array]:
+    """The fields of a row's chains as arrays, without Python objects."""
+    c = chains.values
+    return dict(zip((f.name for f in c.type), c.flatten()))
+
+
+def _numbers(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False)
+
+
 def _beside(it):
-    """Adds to each chain the pivot's words beside it (0 beyond its ends)."""
+    """Adds to each chain the pivot's words beside it (0 beyond its ends).
+    Batches are cut after ``HELD`` words."""
     schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("a0", pa.int32()), ("a1", pa.int32()),
                         ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("beside", pa.binary())])
     hasher = Hasher()
     for batch in it:
         get = lambda n: batch.column(batch.schema.get_field_index(n))
         for pivot, text, chains in zip(get("pivot"), get("text"), get("chains")):
-            w, rows = hasher.words([(text.as_py() or "").encode()])[0], []
-            for c in chains.as_py():
-                a, b = c["a0"] - c["diag"], c["a1"] - c["diag"]
-                out = np.zeros(b - a, np.uint64)
-                out[max(0, -a) : max(0, len(w) - a)] = w[max(0, a) : b]
-                rows.append((c["doc_id"], pivot.as_py(), c["a0"], c["a1"], c["lo"], c["hi"], out.tobytes()))
-            yield arrays(schema, *zip(*rows))
+            w = hasher.words([(text.as_py() or "").encode()])[0]
+            c = _fields(chains)
+            a0, a1, diag = (_numbers(c[n]).astype(np.int64) for n in ("a0", "a1", "diag"))
+            cuts = np.flatnonzero(np.diff(np.cumsum(a1 - a0) // HELD, prepend=0)) + 1
+            for x, y in pairwise(np.unique(np.concatenate(([0], cuts, [len(a0)]))).tolist()):
+                rows = []
+                for a, b in zip((a0 - diag)[x:y].tolist(), (a1 - diag)[x:y].tolist()):
+                    out = np.zeros(b - a, np.uint64)
+                    out[max(0, -a) : max(0, len(w) - a)] = w[max(0, a) : b]
+                    rows.append(out.tobytes())
+                part = [c[n].slice(x, y - x) for n in ("doc_id", "a0", "a1", "lo", "hi")]
+                part.insert(1, pa.array([pivot.as_py()] * (y - x)))
+                yield pa.RecordBatch.from_arrays([*(p.cast(f.type) for p, f in zip(part, schema)), pa.array(rows, pa.binary())], schema=schema)
 
 
 def _extend(window: int):
@@ -76,36 +96,49 @@ def _extend(window: int):
 
     def run(it):
         hasher, one, two = Hasher(), Hasher(3), Hasher(4)
+        cols, held_rows = [[] for _ in schema], 0
+
+        def add(doc, s, e, h, h2, sure):
+            nonlocal held_rows
+            held_rows += len(s)
+            for c, x in zip(cols, (h.view(np.int64), h2.view(np.int64), np.full(len(s), doc), s, e, np.full(len(s), sure))):
+                c.append(x)
+
+        def taken():
+            nonlocal held_rows
+            out = arrays(schema, *map(np.concatenate, cols))
+            held_rows = 0
+            for c in cols:
+                c.clear()
+            return out
+
         for batch in it:
             get = lambda n: batch.column(batch.schema.get_field_index(n))
-            cols = [[np.zeros(0, np.int64)] for _ in schema]
-
-            def add(doc, s, e, h, h2, sure):
-                for c, x in zip(cols, (h.view(np.int64), h2.view(np.int64), np.full(len(s), doc), s, e, np.full(len(s), sure))):
-                    c.append(x)
-
             for text, doc, chains in zip(get("text"), get("doc_id").to_pylist(), get("chains")):
                 words = hasher.words([(text.as_py() or "").encode()])[0]
                 held, open_ = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, bool)
-                for c in chains.as_py():
-                    a0 = c["a0"]
-                    s, e = runs(words[a0 : c["a1"]] == np.frombuffer(c["beside"], np.uint64))
+                c = _fields(chains)
+                for pivot, a0, a1, lo, hi, beside in zip(*(_numbers(c[n]).tolist() for n in ("pivot", "a0", "a1")),
+                                                         c["lo"], c["hi"], c["beside"]):
+                    s, e = runs(words[a0:a1] == np.frombuffer(beside.as_buffer(), np.uint64))
                     s, e = s[e - s >= window] + a0, e[e - s >= window] + a0
-                    if doc != c["pivot"] and len(s):
+                    if doc != pivot and len(s):
                         with np.errstate(over="ignore"):
-                            spot = Hasher.mix(s.astype(np.uint64) + np.uint64(doc & 0xFFFFFFFF) * one.odd[0])  # spreads them
+                            spot = Hasher.mix(s.astype(np.uint64) + np.array([doc], np.int64).view(np.uint64) * one.odd[0])  # spreads them
                         add(doc, s, e, spot, spot, True)
-                    same = covered(c["a1"] + 1, s, e - window + 1)
-                    for x, y in zip(c["lo"], c["hi"]):
+                    same = covered(a1 + 1, s, e - window + 1)
+                    for x, y in zip(_numbers(lo.values).tolist(), _numbers(hi.values).tolist()):
                         open_[x:y] |= ~same[x:y]
-                    if doc != c["pivot"]:
+                    if doc != pivot:
                         held[: len(same)] |= same[: len(held)]
                 starts = np.flatnonzero(open_ & ~held)
                 if len(starts):
                     add(doc, starts, starts + window, one.shingles(words, window)[starts],
                         two.shingles(words, window)[starts], False)
-            h, h2, doc, s, e, sure = map(np.concatenate, cols)
-            yield arrays(schema, h, h2, doc, s, e, sure.astype(bool))
+                if held_rows > HELD:
+                    yield taken()
+            if held_rows:
+                yield taken()
 
     return run
 
@@ -115,15 +148,16 @@ def repeats(text: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt by doc_id, without null ids. Spans may overlap."""
     anchors = text.mapInArrow(
         _anchors(window), "h long, doc_id long, at int, lo int, hi int")
-    order = Window.partitionBy("h").orderBy("doc_id", "at")
-    met = anchors.withColumns({"pivot": F.first("doc_id").over(order), "p_at": F.first("at").over(order)}).where(
-        "doc_id <> pivot or at <> p_at")
+    # an aggregate with a partial step and a join that skew splitting can cut: no task reads a whole hot anchor
+    pivots = anchors.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1").select("h", F.col("p.doc_id").alias("pivot"), F.col("p.at").alias("p_at"))
+    met = anchors.join(pivots, "h").where("doc_id <> pivot or at <> p_at")
     chains = met.groupBy("doc_id", "pivot", (F.col("at") - F.col("p_at")).alias("diag")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
         F.min("lo").alias("a0"), (F.max("hi") + window - 1).alias("a1"))
-    # a text travels once for up to CHAINS chains
-    part = F.floor((F.row_number().over(Window.partitionBy("pivot").orderBy("doc_id", "diag")) - 1) / CHAINS)
-    by_pivot = chains.withColumn("part", part).groupBy("pivot", "part").agg(
+    # a pivot's text travels once a part; no family has more documents than there are, so a part has some CHAINS of them
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(text.count() // CHAINS + 1))
+    by_pivot = chains.groupBy("pivot", part.alias("part")).agg(
         F.collect_list(F.struct("doc_id", "diag", "a0", "a1", "lo", "hi")).alias("chains"))
     beside = by_pivot.join(text.select(F.col("doc_id").alias("pivot"), "text"), "pivot").mapInArrow(
         _beside, "doc_id long, pivot long, a0 int, a1 int, lo array<int>, hi array<int>, beside binary")
