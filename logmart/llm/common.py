@@ -35,6 +35,15 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), *cols)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches are cut at 8 MB, where it sets
+    no size itself: Spark's 64 MB are held some five times, by JVM and Python,
+    in each task whose rows are texts and lists."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, 8 << 20)
+
+
 def sub_batches(batch: pa.RecordBatch, text: str, limit: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """(row offset, UTF-8 texts) slices of a batch of about ``limit`` bytes;
     a longer text is a slice of its own. Null texts are empty."""

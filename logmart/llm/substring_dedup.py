@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmart.llm.common import Hasher, arrays, covered, runs, spread, sub_batches, window_anchors
+from logmart.llm.common import Hasher, arrays, covered, runs, small_batches, spread, sub_batches, window_anchors
 
 WINDOW = 50
 CHAINS = 1000          # documents, about, whose chains share one copy of their pivot's text
@@ -186,7 +186,10 @@ def _remove(it):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``spans`` (removed
-    runs of words) and ``kept_text`` (the words left, joined by a space)."""
+    runs of words) and ``kept_text`` (the words left, joined by a space).
+    Arrow batches of a session that sets no
+    size are cut at 8 MB."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text = spread(rows.where("doc_id is not null"), "doc_id")       # one exchange, read by all joins
     spans = repeats(text, window).groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
