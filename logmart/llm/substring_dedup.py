@@ -26,7 +26,7 @@ and keeps all its words; a repeated row gives a repeated result row.
 
 from __future__ import annotations
 
-from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -66,28 +66,54 @@ def _numbers(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False)
 
 
+def _between(words: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Words a to b, 0 beyond the ends."""
+    out = np.zeros(b - a, np.uint64)
+    out[max(0, -a) : max(0, len(words) - a)] = words[max(0, a) : b]
+    return out
+
+
 def _beside(it):
-    """Adds to each chain the pivot's words beside it (0 beyond its ends).
-    Batches are cut after ``HELD`` words."""
+    """Adds to each chain its first place ``p0`` in the pivot and the pivot's
+    words beside it. A document's chains along one stretch of the pivot name
+    that stretch by its start ``s0`` and only the first has the words; chains
+    in the pivot itself have none. Batches are cut after ``HELD`` words."""
     schema = pa.schema([("doc_id", pa.int64()), ("pivot", pa.int64()), ("a0", pa.int32()), ("a1", pa.int32()),
-                        ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("beside", pa.binary())])
+                        ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("p0", pa.int32()), ("s0", pa.int32()),
+                        ("copy", pa.int64()), ("beside", pa.binary())])
     hasher = Hasher()
     for batch in it:
         get = lambda n: batch.column(batch.schema.get_field_index(n))
-        for pivot, text, chains in zip(get("pivot"), get("text"), get("chains")):
-            w = hasher.words([(text.as_py() or "").encode()])[0]
+        for pivot, text, chains in zip(get("pivot").to_pylist(), get("text"), get("chains")):
+            data = (text.as_py() or "").encode()
+            words, copy = hasher.words([data])[0], crc32(data)     # rows with one id may differ
             c = _fields(chains)
-            a0, a1, diag = (_numbers(c[n]).astype(np.int64) for n in ("a0", "a1", "diag"))
-            cuts = np.flatnonzero(np.diff(np.cumsum(a1 - a0) // HELD, prepend=0)) + 1
-            for x, y in pairwise(np.unique(np.concatenate(([0], cuts, [len(a0)]))).tolist()):
-                rows = []
-                for a, b in zip((a0 - diag)[x:y].tolist(), (a1 - diag)[x:y].tolist()):
-                    out = np.zeros(b - a, np.uint64)
-                    out[max(0, -a) : max(0, len(w) - a)] = w[max(0, a) : b]
-                    rows.append(out.tobytes())
+            doc, a0, a1, diag = (_numbers(c[n]).astype(np.int64) for n in ("doc_id", "a0", "a1", "diag"))
+            order = np.lexsort((diag - a1, a0 - diag, doc))        # by place in the pivot, longest first
+            c = {n: x.take(pa.array(order)) for n, x in c.items()}
+            doc, p0, p1 = doc[order], (a0 - diag)[order], (a1 - diag)[order]
+            last, s0, end, begin, size, starts, stretches = None, 0, 0, 0, 0, [], []
+
+            def rows(x: int, y: int) -> pa.RecordBatch:
                 part = [c[n].slice(x, y - x) for n in ("doc_id", "a0", "a1", "lo", "hi")]
-                part.insert(1, pa.array([pivot.as_py()] * (y - x)))
-                yield pa.RecordBatch.from_arrays([*(p.cast(f.type) for p, f in zip(part, schema)), pa.array(rows, pa.binary())], schema=schema)
+                part.insert(1, pa.array([pivot] * (y - x)))
+                part += [pa.array(p0[x:y]), pa.array(starts), pa.array([copy] * (y - x)), pa.array(stretches, pa.binary())]
+                return pa.RecordBatch.from_arrays([q.cast(f.type) for q, f in zip(part, schema)], schema=schema)
+
+            for i, (d, x, y) in enumerate(zip(doc.tolist(), p0.tolist(), p1.tolist())):
+                found = b""
+                if d != last or y > end:
+                    last, s0, end = d, x, y
+                    if d != pivot:
+                        found = _between(words, x, y).tobytes()
+                starts.append(s0)
+                stretches.append(found)
+                size += len(found) // 8
+                if size > HELD:
+                    yield rows(begin, i + 1)
+                    begin, size, starts, stretches = i + 1, 0, [], []
+            if starts:
+                yield rows(begin, len(doc))
 
 
 def _extend(window: int):
@@ -118,9 +144,14 @@ def _extend(window: int):
                 words = hasher.words([(text.as_py() or "").encode()])[0]
                 held, open_ = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, bool)
                 c = _fields(chains)
-                for pivot, a0, a1, lo, hi, beside in zip(*(_numbers(c[n]).tolist() for n in ("pivot", "a0", "a1")),
-                                                         c["lo"], c["hi"], c["beside"]):
-                    s, e = runs(words[a0:a1] == np.frombuffer(beside.as_buffer(), np.uint64))
+                places = list(zip(*(_numbers(c[n]).tolist() for n in ("pivot", "s0", "copy", "p0", "a0", "a1"))))
+                stretch = {x[:3]: np.frombuffer(w.as_buffer(), np.uint64) for x, w in zip(places, c["beside"]) if len(w.as_buffer())}
+                for (pivot, s0, copy, p0, a0, a1), lo, hi in zip(places, c["lo"], c["hi"]):
+                    if pivot == doc:
+                        beside = _between(words, p0, p0 + a1 - a0)
+                    else:
+                        beside = stretch[pivot, s0, copy][p0 - s0 :][: a1 - a0]
+                    s, e = runs(words[a0:a1] == beside)
                     s, e = s[e - s >= window] + a0, e[e - s >= window] + a0
                     if doc != pivot and len(s):
                         with np.errstate(over="ignore"):
@@ -160,8 +191,9 @@ def repeats(text: DataFrame, window: int = WINDOW) -> DataFrame:
     by_pivot = chains.groupBy("pivot", part.alias("part")).agg(
         F.collect_list(F.struct("doc_id", "diag", "a0", "a1", "lo", "hi")).alias("chains"))
     beside = by_pivot.join(text.select(F.col("doc_id").alias("pivot"), "text"), "pivot").mapInArrow(
-        _beside, "doc_id long, pivot long, a0 int, a1 int, lo array<int>, hi array<int>, beside binary")
-    by_doc = beside.groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "a0", "a1", "lo", "hi", "beside")).alias("chains"))
+        _beside, "doc_id long, pivot long, a0 int, a1 int, lo array<int>, hi array<int>, p0 int, s0 int, copy long, beside binary")
+    by_doc = beside.groupBy("doc_id").agg(F.collect_list(
+        F.struct("pivot", "a0", "a1", "lo", "hi", "p0", "s0", "copy", "beside")).alias("chains"))
     windows = by_doc.join(text, "doc_id").mapInArrow(
         _extend(window), "h long, h2 long, doc_id long, s int, e int, sure boolean")
     least = F.first("doc_id").over(Window.partitionBy("h", "h2").orderBy("doc_id"))
@@ -187,8 +219,8 @@ def _remove(it):
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``spans`` (removed
     runs of words) and ``kept_text`` (the words left, joined by a space).
-    Arrow batches of a session that sets no
-    size are cut at 8 MB."""
+    Arrow
+    batches of a session that sets no size are cut at 8 MB."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text = spread(rows.where("doc_id is not null"), "doc_id")       # one exchange, read by all joins

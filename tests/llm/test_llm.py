@@ -244,6 +244,31 @@ def test_substrings(spark, none, seed):
     assert substring_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("held", [500_000, 100])
+def test_substrings_repeats_inside_texts(spark, held, monkeypatch):
+    """Passages that stand many times in each text, batches cut early, and
+    two texts of one id, both of which a later text repeats."""
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    rng = random.Random(7)
+    line = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(70)) for _ in range(4)]
+    rows = []
+    for i in range(12):
+        parts = [rng.choice(line) + rng.choice(["", " x", f" y{i}"]) for _ in range(rng.randint(1, 25))]
+        rows.append((i + 2, "\n".join(parts)))
+    other = [" ".join(f"{k}{j}" for j in range(90)) for k in "pq"]
+    rows += [(1, other[0]), (1, other[1]), (50, "new " + other[0][9:] + " z " + other[1])]
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = {}
+    for i, t in sorted(rows):
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k:k + 50]), i) < i:
+                gone[k:k + 50] = [True] * 50
+        if i != 1:
+            assert got[i].kept_text == " ".join(x for x, g in zip(w, gone) if not g)
+
+
 def test_packing_search():
     rng = random.Random(5)
     for _ in range(60):
