@@ -157,11 +157,11 @@ def _extend(window: int):
                         with np.errstate(over="ignore"):
                             spot = Hasher.mix(s.astype(np.uint64) + np.array([doc], np.int64).view(np.uint64) * one.odd[0])  # spreads them
                         add(doc, s, e, spot, spot, True)
-                    same = covered(a1 + 1, s, e - window + 1)
+                    same = covered(a1 - a0 + 1, s - a0, e - window + 1 - a0)      # of the starts from a0 on
                     for x, y in zip(_numbers(lo.values).tolist(), _numbers(hi.values).tolist()):
-                        open_[x:y] |= ~same[x:y]
+                        open_[x:y] |= ~same[x - a0 : y - a0]
                     if doc != pivot:
-                        held[: len(same)] |= same[: len(held)]
+                        held[a0 : a1 + 1] |= same
                 starts = np.flatnonzero(open_ & ~held)
                 if len(starts):
                     add(doc, starts, starts + window, one.shingles(words, window)[starts],
