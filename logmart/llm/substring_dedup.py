@@ -179,9 +179,12 @@ def repeats(text: DataFrame, window: int = WINDOW) -> DataFrame:
     dealt by doc_id, without null ids. Spans may overlap."""
     anchors = text.mapInArrow(
         _anchors(window), "h long, doc_id long, at int, lo int, hi int")
-    # an aggregate with a partial step and a join that skew splitting can cut: no task reads a whole hot anchor
-    pivots = anchors.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("n")).where(
-        "n > 1").select("h", F.col("p.doc_id").alias("pivot"), F.col("p.at").alias("p_at"))
+    # an aggregate with a partial step, and a join that Spark can cut at hot anchors; it cuts only between two
+    # exchanges, so the aggregate goes by another key of the same groups
+    other = F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("g")
+    pivots = anchors.groupBy(other).agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count(F.lit(1)).alias("n")).where(
+        "n > 1").select(F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("h"), F.col("p.doc_id").alias("pivot"),
+                        F.col("p.at").alias("p_at"))
     met = anchors.join(pivots, "h").where("doc_id <> pivot or at <> p_at")
     chains = met.groupBy("doc_id", "pivot", (F.col("at") - F.col("p_at")).alias("diag")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"),
