@@ -301,3 +301,15 @@ def test_deep_page_equals_order_by_offset(spark):
             assert [(r.rank, r.id, r.k) for r in got] == [
                 (offset + i + 1, *r) for i, r in enumerate(want[offset:offset + limit])]
     assert deep_page(df.limit(0), "k", "id", 5, 0).collect() == []
+
+
+def test_json_files_are_compressed(spark, tmp_path):
+    import glob
+    from logmart.sources.io import write_json
+    path = str(tmp_path / "lines")
+    rows = spark.range(2000).selectExpr("id", "cast(null as string) AS note", "array(id, id + 1) AS pair")
+    write_json(rows, path)
+    files = glob.glob(f"{path}/part-*")
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert all('"note":null' in r.value for r in spark.read.text(path).collect())
+    assert sorted(map(tuple, spark.read.schema(rows.schema).json(path).collect())) == sorted(map(tuple, rows.collect()))
