@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logmart.session import shuffle_partitions
+
 Keys = str | Sequence[str]
 
 # Largest side (in rows) this library broadcasts on its own authority.
@@ -53,6 +55,23 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+# Rows that one task of a wide aggregate or join works on at once.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(df: DataFrame) -> int | None:
+    """Partitions of at most about ``TASK_ROWS`` rows of ``df`` each, where
+    the session's shuffle partitions would hold more (else None)."""
+    n = -(-df.count() // TASK_ROWS)
+    return n if n > shuffle_partitions(df.sparkSession) else None
+
+
+def dealt(df: DataFrame, n: int | None, *by: str) -> DataFrame:
+    """``df`` dealt to ``n`` partitions by the columns ``by``; without ``n``
+    (see ``tasks_for``) the exchange is left to Spark."""
+    return df.repartition(n, *by) if n else df
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1-based position of each row in a total order, without moving the
     table into one partition.

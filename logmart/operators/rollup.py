@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logmart.operators.common import Keys, bounded_broadcast, desc_pg, keys
+from logmart.operators.common import Keys, bounded_broadcast, dealt, desc_pg, keys, tasks_for
 from logmart.schemas import DEFAULT_PAGE_SIZE, TOTAL_MEMBERS
 from logmart.session import ensure_checkpoint_dir
 
@@ -38,13 +38,15 @@ PUSHDOWN_IN_LIMIT = 10_000
 def _pairs(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys,
            bridge_child: Keys, bridge_member: str) -> DataFrame:
     """Distinct (header, member) pairs. Children are first made distinct per
-    (header, bridge key) with a map-side partial aggregate, so the bridge
-    join sees that reduced set, then the pairs are made distinct again."""
+    (header, bridge key), so the bridge join sees that reduced set, then the
+    pairs are made distinct again, each in tasks of bounded size."""
     ck, bk = keys(child_bridge_key), keys(bridge_child)
-    c = children.select(F.col(child_fk).alias("_hk"),
-                        *[F.col(a).alias(f"_bk{i}") for i, a in enumerate(ck)]).distinct()
-    b = bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
-    return c.join(b, [f"_bk{i}" for i in range(len(ck))]).select("_hk", "_m").distinct()
+    kcols = [f"_bk{i}" for i in range(len(ck))]
+    n = tasks_for(children)
+    c = dealt(children.select(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]),
+              n, "_hk", *kcols).distinct()
+    b = bridge.select(*[F.col(a).alias(k) for a, k in zip(bk, kcols)], F.col(bridge_member).alias("_m"))
+    return dealt(c.join(b, kcols).select("_hk", "_m"), n, "_hk").distinct()
 
 
 def _rolled(children: DataFrame, bridge: DataFrame, child_fk: str, child_bridge_key: Keys, bridge_child: Keys,
@@ -252,11 +254,13 @@ def sibling_members(children: DataFrame, bridge: DataFrame, *, child_id: Keys =
     b = (bridge.select(*[F.col(a).alias(f"_bk{i}") for i, a in enumerate(bk)], F.col(bridge_member).alias("_m"))
          .groupBy(*kcols).agg(F.array_sort(F.collect_set("_m")).alias("_own")))
     own_t = b.schema["_own"].dataType
-    per_key = children.groupBy(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]) \
-        .agg(F.count(F.lit(1)).alias("_c"))
+    n = tasks_for(children)
+    per_key = dealt(children.select(F.col(child_fk).alias("_hk"), *[F.col(a).alias(k) for a, k in zip(ck, kcols)]),
+                    n, "_hk", *kcols).groupBy("_hk", *kcols).agg(F.count(F.lit(1)).alias("_c"))
     pk = per_key.join(b, kcols, "left").withColumn("_own", F.coalesce("_own", F.array().cast(own_t)))
-    hm = (pk.select("_hk", "_c", F.explode("_own").alias("_m")).groupBy("_hk", "_m").agg(F.sum("_c").alias("_n"))
-          .groupBy("_hk").agg(F.collect_list(F.struct("_m", "_n")).alias("_hm")))
+    hm = (dealt(pk.select("_hk", "_c", F.explode("_own").alias("_m")), n, "_hk").groupBy("_hk", "_m").agg(
+        F.sum("_c").alias("_n")).groupBy("_hk").agg(F.collect_list(F.struct("_m", "_n")).alias("_hm")))
+    pk = dealt(pk, n, "_hk")
     pk = pk.join(hm, "_hk", "left")
     sib = F.array_sort(F.transform(
         F.filter(F.coalesce("_hm", F.array().cast(hm.schema["_hm"].dataType)),
@@ -266,12 +270,24 @@ def sibling_members(children: DataFrame, bridge: DataFrame, *, child_id: Keys =
                    F.col("_own").alias(own), sib.alias(out))
     c = children.select(*dict.fromkeys([*ids, child_fk, *ck]))
     # NULL-safe: a child without a bridge key still appears, with no members
-    cond = [F.col(child_fk).eqNullSafe(F.col("_phk"))] + [F.col(a).eqNullSafe(F.col(f"_p{k}"))
-                                                          for a, k in zip(ck, kcols)]
-    j = c.join(pk, cond)
+    j = _rejoined(c, pk, [child_fk, *ck], ["_phk", *[f"_p{k}" for k in kcols]], n)
     return j.select(*ids, *([child_fk] if child_fk not in ids else []), own, out)
 
 
+def _rejoined(c: DataFrame, pk: DataFrame, left: list[str], right: list[str], n: int | None) -> DataFrame:
+    """NULL-safe join of ``c`` and ``pk`` on equal keys. With ``n`` both sides
+    are dealt to so many partitions by a hash of the keys and joined on it;
+    the keys themselves are compared on the pairs it brings together."""
+    cond = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
+    if n:
+        kind = dict(c.dtypes)
+        c = c.withColumn("_at", F.xxhash64(*left)).repartition(n, "_at")
+        pk = pk.withColumn("_pat", F.xxhash64(*[F.col(b).cast(kind[a]) for a, b in zip(left, right)])).repartition(n, "_pat")
+        same = [F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull()) for a, b in zip(left, right)]
+        return c.join(pk, [F.col("_at") == F.col("_pat"), *same]).drop("_at", "_pat")
+    return c.join(pk, cond)
+
+
 def coverage_grid(dim: DataFrame, children: DataFrame, bridge: DataFrame, *, dim_id: str = "id",
                   dim_name: str = "name", dim_sort: str = "sort_order", **cols) -> DataFrame:
     """A7 (batch form): for every child, one row per member that is
