@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from logmart import schemas as S
 from logmart.functions.coerce import empty_to_null, php_int, php_trim, weight_value
-from logmart.operators.common import fits, group_rank, group_scan, hot_groups, null_safe_join
+from logmart.operators.common import BROADCAST_ROW_LIMIT, fits, group_rank, group_scan, hot_groups, null_safe_join
 from logmart.session import ensure_checkpoint_dir, shuffle_partitions, stored
 from logmart.sources.io import parse_payload
 
@@ -178,10 +178,14 @@ def append_headers(headers: DataFrame, creates: DataFrame) -> DataFrame:
 def append_children(children: DataFrame, adds: DataFrame) -> DataFrame:
     """C3 for append-only logs: next ordinal per header =
     ``COALESCE(MAX(sort_order), 0)`` of the existing children plus the
-    add's rank in ``seq`` order. (Interleaved deletes need C8.)"""
+    add's rank in ``seq`` order. (Interleaved deletes need C8.) The children
+    themselves are never sorted for a join: those of other headers go by a
+    broadcast of bounded size, or all are first reduced to a row per header."""
+    held = children.select(F.col("workout_id").alias("h"), "sort_order")
     hs = adds.select("h").distinct()
-    base_max = (children.select(F.col("workout_id").alias("h"), "sort_order").join(hs, "h", "left_semi")
-                .groupBy("h").agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_mx")))
+    if fits(hs, BROADCAST_ROW_LIMIT):   # the other headers' children are left out where they are read
+        held = held.join(F.broadcast(hs), "h", "left_semi")
+    base_max = held.groupBy("h").agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_mx"))
     w = Window.partitionBy("h").orderBy("seq")
     a = adds.join(base_max, "h", "left").withColumn(
         "sort_order", (F.coalesce(F.col("_mx"), F.lit(0)) + F.row_number().over(w)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from logmart.operators import common, rollup
+from logmart.operators import changes, common, rollup
 
 
 def _tables(spark):
@@ -31,3 +31,19 @@ def test_rollups_in_tasks_of_bounded_size(spark, monkeypatch, op):
     large = run()
     assert rows(large) == plain
     assert "REPARTITION_BY_NUM" in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_append_children_groups_before_it_joins(spark, monkeypatch):
+    base = spark.createDataFrame([(1, 7, "x", 3), (2, 7, "x", 5), (3, 8, "x", None), (4, 9, "x", 2)],
+                                 "id long, workout_id long, name string, sort_order int").selectExpr(
+        "id", "workout_id", "name", "'m' AS machine", "CAST(1 AS DECIMAL(6,2)) AS max_weight", "sort_order",
+        "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS created_at")
+    adds = spark.createDataFrame([(1, 7, 20), (2, 7, 21), (3, 8, 22), (4, 5, 23), (5, None, 24)], "seq long, h long, cid long").selectExpr(
+        "seq", "h", "cid", "'n' AS name", "'m' AS machine", "CAST(1 AS DECIMAL(6,2)) AS max_weight",
+        "TIMESTAMP_NTZ '2026-01-02 00:00:00' AS ts")
+    want = [(20, 6), (21, 7), (22, 1), (23, 1), (24, 1)]
+    for limit in (1000, 0):                          # few headers, then more than fit
+        monkeypatch.setattr(changes, "BROADCAST_ROW_LIMIT", limit)
+        out = changes.append_children(base, adds)
+        assert sorted((r.id, r.sort_order) for r in out.where("id >= 20").collect()) == want
+        assert out.where("id < 20").count() == 4
