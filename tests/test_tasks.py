@@ -47,3 +47,25 @@ def test_append_children_groups_before_it_joins(spark, monkeypatch):
         out = changes.append_children(base, adds)
         assert sorted((r.id, r.sort_order) for r in out.where("id >= 20").collect()) == want
         assert out.where("id < 20").count() == 4
+
+
+def test_streamed_log_is_made_once(spark):
+    from logmart import schemas as S
+    from logmart.plans.catalog import _streamed
+    from logmart.streaming.changes_stream import read_outcomes
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.range(1, 7).selectExpr(
+        "id AS seq", "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS ts", "'create_header' AS op", "id AS header_id",
+        "CAST(NULL AS LONG) AS child_id", """'{"gym_id":"1"}' AS payload""")
+    log = rows.mapInPandas(counted, S.CHANGES)
+    base = changes.empty_tables(spark, spark.range(1, 2), spark.range(1, 2))
+    out = _streamed(spark, base, log, [0, 3, 5, 9])
+    assert made.value == 6
+    assert sorted((r.seq, r.batch, r.outcome) for r in read_outcomes(spark, out).collect()) == [
+        (1, 0, "ok"), (2, 0, "ok"), (3, 1, "ok"), (4, 1, "ok"), (5, 2, "ok"), (6, 2, "ok")]
