@@ -339,21 +339,21 @@ def member_grid(dim: DataFrame, children: DataFrame, bridge: DataFrame, *, dim_i
     counts = per_key.join(held, kcols).groupBy("_hk", "_pos").agg(F.sum("_c").alias("_n"))
     planes = (counts.groupBy("_hk", word).agg(F.bit_or(bit).alias("_o"), F.bit_or(F.when(F.col("_n") > 1, bit)).alias("_t"))
               .groupBy("_hk").agg(words("_o").alias("_once"), words("_t").alias("_twice")))
-    pk = per_key.join(own, kcols, "left").join(planes, "_hk", "left").withColumn("_dim", shown.scalar())
-    zero = F.lit(0).cast("long")
-    at = lambda m, w: F.coalesce(F.try_element_at(m, w), zero)
-    pk = pk.withColumn("_sib", F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_dim") - 1) / 64).cast("int")),
-        lambda w: at(F.col("_twice"), w).bitwiseOR(at(F.col("_once"), w).bitwiseAND(F.bitwise_not(at(F.col("_own"), w))))))
-    cell = lambda m, i: F.struct(
-        m["id"].alias("member_id"), m["name"].alias("member_name"),
-        (F.getbit(at(F.col("_own"), F.floor(i / 64).cast("int")), i % 64) == 1).alias("selected"),
-        (F.getbit(F.get("_sib", F.floor(i / 64).cast("int")), i % 64) == 1).alias("trained"))
-    grids = pk.select(F.col("_hk").alias("_phk"), *[F.col(k).alias(f"_p{k}") for k in kcols],
-                      F.transform("_dim", cell).alias(out))
+    pk = per_key.join(own, kcols, "left").join(planes, "_hk", "left").select(
+        F.col("_hk").alias("_phk"), *[F.col(k).alias(f"_p{k}") for k in kcols], "_own", "_once", "_twice")
     c = children.select(*dict.fromkeys([*ids, child_fk, *ck]))
     cond = [F.col(child_fk).eqNullSafe(F.col("_phk"))] + [F.col(a).eqNullSafe(F.col(f"_p{k}")) for a, k in zip(ck, kcols)]
-    return c.join(grids, cond).select(*dict.fromkeys([*ids, child_fk]), out)
+    # the words travel to the children, not the cells. The words of a place are
+    # bound by the outer lambda: made once, not again for each cell
+    j = c.join(pk, cond).withColumn("_dim", shown.scalar())
+    at = lambda m, w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long"))
+    planes_at = F.transform(F.sequence(F.lit(0), F.floor((F.size("_dim") - 1) / 64).cast("int")), lambda w: F.struct(
+        w.alias("w"), at(F.col("_own"), w).alias("own"), at(F.col("_twice"), w).bitwiseOR(
+            at(F.col("_once"), w).bitwiseAND(F.bitwise_not(at(F.col("_own"), w)))).alias("sib")))
+    cells = lambda p: F.transform(F.slice("_dim", p["w"] * 64 + 1, F.lit(64)), lambda m, i: F.struct(
+        m["id"].alias("member_id"), m["name"].alias("member_name"),
+        (F.getbit(p["own"], i) == 1).alias("selected"), (F.getbit(p["sib"], i) == 1).alias("trained")))
+    return j.select(*dict.fromkeys([*ids, child_fk]), F.flatten(F.transform(planes_at, cells)).alias(out))
 
 
 def coverage_grid_for(dim: DataFrame, selected_ids: list[int], trained: DataFrame, *,

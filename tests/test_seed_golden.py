@@ -145,6 +145,15 @@ def test_member_grid_of_many_members(spark):
         assert [(g.member_id, g.selected, g.trained) for g in r.grid] == [(m, m in own[r.id], m in rest) for m in shown]
 
 
+def test_member_grid_cells_after_the_join(seed):
+    """Bit words go through the join with the children, not arrays of cells,
+    and a place's words are made once, not again in the lambda of each cell."""
+    grid = rollup.member_grid(seed["body_parts"], seed["exercises"], seed["exercise_body_parts"])
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("member_name") < plan.index("Join ") and plan.count("member_name, ") == 1
+    assert plan.count("sequence(") == 1 and plan.index("sequence(") < plan.index("member_name")
+
+
 def test_header_summary_minutes(seed):
     s = rollup.header_summary(seed["workouts"], seed["gyms"], seed["exercises"], seed["exercise_body_parts"],
                               seed["body_parts"], as_of="2026-01-22 12:00:00").collect()
