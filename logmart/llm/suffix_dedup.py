@@ -23,13 +23,14 @@ those that can't repeat:
   buckets by whole identifiers (two hashes of all bytes), then by place; all
   but the first of each start earlier.
 
-Texts are shuffled once, and both joins read that exchange. Null and empty
-texts have no bytes. A row with a null id is kept whole and never compared;
+Texts are shuffled once, deflated row by row, and both joins read that
+exchange. Null and empty texts have no bytes. A row with a null id is kept whole and never compared;
 a repeated row's bytes count as starting at the same place.
 """
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,21 @@ from pyspark.sql import functions as F
 from logmart.llm.common import U64, Hasher, arrays, covered, runs, spread, sub_batches, window_anchors
 
 LENGTH = 100
-BITS = 16             # an anchor's distances to its first and last string take so many bits
+LONGEST = 1 << 16     # strings are shorter than that
+
+
+def _bits(length: int) -> int:
+    """Bits of an anchor's distance to its first string and of their number;
+    both are below ``length``. Short ``spot``s leave zeros, which cost nothing
+    when rows are shuffled."""
+    return length.bit_length()
 
 
 class _Buckets:
     """Bucket identifiers of the strings at every place."""
 
     def __init__(self, length: int, seed: int):
-        if length % 4 or not 8 <= length < 1 << BITS:
+        if length % 4 or not 8 <= length < LONGEST:
             raise ValueError("length: a multiple of 4 from 8 on, below 65536")
         self.hasher, self.q, self.length = Hasher(seed), length // 4, length
 
@@ -74,6 +82,18 @@ class _Buckets:
         return q, self.later(self.later(q, self.q), 2 * self.q)
 
 
+def _pack(it):
+    """(doc_id, text) with the text's bytes deflated: a row of two thousand
+    bytes takes some two thirds of what the shuffle's own codec leaves of it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+    for batch in it:
+        yield arrays(schema, batch.column(0), [zlib.compress(x.as_py() or b"", 1) for x in batch.column(1).cast(pa.large_binary())])
+
+
+def _bytes(packed: bytes | None) -> bytes:
+    return zlib.decompress(packed) if packed else b""
+
+
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
     return np.frombuffer(b"".join(texts), np.uint8), first
@@ -81,13 +101,14 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(length: int):
     schema = pa.schema([("q", pa.int64()), ("r", pa.int64()), ("doc_id", pa.int64()), ("spot", pa.int64())])
+    bits = _bits(length)
 
     def run(it):
         buckets = _Buckets(length, 1)
         odd, mix = buckets.hasher.odd, buckets.hasher.mix
         for batch in it:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for off, texts in sub_batches(batch, "text"):
+            for off, texts in sub_batches(batch, "text", read=_bytes):
                 buf, first = _joined(texts)
                 if len(buf) < length:
                     continue
@@ -95,7 +116,7 @@ def _anchors(length: int):
                 doc, at, lo, hi = window_anchors(q, first, buckets.q, length)
                 r = mix(whole[lo] * odd[3] + whole[hi - 1] * odd[4] + (at - lo).astype(np.uint64) * odd[5]
                         + (hi - lo).astype(np.uint64))
-                spot = (lo - first[doc]) << 2 * BITS | (at - lo) << BITS | (hi - lo)
+                spot = (lo - first[doc]) << 2 * bits | (at - lo) << bits | (hi - lo)
                 yield arrays(schema, q[at].view(np.int64), r.view(np.int64), ids[off + doc], spot)
 
     return run
@@ -107,21 +128,22 @@ def _contexts(length: int):
     suffixes of parts own."""
     schema = pa.schema([("q", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("before", pa.int32()),
                         ("owned", pa.int32()), ("around", pa.binary())])
+    bits = _bits(length)
 
     def run(it):
         one = _Buckets(length, 1)
         for batch in it:
             get = lambda n: batch.column(batch.schema.get_field_index(n))
             for text, doc, sure, rest in zip(get("text"), *(get(c).to_pylist() for c in ("doc_id", "sure", "rest"))):
-                data = (text.as_py() or "").encode()
+                data = _bytes(text.as_py())
                 spot = np.array(sure, np.int64)
-                lo, n = spot >> 2 * BITS, spot & (1 << BITS) - 1
+                lo, n = spot >> 2 * bits, spot & (1 << bits) - 1
                 rows = [(None, doc, a, b, 0, 0, b"") for a, b in zip(*map(np.ndarray.tolist, runs(
                     covered(len(data), lo, lo + n + length - 1))))]
                 if rest:
                     spot = np.array(rest, np.int64)
-                    lo, n = spot >> 2 * BITS, spot & (1 << BITS) - 1
-                    at = lo + (spot >> BITS & (1 << BITS) - 1)
+                    lo, n = spot >> 2 * bits, spot & (1 << bits) - 1
+                    at = lo + (spot >> bits & (1 << bits) - 1)
                     grams = np.frombuffer(data, np.uint8)[(at[:, None] + np.arange(one.q)).ravel()]
                     q = one.grams(grams)[:: one.q].view(np.int64)
                     rows += [(k, doc, x, y, x - y, m, data[y : y + m - 1 + length]) for k, x, y, m in zip(
@@ -175,9 +197,10 @@ def _leaving(length: int):
 
 def _strings(length: int):
     """Identifiers of all strings in [s, e); ``from`` is the place of s in
-    the bytes around."""
-    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64()),
-                        ("sure", pa.bool_())])
+    the bytes around. Strings end ``length`` after their start (no ``e``);
+    rows with one are spans already found, which have their document for an
+    identifier."""
+    schema = pa.schema([("h", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def run(it):
         one, two = _Buckets(length, 1), _Buckets(length, 2)
@@ -186,8 +209,7 @@ def _strings(length: int):
                 parts, docs, starts, found = [], [], [], []
                 for doc, s, e, a, around, sure in zip(*(c.slice(at, 2000).to_pylist() for c in batch.columns)):
                     if sure:
-                        key = Hasher.mix(np.array([s + (doc << 24) & 0xFFFFFFFFFFFFFFFF], np.uint64))  # spreads them
-                        found.append((int(key.view(np.int64)[0]), -1, doc, s, e, True))
+                        found.append((doc, -1, doc, s, e))
                         continue
                     parts.append(around[a : a + e - s])
                     docs.append(np.full(e - s - length + 1, doc))
@@ -200,14 +222,14 @@ def _strings(length: int):
                 inside = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(first, first[1:])])
                 s = np.concatenate(starts)
                 yield arrays(schema, one.levels(buf)[1][inside].view(np.int64), two.levels(buf)[1][inside].view(np.int64),
-                             np.concatenate(docs), s, s + length, np.zeros(len(s), bool))
+                             np.concatenate(docs), s, pa.nulls(len(s), pa.int64()))
 
     return run
 
 
 def repeats(text: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of bytes (doc_id, s, e) to remove, from ``text(doc_id, text)``
-    dealt by doc_id, without null ids. Spans may overlap."""
+    (see ``_pack``) dealt by doc_id, without null ids. Spans may overlap."""
     anchors = text.mapInArrow(_anchors(length), "q long, r long, doc_id long, spot long")
     order = Window.partitionBy("q").orderBy("r", "doc_id", "spot")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -232,10 +254,10 @@ def repeats(text: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("key", F.xxhash64("doc_id", "s")), F.col("key").isNull()))
     kept = leaving.withColumn("n", shared).where("key is null or n > 1")
     strings = kept.select("doc_id", "s", "e", "from", "around", F.col("key").isNull().alias("sure")).mapInArrow(
-        _strings(length), "h long, h2 long, doc_id long, s long, e long, sure boolean")
+        _strings(length), "h long, h2 long, doc_id long, s long, e long")
     order = Window.partitionBy("h", "h2").orderBy("doc_id", "s")
     return strings.withColumns({"d0": F.first("doc_id").over(order), "s0": F.first("s").over(order)}).where(
-        "sure or doc_id <> d0 or s <> s0").select("doc_id", "s", "e")
+        "e is not null or doc_id <> d0 or s <> s0").select("doc_id", "s", F.coalesce("e", F.col("s") + length).alias("e"))
 
 
 def _remove(it):
@@ -246,7 +268,7 @@ def _remove(it):
         for at in range(0, batch.num_rows, 200):
             rows = []
             for doc, text, s, e in zip(*(get(c).slice(at, 200).to_pylist() for c in ("doc_id", "text", "s", "e"))):
-                data = (text or "").encode()
+                data = _bytes(text)
                 gone = covered(len(data), np.array(s or [], np.int64), np.array(e or [], np.int64)) if s else None
                 a, b = runs(gone) if s else (np.zeros(0, np.int64),) * 2
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if s else data
@@ -258,9 +280,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """Per row ``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs),
     ``n_removed`` and ``kept`` (the bytes left)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    text = spread(rows.where("doc_id is not null"), "doc_id")       # one exchange, read by all joins
+    pack = lambda df: df.mapInArrow(_pack, "doc_id long, text binary")
+    # one exchange, read by all joins; said again after ``pack``, as a join would, or it would make its own
+    text = spread(pack(rows.where("doc_id is not null")).where("doc_id is not null"), "doc_id")
     spans = repeats(text, length).groupBy("doc_id").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     none = F.lit(None).cast(spans.schema["s"].dataType)
-    whole = rows.where("doc_id is null").withColumns({"s": none, "e": none})
+    whole = pack(rows.where("doc_id is null")).withColumns({"s": none, "e": none})
     schema = "doc_id long, n_bytes long, spans array<array<bigint>>, n_removed long, kept binary"
     return text.join(spans, "doc_id", "left").mapInArrow(_remove, schema).unionByName(whole.mapInArrow(_remove, schema))

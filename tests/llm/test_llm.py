@@ -228,6 +228,19 @@ def test_suffixes(spark, none, seed):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_texts_travel_deflated(spark):
+    """The exchange that all joins read holds deflated bytes, the bytes left are the text's."""
+    text = "one two three " * 50 + "\u017elu\u0165" * 30
+    docs = spark.createDataFrame([(1, text), (2, None), (None, text)], "doc_id long, text string")
+    out = suffix_dedup.dedup(docs)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    sent = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    below = plan[plan.index(sent[0]):]
+    assert "_pack" in below[:below.index("Project")]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[2].n_bytes == 0 and bytes(got[None].kept) == text.encode() and got[1].n_bytes == len(text.encode())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substrings(spark, none, seed):
     rows = [*corpus(seed), (None, "x " * 200, 0, 0, "")]
