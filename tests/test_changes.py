@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -433,3 +434,42 @@ def test_hot_groups_scan(spark):
     for limit in (10**6, 60, 0):
         got = group_scan(df, "g", [F.asc("i")], {"was": F.col("x")}, hot_groups(df, "g", limit)).collect()
         assert {r.i: r.was for r in got} == want
+
+
+def test_log_is_validated_where_it_is(spark, seed, monkeypatch):
+    """The whole log isn't joined with the gyms, only its creates are."""
+    plans, keep = {}, C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: plans.update(
+        {name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, name))
+    rows = [("create_header", 101, None, {"gym_id": "1"}), ("create_header", 102, None, {"gym_id": "999"}),
+            ("create_header", 103, None, {"gym_id": "x"}), ("finish_header", None, None, {"id": "101"})]
+    out = C.apply_changes(base(spark, seed, empty=True), log(spark, rows))
+    got = {r.seq: r.outcome for r in out["outcomes"].collect()}
+    assert got == {1: "ok", 2: "rejected:unknown_gym", 3: "rejected:missing_gym", 4: "ok"}
+    assert "Join" not in plans["changes"] and "Join" in plans["creates"]
+
+
+def test_member_faults_in_order(spark):
+    """Lists with unknown, repeated, both kinds of members, in either order."""
+    lists = [[1, 2], [], [1, 1], [9, 1], [9, 9], [1, 1, 9], [9, 1, 1], [None], [2, None, 2], [2, 2, None], [1, 9, 1]]
+    v = spark.createDataFrame([(i, "add_child", m) for i, m in enumerate(lists)], "seq long, op string, members array<int>")
+    known = spark.createDataFrame([(1,), (2,)], "id int")
+
+    def fault(members):
+        for i, m in enumerate(members):
+            if m not in (1, 2):
+                return "unknown_member"
+            if m in members[:i]:
+                return "duplicate_member"
+
+    got = {r.seq: r.member_reason for r in C._member_reasons(v, known, "id").collect()}
+    assert got == {i: fault(m) for i, m in enumerate(lists)}
+
+
+def test_replayed_orders_meet_customers_first(spark):
+    """Lines are dealt by order once: the orders' customers are joined before."""
+    from logmart.plans import driver_log
+    plan = driver_log._line_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    places = [re.search(rf"Join Inner, \(.*{a}#\w+ = {b}#", plan).start()
+              for a, b in (("l_partkey", "p_partkey"), ("l_orderkey", "o_orderkey"), ("o_custkey", "c_custkey"))]
+    assert places == sorted(places)                     # a plan is printed from its last step on
