@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmart.llm.common import U64, Hasher, arrays, connected_components, saved, sub_batches
+from logmart.llm.common import U64, Hasher, arrays, connected_components, kept, sub_batches
+from logmart.session import discard
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -166,10 +167,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
         "doc_id is not null")
-    both = saved(text.mapInArrow(_profile(shingle), "doc_id long, sid long, n long"))
-    doc_sets = both.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("sid", "n")).alias("s")).select(
-        "doc_id", "s.*")
-    counts = saved(both.where("doc_id is null").groupBy(F.col("sid").alias("token")).agg(F.sum("n").alias("df")))
+    both = kept(text.mapInArrow(_profile(shingle), "doc_id long, sid long, n long"), "profile")
+    doc_sets = kept(both.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("sid", "n")).alias("s")).select(
+        "doc_id", "s.*"), "documents")
+    counts = kept(both.where("doc_id is null").groupBy(F.col("sid").alias("token")).agg(F.sum("n").alias("df")), "counts")
+    discard(both)
 
     # frequent tokens: as many as max_frequent allows, rarer cuts doubled until they fit
     total = doc_sets.agg(F.sum("n")).first()[0] or 0
@@ -179,6 +181,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while sum(n for t, (n, _) in tiers.items() if 2**t >= cut) > max_frequent:
         cut *= 2
     rows = counts.where(F.col("df") >= cut).orderBy("df", "token").limit(max_frequent).toPandas()
+    discard(counts)
     tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     often = spark.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
@@ -190,18 +193,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     index = text.mapInArrow(_prefix_rows(shingle, num, den, boundary, often), "key long, sid long, n int")
     first = Window.partitionBy("key").orderBy(F.xxhash64("sid", F.pmod("key", F.lit(STARS))), "sid")
-    stars = saved(index.withColumns({"pivot": F.first("sid").over(first), "pn": F.first("n").over(first)})
-                  .where("sid <> pivot").select("key", "sid", "n", "pivot", "pn").distinct())
+    stars = kept(index.withColumns({"pivot": F.first("sid").over(first), "pn": F.first("n").over(first)})
+                 .where("sid <> pivot").select("key", "sid", "n", "pivot", "pn").distinct(), "stars")
     sized = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
 
     members = stars.select("sid").union(stars.select("pivot")).distinct()
     reps = doc_sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = members.join(reps, "sid")
-    sets = saved(text.join(wanted, "doc_id").select("text")
-                 .mapInArrow(_set_rows(shingle), "sid long, tokens array<long>").dropDuplicates(["sid"]))
+    sets = kept(text.join(wanted, "doc_id").select("text")
+                .mapInArrow(_set_rows(shingle), "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
 
-    near = saved(_similar(stars.where(sized).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(),
-                          sets, num, den))
+    near = kept(_similar(stars.where(sized).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(),
+                         sets, num, den), "near")
     links = near.where("linked").select("a", "b")
     parts = connected_components(links)
 
@@ -214,7 +217,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                            F.when(F.col("sid") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"),
                            (F.col("sid") == F.col("pivot")).alias("is_pivot"))
     split = listed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = saved(listed.where("not is_pivot").join(split, "key"))
+    open_ = kept(listed.where("not is_pivot").join(split, "key"), "open")
+    discard(stars)
     x = open_.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("d").alias("da"))
     y = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("d").alias("db"))
     slack = (den - num) / den + 1e-9
@@ -226,6 +230,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _similar(rest, sets, num, den).where("linked").select("a", "b")
     all_links = links.unionByName(more)
     sid_parts = connected_components(all_links)
+    for df in (sets, near, open_):
+        discard(df)
 
     # set components -> smallest document of any set in them
     in_part = doc_sets.where("n > 0").join(sid_parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn(
