@@ -64,3 +64,56 @@ def test_saved_leaves_no_shuffle_files(spark):
                 break
             time.sleep(0.1)
         assert not left
+
+
+def test_letters_bound_the_edit_distance(spark):
+    """Counts of letters never differ by more than two an edit, whatever the script; of unlike lines they do."""
+    rng = random.Random(5)
+    rows = []
+    for alphabet in ("abcdefgh xyz", "etaoin ", "äöü ßéa1", "日本語 の文", "a"):
+        for n in (1, 7, 40, 300, 900):
+            x = [rng.choice(alphabet) for _ in range(n)]
+            y = list(x)
+            for _ in range(rng.randrange(1 + n // 5)):
+                i = rng.randrange(len(y) + 1)
+                y[i : i + rng.randrange(2)] = rng.choices(alphabet, k=rng.randrange(2))
+            rows += [("".join(x), "".join(y)), ("".join(x), "".join(rng.choice(alphabet) for _ in range(n)))]
+    rows.append(("the cat sat on the mat today", "quick brown foxes jump very h"))
+    pairs = spark.createDataFrame(rows, "ta string, tb string")
+    for w, t in (("_a", "ta"), ("_b", "tb")):
+        pairs = pairs.withColumns({f"c{i}{w}": c for i, c in enumerate(line_dedup._packed(line_dedup._letters(F.col(t))))})
+    got = pairs.select(F.levenshtein("ta", "tb").alias("d"), line_dedup._apart("_a", "_b").alias("apart")).collect()
+    assert all(r.apart <= 2 * r.d for r in got)
+    assert got[-1].apart > 2 * 2
+
+
+def test_unlike_lines_of_one_list_are_not_stored(spark, monkeypatch):
+    """Lines that share a few phrases and no more meet in their lists, but no pair of them is written."""
+    rng = random.Random(6)
+    words = lambda n, of: [" ".join("".join(rng.choice(of) for _ in range(9)) for _ in range(n))]
+    ends = words(8, "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, " ".join(ends + words(12, rng.sample("abcdefghijklmnopqrstuvwxyz", 8)))) for i in range(120)]
+    rows.append((500, rows[7][1] + "x"))
+    stored = {}
+
+    def kept(df, name):
+        out = common.kept(df, name)
+        stored[name] = stored.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "kept", kept)
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {i: int(i == 500) for i, _ in rows}
+    assert stored["stars"] + stored["rest"] < 10
+
+
+def test_lines_are_grouped_alike_in_any_number_of_slices(spark, monkeypatch):
+    rows = near_copies(random.Random(7), 60, 16)
+    rows += [(100, rows[0][1]), (100, rows[2][1]), (101, rows[0][1] + "x")]
+    want = None
+    for size in (2_000_000, 1000):
+        monkeypatch.setattr(line_dedup, "SLICE", size)
+        got = sorted(tuple(r) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert want is None or got == want
+        want = got
+    assert sum(r[-1] for r in want) == 33
