@@ -473,3 +473,22 @@ def test_replayed_orders_meet_customers_first(spark):
     places = [re.search(rf"Join Inner, \(.*{a}#\w+ = {b}#", plan).start()
               for a, b in (("l_partkey", "p_partkey"), ("l_orderkey", "o_orderkey"), ("o_custkey", "c_custkey"))]
     assert places == sorted(places)                     # a plan is printed from its last step on
+
+
+def test_a_batch_leaves_its_change_set_only(spark, seed, tmp_path):
+    """The copies that a micro-batch works on are gone when its change set is written."""
+    from pathlib import Path
+
+    from logmart.session import ensure_checkpoint_dir
+    from logmart.streaming.changes_stream import _create, read_latest, write_batch
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    files = lambda: {p for p in top.rglob("*") if p.is_file()}
+    out, b = str(tmp_path / "out"), base(spark, seed)
+    _create(spark, out)
+    was = files()
+    write_batch(spark, out, b, log(spark, [("create_header", 201, None, {"gym_id": 1}),
+                                           add(201, 3001, name="Row", parts=(1, 2), w="5"),
+                                           ("delete_child", None, None, {"id": 3001}),
+                                           add(201, 3002, name="Dip", parts=(1,), w="6")]), 0)
+    assert files() <= was
+    assert [r.sort_order for r in read_latest(spark, out, b).exercises.where("id = 3002").collect()] == [1]
