@@ -29,6 +29,10 @@ nothing; rows with a null id are dropped, repeated ids count as one document
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,6 +46,7 @@ NUM, DEN = 80, 100
 FREQUENT = 64
 MAX_FREQUENT = 1 << 20
 STARS = 4
+CELL, CELLS = 5_000, 5      # pairs of a cell, cells a side at most
 
 
 def _sets(hasher: Hasher, texts: list[bytes], k: int):
@@ -150,16 +155,28 @@ def _set_rows(k: int):
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs(a, b) with ``inter`` (shared tokens), ``total`` (of the union)
+def _similar(pairs: DataFrame, left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(a, b) of the sets ``left`` and ``right`` with ``inter`` (shared tokens), ``total`` (of the union)
     and ``linked``."""
-    a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+    a = left.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
+    b = right.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("ta", "tb")))
     out = both.select("a", "b", "inter", (F.size("ta") + F.size("tb") - F.col("inter")).alias("total"))
     return out.withColumn("linked", F.col("inter") * den >= F.col("total") * num)
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``_similar`` cell by cell: the pairs of some sets a with some sets b,
+    so that few pairs and sets are on disk beside each other at a time."""
+    side = min(CELLS, 1 + math.isqrt(pairs.count() // CELL))
+    in_part = lambda c, i: F.pmod(F.col(c), F.lit(side)) == i
+    cells = []
+    for i, j in product(range(side), repeat=2):
+        cells.append(kept(_similar(pairs.where(in_part("a", i) & in_part("b", j)), sets.where(in_part("sid", i)),
+                                   sets.where(in_part("sid", j)), num, den), "near"))
+    return reduce(DataFrame.unionByName, cells)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        num: int = NUM, den: int = DEN, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``,
@@ -203,8 +220,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = kept(text.join(wanted, "doc_id").select("text")
                 .mapInArrow(_set_rows(shingle), "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
 
-    near = kept(_similar(stars.where(sized).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(),
-                         sets, num, den), "near")
+    pairs = kept(stars.where(sized).select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    near = _compared(pairs, sets, num, den)
+    discard(pairs)
     links = near.where("linked").select("a", "b")
     parts = connected_components(links)
 
@@ -227,10 +245,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
         & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= slack))
     ).select("a", "b").distinct()
-    more = _similar(rest, sets, num, den).where("linked").select("a", "b")
+    rest = kept(rest, "rest")
+    discard(open_)
+    more_near = _compared(rest, sets, num, den)
+    more = more_near.where("linked").select("a", "b")
     all_links = links.unionByName(more)
     sid_parts = connected_components(all_links)
-    for df in (sets, near, open_):
+    for df in (sets, near, rest, more_near):
         discard(df)
 
     # set components -> smallest document of any set in them

@@ -117,3 +117,24 @@ def test_lines_are_grouped_alike_in_any_number_of_slices(spark, monkeypatch):
         assert want is None or got == want
         want = got
     assert sum(r[-1] for r in want) == 33
+
+
+def test_jaccard_pairs_are_compared_in_cells(spark, monkeypatch):
+    """No table holds what all pairs of sets compared to, and the links are the same in any number of cells."""
+    rng = random.Random(8)
+    rows = near_copies(rng, 400, 300) + near_copies(rng, 20, 4)
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    most = []
+
+    def kept(df, name):
+        out = common.kept(df, name)
+        if name == "near":
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "kept", kept)
+    monkeypatch.setattr(jaccard_join, "CELL", 10, raising=False)
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {i: i // 2 * 2 if i < 400 else i for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in out.collect()} == want
+    assert 0 < max(most) < 100
